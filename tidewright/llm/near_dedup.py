@@ -114,6 +114,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(node)], names=["key", "node"])
 
 
+def _bound(percent: int, n_a, own_a, n_b, own_b):
+    """Whether sets of so many shingles, so many of which no other candidate has, can be similar enough."""
+    most = np.minimum(n_a - own_a, n_b - own_b)
+    return 100 * most >= percent * (n_a + n_b - most)
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sig_a", "sig_b"))
@@ -131,6 +137,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([shingle_set((x or "").encode(), hashes).tobytes() for x in part["text"].to_pylist()], pa.binary())], names=["node", "shingles"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64)
+            sets = [np.frombuffer(x, np.int64) for x in part["shingles"].to_pylist()]
+            node = np.repeat(part["node"].to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(node)], names=["shingle", "node"])
+
+
 def _confirmed(percent: int):
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,14 +161,11 @@ def _confirmed(percent: int):
     return confirmed
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures lie within DISTANCE and whose full sets are similar enough."""
     sig = nodes.select("node", "sig")
     both = pairs.join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b").join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
     near = cut(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long"))
-    needed = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets, "node long, shingles binary"))
     full = near.join(sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a")
     return cut(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct())
 
@@ -189,29 +202,31 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """All pairs near enough within each bucket of members(key, node, component, sig), but for those of one component.
+def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs that can be linked within each bucket of members(key, node, component, sig, n, own), but for those of one
+    component.
 
-    A bucket's rows are dealt into blocks of about BLOCK, and every two blocks meet in one task that compares signatures
-    and returns the near pairs only: neither a bucket's rows nor its pairs are gathered.
+    A bucket's rows are dealt into blocks of about BLOCK, and every two blocks meet in one task that compares counts and
+    signatures and returns the near pairs only: neither a bucket's rows nor its pairs are gathered.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("rows"))
+    dealt = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    meets = dealt.withColumn("with", F.explode(other)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component", "sig")
+    meets = dealt.withColumn("with", F.explode(other)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component", "sig", "n", "own")
 
     def near(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        node, comp, block = (table[c].to_numpy() for c in ("node", "component", "block"))
+        node, comp, block, n, own = (table[c].to_numpy() for c in ("node", "component", "block", "n", "own"))
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
-            apart = comp[right] != comp[x] if i != j else (comp[right] != comp[x]) & (right > x)
-            y = right[apart]
-            y = y[(sig[y] != sig[x]).sum(axis=1) <= DISTANCE]
-            a.append(np.minimum(node[x], node[y]))
-            b.append(np.maximum(node[x], node[y]))
+            fits = (comp[right] != comp[x]) & _bound(percent, n[x], own[x], n[right], own[right])
+            y = right[fits if i != j else fits & (right > x)]
+            if len(y):
+                y = y[(sig[y] != sig[x]).sum(axis=1) <= DISTANCE]
+                a.append(np.minimum(node[x], node[y]))
+                b.append(np.maximum(node[x], node[y]))
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
@@ -225,10 +240,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     100 * intersection >= percent * union are linked; component_id is the least doc_id reachable.
 
     1. Documents with equal sets form one node, named by the least doc_id. 2. Nodes whose signatures differ in at most
-    DISTANCE symbols share a key of a chunk with one symbol left out. In each bucket the least node is compared with the
-    others: near pairs are confirmed on full sets and joined to components. 3. Where nodes of one bucket still lie in
-    different components, all their pairs are compared too, in blocks, and the near ones confirmed. So no link within
-    the distance is lost, and large groups of copies cost one comparison a member and bucket.
+    DISTANCE symbols share a key of a chunk with one symbol left out, and meet in its bucket. 3. For the nodes in buckets,
+    shingles that no other of them has are counted: these bound what a node can share, and a node with too many is linked
+    with none. 4. In each bucket the node with the smallest such share, which in a group of copies is the nearest to what
+    they were copied from, is compared with the others; pairs are confirmed on full sets and joined to components. 5. Where
+    nodes of one bucket still lie in different components, all their pairs are compared too, in blocks, and those that
+    signatures and counts allow are confirmed. So no link within the distance is lost, and a large group of copies costs
+    about one comparison a member and bucket.
 
     Empty and null texts: no shingles, linked with nothing. A null doc_id is its own component (null). Rows repeated under
     one doc_id are one document if their texts have one set. Other columns are not read.
@@ -238,16 +256,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = profile.where("n_shingles > 0 and doc_id is not null")
     nodes = written(named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
     keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long").repartition("key")
-    shared = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center")
-    bucket = cut(keys.join(shared, "key"))
-    star = bucket.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = _links(star, nodes, known, percent)
-    first = cut(components(links))
-    placed = bucket.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(open_keys, "key").join(nodes.select("node", "sig"), "node")
-    more = _bucket_pairs(rest).join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(_links(cut(more), nodes, known, percent))
+    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    bucket = written(keys.join(shared, "key"))
+    met = written(bucket.select(F.col("node").alias("doc_id")).distinct())
+    sets = written(known.join(met, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary"))
+    lone = sets.mapInArrow(_shingles, "shingle long, node long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    lone = lone.where(F.col("node") == F.col("last")).groupBy("node").agg(F.count("*").alias("own"))
+    counts = nodes.select("node", F.col("n_shingles").alias("n"), "sig").join(met.withColumnRenamed("doc_id", "node"), "node").join(lone, "node", "left")
+    able = written(counts.withColumn("own", F.coalesce("own", F.lit(0).cast("long"))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")))
+
+    placed = written(bucket.join(able.select("node", "n", "own"), "node"))
+    center = placed.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "node", "n", "own")).alias("c"))
+    star = placed.join(center, "key").where("node <> c.node")
+    most = F.least(F.col("n") - F.col("own"), F.col("c.n") - F.col("c.own"))
+    star = star.where(100 * most >= percent * (F.col("n") + F.col("c.n") - most)).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+    star = written(star.distinct())
+    links = _links(star, nodes, sets, percent)
+    first = written(components(links))
+    grouped = placed.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest = grouped.join(open_keys, "key").join(able, "node")
+    more = _bucket_pairs(rest, percent).join(star, ["a", "b"], "left_anti")
+    links = links.unionByName(_links(cut(more), nodes, sets, percent))
     final = components(links)
     owner = nodes.join(final, "node", "left").select("set1", "set2", "n_shingles", F.coalesce("component", "node").alias("component"))
     out = profile.join(owner, ["set1", "set2", "n_shingles"], "left")
