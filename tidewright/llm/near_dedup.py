@@ -102,7 +102,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(batch), 2048):
             part = batch.slice(at, 2048)
             sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
-            out = []
+            out, at_place = [], np.repeat(np.arange(SYMBOLS, dtype=np.int32), len(sig))
             for c, places in enumerate(_chunks()):
                 for p in places:
                     h = np.full(len(sig), (c << 8) + int(p) + 1, np.uint64)
@@ -111,7 +111,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, q])
                     out.append(h.view(np.int64))
             node = np.tile(part["node"].to_numpy(), len(out))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(node)], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(at_place), pa.array(node)], names=["key", "place", "node"])
 
 
 def _bound(percent: int, n_a, own_a, n_b, own_b):
@@ -202,29 +202,40 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _first_place(differ: np.ndarray) -> np.ndarray:
+    """For pairs whose symbols differ as marked: the symbol left out in the first key that they share."""
+    starts = np.array([c[0] for c in _chunks()])
+    chunk = (np.add.reduceat(differ, starts, axis=1, dtype=np.int64) <= 1).argmax(axis=1)
+    inside = differ & (np.repeat(np.arange(CHUNKS), [len(c) for c in _chunks()]) == chunk[:, None])
+    return np.where(inside.any(axis=1), inside.argmax(axis=1), starts[chunk])
+
+
 def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
     """All pairs that can be linked within each bucket of members(key, node, component, sig, n, own), but for those of one
     component.
 
     A bucket's rows are dealt into blocks of about BLOCK, and every two blocks meet in one task that compares counts and
-    signatures and returns the near pairs only: neither a bucket's rows nor its pairs are gathered.
+    signatures and returns the near pairs only: neither a bucket's rows nor its pairs are gathered. Of the buckets that a
+    pair shares only that of _first_place() returns it.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("rows"))
     dealt = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    meets = dealt.withColumn("with", F.explode(other)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component", "sig", "n", "own")
+    meets = dealt.withColumn("with", F.explode(other)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "place", "node", "component", "sig", "n", "own")
 
     def near(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         node, comp, block, n, own = (table[c].to_numpy() for c in ("node", "component", "block", "n", "own"))
         i, j = key[1].as_py(), key[2].as_py()
+        place = table["place"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
             fits = (comp[right] != comp[x]) & _bound(percent, n[x], own[x], n[right], own[right])
             y = right[fits if i != j else fits & (right > x)]
             if len(y):
-                y = y[(sig[y] != sig[x]).sum(axis=1) <= DISTANCE]
+                differ = sig[y] != sig[x]
+                y = y[(differ.sum(axis=1) <= DISTANCE) & (_first_place(differ) == place)]
                 a.append(np.minimum(node[x], node[y]))
                 b.append(np.maximum(node[x], node[y]))
         none = np.zeros(0, np.int64)
@@ -255,7 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     profile = written(known.mapInArrow(_profiles, "doc_id long, n_shingles long, set1 long, set2 long, sig binary"))
     named = profile.where("n_shingles > 0 and doc_id is not null")
     nodes = written(named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
-    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long").repartition("key")
+    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, place int, node long").repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     bucket = written(keys.join(shared, "key"))
     met = written(bucket.select(F.col("node").alias("doc_id")).distinct())
@@ -273,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     star = written(star.distinct())
     links = _links(star, nodes, sets, percent)
     first = written(components(links))
-    grouped = placed.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    grouped = placed.select("key", "place", "node").join(first, "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = grouped.join(open_keys, "key").join(able, "node")
     more = _bucket_pairs(rest, percent).join(star, ["a", "b"], "left_anti")
