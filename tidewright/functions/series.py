@@ -66,6 +66,15 @@ def kurt(x: str, n: int) -> Column:
     return ((n + 1) * rolled(F.kurtosis, x, n) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
 
 
+def correlation(a: str | Column, b: str | Column, w: WindowSpec | None = None) -> Column:
+    """Pearson's coefficient over a window or group; null, not an error, where either is constant."""
+    over = (lambda x: x.over(w)) if w is not None else (lambda x: x)
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    spread = [over(F.stddev_pop(F.when(both, x))) for x in (a, b)]
+    return ratio(over(F.covar_pop(a, b)), spread[0] * spread[1])
+
+
 def pct_rank(x: str, n: int) -> Column:
     """Rank of the last of n values among them as a share, ties at their mean."""
     values = F.collect_list(x).over(frame(n))

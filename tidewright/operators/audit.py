@@ -32,8 +32,9 @@ def adjusted(df: DataFrame) -> DataFrame:
     earned = ratio(F.col("close") + F.col("dividend"), lag("close") * F.col("split_factor")) - 1
     upto = ordered().rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("__r", earned).withColumn("close_adj", 1000 * F.product(1 + zero("__r")).over(upto)).drop("__r")
-    scale = ratio(F.col("close_adj"), F.col("close"))
-    return out.withColumns({f"{c}_adj": F.col(c) * scale for c in ("open", "high", "low")})
+    # one factor for all four, so that prices that are equal stay equal
+    out = out.withColumn("__scale", ratio(F.col("close_adj"), F.col("close")))
+    return out.withColumns({f"{c}_adj": F.col(c) * F.col("__scale") for c in PRICES}).drop("__scale")
 
 
 def unadjusted(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import kernels as k
-from tidewright.functions.series import lag, ratio, rolled
+from tidewright.functions.series import correlation, lag, ratio, rolled
 
 
 def distribution(df: DataFrame, x: str = "log_return") -> DataFrame:
@@ -59,14 +59,14 @@ def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
 
     ok = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     rank = lambda x: F.rank().over(Window.partitionBy("symbol").orderBy(x)) + (F.count("*").over(Window.partitionBy("symbol", x)) - 1) / 2
-    g = ok.withColumns({"_ra": rank(a), "_rb": rank(b)}).groupBy("symbol").agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("rho"))
+    g = ok.withColumns({"_ra": rank(a), "_rb": rank(b)}).groupBy("symbol").agg(F.count("*").alias("n"), correlation("_ra", "_rb").alias("rho"))
     return g.withColumn("t_stat", F.col("rho") * F.sqrt(ratio((F.col("n") - 2).cast("double"), 1 - F.col("rho") ** 2)))
 
 
 def leverage(df: DataFrame) -> DataFrame:
     """Correlation of a return with the next squared one by symbol."""
     w = df.withColumn("_l", lag("log_return"))
-    return w.groupBy("symbol").agg(F.corr("_l", F.col("log_return") * F.col("log_return")).alias("leverage")).withColumn("asymmetric", (F.col("leverage") < -0.1).cast("int"))
+    return w.groupBy("symbol").agg(correlation("_l", F.col("log_return") * F.col("log_return")).alias("leverage")).withColumn("asymmetric", (F.col("leverage") < -0.1).cast("int"))
 
 
 PAYLOAD = (

@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.series import EPS, both_max, both_min, delta, ema, floored, frame, kurt, lag, ordered, pct_rank, ratio, rolled, skew, staged, zero
+from tidewright.functions.series import EPS, both_max, both_min, correlation, delta, ema, floored, frame, kurt, lag, ordered, pct_rank, ratio, rolled, skew, staged, zero
 
 LAGS = (1, 3, 5, 10, 20)
 Levels = list[dict[str, Column]]
@@ -166,7 +166,7 @@ def market_context() -> Levels:
     second = {
         "mkt_relative_return": a - m, "mkt_rs_cum_20": total("_a", 20) - total("_m", 20),
         "mkt_rolling_beta_60": F.greatest(F.lit(-1.0), F.least(F.lit(3.5), full(F.covar_samp("_a", "_m"), 60) / (full(F.var_samp("_m"), 60) + EPS))),
-        "mkt_vol_ratio_20": std("_a", 20) / (std("_m", 20) + EPS), "mkt_correlation_20": zero(F.nanvl(full(F.corr("_a", "_m"), 20), F.lit(0.0))),
+        "mkt_vol_ratio_20": std("_a", 20) / (std("_m", 20) + EPS), "mkt_correlation_20": zero(F.when(F.count("*").over(frame(20)) == 20, correlation("_a", "_m", frame(20)))),
         "mkt_divergence_signed": F.signum(a) * F.signum(m) * (a - m),
     }
     second["mkt_rolling_beta_60"] = F.when(F.count("*").over(frame(60)) == 60, second["mkt_rolling_beta_60"])
@@ -280,7 +280,7 @@ def vwap() -> Levels:
 
 def roll_measure() -> Levels:
     """Correlation of a return with the one before, over 20 returns."""
-    return [{"_b": lag("log_return")}, {"liq_roll_measure_20": F.when(F.count("_b").over(frame(19)) == 19, F.corr("log_return", "_b").over(frame(19)))}]
+    return [{"_b": lag("log_return")}, {"liq_roll_measure_20": F.when(F.count("_b").over(frame(19)) == 19, correlation("log_return", "_b", frame(19)))}]
 
 
 #: The strategies that the router runs, in its order.

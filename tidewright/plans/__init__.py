@@ -1,13 +1,15 @@
-"""Queries over the test tables."""
+"""Queries over the test tables, each with SQL that gives the same rows where SQL can."""
 
+from tidewright.plans import core_queries, feature_queries  # noqa: F401  they register themselves
+from tidewright.plans.core_queries import flagship
+from tidewright.plans.registry import ORACLES, QUERIES
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
