@@ -291,6 +291,14 @@ def bounded_platt(score: np.ndarray, y: np.ndarray, a: tuple = (0.1, 2.5), b: tu
     return float(at[0]), float(at[1])
 
 
+def difference_weights(d: float, size: int = 100, least: float = 1e-4) -> list[float]:
+    """Binomial weights of a fractional difference, from the current value back, until they fall below `least`."""
+    w = [1.0]
+    while len(w) < size and abs(nxt := -w[-1] * (d - len(w) + 1) / len(w)) >= least:
+        w.append(nxt)
+    return w
+
+
 def difference(x: np.ndarray, weights: list[float]) -> np.ndarray:
     """Weighted sums of the values before each, without its own."""
     x = np.asarray(x, float)
@@ -302,8 +310,6 @@ def difference(x: np.ndarray, weights: list[float]) -> np.ndarray:
 
 def optimal_difference(x: np.ndarray, step: float = 0.05, size: int = 100) -> tuple[float, float, float]:
     """Least order whose difference is stationary at 5 %, the p there, and its correlation with the level."""
-    from tidewright.operators.features import difference_weights
-
     x = np.asarray(x, float)
     if len(x) < 50:
         return 1.0, 1.0, 0.0

@@ -66,7 +66,7 @@ def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
 def leverage(df: DataFrame) -> DataFrame:
     """Correlation of a return with the next squared one by symbol."""
     w = df.withColumn("_l", lag("log_return"))
-    return w.groupBy("symbol").agg(correlation("_l", F.col("log_return") * F.col("log_return")).alias("leverage")).withColumn("asymmetric", (F.col("leverage") < -0.1).cast("int"))
+    return w.groupBy("symbol").agg(correlation("_l", F.col("log_return") * F.col("log_return")).alias("leverage")).withColumn("is_asymmetric", (F.col("leverage") < -0.1).cast("int"))
 
 
 PAYLOAD = (

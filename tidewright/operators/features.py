@@ -12,6 +12,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.kernels import difference_weights
 from tidewright.functions.series import EPS, both_max, both_min, correlation, delta, ema, floored, frame, kurt, lag, ordered, pct_rank, ratio, rolled, skew, staged, zero
 
 LAGS = (1, 3, 5, 10, 20)
@@ -198,14 +199,6 @@ def complexity(n: int = 20) -> Levels:
     return [flips, {"_pat": pattern("_r0"), "_flip": F.abs(delta("_sign")).cast("double")}, {"chaos_permutation_entropy_20": F.when(F.count("_pat").over(frame(windows)) == windows, entropy), "lz_complexity_proxy_20": mean("_flip", n)}]
 
 
-def difference_weights(d: float, size: int = 100, least: float = 1e-4) -> list[float]:
-    """Binomial weights of a fractional difference, from the current value back, until they fall below `least`."""
-    w = [1.0]
-    while len(w) < size and abs(nxt := -w[-1] * (d - len(w) + 1) / len(w)) >= least:
-        w.append(nxt)
-    return w
-
-
 def fractional(d: float = 0.4, x: str = "close_adj", least_rows: int = 10) -> Levels:
     """The current value takes part; missing ones count 0; null before `least_rows` values."""
     w = difference_weights(d)

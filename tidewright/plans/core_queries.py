@@ -221,6 +221,7 @@ def predicted(spark, sf_dir):
     df = labelled(spark, sf_dir).withColumnsRenamed({"target_barrier_return": "barrier_return", "target_label": "true_target"})
     prob = F.pmod(F.floor(F.col("close") * 7919).cast("long"), F.lit(1000)) / 1000.0
     fold = F.ntile(5).over(Window.partitionBy("symbol").orderBy("ts"))
+    df = df.withColumn("barrier_return", F.col("barrier_return") / 100)  # the events' values jump too far for equity
     return df.withColumn("prob_up", prob).withColumn("fold", fold).where("true_target IS NOT NULL")
 
 
@@ -258,7 +259,7 @@ def probability_buffer(spark, sf_dir):
 LOCK = f"""{SIG.replace('WITH ', 'WITH RECURSIVE ', 1)}, sq2 AS (SELECT symbol, t, touch, row_number() OVER ({ORD}) AS k FROM sn WHERE sig = 1),
 lk AS (SELECT symbol, k, t, touch AS free, 1 AS taken FROM sq2 WHERE k = 1 UNION ALL SELECT s.symbol, s.k, s.t, CASE WHEN s.t >= lk.free THEN s.touch ELSE lk.free END, CASE WHEN s.t >= lk.free THEN 1 ELSE 0 END FROM lk JOIN sq2 s ON s.symbol = lk.symbol AND s.k = lk.k + 1),
 ex AS (SELECT sn.*, coalesce(lk.taken, 0) AS taken FROM sn LEFT JOIN lk ON sn.symbol = lk.symbol AND sn.t = lk.t),
-pn AS (SELECT *, CASE WHEN taken = 1 THEN ret * bet - 2 * 0.002 * bet ELSE 0.0 END AS pnl FROM ex)"""
+pn AS (SELECT *, CASE WHEN taken = 1 THEN ret / 100 * bet - 2 * 0.002 * bet ELSE 0.0 END AS pnl FROM ex)"""
 
 
 def traded(spark, sf_dir):
@@ -390,7 +391,7 @@ def spearman_volume(spark, sf_dir):
     return diagnostics.rank_correlation(adjusted_events(spark, sf_dir).withColumn("a", F.abs("log_return")), "volume", "a")
 
 
-@query("leverage", ["symbol", "asymmetric"], ["leverage"], f"{BASE}, k AS (SELECT symbol, r, {lag('r')} AS l FROM b) SELECT symbol, corr(l, r * r) AS leverage, CAST(corr(l, r * r) < -0.1 AS BIGINT) AS asymmetric FROM k GROUP BY 1")
+@query("leverage", ["symbol", "is_asymmetric"], ["leverage"], f"{BASE}, k AS (SELECT symbol, r, {lag('r')} AS l FROM b) SELECT symbol, corr(l, r * r) AS leverage, CAST(corr(l, r * r) < -0.1 AS BIGINT) AS is_asymmetric FROM k GROUP BY 1")
 def leverage(spark, sf_dir):
     return diagnostics.leverage(adjusted_events(spark, sf_dir))
 
