@@ -86,7 +86,7 @@ def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of a text's known sentences in order. Sentences end at . ! ? before white space, and either at line
-    ends or, where that finds more, not there: licence texts are often wrapped."""
+    ends or, where that finds more, at empty lines only: licence texts are often wrapped."""
     known = F.create_map(*[F.lit(x) for pair in known_sentences(sentences).items() for x in pair])
 
     def found(whole: Column) -> Column:
@@ -94,7 +94,7 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
         plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
         return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
 
-    lines, wrapped = found(text), found(F.translate(text, "\n", " "))
+    lines, wrapped = found(text), found(F.translate(F.regexp_replace(text, r"\n[ \t\r]*\n", "\u0001"), "\n\u0001", " \n"))
     ids = F.when(F.size(wrapped) > F.size(lines), wrapped).otherwise(lines)
     return F.when(text.rlike(STEMS), ids).otherwise(F.array().cast("array<string>"))
 
@@ -123,7 +123,7 @@ def oracle_sql() -> str:
     rules = ", ".join(f"({n}, {quote(name)}, {quote(',' + ','.join(seq) + ',')})" for n, (name, seq) in enumerate(RULES))
     return f"""
 WITH known(sentence, id) AS (VALUES {known}), rules(n, name, seq) AS (VALUES {rules}),
-texts AS (SELECT doc_id, 0 AS wrapped, text FROM documents UNION ALL SELECT doc_id, 1, replace(text, chr(10), ' ') FROM documents),
+texts AS (SELECT doc_id, 0 AS wrapped, text FROM documents UNION ALL SELECT doc_id, 1, translate(regexp_replace(text, '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(10) || chr(1), ' ' || chr(10)) FROM documents),
 cuts AS (SELECT doc_id, wrapped, string_split(regexp_replace(text, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS list FROM texts),
 parts AS (SELECT doc_id, wrapped, unnest(list) AS s, generate_subscripts(list, 1) AS pos FROM cuts),
 both_ids AS (SELECT p.doc_id, p.wrapped, string_agg(k.id, ',' ORDER BY p.pos) AS ids, count(*) AS n FROM parts p
