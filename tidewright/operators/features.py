@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from typing import Callable
+from typing import Callable, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +18,28 @@ from tidewright.functions.series import EPS, both_max, both_min, correlation, de
 LAGS = (1, 3, 5, 10, 20)
 Levels = list[dict[str, Column]]
 
-o, h, l, c, v, r = (F.col(x) for x in ("open_adj", "high_adj", "low_adj", "close_adj", "volume", "log_return"))  # noqa: E741
-r0 = zero("log_return")
-span = h - l + EPS
-upper, lower = h - both_max(o, c), both_min(o, c) - l
-clv = ((c - l) - (h - c)) / span
-log_range = F.log(ratio(h, l))
+
+class Prices(NamedTuple):
+    """Columns that most strategies start from."""
+
+    o: Column
+    h: Column
+    l: Column  # noqa: E741
+    c: Column
+    v: Column
+    r: Column
+    r0: Column
+    span: Column
+    upper: Column
+    lower: Column
+    clv: Column
+    log_range: Column
+
+
+def prices() -> Prices:
+    o, h, l, c, v, r = (F.col(x) for x in ("open_adj", "high_adj", "low_adj", "close_adj", "volume", "log_return"))  # noqa: E741
+    span = h - l + EPS
+    return Prices(o, h, l, c, v, r, zero("log_return"), span, h - both_max(o, c), both_min(o, c) - l, ((c - l) - (h - c)) / span, F.log(ratio(h, l)))
 
 
 def per(a: Column, b: Column) -> Column:
@@ -47,6 +63,8 @@ def z(x: str, n: int) -> Column:
 
 
 def baseline(lags: tuple = (1, 3), width: int = 5) -> Levels:
+    p = prices()
+    o, c, v, span, upper, lower = p.o, p.c, p.v, p.span, p.upper, p.lower
     out = {"geo_body_ratio": (c - o) / span, "geo_upper_shadow": upper / span, "geo_lower_shadow": lower / span, "overnight_gap": ratio(o, lag("close_adj")) - 1, "_lv": F.log(v + EPS)}
     day, month = F.weekday("ts"), F.month("ts")
     out |= {f"{f.__name__}_dow": f(2 * math.pi * day / 5) for f in (F.sin, F.cos)} | {f"{f.__name__}_month": f(2 * math.pi * month / 12) for f in (F.sin, F.cos)}
@@ -59,12 +77,14 @@ def baseline(lags: tuple = (1, 3), width: int = 5) -> Levels:
 
 
 def trend(lags: tuple = (1, 3)) -> Levels:
+    c = prices().c
     first = {f"ret_{k}": F.log(ratio(c, lag("close_adj", k))) for k in lags} | {"_vol": std("log_return", 20, 1), "macd_dist": ratio(ema("close_adj", 12), ema("close_adj", 26)) - 1}
     return [first, {f"vol_adj_mom_{k}": F.col(f"ret_{k}") / ((F.col("_vol") + EPS) * math.sqrt(k)) for k in lags}]
 
 
 def trend_more(lags: tuple = LAGS) -> Levels:
     """Signs, breakouts and the slope of macd_dist; needs trend()."""
+    c = prices().c
     out = {f"tsmom_sign_{k}": F.signum(F.log(ratio(c, lag("close_adj", k)))) for k in lags}
     for k in lags:
         top, low = rolled(F.max, "close_adj", k, 1), rolled(F.min, "close_adj", k, 1)
@@ -73,6 +93,7 @@ def trend_more(lags: tuple = LAGS) -> Levels:
 
 
 def oscillator(lags: tuple = (3, 5, 10, 20)) -> Levels:
+    c = prices().c
     out = {}
     for k in lags:
         m, s = mean("close_adj", k, 1), std("close_adj", k, 1)
@@ -83,6 +104,8 @@ def oscillator(lags: tuple = (3, 5, 10, 20)) -> Levels:
 
 
 def volatility() -> Levels:
+    p = prices()
+    o, h, l, c, r, log_range = p.o, p.h, p.l, p.c, p.r, p.log_range  # noqa: E741
     hc, ho, lc, lo_, co, oc = (F.log(ratio(a, b)) for a, b in ((h, c), (h, o), (l, c), (l, o), (c, o), (o, lag("close_adj"))))
     first = {
         "vol_parkinson": F.sqrt(log_range * log_range / (4 * math.log(2))),
@@ -102,27 +125,36 @@ def volatility() -> Levels:
 
 
 def kinematic() -> Levels:
+    p = prices()
+    h, l, v, r0, clv = p.h, p.l, p.v, p.r0, p.clv  # noqa: E741
     before = lag("close_adj")
     first = {"kinematic_velocity": r0, "_tr": F.greatest(h - l, F.abs(h - before), F.abs(l - before)), "kinematic_clv_vol": clv * v / (mean("volume", 20, 1) + EPS)}
     return [first, {"kinematic_squeeze_ratio": 4 * std("close_adj", 20, 1) / (3 * mean("_tr", 20, 1) + EPS)}]
 
 
 def kinematic_more() -> Levels:
+    p = prices()
+    v, clv = p.v, p.clv
     first = {"kinematic_acceleration": delta("log_return"), "_cv": clv * v}
     return [first, {"kinematic_jerk": delta("kinematic_acceleration"), "kinematic_clv_vol_roll20": mean("_cv", 20)}]
 
 
 def wavelet() -> Levels:
+    c = prices().c
     l1, l2, l3 = (lag("close_adj", k) for k in (1, 2, 3))
     first = {"wavelet_detail_d1": (c - l1) / math.sqrt(2), "wavelet_detail_d2": ((c + l1) - (l2 + l3)) / 2, "wavelet_approx_a3": mean("close_adj", 8)}
     return [first, {"wavelet_energy_ratio": per(F.col("wavelet_detail_d1") ** 2, F.col("wavelet_detail_d2") ** 2)}]
 
 
 def intraday() -> Levels:
+    p = prices()
+    o, c, v, span, upper, lower = p.o, p.c, p.v, p.span, p.upper, p.lower
     return [{"shadow_asymmetry_ratio": (upper - lower) / span, "buying_tail_power": lower / span * v, "selling_tail_power": upper / span * v, "body_efficiency_ratio": F.abs(c - o) / span}]
 
 
 def flow_divergence() -> Levels:
+    p = prices()
+    c, v, r0, clv = p.c, p.v, p.r0, p.clv
     first = {"_cv": clv * v, "_sv": F.signum(r0) * v, "_rv": r0 * v}
     second = {
         "cmf_20": total("_cv", 20) / (total("volume", 20) + EPS),
@@ -134,12 +166,16 @@ def flow_divergence() -> Levels:
 
 
 def directional() -> Levels:
+    p = prices()
+    o, c, v, span, upper, lower, clv = p.o, p.c, p.v, p.span, p.upper, p.lower, p.clv
     first = {"net_pressure_ratio": clv, "net_pressure_volume": clv * F.log(v + 1), "wick_absorption_direction": (lower - upper) / span, "_body": (c - o) / span}
     second = {"net_pressure_vol_roll": mean("net_pressure_volume", 14), "wick_absorption_thrust": F.col("wick_absorption_direction") * v / (mean("volume", 14) + EPS), "body_direction_momentum": mean("_body", 5)}
     return [first, second, {"body_direction_accel": delta("body_direction_momentum", 2)}]
 
 
 def signed_volatility() -> Levels:
+    p = prices()
+    o, c, r, log_range = p.o, p.c, p.r, p.log_range
     first = {"_u": F.when(r > 0, r * r).otherwise(0.0), "_d": F.when(r < 0, r * r).otherwise(0.0), "signed_expansion_thrust": F.signum(c - o) * log_range}
     u, d = mean("_u", 20), mean("_d", 20)
     return [first, {"vol_directional_bias": (u - d) / (u + d + EPS)}, {"vol_directional_accel": delta("vol_directional_bias", 3)}]
@@ -147,6 +183,8 @@ def signed_volatility() -> Levels:
 
 def liquidity() -> Levels:
     """From raw prices. The spread keeps the roles of its two range terms as the engine that it must match has them."""
+    p = prices()
+    v, r = p.v, p.r
     hi, lo, cl = F.col("high"), F.col("low"), F.col("close")
     bh, bl = lag("high"), lag("low")
     sq = lambda x: x * x
@@ -161,6 +199,7 @@ def liquidity() -> Levels:
 
 def market_context() -> Levels:
     """Empty plan where mkt_return is absent: see compute()."""
+    r0 = prices().r0
     first = {"_a": r0, "_m": zero(lag("mkt_return"))}
     a, m = F.col("_a"), F.col("_m")
     full = lambda agg, n: F.when(F.count("*").over(frame(n)) == n, agg.over(frame(n)))
@@ -175,6 +214,7 @@ def market_context() -> Levels:
 
 
 def jump() -> Levels:
+    r0 = prices().r0
     first = {"_r0": r0, "_r2": r0 * r0}
     second = {"_bp": F.abs("_r0") * F.abs(lag("_r0"))}
     third = {"_rv": total("_r2", 20), "_bv": math.pi / 2 * total("_bp", 20)}
@@ -192,6 +232,7 @@ def pattern(x: str) -> Column:
 
 
 def complexity(n: int = 20) -> Levels:
+    r0 = prices().r0
     windows = n - 2
     shares = [F.count_if(F.col("_pat") == k).over(frame(windows)) / windows for k in range(6)]
     entropy = reduce(lambda s, p: s - F.when(p > 0, p * F.log2(p + EPS)).otherwise(0.0), shares, F.lit(0.0)) / math.log2(6)
@@ -221,15 +262,20 @@ def order_book() -> Levels:
 
 
 def toxicity(quotes: bool = False) -> Levels:
+    p = prices()
+    v, clv = p.v, p.clv
     first = {"flow_imbalance_proxy": F.col("bid_size") - F.col("ask_size") if quotes else clv * v}
     return [first, {"_abs": F.abs("flow_imbalance_proxy"), "flow_imbalance_zscore": z("flow_imbalance_proxy", 20)}, {"flow_vpin_10": total("_abs", 10) / (total("volume", 10) + EPS)}]
 
 
 def nonlinear() -> Levels:
+    p = prices()
+    v, r0, log_range = p.v, p.r0, p.log_range
     return [{"nonlin_ret_squared_signed": r0 * r0 * F.signum(r0), "nonlin_ret_cubed": r0 * r0 * r0, "nonlin_range_x_ret": log_range * r0, "nonlin_ret_x_volshock": r0 * v / (mean("volume", 20, 1) + EPS)}]
 
 
 def regime() -> Levels:
+    r0 = prices().r0
     first = {"_r0": r0}
     second = {"_vol": std("_r0", 20)}
     median = F.when(F.count("_vol").over(frame(60, 1)) == 60, F.percentile("_vol", F.lit(0.5)).over(frame(60, 1)))
@@ -239,6 +285,7 @@ def regime() -> Levels:
 
 def efficiency() -> Levels:
     """Hurst proxy, entropy of a histogram of ten bins over the frame's range, Kaufman's ratio."""
+    r0 = prices().r0
     first = {"_r0": r0, "_move": F.abs(delta("close_adj"))}
     values = F.collect_list("_r0").over(frame(20))
     low, high = F.array_min(values), F.array_max(values)
@@ -254,6 +301,7 @@ def efficiency() -> Levels:
 
 
 def stress() -> Levels:
+    r0 = prices().r0
     grown = F.product(1 + F.col("_r0")).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
     first = {"_r0": r0, "_pos": F.greatest(r0, F.lit(0.0)), "_neg": F.least(r0, F.lit(0.0))}
     second = {"_s": grown, "asym_ratio_20": std("_pos", 20) / (std("_neg", 20) + EPS)}
@@ -262,10 +310,13 @@ def stress() -> Levels:
 
 
 def vol_term() -> Levels:
+    r0 = prices().r0
     return [{"_r0": r0}, {"vts_5_20": std("_r0", 5) / (std("_r0", 20) + EPS)}, {"vol_accel": delta("vts_5_20")}]
 
 
 def vwap() -> Levels:
+    p = prices()
+    h, l, c, v = p.h, p.l, p.c, p.v  # noqa: E741
     first = {"_tpv": (h + l + c) / 3 * v}
     price = total("_tpv", 20) / (total("volume", 20) + EPS)
     return [first, {"vwap_distance_20": (c - price) / (price + EPS)}]
@@ -310,6 +361,7 @@ def route(df: DataFrame, shift: bool = True) -> tuple[DataFrame, list[str]]:
 
 def regime_rank(df: DataFrame, high: float = 0.70) -> DataFrame:
     """regime_vol_rank_60 and regime_is_high_vol."""
+    r0 = prices().r0
     rank = F.coalesce((F.col("regime_vol_rank_60") >= high).cast("double"), F.lit(0.0))
     return staged(df, {"_r0": r0}, {"_vol": std("_r0", 20)}, {"regime_vol_rank_60": pct_rank("_vol", 60)}, {"regime_is_high_vol": rank}).drop("_r0", "_vol")
 

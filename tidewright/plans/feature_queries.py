@@ -198,7 +198,7 @@ def regime_vol_rank(spark, sf_dir):
            {"vp": "sqrt(power(ln(h / l), 2) / (4 * ln(2))) + 0.001", "k": f"2 + {CLV}"}).strip())
 def lag_transform(spark, sf_dir):
     """Columns held away from zero, whose momentum would be noise over a tiny base."""
-    df = adjusted_orders(spark, sf_dir).withColumns({"vp": F.sqrt(f.log_range * f.log_range / (4 * math.log(2))) + 0.001, "clv": 2 + f.clv})
+    df = adjusted_orders(spark, sf_dir).withColumns({"vp": F.sqrt(f.prices().log_range ** 2 / (4 * math.log(2))) + 0.001, "clv": 2 + f.prices().clv})
     return f.lagged(df, {"vp": 1, "clv": 5})
 
 
