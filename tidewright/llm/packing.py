@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import os
+import re
 import zlib
 from typing import Iterator
 
@@ -13,7 +15,8 @@ from pyspark.sql import DataFrame
 
 WINDOW = 2048
 END = 1
-TOKENIZER = "byte_bpe_50k.json"
+#: The tokenizer whose ids these are, and its vocabulary in the form that encodes fastest.
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Pieces of text of which a task keeps the ids.
 CACHE = 400_000
 
@@ -30,35 +33,47 @@ def load_tokenizer(name: str = TOKENIZER):
     return found
 
 
+class _Known(dict):
+    """Ids of pieces by piece, encoded when first asked for."""
+
+    def __init__(self, name: str) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        path = name if os.path.isabs(name) else public_tokenizers.path(name)
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = np.array(self.encoding.encode_ordinary(piece), "<u4").tobytes()
+        return found
+
+
+#: White space next to a space.
+_JOINED = re.compile(r"\s | \s")
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes: those of TOKENIZER, from the same vocabulary's ranks.
 
     The tokenizer never joins what stands before a single space with what follows, unless white space lies next to it; so
-    texts are cut there, and each distinct piece (a space and a word) is encoded once a task. Other texts go in whole.
+    texts are cut there, and each distinct piece (a space and a word) is encoded once a task. Elsewhere texts stay whole.
     """
 
-    def __init__(self, name: str = TOKENIZER) -> None:
-        self.tokenizer = load_tokenizer(name)
-        self.known: dict[str, bytes] = {}
+    def __init__(self, name: str = RANKS) -> None:
+        self.known = _Known(name)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self._cut(x) for x in texts]
-        known = self.known
-        new = list({p for x in pieces for p in x if p not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({p for x in pieces for p in x})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, x)) for x in pieces]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        return [b"".join(map(self.known.__getitem__, self._cut(x))) for x in texts]
 
     @staticmethod
     def _cut(text: str) -> list[str]:
         first, *rest = text.split(" ")
-        pieces = [first, *(" " + x for x in rest)]
-        if "" in rest or first == "" and rest or any(c.isspace() for x in rest for c in (x[:1], x[-1:])) or first[-1:].isspace():
+        pieces = [first, *[" " + x for x in rest]]
+        if _JOINED.search(text):
             return Encoder._mend(pieces)
         return pieces if first else pieces[1:]
 
@@ -148,7 +163,7 @@ def pack(sizes: Iterator[tuple[object, int]], capacity: int = WINDOW) -> Iterato
         yield window
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = RANKS, capacity: int = WINDOW) -> DataFrame:
     """SCHEMA: the pieces of all documents in sequences of at most `capacity` tokens.
 
     A document's ids are those of its text (null: empty) and END, so even an empty one has a piece. Each task packs the
