@@ -214,13 +214,20 @@ def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
     """All pairs that can be linked within each bucket of members(key, node, component, sig, n, own), but for those of one
     component.
 
-    A bucket's rows are dealt into blocks of about BLOCK, and every two blocks meet in one task that compares counts and
-    signatures and returns the near pairs only: neither a bucket's rows nor its pairs are gathered. Of the buckets that a
-    pair shares only that of _first_place() returns it.
+    Members of a bucket's largest component need no comparison among themselves: only the others, the strays, meet all. Both
+    are dealt into blocks of about BLOCK, and every block of strays meets every block in one task that compares counts and
+    signatures and returns the near pairs only: neither a bucket's rows nor its pairs are gathered. A bucket of one block
+    stays whole. Of the buckets that a pair shares only that of _first_place() returns it.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("rows"))
-    dealt = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    sizes = sizes.groupBy("key").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("large"))
+    whole = F.col("rows") <= BLOCK
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    dealt = members.join(sizes, "key").withColumn("stray", whole | (F.col("component") != F.col("large.component")))
+    dealt = dealt.withColumn("strays", F.when(whole, 1).otherwise(blocks(F.col("rows") - F.col("large.rows")))).withColumn("others", F.when(whole, 0).otherwise(blocks(F.col("large.rows"))))
+    turn = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("stray"), turn(F.col("strays"))).otherwise(F.col("strays") + turn(F.greatest("others", F.lit(1)))))
+    other = F.sequence(F.lit(0), F.col("strays") + F.when(F.col("stray"), F.col("others")).otherwise(0) - 1)
     meets = dealt.withColumn("with", F.explode(other)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "place", "node", "component", "sig", "n", "own")
 
     def near(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -255,8 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shingles that no other of them has are counted: these bound what a node can share, and a node with too many is linked
     with none. 4. In each bucket the node with the smallest such share, which in a group of copies is the nearest to what
     they were copied from, is compared with the others; pairs are confirmed on full sets and joined to components. 5. Where
-    nodes of one bucket still lie in different components, all their pairs are compared too, in blocks, and those that
-    signatures and counts allow are confirmed. So no link within the distance is lost, and a large group of copies costs
+    nodes of one bucket still lie in different components, those outside its largest are compared with all others too, in
+    blocks, and the pairs that signatures and counts allow are confirmed. So no link within the distance is lost, and a large group of copies costs
     about one comparison a member and bucket.
 
     Empty and null texts: no shingles, linked with nothing. A null doc_id is its own component (null). Rows repeated under
