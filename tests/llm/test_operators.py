@@ -77,7 +77,9 @@ def brute_components(docs, percent=85):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 8])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(5)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
     docs = []

@@ -161,11 +161,15 @@ def _confirmed(percent: int):
     return confirmed
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures lie within DISTANCE and whose full sets are similar enough."""
+def _near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures lie within DISTANCE."""
     sig = nodes.select("node", "sig")
     both = pairs.join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b").join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
-    near = cut(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long"))
+    return cut(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long"))
+
+
+def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     full = near.join(sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a")
     return cut(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct())
 
@@ -289,13 +293,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     most = F.least(F.col("n") - F.col("own"), F.col("c.n") - F.col("c.own"))
     star = star.where(100 * most >= percent * (F.col("n") + F.col("c.n") - most)).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
     star = written(star.distinct())
-    links = _links(star, nodes, sets, percent)
+    links = _links(_near_pairs(star, nodes), sets, percent)
     first = written(components(links))
     grouped = placed.select("key", "place", "node").join(first, "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = grouped.join(open_keys, "key").join(able, "node")
     more = _bucket_pairs(rest, percent).join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(_links(cut(more), nodes, sets, percent))
+    links = links.unionByName(_links(cut(more), sets, percent))
     final = components(links)
     owner = nodes.join(final, "node", "left").select("set1", "set2", "n_shingles", F.coalesce("component", "node").alias("component"))
     out = profile.join(owner, ["set1", "set2", "n_shingles"], "left")
