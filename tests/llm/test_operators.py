@@ -271,3 +271,17 @@ def test_bits_are_chances():
     tables = context_mixing.Tables.counted(tokens)
     got = context_mixing.token_scores(tokens, tables, context_mixing.learned(tokens, tables))
     assert (got < 0).all() and (10**got).sum() <= 1
+
+
+def test_words_before_foretell_seen_tokens():
+    """One token, seen as often in either place, scores by the words before it; and texts' chances are those of a code."""
+    pairs = [b"red", b"apple", b"blue", b"stone"]
+    texts = [context_mixing.coded_text([*pairs[k : k + 2], context_mixing.END]) for k in (0, 2)] * 200
+    tables = context_mixing.Tables.counted(texts)
+    mixer = context_mixing.learned(texts, tables)
+    usual, crossed = context_mixing.token_scores([texts[0], b"red stone \n"], tables, mixer)
+    assert usual > crossed + 1
+    for left, right in ((b"a b", b"b a"), (b"a\xc3\xa4", b"")):  # contexts don't reach into another text of the block
+        ends = [context_mixing.coded_text([*x.split(), context_mixing.END]) for x in (left, right, left)]
+        alone = [context_mixing.token_scores([x], tables, mixer)[0] for x in ends]
+        assert np.allclose(context_mixing.token_scores(ends, tables, mixer), alone)

@@ -1,9 +1,10 @@
-"""LM scoring by logistic context mixing: bits of tokens predicted from several hashed contexts, mixed with gated weights."""
+"""LM scoring by logistic context mixing: every bit of every text predicted from hashed contexts that reach over the words before, mixed with gated weights."""
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from typing import Iterator
 
 import numpy as np
@@ -15,20 +16,24 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import cut, written
 from tidewright.llm.quality_classifier import held_out
 
-#: Contexts: so many bytes before the bit's byte, and -1 for all bytes of the token before it.
-CONTEXTS = (1, 2, 3, -1)
+#: Contexts of a byte: the token so far (whose counts are the token's frequency), with the word before, with the two words
+#: before; the last three and the last five bytes, whatever tokens they lie in.
+CONTEXTS = 5
+PREFIX, PAIR, TRIPLE = 0, 1, 2
 #: Slots of a context's table, as a power of two.
-SLOT_BITS = 20
-#: Sets of mixing weights: by how often the whole-token context and the context of two bytes were seen.
-GATES = (8, 4)
+SLOT_BITS = 21
+#: Sets of mixing weights: by how often the contexts of two words, one word and the token so far were seen.
+GATES = (3, 4, 4)
 #: Steps of the final adaptive map, for each set of weights.
 STEPS = 33
-RATE = 0.02
-#: Bytes of a token that share one run of contexts; a longer token is coded in such segments.
-SEGMENT = 64
-#: Distinct tokens of a training task, and of one numpy block.
-TASK_TOKENS, BLOCK = 400_000, 16_384
-#: Tokens whose scores every task has at hand; the others are joined.
+RATE = 0.05
+#: Rows of one step of learning.
+STEP_ROWS = 4096
+#: Bytes of a numpy block, and of a piece of a very long text, in which contexts begin anew.
+BLOCK, PIECE = 1 << 16, 1 << 20
+#: Partitions of texts that one counting or learning task takes, so that few tables are shuffled.
+TASK_PARTS = 8
+#: Tokens whose counts every task has at hand; the others are joined.
 FREQUENT = 300_000
 #: Distinct tokens that a counting task holds before it hands them on.
 HELD = 600_000
@@ -38,127 +43,198 @@ END = b"\n"
 #: Follows each word when its bits are predicted.
 STOP = 0x20
 
-#: Letters by which a document's class is told, and marks of unusual writing.
-LETTERS = ["äöüß", "éèêçàù", "ñóíáú¿"]
-MARKS = b"#*$%&|!<>"
-#: Classes of documents: (no letters of a group, or which) x (usual writing, marked).
-CLASSES = 2 * (len(LETTERS) + 1)
-#: Pseudo-counts of a class, given a token.
-PRIOR = 0.5
-
-_ASCII = bytes(range(128))
 _LOG10_2 = math.log10(2)
+_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * _ODD
     return x ^ (x >> np.uint64(29))
 
 
-def class_of(raw: bytes) -> int:
-    """A document's class: the group of LETTERS that it has most of, if any makes up 0.2 % of it, and whether 2 % are marks."""
-    text = raw.translate(None, _ASCII).decode(errors="replace").lower()
-    counts = [sum(map(text.count, letters)) for letters in LETTERS]
-    best = max(range(len(LETTERS)), key=counts.__getitem__)
-    group = best + 1 if 500 * counts[best] > len(raw) else 0
-    return 2 * group + (50 * (len(raw) - len(raw.translate(None, MARKS))) > len(raw))
+def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A fixed binary code of bytes, shorter for bytes that texts have more of: where each byte's path begins, its length,
+    and all paths' nodes (hashed) and bits one after another. Any byte has a path, so texts' bits are those of a code."""
+    usual = b" etaoinsrhldcumfpgwybvk.,xjqz0123456789\n-'\"():;/"
+    weight = [1e-4] * 256
+    for b in range(0x80, 0xC6):
+        weight[b] = 1e-3
+    for i, b in enumerate(usual):
+        weight[b] = 1 / (i + 2)
+    heap = [(w, i, i) for i, w in enumerate(weight)]
+    heapq.heapify(heap)
+    node, paths = 256, [[] for _ in range(256)]
+    below = {i: [i] for i in range(256)}
+    while len(heap) > 1:
+        (wa, _, a), (wb, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        for bit, side in ((0, a), (1, b)):
+            for leaf in below[side]:
+                paths[leaf].append((node, bit))
+        below[node] = below.pop(a) + below.pop(b)
+        heapq.heappush(heap, (wa + wb, node, node))
+        node += 1
+    sizes = np.array([len(x) for x in paths])
+    flat = [x for path in paths for x in reversed(path)]
+    nodes = (_mix(np.array([n for n, _ in flat], np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32)
+    return np.cumsum(sizes) - sizes, sizes, nodes, np.array([b for _, b in flat], np.uint8)
+
+
+_BEGIN, _SIZE, _NODE, _BIT = _code()
+_BYTE = _mix(_mix(np.arange(1, 257, dtype=np.uint64) * _STEP))
+
+
+def contexts(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes (CONTEXTS, bytes) of what stands before each byte in its own stream; streams begin at `start`."""
+    n = len(raw)
+    begin = np.zeros(n, bool)
+    begin[1:] = raw[:-1] == STOP
+    begin[start] = True
+    word = np.cumsum(begin) - 1
+    at = np.flatnonzero(begin)
+    powers = lambda x: np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)]).cumprod(dtype=np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * powers(_ODD), dtype=np.uint64)])
+    inverse = powers(_INVERSE)[at]
+    prefix = (sums[:-1] - sums[at][word]) * inverse[word]
+    whole = _mix((sums[np.append(at[1:], n)] - sums[at]) * inverse + np.uint64(1))
+    first = word[start]
+    one, two = np.zeros_like(whole), np.zeros_like(whole)
+    one[1:], two[2:] = whole[:-1], whole[:-2]
+    one[first] = two[first] = 0
+    second = first + 1
+    two[second[second < len(whole)]] = 0
+    both = _mix(one * _STEP + two)
+    last = np.zeros(n, np.uint64)
+    out = np.empty((CONTEXTS, n), np.uint32)
+
+    def put(c: int, h: np.ndarray) -> None:
+        out[c] = _mix(h * _STEP + np.uint64(c + 1)) >> np.uint64(32)
+
+    for k in range(1, 6):
+        back = np.zeros(n, np.uint64)
+        back[k:] = raw[: n - k] + np.uint64(1) if n > k else 0
+        for j in range(k):
+            early = start + j
+            back[early[early < n]] = 0
+        last |= back << np.uint64(9 * (k - 1))
+        if k in (3, 5):
+            put(3 if k == 3 else 4, last)
+    put(PREFIX, prefix)
+    put(PAIR, prefix * _ODD + one[word])
+    put(TRIPLE, prefix * _ODD + both[word] + np.uint64(7))
+    return out
 
 
 class Walk:
-    """The trie of bits of a block of distinct tokens.
+    """The bits of a block of streams: for each its slots (CONTEXTS, rows), its value, and the stream that it is of."""
 
-    Sorted tokens that share their first bits stand together, and all contexts lie within the token; so what is predicted
-    at a node of the trie holds for all tokens below it and is computed once. Iterating gives for each depth: the active
-    rows, where among them each node starts, the nodes' slots (contexts, nodes) and the rows' bits.
-    """
+    def __init__(self, streams: list[bytes]) -> None:
+        pieces = [(i, s[at : at + PIECE]) for i, s in enumerate(streams) for at in range(0, len(s), PIECE)]
+        raw = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
+        long = np.array([len(p) for _, p in pieces], np.int64)
+        hashes = contexts(raw, np.cumsum(long) - long)
+        sizes = _SIZE[raw]
+        ends = np.cumsum(sizes)
+        of = np.repeat(np.arange(len(raw)), sizes)
+        path = np.arange(ends[-1]) + (_BEGIN[raw] - ends + sizes)[of]
+        node = _NODE[path]
+        self.bits = _BIT[path]
+        self.slots = np.empty((CONTEXTS, len(of)), np.int32)
+        for c in range(CONTEXTS):
+            self.slots[c] = (hashes[c][of] ^ node) >> np.uint32(32 - SLOT_BITS)
+        # a stream's rows stand together
+        rows = np.add.reduceat(sizes, np.cumsum(long) - long)
+        self.rows = np.bincount([i for i, _ in pieces], rows, len(streams)).astype(np.int64)
+
+
+def stream(token_or_text: bytes) -> bytes:
+    """What is coded: a text's words, each with STOP, and END; a lone word with STOP."""
+    return token_or_text if token_or_text.endswith(END) else token_or_text + bytes([STOP])
+
+
+def blocks(texts: list[bytes], most: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
+    """Streams of texts in runs of about `most` bytes, with the place of each run's first."""
+    first, run, size = 0, [], 0
+    for i, t in enumerate(texts):
+        s = stream(t)
+        if run and size + len(s) > most:
+            yield first, run
+            first, run, size = i, [], 0
+        run.append(s)
+        size += len(s)
+    if run:
+        yield first, run
+
+
+#: A count as a byte: exact below 128, then in eighths of a doubling.
+_COUNT = np.where(np.arange(256) < 128, np.arange(256), 128 * 2.0 ** ((np.arange(256) - 128) / 8))
 
-    def __init__(self, tokens: list[bytes]) -> None:
-        parts, owner = [], []
-        for i, t in enumerate(tokens):
-            t = t if t == END else t + bytes([STOP])
-            for at in range(0, len(t), SEGMENT):
-                parts.append(t[at : at + SEGMENT])
-                owner.append(i)
-        order = sorted(range(len(parts)), key=parts.__getitem__)
-        self.owner = np.array(owner, np.int64)[order]
-        parts = [parts[i] for i in order]
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        width = int(self.sizes.max(initial=1))
-        self.raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(len(parts), width)
-        # bits that a row shares with the one before; rows alike to their end share all
-        differ = self.raw[1:] != self.raw[:-1]
-        first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-        at = np.minimum(first, width - 1)
-        rows = np.arange(len(first))
-        other = self.raw[1:][rows, at] ^ self.raw[:-1][rows, at]
-        top = 7 - np.floor(np.log2(np.maximum(other, 1))).astype(np.int64)
-        self.shared = np.concatenate([[-1], np.where(other > 0, 8 * first + top, 8 * width)]) if len(parts) else np.zeros(0, np.int64)
-
-    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        raw, n = self.raw, len(self.raw)
-        whole = np.zeros(n, np.uint64)
-        live = np.arange(n)
-        for place in range(raw.shape[1]):
-            live = live[self.sizes[live] > place]
-            shared = self.shared[live]
-            byte = raw[live, place]
-            for b in range(8):
-                start = np.flatnonzero((shared < 8 * place + b) | (np.arange(len(live)) == 0))
-                at = live[start]
-                hashes = []
-                for c, order in enumerate(CONTEXTS):
-                    if order < 0:
-                        h = whole[at]
-                    else:
-                        h = np.zeros(len(at), np.uint64)
-                        for k in range(1, min(order, place) + 1):
-                            h = (h << np.uint64(9)) ^ (h >> np.uint64(41)) ^ (raw[at, place - k].astype(np.uint64) + np.uint64(1))
-                    hashes.append(_mix(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(c + 1)))
-                node = (np.uint64(1) << np.uint64(b)) + (raw[at, place].astype(np.uint64) >> np.uint64(8 - b))
-                slots = (_mix(np.array(hashes) + node * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-                yield live, start, slots, (byte >> (7 - b)) & 1
-            whole[live] = _mix(whole[live] * np.uint64(0x9E3779B97F4A7C15) + byte.astype(np.uint64) + np.uint64(1))
+
+def _coded(n: np.ndarray) -> np.ndarray:
+    big = 128 + np.rint(8 * np.log2(np.maximum(n, 128) / 128))
+    return np.where(n < 128, n, np.minimum(big, 255)).astype(np.uint8)
+
+
+def _lookup() -> tuple[np.ndarray, np.ndarray]:
+    """By 65,536 * left out (0: nothing, 1: a zero, 2: a one) + a slot's code: log odds of a one; log2 of the times seen."""
+    zeros, ones = np.repeat(_COUNT, 256), np.tile(_COUNT, 256)
+    odds, level = [], []
+    for lose in ((0, 0), (1, 0), (0, 1)):
+        n0, n1 = np.maximum(zeros - lose[0], 0), np.maximum(ones - lose[1], 0)
+        odds.append(np.clip(np.log((n1 + 0.05) / (n0 + 0.05)), -12, 12))
+        level.append(np.log2(n0 + n1 + 1))
+    return np.concatenate(odds).astype(np.float32), np.concatenate(level).astype(np.uint8)
+
+
+_ODDS, _LEVEL = _lookup()
 
 
 class Tables:
-    """Counts of zeros and ones by context and slot, over distinct tokens."""
+    """Counts of zeros and ones by context and slot, over all bits of all texts: both as a byte in one code a slot."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
+
+    @staticmethod
+    def counts(texts: Iterator[list[bytes]]) -> np.ndarray:
+        """Counts (CONTEXTS, slots, 2) of lists of texts."""
+        out = np.zeros((CONTEXTS, 2 << SLOT_BITS), np.uint32)
+        for some in texts:
+            for _, run in blocks(some):
+                walk = Walk(run)
+                for c in range(CONTEXTS):
+                    np.add.at(out[c], walk.slots[c] * 2 + walk.bits, np.uint32(1))
+        return out.reshape(CONTEXTS, -1, 2)
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray) -> None:
-        self.zeros, self.ones = zeros, ones
+    @staticmethod
+    def of(counts: np.ndarray) -> np.ndarray:
+        """Codes of counts (..., 2)."""
+        both = _coded(counts)
+        return both[..., 0].astype(np.uint16) << 8 | both[..., 1]
 
     @staticmethod
-    def counted(tokens: list[bytes]) -> Tables:
-        out = np.zeros((2, len(CONTEXTS), 1 << SLOT_BITS), np.float32)
-        for lo in range(0, len(tokens), BLOCK):
-            for live, start, slots, bits in Walk(tokens[lo : lo + BLOCK]):
-                ones = np.add.reduceat(bits, start, dtype=np.float32)
-                every = np.diff(np.append(start, len(live))).astype(np.float32)
-                for c in range(len(CONTEXTS)):
-                    np.add.at(out[1, c], slots[c], ones)
-                    np.add.at(out[0, c], slots[c], every - ones)
-        return Tables(out[0], out[1])
-
-    def inputs(self, slots: np.ndarray, ones: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of a one from each context (contexts + 1, rows), the last a constant, and the gate of each row. ones: the
-        rows' own bits, which are then left out of the counts, as in training."""
-        n = slots.shape[1]
-        x = np.empty((len(CONTEXTS) + 1, n), np.float32)
+    def counted(texts: list[bytes]) -> Tables:
+        return Tables(Tables.of(Tables.counts(iter([texts]))))
+
+    def inputs(self, slots: np.ndarray, left_out: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of a one from each context (contexts + 1, rows), the last a constant, and the gate of each row. left_out:
+        what is taken from the counts, as in _lookup(): in training texts a row's own bit."""
+        x = np.empty((CONTEXTS + 1, slots.shape[1]), np.float32)
         x[-1] = 0.3
-        seen = {}
-        for c, order in enumerate(CONTEXTS):
-            n0, n1 = self.zeros[c][slots[c]], self.ones[c][slots[c]]
-            if ones is not None:
-                n1 = np.maximum(n1 - ones, 0)
-                n0 = np.maximum(n0 - (1 - ones), 0)
-            x[c] = np.log((n1 + 0.05) / (n0 + 0.05))
-            seen[order] = n0 + n1
-        np.clip(x, -12, 12, out=x)
-        steps = lambda v, scale, most: np.minimum((np.log2(v + 1) / scale).astype(np.int64), most - 1)
-        return x, steps(seen[-1], 1, GATES[0]) * GATES[1] + steps(seen[2], 4, GATES[1])
+        seen = []
+        for c in range(CONTEXTS):
+            at = self.codes[c][slots[c]] + left_out
+            x[c] = _ODDS[at]
+            if c in (PREFIX, PAIR, TRIPLE):
+                seen.append(_LEVEL[at])
+        prefix, pair, triple = seen
+        gate = np.minimum(triple, GATES[0] - 1).astype(np.int64)
+        gate = gate * GATES[1] + np.minimum(pair, GATES[1] - 1)
+        return x, gate * GATES[2] + np.minimum(prefix >> 2, GATES[2] - 1)
 
 
 def _start_weights() -> np.ndarray:
-    w = np.full((GATES[0] * GATES[1], len(CONTEXTS) + 1), 1 / len(CONTEXTS), np.float32)
+    w = np.full((math.prod(GATES), CONTEXTS + 1), 1 / 3, np.float32)
     w[:, -1] = 0
     return w
 
@@ -175,59 +251,71 @@ class Mixer:
         self.weights = _start_weights() if weights is None else weights
         self.hits = np.zeros((2, len(self.weights), STEPS)) if hits is None else hits
         self.map = (self.hits[1] + 50 * _squash(np.linspace(-12, 12, STEPS))) / (self.hits[0] + self.hits[1] + 50)
+        self.map = self.map.astype(np.float32)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("cr,rc->r", x, self.weights[gate]), -12, 12)
+        z = x[0] * self.weights[:, 0][gate]
+        for c in range(1, len(x)):
+            z += x[c] * self.weights[:, c][gate]
+        return np.clip(z, -12, 12, out=z)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: int, weight: np.ndarray) -> None:
-        """One online step over rows with the same bit: each gate's weights follow its rows' mean gradient; the map counts."""
+    def learn(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> None:
+        """One online step: each gate's weights follow its rows' mean gradient; the map counts."""
         z = self.mixed(x, gate)
         sets = len(self.weights)
-        error = (bit - _squash(z)) * weight
-        mass = np.bincount(gate, weight, sets)
+        error = bits - _squash(z)
+        mass = np.bincount(gate, minlength=sets)
         step = np.stack([np.bincount(gate, error * row, sets) for row in x], axis=1)
         self.weights += (RATE * step / (mass[:, None] + 30)).astype(np.float32)
-        at = np.rint((z + 12) / 24 * (STEPS - 1)).astype(np.int64) + gate * STEPS
-        self.hits[bit] += np.bincount(at, weight, sets * STEPS).reshape(sets, STEPS)
+        at = np.rint((z + 12) / 24 * (STEPS - 1)).astype(np.int64) + gate * STEPS + bits.astype(np.int64) * sets * STEPS
+        self.hits += np.bincount(at, minlength=2 * sets * STEPS).reshape(self.hits.shape)
 
     def chance(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """p(one): the mean of the mixed chance and the map's."""
         z = self.mixed(x, gate)
-        at = (z + 12) / 24 * (STEPS - 1)
+        at = (z + 12) * np.float32((STEPS - 1) / 24)
         low = np.minimum(at.astype(np.int64), STEPS - 2)
-        part = at - low
-        fixed = self.map[gate, low] * (1 - part) + self.map[gate, low + 1] * part
+        part = at - low.astype(np.float32)
+        low += gate * STEPS
+        flat = self.map.ravel()
+        fixed = flat[low] * (1 - part) + flat[low + 1] * part
         return np.clip((_squash(z) + fixed) / 2, 1e-6, 1 - 1e-6)
 
 
-def learned(tokens: list[bytes], tables: Tables) -> Mixer:
-    """A mixer that passes once over distinct tokens, each left out of the counts when its bits are predicted."""
+def _own(bits: np.ndarray) -> np.ndarray:
+    return (bits.astype(np.int32) + 1) << 16
+
+
+def learn_from(texts: list[bytes], tables: Tables, mixer: Mixer) -> int:
+    """The mixer passes over all bits of training texts, each left out of the counts when it is predicted; the bytes."""
+    size = 0
+    for _, run in blocks(texts):
+        walk = Walk(run)
+        size += sum(map(len, run))
+        x, gate = tables.inputs(walk.slots, _own(walk.bits))
+        for lo in range(0, len(gate), STEP_ROWS):
+            part = slice(lo, lo + STEP_ROWS)
+            mixer.learn(x[:, part], gate[part], walk.bits[part])
+    return size
+
+
+def learned(texts: list[bytes], tables: Tables) -> Mixer:
     mixer = Mixer()
-    for lo in range(0, len(tokens), BLOCK):
-        for live, start, slots, bits in Walk(tokens[lo : lo + BLOCK]):
-            ones = np.add.reduceat(bits, start, dtype=np.float32)
-            zeros = np.diff(np.append(start, len(live))).astype(np.float32) - ones
-            for bit, n in ((0, zeros), (1, ones)):
-                some = np.flatnonzero(n)
-                if len(some):
-                    x, gate = tables.inputs(slots[:, some], np.full(len(some), bit, np.float32))
-                    mixer.learn(x, gate, bit, n[some])
+    learn_from(texts, tables, mixer)
     return mixer
 
 
-def token_scores(tokens: list[bytes], tables: Tables, mixer: Mixer) -> np.ndarray:
-    """log10 probability of each distinct token's bits."""
-    out = np.zeros(len(tokens))
-    for lo in range(0, len(tokens), BLOCK):
-        walk = Walk(tokens[lo : lo + BLOCK])
-        rows = np.zeros(len(walk.raw))
-        for live, start, slots, bits in walk:
-            p = mixer.chance(*tables.inputs(slots))
-            logs = np.log10(np.stack([1 - p, p]))
-            node = np.zeros(len(live), np.int64)
-            node[start[1:]] = 1
-            rows[live] += logs[bits, np.cumsum(node)]
-        out[lo : lo + BLOCK] = np.bincount(walk.owner, rows, len(tokens[lo : lo + BLOCK]))
+def token_scores(texts: list[bytes], tables: Tables, mixer: Mixer, training: list[bool] | None = None) -> np.ndarray:
+    """log10 probability of each text's (or lone token's) bits. Of texts marked as training each bit is left out of the counts."""
+    out = np.zeros(len(texts))
+    for first, run in blocks(texts):
+        walk = Walk(run)
+        left_out = np.int32(0)
+        if training is not None:
+            left_out = _own(walk.bits) * np.repeat(np.array(training[first : first + len(run)], np.int32), walk.rows)
+        p = mixer.chance(*tables.inputs(walk.slots, left_out))
+        logs = np.log10(np.where(walk.bits == 1, p, 1 - p))
+        out[first : first + len(run)] = np.add.reduceat(logs, np.cumsum(walk.rows) - walk.rows, dtype=np.float64)
     return out
 
 
@@ -236,31 +324,34 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def coded_text(tokens: list[bytes]) -> bytes:
+    """A text's tokens as the stream that is scored."""
+    return b" ".join(tokens)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """token, class, count in training texts, in parts of at most about HELD distinct tokens. A token that only held-out
-    texts have comes with count 0."""
+    """token, count in training texts, in parts of at most about HELD distinct tokens. A token that only held-out texts have
+    comes with count 0."""
 
-    def part(train: dict[int, Counter], other: set) -> Iterator[pa.RecordBatch]:
-        other.difference_update(*train.values())
-        for k, counts in [*train.items(), (0, dict.fromkeys(other, 0))]:
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array([k] * len(counts), pa.int32()), pa.array(counts.values(), pa.int64())], names=["token", "class", "n"])
+    def part(train: Counter, other: set) -> Iterator[pa.RecordBatch]:
+        other.difference_update(train)
+        for counts in (train, dict.fromkeys(other, 0)):
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["token", "n"])
 
-    train, other = defaultdict(Counter), set()
+    train, other = Counter(), set()
     for batch in batches:
         for text, held in zip(batch["text"].to_pylist(), batch["held_out"].to_pylist()):
-            tokens = tokens_of(text)
-            if held:
-                other.update(tokens)
-            else:
-                train[class_of((text or "").encode())].update(tokens)
-            if len(other) + sum(map(len, train.values())) > HELD:
+            (other if held else train).update(tokens_of(text))
+            if len(other) + len(train) > HELD:
                 yield from part(train, other)
-                train, other = defaultdict(Counter), set()
+                train, other = Counter(), set()
     yield from part(train, other)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> list[bytes]:
-    return [t for batch in batches for t in batch["token"].to_pylist()]
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    for batch in batches:
+        for lo in range(0, len(batch), 500):
+            yield [coded_text(tokens_of(t)) for t in batch.slice(lo, 500)["text"].to_pylist()]
 
 
 #: Slots of one row of a table on its way to the driver.
@@ -268,50 +359,45 @@ PART = 1 << 15
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts, by parts of tables."""
-    tokens = _tokens(batches)
-    if tokens:
-        found = Tables.counted(tokens)
-        both = np.stack([found.zeros, found.ones]).reshape(-1, PART)
-        for i, x in enumerate(both):
+    """A task's counts, by parts of tables; parts without any are left out."""
+    for i, x in enumerate(Tables.counts(_texts(batches)).reshape(-1, PART, 2)):
+        if x.any():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "counts"])
 
 
 def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(PART, np.float32)
+    total = np.zeros((PART, 2), np.int64)
     for batch in batches:
         for x in batch["counts"]:
-            total += np.frombuffer(x.as_buffer(), np.float32)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+            total += np.frombuffer(x.as_buffer(), np.uint32).reshape(PART, 2)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([Tables.of(total).tobytes()], pa.binary())], names=["part", "codes"])
 
 
 def _trained(tables):
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(batches)
-        if tokens:
-            mixer = learned(tokens, tables.value)
-            yield pa.RecordBatch.from_arrays([pa.array([float(len(tokens))]), pa.array([mixer.weights.astype(np.float64).ravel().tolist()]), pa.array([mixer.hits.ravel().tolist()])], names=["mass", "weights", "hits"])
+        mixer = Mixer()
+        size = sum(learn_from(texts, tables.value, mixer) for texts in _texts(batches))
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([float(size)]), pa.array([mixer.weights.astype(np.float64).ravel().tolist()]), pa.array([mixer.hits.ravel().tolist()])], names=["mass", "weights", "hits"])
 
     return trained
 
 
-def fit(vocabulary: DataFrame, tasks: int):
-    """(tables, mixer) of vocabulary(token, n), as broadcast values of fixed size: 8 bytes a slot, and the mixer's few.
+def fit(training: DataFrame):
+    """(tables, mixer) of training(text), as broadcast values of fixed size: 2 bytes a slot, and the mixer's few.
 
-    Every distinct training token takes part. Tasks hold ranges of tokens, so that their tries share much; they count and
-    add up their tables by parts; then each passes over its tokens with all counts, and the mixers' weights are averaged
-    by the tasks' tokens, their maps added.
+    Every bit of every training text takes part. Tasks of TASK_PARTS partitions count and add up their tables by parts; then
+    each passes over its texts with all counts, and the mixers' weights are averaged by the tasks' bytes, their maps added.
     """
-    sc = vocabulary.sparkSession.sparkContext
-    known = written(vocabulary.where("n > 0").select("token").repartitionByRange(tasks, "token").sortWithinPartitions("token"))
-    known = known.repartitionByRange(tasks, "token").sortWithinPartitions("token")
-    parts = known.mapInArrow(_tables, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary")
-    both = np.zeros((2 * len(CONTEXTS) << SLOT_BITS) // PART * PART, np.float32).reshape(-1, PART)
-    for row in parts.collect():  # the tables, whose size is fixed
-        both[row["part"]] = np.frombuffer(row["counts"], np.float32)
-    both = both.reshape(2, len(CONTEXTS), -1)
-    tables = sc.broadcast(Tables(both[0], both[1]))
-    mixed = cut(known.mapInArrow(_trained(tables), "mass double, weights array<double>, hits array<double>"))  # one row a task, summed by place before the driver sees it
+    sc = training.sparkSession.sparkContext
+    parts = training.rdd.getNumPartitions()
+    texts = training.coalesce(max(1, min(parts, max(sc.defaultParallelism, -(-parts // TASK_PARTS)))))
+    sums = texts.mapInArrow(_tables, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, codes binary")
+    codes = np.zeros((CONTEXTS << SLOT_BITS) // PART * PART, np.uint16).reshape(-1, PART)
+    for row in sums.collect():  # the tables, whose size is fixed
+        codes[row["part"]] = np.frombuffer(row["codes"], np.uint16)
+    tables = sc.broadcast(Tables(codes.reshape(CONTEXTS, -1)))
+    mixed = cut(texts.mapInArrow(_trained(tables), "mass double, weights array<double>, hits array<double>"))  # one row a task, summed by place before the driver sees it
     total = mixed.agg(F.sum("mass")).first()[0]
     if not total:
         return tables, sc.broadcast(Mixer())
@@ -322,78 +408,45 @@ def fit(vocabulary: DataFrame, tasks: int):
     return tables, sc.broadcast(Mixer(weights.reshape(start.shape).astype(np.float32), hits.reshape(2, len(start), STEPS)))
 
 
-def class_gains(by_class: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """log10 of how much likelier tokens with these counts by class (rows, CLASSES) are in each class than in all texts."""
-    return np.log10((by_class + PRIOR * shares) / (by_class.sum(axis=1, keepdims=True) + PRIOR) / shares)
-
-
-def _scored(tables, mixer, shares: np.ndarray):
-    """Adds to each token the log10 probability of its bits, and its gains."""
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = token_scores(batch["token"].to_pylist(), tables.value, mixer.value)
-            by_class = batch["by_class"].flatten().to_numpy().reshape(len(batch), CLASSES)
-            gains = class_gains(by_class, shares).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch["token"], batch["n"], pa.array(bits), pa.FixedSizeListArray.from_arrays(pa.array(gains.ravel()), CLASSES).cast(pa.list_(pa.float32()))], names=["token", "n", "bits", "gains"])
-
-    return scored
-
-
-def frequent(scored: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """The tokens of scored(token, n ...) seen over some number of times, the least that leaves `most` of them at most."""
-    times = scored.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("tokens"))
+def frequent(counted: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The tokens of counted(token, n) seen over some number of times, the least that leaves `most` of them at most."""
+    times = counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("tokens"))
     over, kept = 100_000, 0
     for row in times.orderBy(F.desc("n")).collect():  # at most 100,001 rows
         if kept + row["tokens"] > most:
             break
         over, kept = row["n"] - 1, kept + row["tokens"]
-    return scored.where(F.col("n") > over)
+    return counted.where(F.col("n") > over)
 
 
 def score_documents(docs: DataFrame, fold: int = 1, most_frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs(doc_id, text).
 
     Tokens are words and an end, A-Z lower-cased; a null text is empty. The base is the smoothed frequency of tokens in
-    the training fold. The model's probability of a seen token is its frequency less a discount; unseen ones share
-    the discounted mass by the probability of their bytes. These are coded bit by bit: several contexts within the token, whose counts come
-    from all distinct training tokens, each give log odds; weights that a gate picks mix these, and an adaptive map
-    refines the result. As contexts end at tokens, a token has one such score, found once however often it occurs. Over
-    the document, its class is a second gate, mixed online: after each token the classes weigh by how well they have
-    foretold the text so far, whose product over all tokens is the mean of the classes' likelihoods by their shares.
-
-    The tokens seen most, a bounded number, are summed in the task that reads the text; the others are joined by token to
-    their scores. Every row is scored, repeated ones alike; a null doc_id is not held out. Without training tokens counts
-    are zero and tables empty. Other columns are not read.
+    the training fold. The score is the log10 probability of all bits of the text, its words parted by a space: several
+    contexts, from the token so far to the two words before it, whose counts come from all bits of all training texts,
+    each give log odds; weights that a gate picks mix these, and an adaptive map refines the result. In a training text
+    each bit is left out of the counts that foretell it, so that its score is comparable with held-out ones.
+
+    For the base the tokens seen most, a bounded number, are summed in the task that reads the text; the others are joined
+    by token to their counts. Every row is scored, repeated ones alike; a null doc_id is not held out. Without training
+    texts tables are empty. Other columns are not read.
     """
     sc = docs.sparkSession.sparkContext
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), fold).alias("held_out"))
-    tokens = named.select("text", "held_out").mapInArrow(_counted, "token binary, class int, n long")
-    by_class = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)) for k in range(CLASSES)]
-    vocabulary = written(tokens.groupBy("token").agg(F.sum("n").alias("n"), F.array(*by_class).alias("by_class")))
+    tokens = named.select("text", "held_out").mapInArrow(_counted, "token binary, n long")
+    vocabulary = written(tokens.groupBy("token").agg(F.sum("n").alias("n")))
     n = F.col("n")
-    sums = [F.sum(F.col("by_class")[k]).alias(f"c{k}") for k in range(CLASSES)]
-    row = vocabulary.agg(F.count("*").alias("every"), F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.count_if(n > 0).alias("distinct"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice"), *sums).first()
+    row = vocabulary.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.count_if(n > 0).alias("distinct")).first()
     total, distinct = int(row["total"]), row["distinct"]
-    shares = np.array([row[f"c{k}"] or 0 for k in range(CLASSES)], np.float64) + 1
-    shares /= shares.sum()
-    discount = row["once"] / (row["once"] + 2 * row["twice"]) if row["once"] and row["twice"] else 0.5
-    spread = discount * distinct / total if total else 1.0
-    tables, mixer = fit(vocabulary, max(1, -(-distinct // TASK_TOKENS)))
-    ranges = vocabulary.repartitionByRange(max(1, -(-row["every"] // (TASK_TOKENS // 4))), "token").sortWithinPartitions("token")
-    scored = written(ranges.mapInArrow(_scored(tables, mixer, shares), "token binary, n long, bits double, gains array<float>"))
-    # unseen tokens share the discounted mass by their bits, less what those give to seen tokens
-    seen = scored.agg(F.coalesce(F.sum(F.when(n > 0, F.pow(F.lit(10.0), "bits"))), F.lit(0.0))).first()[0]
-    rest = math.log10(spread / (1 - min(seen, 0.95)))
-    scored = scored.withColumn("log10p", F.when(n > 0, F.log10(n - discount) - math.log10(max(1, total))).otherwise(F.col("bits") + rest)).drop("bits")
-    hot = frequent(scored, most_frequent).toArrow()
+    tables, mixer = fit(named.where(~F.col("held_out")).select("text"))
+    hot = frequent(vocabulary, most_frequent).toArrow()
     share = math.log10(total + 0.5 * (distinct + 1))
-    known = np.column_stack([np.log10(hot["n"].to_numpy() + 0.5) - share, hot["log10p"].to_numpy(), hot["n"].to_numpy() > 0]) if len(hot) else np.zeros((0, 3))
-    gains = hot["gains"].combine_chunks().flatten().to_numpy().reshape(-1, CLASSES) if len(hot) else np.zeros((0, CLASSES))
-    at_hand = sc.broadcast((hot["token"].to_pylist(), np.column_stack([known, gains])))
+    known = np.column_stack([np.log10(hot["n"].to_numpy() + 0.5) - share, hot["n"].to_numpy() > 0]) if len(hot) else np.zeros((0, 2))
+    at_hand = sc.broadcast((hot["token"].to_pylist(), known))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, with the sums of its frequent tokens, and a row for each other token that it has."""
+        """A row for each document, with its score and the base of its frequent tokens, and a row for each other token that it has."""
         place = {t: i for i, t in enumerate(at_hand.value[0])}
         sums_of = at_hand.value[1]
         first = TaskContext.get().partitionId() << 36
@@ -401,47 +454,37 @@ def score_documents(docs: DataFrame, fold: int = 1, most_frequent: int = FREQUEN
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 rows, others = [], []
-                for doc, text, held in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "held_out"))):
-                    words = tokens_of(text)
+                helds, words_of = part["held_out"].to_pylist(), list(map(tokens_of, part["text"].to_pylist()))
+                scores = token_scores(list(map(coded_text, words_of)), tables.value, mixer.value, [not h for h in helds])
+                for doc, text, held, words, score in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), helds, words_of, scores.tolist()):
                     at = list(map(place.get, words))
                     if None in at:
                         others += [(first, t, n) for t, n in Counter(t for t, k in zip(words, at) if k is None).items()]
                         at = [k for k in at if k is not None]
                     total = sums_of[at].sum(axis=0)
-                    rows.append((first, None, 1, doc, held, len(words), int(total[2]), float(total[0]), float(total[1]), len((text or "").encode()), total[3:].tolist()))
+                    rows.append((first, None, 1, doc, held, len(words), int(total[1]), float(total[0]), score, len((text or "").encode())))
                     first += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
                 if others:
                     columns = [pa.array(x, k) for x, k in zip(zip(*others), kinds)]
                     yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(others), k) for k in kinds[3:])], names=names)
 
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
-    names = ["row", "token", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "size", "own"]
-    parts = written(named.mapInArrow(summed, "row long, token binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, size long, own array<double>"))
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    names = ["row", "token", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "size"]
+    parts = written(named.mapInArrow(summed, "row long, token binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, size long"))
     # a document's own row has no token and no partner in the join
-    rare = parts.where(F.col("token").isNotNull()).select("row", "token", "times").join(scored, "token")
+    rare = parts.where(F.col("token").isNotNull()).select("row", "token", "times").join(vocabulary, "token")
     times = F.col("times")
-    rare = rare.select(
-        "row",
-        F.when(n > 0, times).otherwise(0).alias("n_known"),
-        (times * (F.log10(n + 0.5) - share)).alias("base"),
-        (times * F.col("log10p")).alias("model"),
-        *[(times * F.col("gains")[k]).alias(f"g{k}") for k in range(CLASSES)],
-    )
-    rare = rare.groupBy("row").agg(*[F.sum(c).alias(f"rare_{c}") for c in rare.columns if c != "row"])
+    rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, times).otherwise(0)).alias("rare_known"), F.sum(times * (F.log10(n + 0.5) - share)).alias("rare_base"))
     whole = parts.where(F.col("token").isNull()).join(rare, "row", "left")
-    both = lambda own, c: own + F.coalesce(F.col(f"rare_{c}"), F.lit(0))
-    by_class = F.array(*[both(F.col("own")[k], f"g{k}") + math.log10(shares[k]) for k in range(CLASSES)])
-    most = F.array_max("by_class")
-    mean = most + F.log10(F.aggregate("by_class", F.lit(0.0), lambda t, g: t + F.pow(F.lit(10.0), g - most)))
-    out = whole.withColumn("by_class", by_class).select(
+    out = whole.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        both(F.col("n_known"), "n_known").cast("long").alias("n_known"),
+        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        both(F.col("base"), "base").alias("base_score"),
-        (both(F.col("model"), "model") + mean).alias("score"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        "score",
         "size",
     )
     bits = F.when(F.col("size") > 0, -F.col("score") / (_LOG10_2 * F.col("size")))
