@@ -25,7 +25,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document of least doc_id; of rows repeated under it one."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -25,3 +25,10 @@ def test_stages(spark, tmp_path):
         tokens += len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1
     assert seen[5].agg({"length": "sum"}).first()[0] == tokens
     assert zlib.crc32(np.array([1], "<u4").tobytes()) >= 0
+
+
+def test_dedup_links_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = ["x" if i in (30, 80) else w for i, w in enumerate(words)]  # shares 106 of 126 shingles: 0.84
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "another text")], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == {1, 3}

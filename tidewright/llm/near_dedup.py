@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from typing import Iterator
+import math
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,29 @@ from tidewright.llm.common import cut, written
 
 #: Words of a shingle.
 SHINGLE = 5
-#: Symbols of a signature, 16 bits each, and the largest number of them in which linked documents may differ. At similarity
-#: 0.85 a pair differs in more with probability under 1e-7.
-SYMBOLS, DISTANCE = 64, 27
-#: Chunks: with 14 of them, 27 differences leave one with at most one.
-CHUNKS = DISTANCE // 2 + 1
+#: Symbols of a signature, 16 bits each.
+SYMBOLS = 64
+
+
+def distance(percent: int) -> int:
+    """The largest number of symbols in which linked documents may differ: a pair at similarity percent / 100 differs in more
+    with probability under 1e-7."""
+    p, over = 1 - percent / 100, 0.0
+    for d in range(SYMBOLS, 0, -1):
+        over += math.comb(SYMBOLS, d) * p**d * (1 - p) ** (SYMBOLS - d)
+        if over >= 1e-7:
+            return d
+    return 0
+
+
+def chunks_of(most: int) -> int:
+    """Chunks such that `most` differences leave one with at most one: 14 for 27, 16 for 31."""
+    return most // 2 + 1
+
+
+#: Of the similarity that operator 10 asks for.
+DISTANCE = distance(85)
+CHUNKS = chunks_of(DISTANCE)
 #: Rows of a block of a bucket whose pairs are compared in one task.
 BLOCK = 256
 
@@ -91,27 +110,31 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _chunks() -> list[np.ndarray]:
-    return np.array_split(np.arange(SYMBOLS), CHUNKS)
+def _chunks(chunks: int = CHUNKS) -> list[np.ndarray]:
+    return np.array_split(np.arange(SYMBOLS), chunks)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Every chunk of every signature with each of its symbols left out in turn: two chunks with at most one difference
     share one of these keys."""
-    for batch in batches:
-        for at in range(0, len(batch), 2048):
-            part = batch.slice(at, 2048)
-            sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
-            out, at_place = [], np.repeat(np.arange(SYMBOLS, dtype=np.int32), len(sig))
-            for c, places in enumerate(_chunks()):
-                for p in places:
-                    h = np.full(len(sig), (c << 8) + int(p) + 1, np.uint64)
-                    for q in places:
-                        if q != p:
-                            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, q])
-                    out.append(h.view(np.int64))
-            node = np.tile(part["node"].to_numpy(), len(out))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(at_place), pa.array(node)], names=["key", "place", "node"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
+                out, at_place = [], np.repeat(np.arange(SYMBOLS, dtype=np.int32), len(sig))
+                for c, places in enumerate(_chunks(chunks)):
+                    for p in places:
+                        h = np.full(len(sig), (c << 8) + int(p) + 1, np.uint64)
+                        for q in places:
+                            if q != p:
+                                h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, q])
+                        out.append(h.view(np.int64))
+                node = np.tile(part["node"].to_numpy(), len(out))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(at_place), pa.array(node)], names=["key", "place", "node"])
+
+    return keys
 
 
 def _bound(percent: int, n_a, own_a, n_b, own_b):
@@ -120,11 +143,14 @@ def _bound(percent: int, n_a, own_a, n_b, own_b):
     return 100 * most >= percent * (n_a + n_b - most)
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sig_a", "sig_b"))
-        keep = pa.array((a != b).sum(axis=1) <= DISTANCE)
-        yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+def _near(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sig_a", "sig_b"))
+            keep = pa.array((a != b).sum(axis=1) <= most)
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+
+    return near
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +187,11 @@ def _confirmed(percent: int):
     return confirmed
 
 
-def _near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures lie within DISTANCE."""
+def _near_pairs(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in at most so many symbols."""
     sig = nodes.select("node", "sig")
     both = pairs.join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b").join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
-    return cut(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long"))
+    return cut(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_near(most), "a long, b long"))
 
 
 def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,11 +232,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _first_place(differ: np.ndarray) -> np.ndarray:
+def _first_place(differ: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """For pairs whose symbols differ as marked: the symbol left out in the first key that they share."""
-    starts = np.array([c[0] for c in _chunks()])
+    starts = np.array([c[0] for c in _chunks(chunks)])
     chunk = (np.add.reduceat(differ, starts, axis=1, dtype=np.int64) <= 1).argmax(axis=1)
-    inside = differ & (np.repeat(np.arange(CHUNKS), [len(c) for c in _chunks()]) == chunk[:, None])
+    inside = differ & (np.repeat(np.arange(chunks), [len(c) for c in _chunks(chunks)]) == chunk[:, None])
     return np.where(inside.any(axis=1), inside.argmax(axis=1), starts[chunk])
 
 
@@ -223,6 +249,8 @@ def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
     signatures and returns the near pairs only: neither a bucket's rows nor its pairs are gathered. A bucket of one block
     stays whole. Of the buckets that a pair shares only that of _first_place() returns it.
     """
+    furthest = distance(percent)
+    chunks = chunks_of(furthest)
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("rows"))
     sizes = sizes.groupBy("key").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("large"))
     whole = F.col("rows") <= BLOCK
@@ -246,7 +274,7 @@ def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
             y = right[fits if i != j else fits & (right > x)]
             if len(y):
                 differ = sig[y] != sig[x]
-                y = y[(differ.sum(axis=1) <= DISTANCE) & (_first_place(differ) == place)]
+                y = y[(differ.sum(axis=1) <= furthest) & (_first_place(differ, chunks) == place)]
                 a.append(np.minimum(node[x], node[y]))
                 b.append(np.maximum(node[x], node[y]))
         none = np.zeros(0, np.int64)
@@ -262,7 +290,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     100 * intersection >= percent * union are linked; component_id is the least doc_id reachable.
 
     1. Documents with equal sets form one node, named by the least doc_id. 2. Nodes whose signatures differ in at most
-    DISTANCE symbols share a key of a chunk with one symbol left out, and meet in its bucket. 3. For the nodes in buckets,
+    distance(percent) symbols share a key of a chunk with one symbol left out, and meet in its bucket. 3. For the nodes in buckets,
     shingles that no other of them has are counted: these bound what a node can share, and a node with too many is linked
     with none. 4. In each bucket the node with the smallest such share, which in a group of copies is the nearest to what
     they were copied from, is compared with the others; pairs are confirmed on full sets and joined to components. 5. Where
@@ -273,11 +301,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Empty and null texts: no shingles, linked with nothing. A null doc_id is its own component (null). Rows repeated under
     one doc_id are one document if their texts have one set. Other columns are not read.
     """
+    furthest = distance(percent)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = written(known.mapInArrow(_profiles, "doc_id long, n_shingles long, set1 long, set2 long, sig binary"))
     named = profile.where("n_shingles > 0 and doc_id is not null")
     nodes = written(named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
-    keys = nodes.select("node", "sig").mapInArrow(_keys, "key long, place int, node long").repartition("key")
+    keys = nodes.select("node", "sig").mapInArrow(_keys(chunks_of(furthest)), "key long, place int, node long").repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     bucket = written(keys.join(shared, "key"))
     met = written(bucket.select(F.col("node").alias("doc_id")).distinct())
@@ -293,7 +322,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     most = F.least(F.col("n") - F.col("own"), F.col("c.n") - F.col("c.own"))
     star = star.where(100 * most >= percent * (F.col("n") + F.col("c.n") - most)).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
     star = written(star.distinct())
-    links = _links(_near_pairs(star, nodes), sets, percent)
+    links = _links(_near_pairs(star, nodes, furthest), sets, percent)
     first = written(components(links))
     grouped = placed.select("key", "place", "node").join(first, "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
