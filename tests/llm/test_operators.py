@@ -285,3 +285,16 @@ def test_words_before_foretell_seen_tokens():
         ends = [context_mixing.coded_text([*x.split(), context_mixing.END]) for x in (left, right, left)]
         alone = [context_mixing.token_scores([x], tables, mixer)[0] for x in ends]
         assert np.allclose(context_mixing.token_scores(ends, tables, mixer), alone)
+
+
+def test_surrogates_outnumber_the_lists(spark):
+    """More Greek and Latin names than given x family names, some told with and without gender."""
+    letters = "αβγδεζηθικ"
+    greek = [("name", f"greek:f:Ξ{a}{b}{c} Ξ{a}") for a in letters for b in letters for c in letters[:4]]
+    latin = [("name", f"latin:{g}:X{i // 26 // 26}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} Qx") for i in range(2500) for g in ("", "m")]
+    ips = [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 5)]
+    done, _ = pii.assigned(spark.createDataFrame(greek + latin + ips, "kind string, value string"))
+    rows = done.collect()
+    assert len(rows) == len(greek + latin + ips)
+    texts = {(r["kind"], pii.rendered(r["kind"], r["value"], r["surrogate"])) for r in rows}
+    assert len(texts) == len(rows) and not texts & {(k, v.split(":")[-1]) for k, v in greek + latin + ips}

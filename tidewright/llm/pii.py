@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import cut, written
 
 KEY = b"surrogates"
-#: Rounds in which colliding surrogates are drawn anew.
-ROUNDS = 16
+#: Draws after which what is drawn grows with each draw.
+SHORT_DRAWS = 4
 
 #: Given names by script and gender, and family names by script.
 GIVEN = {
@@ -33,6 +33,8 @@ FAMILY = {
     "cyrillic": ["Беляев", "Волков", "Громов", "Егоров", "Жуков", "Зайцев", "Козлов", "Лебедев", "Морозов", "Новиков"],
     "greek": ["Ανδρέου", "Βασιλείου", "Γεωργίου", "Δημητρίου", "Κωνσταντίνου", "Νικολάου"],
 }
+#: Letters of the syllables that lengthen a name when the lists are used up.
+SYLLABLES = {"latin": ("bdfgklmnprst", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρστ", "αειου")}
 #: Titles that come before a name, with the gender that they tell.
 TITLES = {"Mr.": "m", "Mrs.": "f", "Ms.": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Dr.": "", "Prof.": ""}
 
@@ -126,12 +128,15 @@ def _luhn(digits: str) -> int:
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The replacement of an entity's canonical value, itself canonical."""
     draw = _Stream(key, kind, value, attempt)
+    more = max(0, attempt - SHORT_DRAWS + 1)  # so many letters or syllables are added: no space of draws is ever used up
     if kind == "email":
         local, _, domain = value.partition("@")
         *labels, last = domain.split(".")
-        return f"{_redrawn(local, draw)}@{'.'.join(_redrawn(x, draw) for x in labels)}.{last}"
+        return f"{_redrawn(local, draw)}{''.join(string.ascii_lowercase[draw.below(26)] for _ in range(more))}@{'.'.join(_redrawn(x, draw) for x in labels)}.{last}"
     if kind == "aws":
         return value[:4] + "".join((string.ascii_uppercase + string.digits)[draw.below(36)] for _ in value[4:])
+    if kind == "ip" and more:  # any octets, of other lengths too
+        return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "ip":
         return ".".join(str((1 + draw.below(9), 10 + draw.below(90), 100 + draw.below(124))[len(x) - 1]) for x in value.split("."))
     if kind == "iban":
@@ -146,16 +151,23 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         gender = gender or "fm"[draw.below(2)]
         names, families = GIVEN[script, gender], FAMILY[script]
         words = name.split()
-        # beyond the lists' product a letter is added, so that every name can have its own
-        extra = "" if attempt < 4 else f"{families[draw.below(len(families))]}-"
+        # beyond the lists' product syllables are added, one more with each draw, so that every name can have its own
+        heads, vowels = SYLLABLES[script]
+        extra = "".join(heads[draw.below(len(heads))] + vowels[draw.below(len(vowels))] for _ in range(more))
         if len(words) == 1:
-            new = extra + families[draw.below(len(families))] + ("" if attempt < 2 else f"-{families[draw.below(len(families))]}")
+            new = families[draw.below(len(families))] + extra + ("" if attempt < 2 else f"-{families[draw.below(len(families))]}")
         else:
-            new = f"{names[draw.below(len(names))]} {extra}{families[draw.below(len(families))]}"
+            new = f"{names[draw.below(len(names))]} {families[draw.below(len(families))]}{extra}"
         return f"{script}:{value.split(':', 2)[1]}:{new.upper() if name.isupper() else new}"
     if kind == "phone":
         return "".join(c if i == len(value) - 10 and c == "1" else str(2 + draw.below(8)) if i in (len(value) - 10, len(value) - 7) else str(draw.below(10)) for i, c in enumerate(value))
-    return _redrawn(value, draw)
+    new = _redrawn(value, draw)
+    return new if kind == "ssn" else new + "".join("0123456789abcdef"[draw.below(16)] for _ in range(more))
+
+
+def shown(kind: str, new: str) -> str:
+    """A canonical surrogate as texts have it: a name without its script and gender."""
+    return new.split(":", 2)[2] if kind == "name" else new
 
 
 def rendered(kind: str, found: str, new: str) -> str:
@@ -168,9 +180,7 @@ def rendered(kind: str, found: str, new: str) -> str:
         return "".join(out)
     if kind == "email" and found != found.lower():
         return "".join(b.upper() if a.isupper() else b for a, b in zip(found, new)) if len(found) == len(new) else new
-    if kind == "name":
-        return new.split(":", 2)[2]
-    return new
+    return shown(kind, new)
 
 
 def mentions(text: str) -> Iterator[tuple[str, str, str, int, int]]:
@@ -193,32 +203,33 @@ def _drawn(key: bytes):
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = [surrogate(k, v, a, key) for k, v, a in zip(*(batch[c].to_pylist() for c in ("kind", "value", "attempt")))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=[*batch.schema.names, "surrogate"])
+            as_shown = [shown(k, x) for k, x in zip(batch["kind"].to_pylist(), new)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string()), pa.array(as_shown, pa.string())], names=[*batch.schema.names, "surrogate", "shown"])
 
     return drawn
 
 
-def assigned(entities: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
-    """(kind, value, attempt, surrogate) of distinct entities(kind, value), no two of a kind alike and none that is itself an
-    entity; and how many needed a later draw.
+def assigned(entities: DataFrame, key: bytes = KEY) -> tuple[DataFrame, int]:
+    """(kind, value, attempt, surrogate) of distinct entities(kind, value), no two of a kind alike in texts and none that is
+    itself an entity; and how many needed a later draw.
 
     Each round draws for the open ones and keeps those whose draw isn't an entity, hasn't been given, and is the draw of
-    no smaller open value. The few others draw again.
+    no smaller open value, all as texts show them. The few others draw again, from a larger space each time, until none is open.
     """
     entities = cut(entities)
-    todo, done = entities.withColumn("attempt", F.lit(0)), None
-    taken = entities.select("kind", F.col("value").alias("surrogate"))
-    for attempt in range(rounds):
-        drawn = cut(todo.mapInArrow(_drawn(key), "kind string, value string, attempt int, surrogate string"))
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-        free = cut(drawn.join(first, ["kind", "surrogate", "value"]).join(taken, ["kind", "surrogate"], "left_anti").select("kind", "value", "attempt", "surrogate"))
+    todo, done, attempt = entities.withColumn("attempt", F.lit(0)), None, 0
+    plain = F.when(F.col("kind") == "name", F.regexp_replace("value", "^[^:]*:[^:]*:", "")).otherwise(F.col("value"))
+    taken = entities.select("kind", plain.alias("shown"))
+    while True:
+        drawn = cut(todo.mapInArrow(_drawn(key), "kind string, value string, attempt int, surrogate string, shown string"))
+        first = drawn.groupBy("kind", "shown").agg(F.min("value").alias("value"))
+        free = cut(drawn.join(first, ["kind", "shown", "value"]).join(taken, ["kind", "shown"], "left_anti").select("kind", "value", "attempt", "surrogate", "shown"))
         done = free if done is None else done.unionByName(free)
         todo = cut(drawn.join(free, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
         if todo.isEmpty():
             break
-        taken = taken.unionByName(free.select("kind", "surrogate"))
-    else:
-        raise ValueError(f"no free surrogate for some entities after {rounds} draws")
+        taken, attempt = taken.unionByName(free.select("kind", "shown")), attempt + 1
+    done = done.drop("shown")
     later = done.where("attempt > 0").count() if attempt else 0
     return done, later
 
