@@ -38,20 +38,29 @@ SYLLABLES = {"latin": ("bdfgklmnprst", "aeiou"), "cyrillic": ("бвгдзклм
 #: Titles that come before a name, with the gender that they tell.
 TITLES = {"Mr.": "m", "Mrs.": "f", "Ms.": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Dr.": "", "Prof.": ""}
 
-#: First alternatives win. Names need a title, a full name follows; other kinds tell themselves by their form.
+_TITLES = "|".join(re.escape(t) for t in sorted({*TITLES, *map(str.upper, TITLES)}, key=len, reverse=True))
+_EMAIL = r"[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"
+_AWS = r"A(?:KIA|SIA)[A-Z0-9]{16}\b"
+#: A word of a name, which may be joined by apostrophes and hyphens; a possessive s stays outside.
+_NAME = r"[^\W\d_a-z](?:[^\W\d_]|-(?=[^\W\d_])|['’](?![sS]\b)(?=[^\W\d_]))+"
+#: Between a secret's keyword and its value: = or :, spaces and quotes. What is an address or a key of its own kind stays one.
+_IS = rf"[\"']?[ \t]*[=:][ \t]*[\"']?(?!{_EMAIL}|{_AWS})"
+
+#: First alternatives win. Names need a title, a full name follows; secrets need a keyword, in any case; other kinds tell
+#: themselves by their form. The entity is the named group.
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<aws>\bA(?:KIA|SIA)[A-Z0-9]{16}\b)"
-    r"|(?P<secret>(?<=password=)[^\s\"']{6,}|(?<=passwd=)[^\s\"']{6,}|(?<=token = \")[^\s\"]{8,}|(?<=token=)[^\s\"']{8,}|(?<=api_key=)[^\s\"']{8,}|(?<=secret=)[^\s\"']{8,})"
+    rf"(?P<email>(?<![\w.+%-]){_EMAIL})"
+    rf"|(?P<aws>\b{_AWS})"
+    rf"|(?:(?i:passw(?:or)?d){_IS}(?=[^\s\"']{{6}})|(?i:token|api[_ -]?key|secret){_IS}(?=[^\s\"']{{8}}))(?P<secret>[^\s\"']+)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<card>(?<![\d.-])\d{4}([ -]?)\d{4}\7\d{4}\7\d{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-]))"
-    r"|(?P<name>(?:(?<=Mr\. )|(?<=Mrs\. )|(?<=Ms\. )|(?<=Miss )|(?<=Herr )|(?<=Frau )|(?<=Mme )|(?<=Señor )|(?<=Señora )|(?<=Dr\. )|(?<=Prof\. ))[^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?)"
+    rf"|(?:{_TITLES}) (?P<name>{_NAME}(?: {_NAME})?)"
 )
 #: A text without any of these holds no entity.
-HINT = re.compile(r"[@\d]|\.com|password|passwd|token|api_key|secret|Mr\. |Mrs\. |Ms\. |Miss |Herr |Frau |Mme |Señora? |Dr\. |Prof\. ")
+HINT = re.compile(rf"[@\d]|(?i:passw|token|api[_ -]?key|secret)|(?:{_TITLES}) ")
 
 
 def script_of(text: str) -> str:
@@ -62,8 +71,8 @@ def script_of(text: str) -> str:
 def gender_of(text: str, start: int, name: str) -> str:
     """From the title before the name, else from a known given name, else unknown ('')."""
     title = text[max(0, start - 8) : start].rstrip().rpartition(" ")[2].rpartition("\n")[2]
-    told = TITLES.get(title, "")
-    given = name.split()[0]
+    told = TITLES.get(title, TITLES.get(title.capitalize(), ""))
+    given = name.split()[0].title()
     return told or next((g for (_, g), names in GIVEN.items() if given in names), "")
 
 
@@ -188,7 +197,7 @@ def mentions(text: str) -> Iterator[tuple[str, str, str, int, int]]:
     if text and HINT.search(text):
         for m in PATTERN.finditer(text):
             kind = m.lastgroup
-            yield kind, m[0], canonical(kind, m[0], text, m.start()), m.start(), m.end()
+            yield kind, m[kind], canonical(kind, m[kind], text, m.start(kind)), m.start(kind), m.end(kind)
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
