@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import shared_dir
 from tidewright.llm.mixing import mix
-from tidewright.llm.near_dedup import near_duplicates
+from tidewright.llm.near_dedup import deduplicated
 from tidewright.llm.packing import pack_documents
 from tidewright.llm.pii import replace_pii
 from tidewright.llm.quality_rules import quality_rules
@@ -24,9 +24,9 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document of least doc_id; of rows repeated under it one."""
-    gone = near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each near-duplicate group the document of least doc_id, of rows repeated under it with one shingle set one; documents
+    with null doc_id come after the others. Repeated empty texts count as copies under one doc_id only."""
+    return deduplicated(docs, percent=80).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,26 @@ def test_dedup_links_from_four_fifths(spark):
     near = ["x" if i in (30, 80) else w for i, w in enumerate(words)]  # shares 106 of 126 shingles: 0.84
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "another text")], "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()} == {1, 3}
+
+
+def test_dedup_keeps_one_row_of_each_group(spark):
+    """The stage's rows against brute-force components of its own input, with repeated rows and null ids."""
+    words = [f"w{i}" for i in range(120)]
+    text = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    lone = " ".join(f"u{i}" for i in range(30))
+    rows = [(1, text()), (1, text()), (1, text().upper()), (2, text(30)), (2, lone), (2, lone), (None, text(80)), (None, text()), (5, ""), (5, ""), (6, None), (None, "null twins here"), (None, "null twins here"), (None, "NULL twins here"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, i % 2) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()]
+    shingles = lambda t: frozenset(tuple(w[k : k + 5]) for w in [(t or "").lower().split()] if w for k in range(max(1, len(w) - 4)))
+    groups = []  # of places, linked from 0.8
+    for i, (_, t) in enumerate(rows):
+        s = shingles(t)
+        near = [g for g in groups if s and any(100 * len(s & shingles(rows[j][1])) >= 80 * len(s | shingles(rows[j][1])) for j in g)]
+        groups = [g for g in groups if g not in near] + [sorted([i, *sum(near, [])])]
+    full = [g for g in groups if shingles(rows[g[0]][1])]
+    assert len(full) == 3
+    for g in full:
+        least = min((rows[j][0] is None, rows[j][0] or 0) for j in g)
+        kept = [x for x in got if any(rows[j][0] == x[0] and rows[j][1] == x[1] for j in g)]
+        assert len(kept) == 1 and (kept[0][0] is None, kept[0][0] or 0) == least
+    assert sorted(x[0] or 0 for x in got if not shingles(x[1])) == [0, 5, 6] and len(got) == 6

@@ -86,7 +86,7 @@ def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: number of shingles, two hashes of the whole set, signature."""
+    """Per row: its tag, number of shingles, two hashes of the whole set, signature."""
     hashes = _Hashes()
     for batch in batches:
         for at in range(0, len(batch), 256):
@@ -105,8 +105,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, a, b, s in zip(some, one.tolist(), two.tolist(), signatures(flat, starts)):
                     sums[i], sigs[i] = (a, b), s.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(sizes, pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "set1", "set2", "sig"],
+                [part["doc_id"], part["tag"], pa.array(sizes, pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "tag", "n_shingles", "set1", "set2", "sig"],
             )
 
 
@@ -301,16 +301,43 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Empty and null texts: no shingles, linked with nothing. A null doc_id is its own component (null). Rows repeated under
     one doc_id are one document if their texts have one set. Other columns are not read.
     """
+    return _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("tag")), percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row of each near-duplicate group of the rows of docs(doc_id, text ...), linked as in near_duplicates().
+
+    It is the row of least doc_id, null ones last; of several such, as of rows repeated under one doc_id, the one whose values
+    decide. Rows of one doc_id whose texts aren't linked are in groups of their own. Texts without shingles are linked with
+    nothing; of those one row stays under each doc_id, and one under null.
+    """
+    names = ["__hash", "__id", "__none"]
+    columns = [F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull()]
+    rows = docs.withColumns(dict(zip(names, columns)))
+    # texts, not doc_ids, name the nodes
+    grouped = _grouped(rows.select(F.col("__hash").alias("doc_id"), "text", F.when(~F.col("__none"), F.col("__id")).alias("tag")), percent)
+    some = F.col("n_shingles") > 0
+    keys = [F.col("doc_id").alias("__hash"), F.coalesce("tag", F.lit(0).cast("long")).alias("__id"), F.col("tag").isNull().alias("__none")]
+    found = grouped.select(*keys, some.alias("some"), F.when(some, F.col("component_id")).otherwise(F.coalesce("tag", F.lit(0))).alias("group"), (~some & F.col("tag").isNull()).alias("lost"))
+    found = written(found.groupBy(*names, "some", "group", "lost").agg(F.count("*").alias("rows")))
+    best = found.groupBy("some", "group", "lost").agg(F.min(F.struct("__none", "__id", "__hash")).alias("best"))
+    judged = written(found.join(best, ["some", "group", "lost"]).select(*names, "rows", (F.struct("__none", "__id", "__hash") == F.col("best")).alias("first")))
+    single = rows.join(judged.where("not first or rows > 1").select(*names), names, "left_anti").select(*docs.columns)
+    again = rows.join(judged.where("first and rows > 1").select(*names), names, "left_semi")
+    return single.unionByName(again.groupBy(*names).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+
+
+def _grouped(known: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates() of known(doc_id, text, tag), with each row's tag and the hashes of its set."""
     furthest = distance(percent)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = written(known.mapInArrow(_profiles, "doc_id long, n_shingles long, set1 long, set2 long, sig binary"))
+    profile = written(known.mapInArrow(_profiles, "doc_id long, tag long, n_shingles long, set1 long, set2 long, sig binary"))
     named = profile.where("n_shingles > 0 and doc_id is not null")
     nodes = written(named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
     keys = nodes.select("node", "sig").mapInArrow(_keys(chunks_of(furthest)), "key long, place int, node long").repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     bucket = written(keys.join(shared, "key"))
     met = written(bucket.select(F.col("node").alias("doc_id")).distinct())
-    sets = written(known.join(met, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary"))
+    sets = written(known.select("doc_id", "text").join(met, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary"))
     lone = sets.mapInArrow(_shingles, "shingle long, node long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     lone = lone.where(F.col("node") == F.col("last")).groupBy("node").agg(F.count("*").alias("own"))
     counts = nodes.select("node", F.col("n_shingles").alias("n"), "sig").join(met.withColumnRenamed("doc_id", "node"), "node").join(lone, "node", "left")
@@ -333,4 +360,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     owner = nodes.join(final, "node", "left").select("set1", "set2", "n_shingles", F.coalesce("component", "node").alias("component"))
     out = profile.join(owner, ["set1", "set2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "tag", "set1", "set2", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
