@@ -115,3 +115,25 @@ def test_stream_of_bars(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("bars").count() == event_bars(spark, DATA).count()
+
+
+def test_bds_sees_the_whole_series():
+    """Blocks give what the whole matrix gives; a dependence that ended long ago is found; AR(1) alone is none."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=301)
+    near = np.abs(x[:, None] - x[None]) < 1.5 * x.std(ddof=1)
+    mean = lambda a: a[np.triu_indices(len(a), 1)].mean()
+    n, c, rows = 301, mean(near), near.sum(axis=1) - 1
+    cube = (rows * (rows - 1)).sum() / (n * (n - 1) * (n - 2))
+    var = 4 * (cube**2 + 2 * cube * c**2 + c**4 - 4 * cube * c**2)
+    assert k.bds(x, block=64)[0] == pytest.approx(300**0.5 * (mean(near[:-1, :-1] & near[1:, 1:]) - mean(near[1:, 1:]) ** 2) / var**0.5)
+    wild = rng.normal(size=3000) * np.repeat(rng.choice([0.2, 3.0], 30), 100)
+    late = np.concatenate([wild, rng.normal(size=2000)])
+    from tidewright.operators.diagnostics import _one
+
+    bars = pd.DataFrame({"symbol": "A", "ts": range(5001), "close_adj": 100 * np.exp(np.cumsum(np.append(0, late)) / 1000), "log_return": np.append(np.nan, late / 1000)})
+    assert _one(bars)["bds_p"][0] < 0.001
+    ar = np.zeros(1500)
+    for i in range(1, 1500):
+        ar[i] = 0.6 * ar[i - 1] + rng.normal()
+    assert k.bds(ar)[1] < 0.001 < k.bds(k.ar1_residuals(ar))[1]

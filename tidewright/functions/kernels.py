@@ -167,23 +167,37 @@ def permutation_entropy(x: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum() / math.log2(6))
 
 
-def bds(x: np.ndarray, dim: int = 2, width: float = 1.5) -> tuple[float, float]:
-    """Independence test by correlation sums at distance width * deviation; statistic and two-sided p."""
+def bds(x: np.ndarray, dim: int = 2, width: float = 1.5, block: int = 512) -> tuple[float, float]:
+    """Independence test by correlation sums at distance width * deviation over all pairs; statistic and two-sided p. Pairs
+    are counted in blocks of rows, so memory grows with the length only."""
     x = np.asarray(x, float)
-    near = np.abs(x[:, None] - x[None]) < width * x.std(ddof=1)
-    n = len(x)
-    upper = np.triu_indices(n, 1)
-    joint = np.logical_and.reduce([near[i : n - dim + 1 + i, i : n - dim + 1 + i] for i in range(dim)])
-    m = len(joint)
-    c1, cm = near[1:, 1:][np.triu_indices(n - 1, 1)].mean(), joint[np.triu_indices(m, 1)].mean()
-    c = near[upper].mean()
-    rows = near.sum(axis=1) - 1
+    n, far = len(x), width * x.std(ddof=1)
+    m = n - dim + 1
+    rows, joint, later = np.zeros(n), 0, 0
+    for lo in range(0, n, block):
+        near = np.abs(x[lo : lo + block, None] - x[None]) < far
+        rows[lo : lo + block] = near.sum(axis=1) - 1
+        both = np.ones((min(block, max(0, m - lo)), m), bool)
+        for i in range(dim):
+            both &= np.abs(x[lo + i : lo + i + len(both), None] - x[None, i : i + m]) < far
+        joint += int(both.sum())
+        later += int(near[lo == 0 :, 1:].sum())  # without the first value
+    c1, cm = (later - (n - 1)) / ((n - 1) * (n - 2)), (joint - m) / (m * (m - 1))
+    c = rows.sum() / (n * (n - 1))
     k = (rows * (rows - 1)).sum() / (n * (n - 1) * (n - 2))
     var = 4 * (k**dim + 2 * sum(k ** (dim - j) * c ** (2 * j) for j in range(1, dim)) + (dim - 1) ** 2 * c ** (2 * dim) - dim**2 * k * c ** (2 * dim - 2))
     stat = math.sqrt(m) * (cm - c1**dim) / math.sqrt(max(var, 1e-300))
     return float(stat), 2 * (1 - normal_cdf(abs(stat)))
 
 
+def ar1_residuals(x: np.ndarray) -> np.ndarray:
+    """What a least-squares line of each value on the one before leaves."""
+    x = np.asarray(x, float)
+    before, now = x[:-1] - x[:-1].mean(), x[1:] - x[1:].mean()
+    square = before @ before
+    return now - before * (before @ now / square if square > 0 else 0.0)
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     """Of a continuous and a binary variable, by nearest neighbours within the class."""
     x, y = np.asarray(x, float), np.asarray(y)

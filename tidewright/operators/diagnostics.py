@@ -90,8 +90,8 @@ def _one(pdf: pd.DataFrame) -> pd.DataFrame:
     enough = len(price) >= 50
     adf_p, kpss_p = (k.adf(price)[1], k.kpss(price)[1]) if enough else (1.0, 0.1)
     arch_p = k.arch_lm(r) if len(r) >= 30 else 1.0
-    tail = r[-2000:]  # of the pairwise test, whose work grows with the square
-    bds_p = k.bds(tail)[1] if len(r) >= 50 and tail.std() > 0 else 1.0
+    left = k.ar1_residuals(r) if len(r) >= 50 else r[:0]
+    bds_p = k.bds(left)[1] if len(left) and left.std() > 0 else 1.0
     h, e = k.hurst_dfa(r), k.permutation_entropy(r)
     flags = {"has_memory": bool(abs(h - 0.5) > 0.1), "is_volatile": bool(arch_p < 0.05), "is_nonlinear": bool(bds_p < 0.05), "is_noisy": bool(e > 0.85), "is_stationary": bool(adf_p < 0.05)}
     return pd.DataFrame([{"symbol": pdf["symbol"].iloc[0], "dynamic_lags": lags, "optimal_d": d, "dominant_cycle": k.dominant_cycle(price), "hurst": h, "vr_3": vr3, "vr_20": vr20, "adf_p": adf_p, "kpss_p": kpss_p, "arch_p": arch_p, "bds_p": bds_p, "entropy": e, "flags": flags}])
