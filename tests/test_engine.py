@@ -137,3 +137,19 @@ def test_bds_sees_the_whole_series():
     for i in range(1, 1500):
         ar[i] = 0.6 * ar[i - 1] + rng.normal()
     assert k.bds(ar)[1] < 0.001 < k.bds(k.ar1_residuals(ar))[1]
+
+
+def test_metrics_and_votes_take_all(spark, monkeypatch):
+    from tidewright.operators import selection
+    from tidewright.plans import core_queries
+
+    got = plans.queries()["risk_metrics_by_fold"](spark, DATA).toPandas()
+    whole = plans.queries()["risk_metrics"](spark, DATA).toPandas().set_index("symbol")
+    total = got[got["label"] == "Full OOS"].set_index("symbol")
+    assert len(whole) > 1 and sorted(total.index) == sorted(whole.index)
+    assert (total["total_trades"] == whole["total_trades"].reindex(total.index)).all() and np.allclose(total["max_drawdown"], whole["max_drawdown"].reindex(total.index))
+    assert got.groupby("symbol")["label"].nunique().min() > 1
+    voted = []
+    monkeypatch.setattr(selection, "votes", lambda df, names: voted.extend(names))
+    core_queries.consensus_vote(spark, DATA)
+    assert voted == core_queries.CANDIDATES

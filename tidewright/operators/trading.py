@@ -85,10 +85,9 @@ def risk_metrics(df: DataFrame, by: tuple = ("symbol",), risk_free: float = 0.04
 
 
 def metrics_with_total(df: DataFrame, fold: str = "fold") -> DataFrame:
-    """Metrics of each fold, its equity begun anew, and of all rows."""
-    by_fold = risk_metrics(equity(df, (fold,)), (fold,)).withColumn("label", F.concat(F.lit("Fold "), F.col(fold).cast("string"))).drop(fold)
-    whole = df.withColumn("label", F.lit("Full OOS"))
-    return by_fold.unionByName(risk_metrics(equity(whole, ("label",)), ("label",)))
+    """Metrics of each symbol's folds, their equity begun anew, and of all its rows."""
+    by_fold = risk_metrics(equity(df, ("symbol", fold)), ("symbol", fold)).withColumn("label", F.concat(F.lit("Fold "), F.col(fold).cast("string"))).drop(fold)
+    return by_fold.unionByName(risk_metrics(equity(df)).withColumn("label", F.lit("Full OOS")))
 
 
 def plot_data(df: DataFrame) -> DataFrame:

@@ -284,13 +284,9 @@ def risk_metrics(spark, sf_dir):
     return trading.risk_metrics(trading.equity(traded(spark, sf_dir)))
 
 
-def one_symbol(spark, sf_dir):
-    return traded(spark, sf_dir).where("symbol = 'click'")
-
-
-@query("risk_metrics_by_fold", ["label", "total_trades"], ["win_rate", "cum_return", "max_drawdown", "avg_bet"])
+@query("risk_metrics_by_fold", ["symbol", "label", "total_trades"], ["win_rate", "cum_return", "max_drawdown", "avg_bet"])
 def risk_metrics_by_fold(spark, sf_dir):
-    return trading.metrics_with_total(one_symbol(spark, sf_dir))
+    return trading.metrics_with_total(traded(spark, sf_dir))
 
 
 @query("entry_rates", ["fold"], ["entry_rate", "min_threshold", "mean_threshold", "max_threshold"], f"{SIG} SELECT fold, avg(sig) AS entry_rate, min(th) AS min_threshold, avg(th) AS mean_threshold, max(th) AS max_threshold FROM sn GROUP BY 1")
@@ -428,7 +424,7 @@ def feature_clusters(spark, sf_dir):
 
 @query("consensus_vote", ["feature", "votes"], [])
 def consensus_vote(spark, sf_dir):
-    return selection.votes(routed(spark, sf_dir), CANDIDATES[:6])
+    return selection.votes(routed(spark, sf_dir), CANDIDATES)
 
 
 @query("diversify", ["feature"], [], "SELECT unnest(['cmf_20', 'vol_parkinson', 'ret_3', 'geo_body_ratio']) AS feature")
