@@ -153,3 +153,19 @@ def test_metrics_and_votes_take_all(spark, monkeypatch):
     monkeypatch.setattr(selection, "votes", lambda df, names: voted.extend(names))
     core_queries.consensus_vote(spark, DATA)
     assert voted == core_queries.CANDIDATES
+
+
+def test_auc_in_ranges(spark):
+    from tidewright.operators import metrics
+
+    rng = np.random.default_rng(9)
+    p = np.round(rng.random(4000), 5)
+    y = (rng.random(4000) < p).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"p": p, "y": y}))
+    ranks = pd.Series(p).rank().to_numpy()
+    want = (ranks[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (4000 - y.sum()))
+    out = metrics.roc_auc(df)
+    assert out.first()["auc"] == pytest.approx(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(range" in plan and "windowspecdefinition(p" not in plan
+    assert metrics.roc_auc(df.limit(0)).first()["auc"] is None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import cut
+
 
 def _bins(df: DataFrame, b: Column) -> DataFrame:
     return df.withColumn("bin", b).groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("mean_y"))
@@ -44,10 +46,15 @@ def classification_report(df: DataFrame) -> DataFrame:
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
-    """Exact area under the curve of (p, y): rank sums from counts by distinct p, ties at half."""
+    """Exact area under the curve of (p, y): rank sums from counts by distinct p, ties at half. Running sums are taken within
+    ranges of p and added to the negatives of the ranges before, so no task holds all scores."""
     g = df.groupBy("p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = g.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    g = cut(g.repartitionByRange("p").withColumn("range", F.spark_partition_id()))  # kept, so that ranges are the same twice
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = g.groupBy("range").agg(F.sum("neg").alias("sum")).select("range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("before") + F.coalesce(F.sum("neg").over(within), F.lit(0))
+    won = g.join(ranges, "range").withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     return won.agg((F.sum("won") / (F.sum("pos") * F.sum("neg"))).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
