@@ -260,31 +260,140 @@ def test_context_mixing(spark, odd):
         assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(w), n) and r["n_known"] == sum(train[t] > 0 for t in w)
         assert r["base_score"] == pytest.approx(sum(np.log10((train[t] + 0.5) / (n + 0.5 * (v + 1))) for t in w), rel=1e-9)
         assert r["score"] < 0
-    out = [r for r in rows if r["held_out"]]
-    assert len(rows) == docs.count() and sum(r["score"] for r in out) > sum(r["base_score"] for r in out) * 1.15  # the base is no code: it gives every unseen word one chance
+    assert len(rows) == docs.count()
+    larger = context_mixing.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    out = [r for r in larger if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) * 1.15  # the base is no code: it gives every unseen word one chance
     assert context_mixing.score_documents(odd).count() == len(ODD)
 
 
-def test_bits_are_chances():
-    """At each node the chances of zero and one sum to one, so tokens' scores are those of a code."""
-    tokens = [b"the", b"then", b"than", b"of", context_mixing.END, b"long" * 40]
-    tables = context_mixing.Tables.counted(tokens)
-    got = context_mixing.token_scores(tokens, tables, context_mixing.learned(tokens, tables))
-    assert (got < 0).all() and (10**got).sum() <= 1
+def small_model(spelled_too=True):
+    rng = random.Random(8)
+    words = [b"the", b"of", b"and", b"red", b"apple", b"blue", b"stone", "\u00e4pfel".encode()]
+    texts = [[rng.choice(words) if rng.random() < 0.9 else bytes(rng.choice(b"abcxyz") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(0, 30))] + [context_mixing.END] for _ in range(300)]
+    count = collections.Counter(t for w in texts for t in w)
+    hot = {t: n for t, n in count.items() if n > 3}
+    code = context_mixing.Code(list(hot), np.array(list(hot.values())), sum(count.values()) - sum(hot.values()))
+    coded = [context_mixing.encoded(w, code.places()) for w in texts]
+    tables = context_mixing.Tables(context_mixing.Tables.of(context_mixing.Tables.counts(context_mixing.rows_of(code, coded), 14)))
+    mixer = context_mixing.Mixer()
+    context_mixing.learn_from(coded, code, tables, context_mixing.Mixer())
+    context_mixing.learn_from(coded, code, tables, mixer)
+    return texts, code, tables, context_mixing.Mixer(mixer.weights, mixer.hits)
+
+
+def test_next_chances_sum_to_one():
+    """In sampled states the chances of all next tokens, the escape included, sum to one, and so do those of all next bytes."""
+    texts, code, tables, mixer = small_model()
+    for words in texts[:12]:
+        before, spelled = context_mixing.encoded(words[:-1], code.places())
+        total = 0.0
+        for symbol in range(len(code.tokens) + 1):
+            ids = np.append(before, np.int32(symbol)).astype(np.int32)
+            rows = next(context_mixing.rows_of(code, [(ids, spelled + (b"q " if symbol == 0 else b""))]))
+            logs = context_mixing.bit_logs(rows, tables, mixer)
+            total += 10 ** float(logs[len(logs) - rows.sizes[-1] :].sum())
+        assert total == pytest.approx(1, abs=1e-5)
+    for start in (b"", b"a", b"xyz", b"c\xc3"):
+        total = 0.0
+        for b in range(256):
+            raw = np.frombuffer(start + bytes([b]), np.uint8)
+            rows = context_mixing.Rows(context_mixing._BYTES, raw, context_mixing.byte_contexts(raw, np.arange(len(raw)) == 0, np.full(len(raw), 2)), np.zeros(len(raw), np.int64), True)
+            logs = context_mixing.bit_logs(rows, tables, mixer)
+            total += 10 ** float(logs[len(logs) - rows.sizes[-1] :].sum())
+        assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_scores_match_a_scalar_coder():
+    """The blocks' scores against a plain loop over tokens and bits, with and without a text's own bits."""
+    m = context_mixing
+    texts, code, tables, mixer = small_model()
+    places, bits = code.places(), tables.slot_bits
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 31)) * int(m._ODD)) & mask
+        return x ^ (x >> 29)
+
+    def bit_score(hashes, tree, symbol, spelled, own):
+        total = 0.0
+        for at in range(tree.begin[symbol], tree.begin[symbol] + tree.size[symbol]):
+            bit, odds, levels = int(tree.bits[at]), [], []
+            for c, h in enumerate(hashes):
+                slot = ((h + int(tree.nodes[at])) * int(m._STEP) & mask) >> (64 - bits)
+                zeros, ones = (float(m._COUNT[x]) for x in divmod(int(tables.codes[c][slot]), 256))
+                if own:
+                    zeros, ones = max(zeros - (1 - bit), 0), max(ones - bit, 0)
+                odds.append(min(max(np.log((ones + 0.4) / (zeros + 0.4)), -12), 12))
+                levels.append(int(np.log2(zeros + ones + 1) / 2))
+            gate = int(spelled)
+            for i, c in enumerate(m.GATED):
+                gate = gate * m.GATES[i] + min(levels[c], m.GATES[i] - 1)
+            z = sum(x * float(w) for x, w in zip([*odds, 1.0], mixer.weights[:, gate]))
+            z = min(max(z, -12), 12)
+            at_step = (z + 12) * (m.STEPS - 1) / 24
+            low = min(int(at_step), m.STEPS - 2)
+            fixed = mixer.map[gate][low] * (1 - at_step + low) + mixer.map[gate][low + 1] * (at_step - low)
+            p = min(max((1 / (1 + np.exp(-z)) + fixed) / 2, 1e-6), 1 - 1e-6)
+            total += np.log10(p if bit else 1 - p)
+        return total
+
+    def scalar(words, own):
+        total, seen = 0.0, []
+        rank = lambda i, most: int(code.rank[seen[i]]) + 1 if -len(seen) <= i < 0 and code.rank[seen[i]] < most else 0
+        last = lambda most: next((i for i in range(-1, -len(seen) - 1, -1) if code.rank[seen[i]] < most), 0)
+        for word in words:
+            symbol = places.get(word, 0)
+            hub, first = rank(last(m.HUBS), m.HUBS), last(m.PAIRED)
+            second = next((i for i in range(first - 1, -len(seen) - 1, -1) if code.rank[seen[i]] < m.PAIRED), 0) if first else 0
+            before, before_that = rank(-1, m.BEFORE), rank(-2, m.BEFORE_THAT)
+            keys = [0, hub, before or m.BEFORE + 1 + hub, rank(first, m.PAIRED) * (m.PAIRED + 1) + rank(second, m.PAIRED), before * (m.BEFORE_THAT + 1) + before_that]
+            total += bit_score([mix(mix((k * m.CONTEXTS + c + 1) * int(m._STEP) & mask)) for c, k in enumerate(keys)], code.tree, symbol, False, own)
+            if symbol == 0:
+                for at, b in enumerate(word + b" "):
+                    upto = [0]
+                    for k in range(1, 6):
+                        upto.append(upto[-1] << 9 | (word[at - k] + 1 if at >= k else 0))
+                    keys = [upto[2] << 9 | hub, upto[3] << 9 | hub, upto[4], upto[3], upto[5]]
+                    total += bit_score([mix(mix(((k * int(m._STEP)) + m.CONTEXTS + c + 1) & mask) * int(m._STEP) & mask) for c, k in enumerate(keys)], m._BYTES, b, True, own)
+            seen.append(symbol)
+        return total
+
+    coded = [m.encoded(w, places) for w in texts]
+    own = np.arange(len(texts)) % 2 == 0
+    for training, marks in ((None, np.zeros(len(texts), bool)), (own, own)):
+        got = m.text_scores(coded, code, tables, mixer, training)
+        want = [scalar(w, o) for w, o in zip(texts[:40], marks)]
+        assert np.allclose(got[:40], want, rtol=2e-5)
 
 
 def test_words_before_foretell_seen_tokens():
-    """One token, seen as often in either place, scores by the words before it; and texts' chances are those of a code."""
+    """One token, seen as often in either place, scores by the words before it; texts of a block don't reach into each other."""
     pairs = [b"red", b"apple", b"blue", b"stone"]
-    texts = [context_mixing.coded_text([*pairs[k : k + 2], context_mixing.END]) for k in (0, 2)] * 200
-    tables = context_mixing.Tables.counted(texts)
-    mixer = context_mixing.learned(texts, tables)
-    usual, crossed = context_mixing.token_scores([texts[0], b"red stone \n"], tables, mixer)
+    texts = [[*pairs[k : k + 2], context_mixing.END] for k in (0, 2)] * 200
+    code = context_mixing.Code([*pairs, context_mixing.END], np.array([200] * 4 + [400]), 0)
+    coded = [context_mixing.encoded(w, code.places()) for w in texts]
+    tables = context_mixing.Tables(context_mixing.Tables.of(context_mixing.Tables.counts(context_mixing.rows_of(code, coded), 12)))
+    mixer = context_mixing.Mixer()
+    context_mixing.learn_from(coded, code, tables, mixer)
+    score = lambda *words: context_mixing.text_scores([context_mixing.encoded([*w.split(), context_mixing.END], code.places()) for w in words], code, tables, mixer)
+    usual, crossed = score(b"red apple", b"red stone")
     assert usual > crossed + 1
-    for left, right in ((b"a b", b"b a"), (b"a\xc3\xa4", b"")):  # contexts don't reach into another text of the block
-        ends = [context_mixing.coded_text([*x.split(), context_mixing.END]) for x in (left, right, left)]
-        alone = [context_mixing.token_scores([x], tables, mixer)[0] for x in ends]
-        assert np.allclose(context_mixing.token_scores(ends, tables, mixer), alone)
+    ends = [b"red zzz", b"", b"a\xc3\xa4 stone", b"red zzz"]
+    assert np.allclose(score(*ends), [score(x)[0] for x in ends])
+
+
+def test_long_texts_are_cut(monkeypatch):
+    """Texts of more tokens than a block and words longer than a piece are scored whole, in parts."""
+    _, code, tables, mixer = small_model()
+    words = [b"red", b"q" * 100, b"apple", b"w"] * 30
+    whole = context_mixing.encoded(words, code.places())
+    monkeypatch.setattr(context_mixing, "BLOCK", 32)
+    parts = [context_mixing.encoded(words[lo : lo + 32], code.places()) for lo in range(0, len(words), 32)]
+    assert context_mixing.text_scores([whole], code, tables, mixer)[0] == pytest.approx(context_mixing.text_scores(parts, code, tables, mixer).sum())
+    monkeypatch.setattr(context_mixing, "PIECE", 64)
+    cut = sum(rows.sizes.sum() for rows in context_mixing.rows_of(code, [whole]))
+    assert cut == code.tree.size[whole[0]].sum() + context_mixing._BYTES.size[np.frombuffer(whole[1], np.uint8)].sum()
 
 
 def test_surrogates_outnumber_the_lists(spark):

@@ -1,10 +1,10 @@
-"""LM scoring by logistic context mixing: every bit of every text predicted from hashed contexts that reach over the words before, mixed with gated weights."""
+"""LM scoring by logistic context mixing: every token as bits of a code, each bit predicted from hashed contexts, mixed with gated weights."""
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
+from itertools import repeat
 from typing import Iterator
 
 import numpy as np
@@ -16,36 +16,38 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import cut, written
 from tidewright.llm.quality_classifier import held_out
 
-#: Contexts of a byte: the token so far (whose counts are the token's frequency), with the word before, with the two words
-#: before; the last three and the last five bytes, whatever tokens they lie in.
+#: Contexts of a bit. Of a token: none, the last hub before it, the word before, the last two hubs, the two words before.
+#: Of a byte of a spelled token: the last hub with two and with three bytes before it in the token, four, three and five bytes.
 CONTEXTS = 5
-PREFIX, PAIR, TRIPLE = 0, 1, 2
-#: Slots of a context's table, as a power of two.
+#: Most slots of a context's table, as a power of two. Smaller corpora have about a slot for each training token.
 SLOT_BITS = 21
-#: Sets of mixing weights: by how often the contexts of two words, one word and the token so far were seen.
-GATES = (3, 4, 4)
+#: Sets of mixing weights: by how often the second, the third and the last context were seen, for tokens and for bytes.
+GATES = (6, 5, 5)
+GATED = (1, 2, 4)
+SETS = 2 * math.prod(GATES)
 #: Steps of the final adaptive map, for each set of weights.
 STEPS = 33
 RATE = 0.05
 #: Rows of one step of learning.
-STEP_ROWS = 4096
-#: Bytes of a numpy block, and of a piece of a very long text, in which contexts begin anew.
-BLOCK, PIECE = 1 << 16, 1 << 20
-#: Partitions of texts that one counting or learning task takes, so that few tables are shuffled.
-TASK_PARTS = 8
-#: Tokens whose counts every task has at hand; the others are joined.
-FREQUENT = 300_000
+STEP_ROWS = 8192
+#: Tokens and bytes of a numpy block; a longer text is cut, and contexts begin anew.
+BLOCK, PIECE = 4096, 1 << 16
+#: Partitions that one counting or learning task takes, so that few tables are shuffled.
+TASK_PARTS = 4
+#: Tokens that have a code of their own, at most, and the bytes of the longest; the others are spelled.
+FREQUENT, LONGEST = 1 << 18, 64
+#: Of the tokens by frequency: those that are hubs, those of a pair of hubs, those that a word before is told apart by.
+HUBS, PAIRED, BEFORE, BEFORE_THAT = 256, 64, 4096, 256
 #: Distinct tokens that a counting task holds before it hands them on.
 HELD = 600_000
 
 #: The end of a document, counted as a token. No word has this byte: it is white space.
 END = b"\n"
-#: Follows each word when its bits are predicted.
+#: Follows each spelled token.
 STOP = 0x20
 
 _LOG10_2 = math.log10(2)
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,117 +55,159 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A fixed binary code of bytes, shorter for bytes that texts have more of: where each byte's path begins, its length,
-    and all paths' nodes (hashed) and bits one after another. Any byte has a path, so texts' bits are those of a code."""
-    usual = b" etaoinsrhldcumfpgwybvk.,xjqz0123456789\n-'\"():;/"
-    weight = [1e-4] * 256
-    for b in range(0x80, 0xC6):
-        weight[b] = 1e-3
-    for i, b in enumerate(usual):
-        weight[b] = 1 / (i + 2)
-    heap = [(w, i, i) for i, w in enumerate(weight)]
-    heapq.heapify(heap)
-    node, paths = 256, [[] for _ in range(256)]
-    below = {i: [i] for i in range(256)}
-    while len(heap) > 1:
-        (wa, _, a), (wb, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        for bit, side in ((0, a), (1, b)):
-            for leaf in below[side]:
-                paths[leaf].append((node, bit))
-        below[node] = below.pop(a) + below.pop(b)
-        heapq.heappush(heap, (wa + wb, node, node))
-        node += 1
-    sizes = np.array([len(x) for x in paths])
-    flat = [x for path in paths for x in reversed(path)]
-    nodes = (_mix(np.array([n for n, _ in flat], np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32)
-    return np.cumsum(sizes) - sizes, sizes, nodes, np.array([b for _, b in flat], np.uint8)
-
-
-_BEGIN, _SIZE, _NODE, _BIT = _code()
-_BYTE = _mix(_mix(np.arange(1, 257, dtype=np.uint64) * _STEP))
-
-
-def contexts(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Hashes (CONTEXTS, bytes) of what stands before each byte in its own stream; streams begin at `start`."""
+class Tree:
+    """A binary code of symbols in a fixed order: each node parts its symbols where their weights come nearest to halves. The
+    path of symbol s is nodes[begin[s] : begin[s] + size[s]], with a bit each. A node is named by the first symbol of its right side."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        n = len(weights)
+        sums = np.concatenate([[0], np.cumsum(weights, dtype=np.float64)])
+        low, high, active = np.zeros(n, np.int64), np.full(n, n), np.arange(n)
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        while True:
+            active = active[high[active] - low[active] > 1]
+            if not len(active):
+                break
+            a, b = low[active], high[active]
+            half = (sums[a] + sums[b]) / 2
+            at = np.searchsorted(sums, half)
+            at = np.clip(np.where(half - sums[at - 1] < sums[at] - half, at - 1, at), a + 1, b - 1)
+            right = active >= at
+            found.append((active, at, right))
+            low[active], high[active] = np.where(right, at, a), np.where(right, b, at)
+        symbol, node, bit = map(np.concatenate, zip(*found))
+        order = np.argsort(symbol, kind="stable")
+        self.size = np.bincount(symbol, minlength=n)
+        self.begin = np.cumsum(self.size) - self.size
+        self.nodes, self.bits = node[order].astype(np.uint32), bit[order].astype(np.uint8)
+
+
+def _byte_tree() -> Tree:
+    """A fixed code of bytes, shorter for those that texts have more of."""
+    weights = np.full(256, 1e-4)
+    weights[0x80:0xC6] = 1e-3
+    for i, b in enumerate(b" etaoinsrhldcumfpgwybvk.,xjqz0123456789\n-'\"():;/"):
+        weights[b] = 1 / (i + 2)
+    return Tree(weights)
+
+
+_BYTES = _byte_tree()
+
+
+class Code:
+    """Codes of the frequent tokens. Symbol 0 stands for all others, which are spelled; then come the tokens in byte order, so
+    that a node's tokens share their beginnings. other: how many training tokens are spelled."""
+
+    def __init__(self, tokens: list[bytes], counts: np.ndarray, other: int) -> None:
+        order = sorted(range(len(tokens)), key=tokens.__getitem__)
+        self.tokens = [tokens[i] for i in order]
+        counts = np.asarray(counts, np.int64)[order]
+        self.tree = Tree(np.concatenate([[max(1, other)], np.maximum(counts, 1)]))
+        rank = np.full(len(order) + 1, HUBS + BEFORE)
+        rank[1 + np.lexsort((np.arange(len(order)), -counts))] = np.arange(len(order))
+        self.rank = rank
+
+    def places(self) -> dict[bytes, int]:
+        return dict(zip(self.tokens, range(1, len(self.tokens) + 1)))
+
+
+def _last(marks: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each place the last marked one before it, not before `begin`; else -1."""
+    last = np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1))
+    last = np.concatenate([[-1], last[:-1]])
+    return np.where(last >= begin, last, -1)
+
+
+def token_contexts(code: Code, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the contexts of each token of streams of so many tokens, and its last hub (0: none)."""
+    rank = code.rank[ids]
+    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    named = lambda at, most: np.where(at >= 0, np.where(rank[at] < most, rank[at] + 1, 0), 0)
+    hub = named(_last(rank < HUBS, begin), HUBS)
+    paired = _last(rank < PAIRED, begin)
+    first = named(paired, PAIRED)
+    second = named(np.where(paired >= 0, paired[paired], -1), PAIRED)
+    place = np.arange(len(ids))
+    before = named(np.where(place - 1 >= begin, place - 1, -1), BEFORE)
+    before_that = named(np.where(place - 2 >= begin, place - 2, -1), BEFORE_THAT)
+    word = np.where(before > 0, before, BEFORE + 1 + hub)
+    keys = [np.zeros(len(ids), np.int64), hub, word, first * (PAIRED + 1) + second, before * (BEFORE_THAT + 1) + before_that]
+    return [_mix(_mix((k * CONTEXTS + c + 1).astype(np.uint64) * _STEP)) for c, k in enumerate(keys)], hub
+
+
+def byte_contexts(raw: np.ndarray, first: np.ndarray, hub: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the contexts of each byte. first: where a token begins; hub: of each byte's token."""
     n = len(raw)
-    begin = np.zeros(n, bool)
-    begin[1:] = raw[:-1] == STOP
-    begin[start] = True
-    word = np.cumsum(begin) - 1
-    at = np.flatnonzero(begin)
-    powers = lambda x: np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)]).cumprod(dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * powers(_ODD), dtype=np.uint64)])
-    inverse = powers(_INVERSE)[at]
-    prefix = (sums[:-1] - sums[at][word]) * inverse[word]
-    whole = _mix((sums[np.append(at[1:], n)] - sums[at]) * inverse + np.uint64(1))
-    first = word[start]
-    one, two = np.zeros_like(whole), np.zeros_like(whole)
-    one[1:], two[2:] = whole[:-1], whole[:-2]
-    one[first] = two[first] = 0
-    second = first + 1
-    two[second[second < len(whole)]] = 0
-    both = _mix(one * _STEP + two)
-    last = np.zeros(n, np.uint64)
-    out = np.empty((CONTEXTS, n), np.uint32)
-
-    def put(c: int, h: np.ndarray) -> None:
-        out[c] = _mix(h * _STEP + np.uint64(c + 1)) >> np.uint64(32)
-
-    for k in range(1, 6):
-        back = np.zeros(n, np.uint64)
-        back[k:] = raw[: n - k] + np.uint64(1) if n > k else 0
-        for j in range(k):
-            early = start + j
-            back[early[early < n]] = 0
-        last |= back << np.uint64(9 * (k - 1))
-        if k in (3, 5):
-            put(3 if k == 3 else 4, last)
-    put(PREFIX, prefix)
-    put(PAIR, prefix * _ODD + one[word])
-    put(TRIPLE, prefix * _ODD + both[word] + np.uint64(7))
-    return out
-
-
-class Walk:
-    """The bits of a block of streams: for each its slots (CONTEXTS, rows), its value, and the stream that it is of."""
-
-    def __init__(self, streams: list[bytes]) -> None:
-        pieces = [(i, s[at : at + PIECE]) for i, s in enumerate(streams) for at in range(0, len(s), PIECE)]
-        raw = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
-        long = np.array([len(p) for _, p in pieces], np.int64)
-        hashes = contexts(raw, np.cumsum(long) - long)
-        sizes = _SIZE[raw]
-        ends = np.cumsum(sizes)
-        of = np.repeat(np.arange(len(raw)), sizes)
-        path = np.arange(ends[-1]) + (_BEGIN[raw] - ends + sizes)[of]
-        node = _NODE[path]
-        self.bits = _BIT[path]
-        self.slots = np.empty((CONTEXTS, len(of)), np.int32)
-        for c in range(CONTEXTS):
-            self.slots[c] = (hashes[c][of] ^ node) >> np.uint32(32 - SLOT_BITS)
-        # a stream's rows stand together
-        rows = np.add.reduceat(sizes, np.cumsum(long) - long)
-        self.rows = np.bincount([i for i, _ in pieces], rows, len(streams)).astype(np.int64)
-
-
-def stream(token_or_text: bytes) -> bytes:
-    """What is coded: a text's words, each with STOP, and END; a lone word with STOP."""
-    return token_or_text if token_or_text.endswith(END) else token_or_text + bytes([STOP])
-
-
-def blocks(texts: list[bytes], most: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
-    """Streams of texts in runs of about `most` bytes, with the place of each run's first."""
-    first, run, size = 0, [], 0
-    for i, t in enumerate(texts):
-        s = stream(t)
-        if run and size + len(s) > most:
-            yield first, run
-            first, run, size = i, [], 0
-        run.append(s)
-        size += len(s)
-    if run:
-        yield first, run
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    before = np.zeros((5, n), np.uint64)
+    for k in range(5):
+        before[k, k + 1 :] = raw[: max(n - k - 1, 0)] + np.uint64(1)
+        before[k][np.arange(n) - k - 1 < begin] = 0
+    upto = [before[0]]
+    for x in before[1:]:
+        upto.append(upto[-1] << np.uint64(9) | x)
+    in_hub = lambda x: x << np.uint64(9) | hub.astype(np.uint64)
+    keys = [in_hub(upto[1]), in_hub(upto[2]), upto[3], upto[2], upto[4]]
+    return [_mix(_mix(k * _STEP + np.uint64(CONTEXTS + c + 1)) * _STEP) for c, k in enumerate(keys)]
+
+
+class Rows:
+    """Bits in order: their nodes, values, hashed contexts by symbol, and each symbol's number of bits and text."""
+
+    def __init__(self, tree: Tree, symbols: np.ndarray, hashes: list[np.ndarray], text: np.ndarray, spelled: bool) -> None:
+        self.sizes, self.hashes, self.text, self.spelled = tree.size[symbols], hashes, text, spelled
+        ends = np.cumsum(self.sizes)
+        path = np.arange(ends[-1] if len(ends) else 0) + np.repeat(tree.begin[symbols] - ends + self.sizes, self.sizes)
+        self.nodes, self.bits = tree.nodes[path].astype(np.uint64), tree.bits[path]
+
+    def slots(self, c: int, slot_bits: int) -> np.ndarray:
+        return ((np.repeat(self.hashes[c], self.sizes) + self.nodes) * _STEP >> np.uint64(64 - slot_bits)).astype(np.int64)
+
+    def by_text(self, x: np.ndarray, texts: int) -> np.ndarray:
+        """Sums of a number for each bit by text."""
+        ends = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[np.cumsum(self.sizes)]
+        return np.bincount(self.text, np.diff(ends, prepend=0.0), texts)
+
+
+def rows_of(code: Code, texts: list[tuple[np.ndarray, bytes]]) -> Iterator[Rows]:
+    """The bits of texts (symbols; the spelled tokens' bytes, each with STOP), in blocks of about BLOCK tokens."""
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    tokens = 0
+
+    def flush() -> Iterator[Rows]:
+        sizes = np.array([len(ids) for _, ids, _ in held])
+        ids = np.concatenate([x for _, x, _ in held])
+        text = np.array([t for t, _, _ in held])
+        hashes, hub = token_contexts(code, ids, sizes)
+        yield Rows(code.tree, ids, hashes, np.repeat(text, sizes), False)
+        raw = np.concatenate([x for _, _, x in held])
+        if len(raw):
+            stops = np.cumsum(raw == STOP) - (raw == STOP)
+            hubs = hub[ids == 0][stops]
+            of = np.repeat(text, [len(x) for _, _, x in held])
+            for lo in range(0, len(raw), PIECE):
+                part = slice(lo, lo + PIECE)
+                first = np.append(True, raw[part][:-1] == STOP)
+                yield Rows(_BYTES, raw[part], byte_contexts(raw[part], first, hubs[part]), of[part], True)
+
+    for t, (ids, spelled) in enumerate(texts):
+        raw = np.frombuffer(spelled, np.uint8)
+        if len(ids) > BLOCK:
+            ends = np.append(np.flatnonzero(raw == STOP) + 1, 0)  # the last: of no token
+            for lo in range(0, len(ids), BLOCK):
+                before, after = np.count_nonzero(ids[:lo] == 0), np.count_nonzero(ids[: lo + BLOCK] == 0)
+                held.append((t, ids[lo : lo + BLOCK], raw[ends[before - 1] : ends[after - 1]] if after > before else raw[:0]))
+                yield from flush()
+                held.clear()
+            continue
+        if held and tokens + len(ids) > BLOCK:
+            yield from flush()
+            held.clear()
+            tokens = 0
+        held.append((t, ids, raw))
+        tokens += len(ids)
+    if held:
+        yield from flush()
 
 
 #: A count as a byte: exact below 128, then in eighths of a doubling.
@@ -171,18 +215,20 @@ _COUNT = np.where(np.arange(256) < 128, np.arange(256), 128 * 2.0 ** ((np.arange
 
 
 def _coded(n: np.ndarray) -> np.ndarray:
-    big = 128 + np.rint(8 * np.log2(np.maximum(n, 128) / 128))
-    return np.where(n < 128, n, np.minimum(big, 255)).astype(np.uint8)
+    out = np.minimum(n, 128).astype(np.uint8)
+    big = n >= 128
+    out[big] = np.minimum(128 + np.rint(8 * np.log2(n[big] / 128)), 255)
+    return out
 
 
 def _lookup() -> tuple[np.ndarray, np.ndarray]:
-    """By 65,536 * left out (0: nothing, 1: a zero, 2: a one) + a slot's code: log odds of a one; log2 of the times seen."""
+    """By 65,536 * left out (0: nothing, 1: a zero, 2: a one) + a slot's code: log odds of a one; half the log2 of the times seen."""
     zeros, ones = np.repeat(_COUNT, 256), np.tile(_COUNT, 256)
     odds, level = [], []
     for lose in ((0, 0), (1, 0), (0, 1)):
         n0, n1 = np.maximum(zeros - lose[0], 0), np.maximum(ones - lose[1], 0)
-        odds.append(np.clip(np.log((n1 + 0.05) / (n0 + 0.05)), -12, 12))
-        level.append(np.log2(n0 + n1 + 1))
+        odds.append(np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -12, 12))
+        level.append(np.log2(n0 + n1 + 1) / 2)
     return np.concatenate(odds).astype(np.float32), np.concatenate(level).astype(np.uint8)
 
 
@@ -190,20 +236,18 @@ _ODDS, _LEVEL = _lookup()
 
 
 class Tables:
-    """Counts of zeros and ones by context and slot, over all bits of all texts: both as a byte in one code a slot."""
+    """Counts of zeros and ones by context and slot, over all bits of all training texts: both as a byte in one code a slot."""
 
     def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
+        self.codes, self.slot_bits = codes, codes.shape[1].bit_length() - 1
 
     @staticmethod
-    def counts(texts: Iterator[list[bytes]]) -> np.ndarray:
-        """Counts (CONTEXTS, slots, 2) of lists of texts."""
-        out = np.zeros((CONTEXTS, 2 << SLOT_BITS), np.uint32)
-        for some in texts:
-            for _, run in blocks(some):
-                walk = Walk(run)
-                for c in range(CONTEXTS):
-                    np.add.at(out[c], walk.slots[c] * 2 + walk.bits, np.uint32(1))
+    def counts(rows: Iterator[Rows], slot_bits: int) -> np.ndarray:
+        """Counts (CONTEXTS, slots, 2)."""
+        out, one = np.zeros((CONTEXTS, 2 << slot_bits), np.uint32), np.uint32(1)
+        for r in rows:
+            for c in range(CONTEXTS):
+                np.add.at(out[c], r.slots(c, slot_bits) * 2 + r.bits, one)
         return out.reshape(CONTEXTS, -1, 2)
 
     @staticmethod
@@ -212,30 +256,24 @@ class Tables:
         both = _coded(counts)
         return both[..., 0].astype(np.uint16) << 8 | both[..., 1]
 
-    @staticmethod
-    def counted(texts: list[bytes]) -> Tables:
-        return Tables(Tables.of(Tables.counts(iter([texts]))))
-
-    def inputs(self, slots: np.ndarray, left_out: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of a one from each context (contexts + 1, rows), the last a constant, and the gate of each row. left_out:
-        what is taken from the counts, as in _lookup(): in training texts a row's own bit."""
-        x = np.empty((CONTEXTS + 1, slots.shape[1]), np.float32)
-        x[-1] = 0.3
-        seen = []
+    def inputs(self, rows: Rows, left_out: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+        """Log odds of a one from each context and the gate of each bit. left_out: what is taken from the counts, as in
+        _lookup(): in training texts a bit's own."""
+        odds, gate = [], np.full(len(rows.bits), SETS // 2 * rows.spelled, np.int64)
         for c in range(CONTEXTS):
-            at = self.codes[c][slots[c]] + left_out
-            x[c] = _ODDS[at]
-            if c in (PREFIX, PAIR, TRIPLE):
-                seen.append(_LEVEL[at])
-        prefix, pair, triple = seen
-        gate = np.minimum(triple, GATES[0] - 1).astype(np.int64)
-        gate = gate * GATES[1] + np.minimum(pair, GATES[1] - 1)
-        return x, gate * GATES[2] + np.minimum(prefix >> 2, GATES[2] - 1)
+            at = self.codes[c].take(rows.slots(c, self.slot_bits)).astype(np.int64)
+            if left_out is not None:
+                at += left_out
+            odds.append(_ODDS.take(at))
+            if c in GATED:
+                i = GATED.index(c)
+                gate += np.minimum(_LEVEL.take(at), np.uint8(GATES[i] - 1)) * np.int64(math.prod(GATES[i + 1 :]))
+        return odds, gate
 
 
 def _start_weights() -> np.ndarray:
-    w = np.full((math.prod(GATES), CONTEXTS + 1), 1 / 3, np.float32)
-    w[:, -1] = 0
+    w = np.full((CONTEXTS + 1, SETS), 0.3, np.float32)
+    w[-1] = 0
     return w
 
 
@@ -244,89 +282,91 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Weights of the contexts by gate, and the adaptive map: what share of bits were one, by gate and step of the mixed
-    log odds, between whose steps it interpolates. The map starts as the identity with the mass of 50 bits a step."""
+    """Weights of the contexts and a constant by gate, and the adaptive map: what share of bits were one, by gate and step of
+    the mixed log odds, between whose steps it interpolates. The map starts as the identity with the mass of 50 bits a step."""
 
     def __init__(self, weights: np.ndarray | None = None, hits: np.ndarray | None = None) -> None:
         self.weights = _start_weights() if weights is None else weights
-        self.hits = np.zeros((2, len(self.weights), STEPS)) if hits is None else hits
+        self.squares = np.full_like(self.weights, 1e-4, dtype=np.float64)
+        self.hits = np.zeros((2, SETS, STEPS)) if hits is None else hits
         self.map = (self.hits[1] + 50 * _squash(np.linspace(-12, 12, STEPS))) / (self.hits[0] + self.hits[1] + 50)
         self.map = self.map.astype(np.float32)
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        z = x[0] * self.weights[:, 0][gate]
-        for c in range(1, len(x)):
-            z += x[c] * self.weights[:, c][gate]
+    def mixed(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        z = self.weights[-1].take(gate)
+        for c, x in enumerate(odds):
+            z += x * self.weights[c].take(gate)
         return np.clip(z, -12, 12, out=z)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> None:
-        """One online step: each gate's weights follow its rows' mean gradient; the map counts."""
-        z = self.mixed(x, gate)
-        sets = len(self.weights)
-        error = bits - _squash(z)
-        mass = np.bincount(gate, minlength=sets)
-        step = np.stack([np.bincount(gate, error * row, sets) for row in x], axis=1)
-        self.weights += (RATE * step / (mass[:, None] + 30)).astype(np.float32)
-        at = np.rint((z + 12) / 24 * (STEPS - 1)).astype(np.int64) + gate * STEPS + bits.astype(np.int64) * sets * STEPS
-        self.hits += np.bincount(at, minlength=2 * sets * STEPS).reshape(self.hits.shape)
-
-    def chance(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    def learn(self, odds: list[np.ndarray], gate: np.ndarray, bits: np.ndarray) -> None:
+        """Online steps of STEP_ROWS bits: each gate's weights follow its bits' mean gradient, by the size of those before; the map counts."""
+        for lo in range(0, len(gate), STEP_ROWS):
+            part = slice(lo, lo + STEP_ROWS)
+            g, b = gate[part], bits[part]
+            some = [x[part] for x in odds]
+            z = self.mixed(some, g)
+            error = b - _squash(z)
+            mass = np.bincount(g, minlength=SETS)
+            step = np.stack([np.bincount(g, error * x, SETS) for x in some] + [np.bincount(g, error, SETS)])
+            step /= mass + 30
+            self.squares += step * step
+            self.weights += (RATE * step / np.sqrt(self.squares)).astype(np.float32)
+            at = np.rint((z + 12) * np.float32((STEPS - 1) / 24)).astype(np.int64) + g * STEPS + b * np.int64(SETS * STEPS)
+            self.hits += np.bincount(at, minlength=2 * SETS * STEPS).reshape(self.hits.shape)
+
+    def chance(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """p(one): the mean of the mixed chance and the map's."""
-        z = self.mixed(x, gate)
+        z = self.mixed(odds, gate)
         at = (z + 12) * np.float32((STEPS - 1) / 24)
         low = np.minimum(at.astype(np.int64), STEPS - 2)
         part = at - low.astype(np.float32)
         low += gate * STEPS
         flat = self.map.ravel()
-        fixed = flat[low] * (1 - part) + flat[low + 1] * part
+        fixed = flat.take(low) * (1 - part) + flat.take(low + 1) * part
         return np.clip((_squash(z) + fixed) / 2, 1e-6, 1 - 1e-6)
 
 
 def _own(bits: np.ndarray) -> np.ndarray:
-    return (bits.astype(np.int32) + 1) << 16
+    return (bits.astype(np.int64) + 1) << 16
 
 
-def learn_from(texts: list[bytes], tables: Tables, mixer: Mixer) -> int:
-    """The mixer passes over all bits of training texts, each left out of the counts when it is predicted; the bytes."""
-    size = 0
-    for _, run in blocks(texts):
-        walk = Walk(run)
-        size += sum(map(len, run))
-        x, gate = tables.inputs(walk.slots, _own(walk.bits))
-        for lo in range(0, len(gate), STEP_ROWS):
-            part = slice(lo, lo + STEP_ROWS)
-            mixer.learn(x[:, part], gate[part], walk.bits[part])
-    return size
-
+def bit_logs(rows: Rows, tables: Tables, mixer: Mixer, training: np.ndarray | None = None) -> np.ndarray:
+    """log10 chance of each bit. training: by text, whether each bit is left out of the counts."""
+    left_out = None
+    if training is not None and training[rows.text].any():
+        left_out = _own(rows.bits) * np.repeat(training[rows.text], rows.sizes)
+    p = mixer.chance(*tables.inputs(rows, left_out))
+    bits = rows.bits
+    return np.log(bits * p + (1 - bits) * (1 - p)) * (1 / np.log(10))
 
-def learned(texts: list[bytes], tables: Tables) -> Mixer:
-    mixer = Mixer()
-    learn_from(texts, tables, mixer)
-    return mixer
 
-
-def token_scores(texts: list[bytes], tables: Tables, mixer: Mixer, training: list[bool] | None = None) -> np.ndarray:
-    """log10 probability of each text's (or lone token's) bits. Of texts marked as training each bit is left out of the counts."""
+def text_scores(texts: list[tuple[np.ndarray, bytes]], code: Code, tables: Tables, mixer: Mixer, training: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of each text's bits."""
     out = np.zeros(len(texts))
-    for first, run in blocks(texts):
-        walk = Walk(run)
-        left_out = np.int32(0)
-        if training is not None:
-            left_out = _own(walk.bits) * np.repeat(np.array(training[first : first + len(run)], np.int32), walk.rows)
-        p = mixer.chance(*tables.inputs(walk.slots, left_out))
-        logs = np.log10(np.where(walk.bits == 1, p, 1 - p))
-        out[first : first + len(run)] = np.add.reduceat(logs, np.cumsum(walk.rows) - walk.rows, dtype=np.float64)
+    for rows in rows_of(code, texts):
+        out += rows.by_text(bit_logs(rows, tables, mixer, training), len(texts))
     return out
 
 
+def learn_from(texts: list[tuple[np.ndarray, bytes]], code: Code, tables: Tables, mixer: Mixer) -> int:
+    """The mixer passes over all bits of training texts, each left out of the counts when it is predicted; the bits."""
+    bits = 0
+    for rows in rows_of(code, texts):
+        mixer.learn(*tables.inputs(rows, _own(rows.bits)), rows.bits)
+        bits += len(rows.bits)
+    return bits
+
+
 def tokens_of(text: str | None) -> list[bytes]:
     """Words, A-Z lower-cased, and END."""
     return [*(text or "").encode().lower().split(), END]
 
 
-def coded_text(tokens: list[bytes]) -> bytes:
-    """A text's tokens as the stream that is scored."""
-    return b" ".join(tokens)
+def encoded(words: list[bytes], places: dict[bytes, int]) -> tuple[np.ndarray, bytes]:
+    """A text's symbols, and the bytes of its spelled tokens, each with STOP."""
+    ids = np.fromiter(map(places.get, words, repeat(0)), np.int32, len(words))
+    other = np.flatnonzero(ids == 0).tolist()
+    return ids, b" ".join([*[words[i] for i in other], b""]) if other else b""
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,89 +388,101 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from part(train, other)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, bytes]]]:
     for batch in batches:
         for lo in range(0, len(batch), 500):
-            yield [coded_text(tokens_of(t)) for t in batch.slice(lo, 500)["text"].to_pylist()]
+            part = batch.slice(lo, 500)
+            yield [(np.frombuffer(x.as_buffer(), np.int32), s.as_py()) for x, s in zip(part["ids"], part["spelled"])]
 
 
 #: Slots of one row of a table on its way to the driver.
-PART = 1 << 15
+PART = 1 << 14
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts, by parts of tables; parts without any are left out."""
-    for i, x in enumerate(Tables.counts(_texts(batches)).reshape(-1, PART, 2)):
-        if x.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "counts"])
+def _tables(code, slot_bits: int):
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's counts, by parts of tables, in as few bytes a count as hold it; parts without any are left out."""
+        counts = Tables.counts((r for texts in _texts(batches) for r in rows_of(code.value, texts)), slot_bits)
+        for i, x in enumerate(counts.reshape(-1, min(PART, 1 << slot_bits), 2)):
+            if most := int(x.max()):
+                kind = np.min_scalar_type(most)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.astype(kind).tobytes()], pa.binary())], names=["part", "counts"])
 
+    return tables
 
-def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((PART, 2), np.int64)
-    for batch in batches:
-        for x in batch["counts"]:
-            total += np.frombuffer(x.as_buffer(), np.uint32).reshape(PART, 2)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([Tables.of(total).tobytes()], pa.binary())], names=["part", "codes"])
 
+def _summed(part: int):
+    def summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((part, 2), np.int64)
+        for batch in batches:
+            for x in batch["counts"].to_pylist():
+                total += np.frombuffer(x, f"u{len(x) // (2 * part)}").reshape(part, 2)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([Tables.of(total).tobytes()], pa.binary())], names=["part", "codes"])
+
+    return summed
 
-def _trained(tables):
+
+def _trained(code, tables):
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer()
-        size = sum(learn_from(texts, tables.value, mixer) for texts in _texts(batches))
+        size = sum(learn_from(texts, code.value, tables.value, mixer) for texts in _texts(batches))
         if size:
             yield pa.RecordBatch.from_arrays([pa.array([float(size)]), pa.array([mixer.weights.astype(np.float64).ravel().tolist()]), pa.array([mixer.hits.ravel().tolist()])], names=["mass", "weights", "hits"])
 
     return trained
 
 
-def fit(training: DataFrame):
-    """(tables, mixer) of training(text), as broadcast values of fixed size: 2 bytes a slot, and the mixer's few.
+def fit(training: DataFrame, code, tokens: int):
+    """(tables, mixer) of training(ids, spelled), as broadcast values of bounded size: 2 bytes a slot, and the mixer's few.
 
     Every bit of every training text takes part. Tasks of TASK_PARTS partitions count and add up their tables by parts; then
-    each passes over its texts with all counts, and the mixers' weights are averaged by the tasks' bytes, their maps added.
+    each passes over its texts with all counts, and the mixers' weights are averaged by the tasks' bits, their maps added.
     """
     sc = training.sparkSession.sparkContext
-    parts = training.rdd.getNumPartitions()
-    texts = training.coalesce(max(1, min(parts, max(sc.defaultParallelism, -(-parts // TASK_PARTS)))))
-    sums = texts.mapInArrow(_tables, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, codes binary")
-    codes = np.zeros((CONTEXTS << SLOT_BITS) // PART * PART, np.uint16).reshape(-1, PART)
-    for row in sums.collect():  # the tables, whose size is fixed
+    slot_bits = min(SLOT_BITS, max(12, tokens.bit_length()))
+    part = min(PART, 1 << slot_bits)
+    texts = training.coalesce(-(-training.rdd.getNumPartitions() // TASK_PARTS) or 1)
+    sums = texts.mapInArrow(_tables(code, slot_bits), "part int, counts binary").groupBy("part").applyInArrow(_summed(part), "part int, codes binary")
+    codes = np.zeros((CONTEXTS << slot_bits) // part * part, np.uint16).reshape(-1, part)
+    for row in sums.toLocalIterator():  # the tables, whose size is bounded
         codes[row["part"]] = np.frombuffer(row["codes"], np.uint16)
     tables = sc.broadcast(Tables(codes.reshape(CONTEXTS, -1)))
-    mixed = cut(texts.mapInArrow(_trained(tables), "mass double, weights array<double>, hits array<double>"))  # one row a task, summed by place before the driver sees it
+    mixed = cut(texts.mapInArrow(_trained(code, tables), "mass double, weights array<double>, hits array<double>"))  # one row a task, summed by place before the driver sees it
     total = mixed.agg(F.sum("mass")).first()[0]
     if not total:
         return tables, sc.broadcast(Mixer())
     place = lambda c, x: mixed.select("mass", F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum(x).alias("x")).orderBy("i").collect()
     weights = np.array([r["x"] for r in place("weights", F.col("x") * F.col("mass"))], np.float64) / total
     hits = np.array([r["x"] for r in place("hits", F.col("x"))])
-    start = _start_weights()
-    return tables, sc.broadcast(Mixer(weights.reshape(start.shape).astype(np.float32), hits.reshape(2, len(start), STEPS)))
+    return tables, sc.broadcast(Mixer(weights.reshape(CONTEXTS + 1, SETS).astype(np.float32), hits.reshape(2, SETS, STEPS)))
 
 
 def frequent(counted: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """The tokens of counted(token, n) seen over some number of times, the least that leaves `most` of them at most."""
-    times = counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("tokens"))
+    """The tokens of counted(token, n) seen over some number of times, once at least, the least that leaves `most` of them at most."""
+    able = counted.where(F.octet_length("token") <= LONGEST)
+    times = able.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("tokens"))
     over, kept = 100_000, 0
-    for row in times.orderBy(F.desc("n")).collect():  # at most 100,001 rows
+    for row in times.where("n > 1").orderBy(F.desc("n")).collect():  # at most 100,000 rows
         if kept + row["tokens"] > most:
             break
         over, kept = row["n"] - 1, kept + row["tokens"]
-    return counted.where(F.col("n") > over)
+    return able.where(F.col("n") > over)
 
 
 def score_documents(docs: DataFrame, fold: int = 1, most_frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs(doc_id, text).
 
     Tokens are words and an end, A-Z lower-cased; a null text is empty. The base is the smoothed frequency of tokens in
-    the training fold. The score is the log10 probability of all bits of the text, its words parted by a space: several
-    contexts, from the token so far to the two words before it, whose counts come from all bits of all training texts,
-    each give log odds; weights that a gate picks mix these, and an adaptive map refines the result. In a training text
-    each bit is left out of the counts that foretell it, so that its score is comparable with held-out ones.
-
-    For the base the tokens seen most, a bounded number, are summed in the task that reads the text; the others are joined
-    by token to their counts. Every row is scored, repeated ones alike; a null doc_id is not held out. Without training
-    texts tables are empty. Other columns are not read.
+    the training fold. The score is the log10 probability of all bits of all tokens: a frequent token's bits are its path in a
+    tree over the frequent tokens, any other's those of an escape and of its bytes. Several contexts, which reach back to the two
+    words and the two hubs (very frequent tokens, which tell the language) before a token, give log odds from counts of all bits of
+    all training texts; weights that a gate picks mix these, and an adaptive map refines the result. Chances of all next tokens
+    sum to one. In a training text each bit is left out of the counts that foretell it, so that its score is comparable with
+    held-out ones.
+
+    Texts become symbols once, in a table in the shared folder that all passes read. For the base the frequent tokens, a bounded
+    number, are summed there; the others are joined by token to their counts. Every row is scored, repeated ones alike; a
+    null doc_id is not held out. Without training texts tables are empty. Other columns are not read.
     """
     sc = docs.sparkSession.sparkContext
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), fold).alias("held_out"))
@@ -439,45 +491,58 @@ def score_documents(docs: DataFrame, fold: int = 1, most_frequent: int = FREQUEN
     n = F.col("n")
     row = vocabulary.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.count_if(n > 0).alias("distinct")).first()
     total, distinct = int(row["total"]), row["distinct"]
-    tables, mixer = fit(named.where(~F.col("held_out")).select("text"))
     hot = frequent(vocabulary, most_frequent).toArrow()
+    counts = hot["n"].to_numpy()
+    code = Code(hot["token"].to_pylist(), counts, total - int(counts.sum()))
     share = math.log10(total + 0.5 * (distinct + 1))
-    known = np.column_stack([np.log10(hot["n"].to_numpy() + 0.5) - share, hot["n"].to_numpy() > 0]) if len(hot) else np.zeros((0, 2))
-    at_hand = sc.broadcast((hot["token"].to_pylist(), known))
+    known = np.zeros(len(counts) + 1)
+    places = code.places()
+    known[[places[t] for t in hot["token"].to_pylist()]] = np.log10(counts + 0.5) - share
+    held = sc.broadcast((code.tokens, known))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, with its score and the base of its frequent tokens, and a row for each other token that it has."""
-        place = {t: i for i, t in enumerate(at_hand.value[0])}
-        sums_of = at_hand.value[1]
+        """A row for each document, with its symbols and the base of its frequent tokens, and a row for each other token that it has."""
+        at_hand = dict(zip(held.value[0], range(1, len(held.value[0]) + 1)))
         first = TaskContext.get().partitionId() << 36
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 rows, others = [], []
-                helds, words_of = part["held_out"].to_pylist(), list(map(tokens_of, part["text"].to_pylist()))
-                scores = token_scores(list(map(coded_text, words_of)), tables.value, mixer.value, [not h for h in helds])
-                for doc, text, held, words, score in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), helds, words_of, scores.tolist()):
-                    at = list(map(place.get, words))
-                    if None in at:
-                        others += [(first, t, n) for t, n in Counter(t for t, k in zip(words, at) if k is None).items()]
-                        at = [k for k in at if k is not None]
-                    total = sums_of[at].sum(axis=0)
-                    rows.append((first, None, 1, doc, held, len(words), int(total[1]), float(total[0]), score, len((text or "").encode())))
+                for doc, text, is_held in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), part["held_out"].to_pylist()):
+                    words = tokens_of(text)
+                    ids, spelled = encoded(words, at_hand)
+                    others += [(first, t, k) for t, k in Counter(spelled.split()).items()]
+                    lost_end = [(first, END, 1)] if ids[-1] == 0 else []
+                    others += lost_end
+                    rows.append((first, None, 1, doc, is_held, len(words), int(np.count_nonzero(ids)), float(held.value[1][ids].sum()), len((text or "").encode()), ids.tobytes(), spelled))
                     first += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
                 if others:
                     columns = [pa.array(x, k) for x, k in zip(zip(*others), kinds)]
                     yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(others), k) for k in kinds[3:])], names=names)
 
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-    names = ["row", "token", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "size"]
-    parts = written(named.mapInArrow(summed, "row long, token binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, size long"))
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["row", "token", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "size", "ids", "spelled"]
+    parts = written(named.mapInArrow(summed, "row long, token binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, size long, ids binary, spelled binary"))
     # a document's own row has no token and no partner in the join
+    whole = parts.where(F.col("token").isNull()).drop("token", "times")
+    shared = sc.broadcast(code)
+    tables, mixer = fit(whole.where(~F.col("held_out")).select("ids", "spelled"), shared, total)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            helds = ~np.array(batch["held_out"].to_pylist(), bool)
+            scores = [np.zeros(0)]
+            for i, texts in enumerate(_texts(iter([batch]))):
+                scores.append(text_scores(texts, shared.value, tables.value, mixer.value, helds[500 * i : 500 * i + 500]))
+            keep = [c for c in batch.schema.names if c not in ("ids", "spelled")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(np.concatenate(scores))], names=[*keep, "score"])
+
+    scores = whole.mapInArrow(scored, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, size long, score double")
     rare = parts.where(F.col("token").isNotNull()).select("row", "token", "times").join(vocabulary, "token")
     times = F.col("times")
     rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, times).otherwise(0)).alias("rare_known"), F.sum(times * (F.log10(n + 0.5) - share)).alias("rare_base"))
-    whole = parts.where(F.col("token").isNull()).join(rare, "row", "left")
-    out = whole.select(
+    out = scores.join(rare, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
