@@ -277,7 +277,6 @@ def small_model(spelled_too=True):
     coded = [context_mixing.encoded(w, code.places()) for w in texts]
     tables = context_mixing.Tables(context_mixing.Tables.of(context_mixing.Tables.counts(context_mixing.rows_of(code, coded), 14)))
     mixer = context_mixing.Mixer()
-    context_mixing.learn_from(coded, code, tables, context_mixing.Mixer())
     context_mixing.learn_from(coded, code, tables, mixer)
     return texts, code, tables, context_mixing.Mixer(mixer.weights, mixer.hits)
 
@@ -309,31 +308,31 @@ def test_scores_match_a_scalar_coder():
     m = context_mixing
     texts, code, tables, mixer = small_model()
     places, bits = code.places(), tables.slot_bits
-    mask = (1 << 64) - 1
+    mask, low = (1 << 64) - 1, (1 << 32) - 1
 
-    def mix(x):
-        x = ((x ^ (x >> 31)) * int(m._ODD)) & mask
-        return x ^ (x >> 29)
+    def hashed(x):
+        x = x * int(m._ODD) & mask
+        return ((x ^ (x >> 29)) * int(m._STEP) & mask) >> 32
 
-    def bit_score(hashes, tree, symbol, spelled, own):
+    def bit_score(keys, tree, symbol, spelled, own):
         total = 0.0
         for at in range(tree.begin[symbol], tree.begin[symbol] + tree.size[symbol]):
             bit, odds, levels = int(tree.bits[at]), [], []
-            for c, h in enumerate(hashes):
-                slot = ((h + int(tree.nodes[at])) * int(m._STEP) & mask) >> (64 - bits)
-                zeros, ones = (float(m._COUNT[x]) for x in divmod(int(tables.codes[c][slot]), 256))
+            for c, k in enumerate(keys):
+                slot = ((hashed(k) ^ int(tree.nodes[at])) * int(m._FIB) & low) >> (32 - bits)
+                zeros, ones = (float(m._COUNT[x]) for x in divmod(int(tables.codes[c][slot]), m.LEVELS))
                 if own:
                     zeros, ones = max(zeros - (1 - bit), 0), max(ones - bit, 0)
                 odds.append(min(max(np.log((ones + 0.4) / (zeros + 0.4)), -12), 12))
                 levels.append(int(np.log2(zeros + ones + 1) / 2))
             gate = int(spelled)
-            for i, c in enumerate(m.GATED):
-                gate = gate * m.GATES[i] + min(levels[c], m.GATES[i] - 1)
-            z = sum(x * float(w) for x, w in zip([*odds, 1.0], mixer.weights[:, gate]))
+            for level, sets in zip(levels[-3:], m.GATES):
+                gate = gate * sets + min(level, sets - 1)
+            z = sum(x * float(w) for x, w in zip([1.0, *odds], mixer.weights[:, gate]))
             z = min(max(z, -12), 12)
             at_step = (z + 12) * (m.STEPS - 1) / 24
-            low = min(int(at_step), m.STEPS - 2)
-            fixed = mixer.map[gate][low] * (1 - at_step + low) + mixer.map[gate][low + 1] * (at_step - low)
+            step = min(int(at_step), m.STEPS - 2)
+            fixed = mixer.map[gate][step] * (1 - at_step + step) + mixer.map[gate][step + 1] * (at_step - step)
             p = min(max((1 / (1 + np.exp(-z)) + fixed) / 2, 1e-6), 1 - 1e-6)
             total += np.log10(p if bit else 1 - p)
         return total
@@ -341,21 +340,20 @@ def test_scores_match_a_scalar_coder():
     def scalar(words, own):
         total, seen = 0.0, []
         rank = lambda i, most: int(code.rank[seen[i]]) + 1 if -len(seen) <= i < 0 and code.rank[seen[i]] < most else 0
-        last = lambda most: next((i for i in range(-1, -len(seen) - 1, -1) if code.rank[seen[i]] < most), 0)
+        last = lambda most, end: next((i for i in range(end - 1, -len(seen) - 1, -1) if code.rank[seen[i]] < most), 0)
         for word in words:
             symbol = places.get(word, 0)
-            hub, first = rank(last(m.HUBS), m.HUBS), last(m.PAIRED)
-            second = next((i for i in range(first - 1, -len(seen) - 1, -1) if code.rank[seen[i]] < m.PAIRED), 0) if first else 0
-            before, before_that = rank(-1, m.BEFORE), rank(-2, m.BEFORE_THAT)
-            keys = [0, hub, before or m.BEFORE + 1 + hub, rank(first, m.PAIRED) * (m.PAIRED + 1) + rank(second, m.PAIRED), before * (m.BEFORE_THAT + 1) + before_that]
-            total += bit_score([mix(mix((k * m.CONTEXTS + c + 1) * int(m._STEP) & mask)) for c, k in enumerate(keys)], code.tree, symbol, False, own)
+            hub, first = rank(last(m.HUBS, 0), m.HUBS), last(m.PAIRED, 0)
+            second = last(m.PAIRED, first) if first else 0
+            keys = [0, hub, rank(-1, m.BEFORE) or m.BEFORE + 1 + hub, rank(first, m.PAIRED) * (m.PAIRED + 1) + rank(second, m.PAIRED)]
+            total += bit_score([k * m.CONTEXTS + c + 1 for c, k in enumerate(keys)], code.tree, symbol, False, own)
             if symbol == 0:
                 for at, b in enumerate(word + b" "):
                     upto = [0]
                     for k in range(1, 6):
                         upto.append(upto[-1] << 9 | (word[at - k] + 1 if at >= k else 0))
-                    keys = [upto[2] << 9 | hub, upto[3] << 9 | hub, upto[4], upto[3], upto[5]]
-                    total += bit_score([mix(mix(((k * int(m._STEP)) + m.CONTEXTS + c + 1) & mask) * int(m._STEP) & mask) for c, k in enumerate(keys)], m._BYTES, b, True, own)
+                    keys = [upto[2] << 9 | hub, upto[3], upto[5]]
+                    total += bit_score([k + (c + 1 << 50) for c, k in enumerate(keys)], m._BYTES, b, True, own)
             seen.append(symbol)
         return total
 

@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import cut, written
 from tidewright.llm.quality_classifier import held_out
 
-#: Contexts of a bit. Of a token: none, the last hub before it, the word before, the last two hubs, the two words before.
-#: Of a byte of a spelled token: the last hub with two and with three bytes before it in the token, four, three and five bytes.
-CONTEXTS = 5
+#: Contexts of a bit. Of a token: none, the last hub before it, the word before, the last two hubs. Of a byte of a spelled
+#: token: the last hub with two bytes before it in the token, three and five bytes.
+CONTEXTS, BYTE_CONTEXTS = 4, 3
 #: Most slots of a context's table, as a power of two. Smaller corpora have about a slot for each training token.
-SLOT_BITS = 21
-#: Sets of mixing weights: by how often the second, the third and the last context were seen, for tokens and for bytes.
+SLOT_BITS = 22
+#: Sets of mixing weights: by how often the last three contexts were seen, for tokens and for bytes.
 GATES = (6, 5, 5)
-GATED = (1, 2, 4)
 SETS = 2 * math.prod(GATES)
 #: Steps of the final adaptive map, for each set of weights.
 STEPS = 33
@@ -31,13 +30,13 @@ RATE = 0.05
 #: Rows of one step of learning.
 STEP_ROWS = 8192
 #: Tokens and bytes of a numpy block; a longer text is cut, and contexts begin anew.
-BLOCK, PIECE = 4096, 1 << 16
+BLOCK, PIECE = 8192, 1 << 16
 #: Partitions that one counting or learning task takes, so that few tables are shuffled.
 TASK_PARTS = 4
 #: Tokens that have a code of their own, at most, and the bytes of the longest; the others are spelled.
-FREQUENT, LONGEST = 1 << 18, 64
+FREQUENT, LONGEST = 1 << 19, 64
 #: Of the tokens by frequency: those that are hubs, those of a pair of hubs, those that a word before is told apart by.
-HUBS, PAIRED, BEFORE, BEFORE_THAT = 256, 64, 4096, 256
+HUBS, PAIRED, BEFORE = 256, 64, 4096
 #: Distinct tokens that a counting task holds before it hands them on.
 HELD = 600_000
 
@@ -47,17 +46,18 @@ END = b"\n"
 STOP = 0x20
 
 _LOG10_2 = math.log10(2)
-_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_ODD, _STEP, _FIB = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint32(0x9E3779B1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _ODD
-    return x ^ (x >> np.uint64(29))
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """32 bits of a 64-bit hash."""
+    x = x * _ODD
+    return ((x ^ (x >> np.uint64(29))) * _STEP >> np.uint64(32)).astype(np.uint32)
 
 
 class Tree:
     """A binary code of symbols in a fixed order: each node parts its symbols where their weights come nearest to halves. The
-    path of symbol s is nodes[begin[s] : begin[s] + size[s]], with a bit each. A node is named by the first symbol of its right side."""
+    path of symbol s is nodes[begin[s] : begin[s] + size[s]], with a bit each. A node is named by a hash of the first symbol of its right side."""
 
     def __init__(self, weights: np.ndarray) -> None:
         n = len(weights)
@@ -79,7 +79,7 @@ class Tree:
         order = np.argsort(symbol, kind="stable")
         self.size = np.bincount(symbol, minlength=n)
         self.begin = np.cumsum(self.size) - self.size
-        self.nodes, self.bits = node[order].astype(np.uint32), bit[order].astype(np.uint8)
+        self.nodes, self.bits = node[order].astype(np.uint32) * np.uint32(0x85EBCA6B), bit[order].astype(np.uint8)
 
 
 def _byte_tree() -> Tree:
@@ -129,10 +129,9 @@ def token_contexts(code: Code, ids: np.ndarray, sizes: np.ndarray) -> tuple[list
     second = named(np.where(paired >= 0, paired[paired], -1), PAIRED)
     place = np.arange(len(ids))
     before = named(np.where(place - 1 >= begin, place - 1, -1), BEFORE)
-    before_that = named(np.where(place - 2 >= begin, place - 2, -1), BEFORE_THAT)
     word = np.where(before > 0, before, BEFORE + 1 + hub)
-    keys = [np.zeros(len(ids), np.int64), hub, word, first * (PAIRED + 1) + second, before * (BEFORE_THAT + 1) + before_that]
-    return [_mix(_mix((k * CONTEXTS + c + 1).astype(np.uint64) * _STEP)) for c, k in enumerate(keys)], hub
+    keys = [np.zeros(len(ids), np.int64), hub, word, first * (PAIRED + 1) + second]
+    return [_hashed((k * CONTEXTS + c + 1).astype(np.uint64)) for c, k in enumerate(keys)], hub
 
 
 def byte_contexts(raw: np.ndarray, first: np.ndarray, hub: np.ndarray) -> list[np.ndarray]:
@@ -143,12 +142,11 @@ def byte_contexts(raw: np.ndarray, first: np.ndarray, hub: np.ndarray) -> list[n
     for k in range(5):
         before[k, k + 1 :] = raw[: max(n - k - 1, 0)] + np.uint64(1)
         before[k][np.arange(n) - k - 1 < begin] = 0
-    upto = [before[0]]
-    for x in before[1:]:
-        upto.append(upto[-1] << np.uint64(9) | x)
-    in_hub = lambda x: x << np.uint64(9) | hub.astype(np.uint64)
-    keys = [in_hub(upto[1]), in_hub(upto[2]), upto[3], upto[2], upto[4]]
-    return [_mix(_mix(k * _STEP + np.uint64(CONTEXTS + c + 1)) * _STEP) for c, k in enumerate(keys)]
+    two = before[0] << np.uint64(9) | before[1]
+    three = two << np.uint64(9) | before[2]
+    five = three << np.uint64(18) | before[3] << np.uint64(9) | before[4]
+    keys = [two << np.uint64(9) | hub.astype(np.uint64), three, five]
+    return [_hashed(k + (np.uint64(c + 1) << np.uint64(50))) for c, k in enumerate(keys)]
 
 
 class Rows:
@@ -158,10 +156,10 @@ class Rows:
         self.sizes, self.hashes, self.text, self.spelled = tree.size[symbols], hashes, text, spelled
         ends = np.cumsum(self.sizes)
         path = np.arange(ends[-1] if len(ends) else 0) + np.repeat(tree.begin[symbols] - ends + self.sizes, self.sizes)
-        self.nodes, self.bits = tree.nodes[path].astype(np.uint64), tree.bits[path]
+        self.nodes, self.bits = tree.nodes.take(path), tree.bits.take(path)
 
     def slots(self, c: int, slot_bits: int) -> np.ndarray:
-        return ((np.repeat(self.hashes[c], self.sizes) + self.nodes) * _STEP >> np.uint64(64 - slot_bits)).astype(np.int64)
+        return ((np.repeat(self.hashes[c], self.sizes) ^ self.nodes) * _FIB >> np.uint32(32 - slot_bits)).view(np.int32)
 
     def by_text(self, x: np.ndarray, texts: int) -> np.ndarray:
         """Sums of a number for each bit by text."""
@@ -210,20 +208,21 @@ def rows_of(code: Code, texts: list[tuple[np.ndarray, bytes]]) -> Iterator[Rows]
         yield from flush()
 
 
-#: A count as a byte: exact below 128, then in eighths of a doubling.
-_COUNT = np.where(np.arange(256) < 128, np.arange(256), 128 * 2.0 ** ((np.arange(256) - 128) / 8))
+#: A count as one of LEVELS: exact below 24, then in quarters of a doubling.
+LEVELS, EXACT = 64, 24
+_COUNT = np.where(np.arange(LEVELS) < EXACT, np.arange(LEVELS), EXACT * 2.0 ** ((np.arange(LEVELS) - EXACT) / 4))
 
 
 def _coded(n: np.ndarray) -> np.ndarray:
-    out = np.minimum(n, 128).astype(np.uint8)
-    big = n >= 128
-    out[big] = np.minimum(128 + np.rint(8 * np.log2(n[big] / 128)), 255)
+    out = np.minimum(n, EXACT).astype(np.uint16)
+    big = n >= EXACT
+    out[big] = np.minimum(EXACT + np.rint(4 * np.log2(n[big] / EXACT)), LEVELS - 1)
     return out
 
 
 def _lookup() -> tuple[np.ndarray, np.ndarray]:
-    """By 65,536 * left out (0: nothing, 1: a zero, 2: a one) + a slot's code: log odds of a one; half the log2 of the times seen."""
-    zeros, ones = np.repeat(_COUNT, 256), np.tile(_COUNT, 256)
+    """By LEVELS ** 2 * left out (0: nothing, 1: a zero, 2: a one) + a slot's code: log odds of a one; half the log2 of the times seen."""
+    zeros, ones = np.repeat(_COUNT, LEVELS), np.tile(_COUNT, LEVELS)
     odds, level = [], []
     for lose in ((0, 0), (1, 0), (0, 1)):
         n0, n1 = np.maximum(zeros - lose[0], 0), np.maximum(ones - lose[1], 0)
@@ -233,10 +232,12 @@ def _lookup() -> tuple[np.ndarray, np.ndarray]:
 
 
 _ODDS, _LEVEL = _lookup()
+#: What each gated context adds to the number of a bit's set of weights.
+_GATE = [(np.minimum(_LEVEL, g - 1) * math.prod(GATES[i + 1 :])).astype(np.uint8) for i, g in enumerate(GATES)]
 
 
 class Tables:
-    """Counts of zeros and ones by context and slot, over all bits of all training texts: both as a byte in one code a slot."""
+    """Counts of zeros and ones by context and slot, over all bits of all training texts: both as levels in one code a slot."""
 
     def __init__(self, codes: np.ndarray) -> None:
         self.codes, self.slot_bits = codes, codes.shape[1].bit_length() - 1
@@ -246,7 +247,7 @@ class Tables:
         """Counts (CONTEXTS, slots, 2)."""
         out, one = np.zeros((CONTEXTS, 2 << slot_bits), np.uint32), np.uint32(1)
         for r in rows:
-            for c in range(CONTEXTS):
+            for c in range(len(r.hashes)):
                 np.add.at(out[c], r.slots(c, slot_bits) * 2 + r.bits, one)
         return out.reshape(CONTEXTS, -1, 2)
 
@@ -254,26 +255,26 @@ class Tables:
     def of(counts: np.ndarray) -> np.ndarray:
         """Codes of counts (..., 2)."""
         both = _coded(counts)
-        return both[..., 0].astype(np.uint16) << 8 | both[..., 1]
+        return both[..., 0] * np.uint16(LEVELS) + both[..., 1]
 
     def inputs(self, rows: Rows, left_out: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
         """Log odds of a one from each context and the gate of each bit. left_out: what is taken from the counts, as in
         _lookup(): in training texts a bit's own."""
-        odds, gate = [], np.full(len(rows.bits), SETS // 2 * rows.spelled, np.int64)
-        for c in range(CONTEXTS):
-            at = self.codes[c].take(rows.slots(c, self.slot_bits)).astype(np.int64)
+        odds, gate = [], np.full(len(rows.bits), SETS // 2 * rows.spelled, np.int32)
+        ungated = len(rows.hashes) - len(GATES)
+        for c in range(len(rows.hashes)):
+            at = self.codes[c].take(rows.slots(c, self.slot_bits), mode="clip").astype(np.int32)
             if left_out is not None:
                 at += left_out
-            odds.append(_ODDS.take(at))
-            if c in GATED:
-                i = GATED.index(c)
-                gate += np.minimum(_LEVEL.take(at), np.uint8(GATES[i] - 1)) * np.int64(math.prod(GATES[i + 1 :]))
+            odds.append(_ODDS.take(at, mode="clip"))
+            if c >= ungated:
+                gate += _GATE[c - ungated].take(at, mode="clip")
         return odds, gate
 
 
 def _start_weights() -> np.ndarray:
-    w = np.full((CONTEXTS + 1, SETS), 0.3, np.float32)
-    w[-1] = 0
+    w = np.full((CONTEXTS + 1, SETS), 0.35, np.float32)
+    w[0] = 0
     return w
 
 
@@ -281,53 +282,74 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+_IDENTITY = _squash(np.linspace(-12, 12, STEPS))
+
+
+def _logs(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log10 of the chances of bits whose chance of a one is p."""
+    return np.log(np.abs(p - (np.uint8(1) - bits))) * np.float32(1 / math.log(10))
+
+
 class Mixer:
-    """Weights of the contexts and a constant by gate, and the adaptive map: what share of bits were one, by gate and step of
+    """Weights of a constant and the contexts by gate, and the adaptive map: what share of bits were one, by gate and step of
     the mixed log odds, between whose steps it interpolates. The map starts as the identity with the mass of 50 bits a step."""
 
     def __init__(self, weights: np.ndarray | None = None, hits: np.ndarray | None = None) -> None:
         self.weights = _start_weights() if weights is None else weights
         self.squares = np.full_like(self.weights, 1e-4, dtype=np.float64)
         self.hits = np.zeros((2, SETS, STEPS)) if hits is None else hits
-        self.map = (self.hits[1] + 50 * _squash(np.linspace(-12, 12, STEPS))) / (self.hits[0] + self.hits[1] + 50)
-        self.map = self.map.astype(np.float32)
+        self.draw()
 
     def mixed(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        z = self.weights[-1].take(gate)
-        for c, x in enumerate(odds):
-            z += x * self.weights[c].take(gate)
+        z = self.weights[0].take(gate, mode="clip")
+        for w, x in zip(self.weights[1:], odds):
+            z += x * w.take(gate, mode="clip")
         return np.clip(z, -12, 12, out=z)
 
-    def learn(self, odds: list[np.ndarray], gate: np.ndarray, bits: np.ndarray) -> None:
-        """Online steps of STEP_ROWS bits: each gate's weights follow its bits' mean gradient, by the size of those before; the map counts."""
+    def learn(self, odds: list[np.ndarray], gate: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Online steps of STEP_ROWS bits: each gate's weights follow its bits' mean gradient, by the size of those before; the
+        map counts, and is drawn anew after the bits. The log10 chances of the bits, before they were learned from."""
+        out = np.empty(len(gate), np.float32)
         for lo in range(0, len(gate), STEP_ROWS):
             part = slice(lo, lo + STEP_ROWS)
             g, b = gate[part], bits[part]
             some = [x[part] for x in odds]
             z = self.mixed(some, g)
-            error = b - _squash(z)
+            p = _squash(z)
+            out[part] = _logs(b, self.refined(z, p, g))
+            error = b - p
             mass = np.bincount(g, minlength=SETS)
-            step = np.stack([np.bincount(g, error * x, SETS) for x in some] + [np.bincount(g, error, SETS)])
-            step /= mass + 30
-            self.squares += step * step
-            self.weights += (RATE * step / np.sqrt(self.squares)).astype(np.float32)
-            at = np.rint((z + 12) * np.float32((STEPS - 1) / 24)).astype(np.int64) + g * STEPS + b * np.int64(SETS * STEPS)
+            step = np.stack([np.bincount(g, error, SETS), *(np.bincount(g, error * x, SETS) for x in some)]) / (mass + 30)
+            n = len(step)
+            self.squares[:n] += step * step
+            self.weights[:n] += (RATE * step / np.sqrt(self.squares[:n])).astype(np.float32)
+            at = np.rint((z + 12) * np.float32((STEPS - 1) / 24)).astype(np.int32) + g * np.int32(STEPS) + b * np.int32(SETS * STEPS)
             self.hits += np.bincount(at, minlength=2 * SETS * STEPS).reshape(self.hits.shape)
 
-    def chance(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        self.draw()
+        return out
+
+    def draw(self) -> None:
+        self.map = ((self.hits[1] + 50 * _IDENTITY) / (self.hits[0] + self.hits[1] + 50)).astype(np.float32)
+
+    def refined(self, z: np.ndarray, p: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """p(one): the mean of the mixed chance and the map's."""
-        z = self.mixed(odds, gate)
         at = (z + 12) * np.float32((STEPS - 1) / 24)
-        low = np.minimum(at.astype(np.int64), STEPS - 2)
+        low = np.minimum(at.astype(np.int32), np.int32(STEPS - 2))
         part = at - low.astype(np.float32)
-        low += gate * STEPS
+        low += gate * np.int32(STEPS)
         flat = self.map.ravel()
-        fixed = flat.take(low) * (1 - part) + flat.take(low + 1) * part
-        return np.clip((_squash(z) + fixed) / 2, 1e-6, 1 - 1e-6)
+        fixed = flat.take(low, mode="clip")
+        fixed += (flat[1:].take(low, mode="clip") - fixed) * part
+        return np.clip((p + fixed) / 2, 1e-6, 1 - 1e-6)
+
+    def chance(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        z = self.mixed(odds, gate)
+        return self.refined(z, _squash(z), gate)
 
 
 def _own(bits: np.ndarray) -> np.ndarray:
-    return (bits.astype(np.int64) + 1) << 16
+    return (bits + np.uint8(1)) * np.int32(LEVELS**2)
 
 
 def bit_logs(rows: Rows, tables: Tables, mixer: Mixer, training: np.ndarray | None = None) -> np.ndarray:
@@ -335,9 +357,7 @@ def bit_logs(rows: Rows, tables: Tables, mixer: Mixer, training: np.ndarray | No
     left_out = None
     if training is not None and training[rows.text].any():
         left_out = _own(rows.bits) * np.repeat(training[rows.text], rows.sizes)
-    p = mixer.chance(*tables.inputs(rows, left_out))
-    bits = rows.bits
-    return np.log(bits * p + (1 - bits) * (1 - p)) * (1 / np.log(10))
+    return _logs(rows.bits, mixer.chance(*tables.inputs(rows, left_out)))
 
 
 def text_scores(texts: list[tuple[np.ndarray, bytes]], code: Code, tables: Tables, mixer: Mixer, training: np.ndarray | None = None) -> np.ndarray:
@@ -348,13 +368,14 @@ def text_scores(texts: list[tuple[np.ndarray, bytes]], code: Code, tables: Table
     return out
 
 
-def learn_from(texts: list[tuple[np.ndarray, bytes]], code: Code, tables: Tables, mixer: Mixer) -> int:
-    """The mixer passes over all bits of training texts, each left out of the counts when it is predicted; the bits."""
-    bits = 0
+def learn_from(texts: list[tuple[np.ndarray, bytes]], code: Code, tables: Tables, mixer: Mixer) -> tuple[np.ndarray, int]:
+    """The mixer passes over all bits of training texts, each left out of the counts when it is predicted, and learns from them
+    after. The log10 probability of each text as it was predicted, and the number of bits."""
+    out, bits = np.zeros(len(texts)), 0
     for rows in rows_of(code, texts):
-        mixer.learn(*tables.inputs(rows, _own(rows.bits)), rows.bits)
+        out += rows.by_text(mixer.learn(*tables.inputs(rows, _own(rows.bits)), rows.bits), len(texts))
         bits += len(rows.bits)
-    return bits
+    return out, bits
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -422,39 +443,58 @@ def _summed(part: int):
     return summed
 
 
+#: A scored document, and what a task has learned, which a row without them bears.
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, size long, score double"
+LEARNED = "mass double, weights array<double>, hits array<double>"
+
+
 def _trained(code, tables):
+    """Training documents scored as the mixer learns from them, then a row of the task's mixer."""
+    kept = [x.split()[0] for x in SCORED.split(", ")][:-1]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    names = [*kept, "score", *(x.split()[0] for x in LEARNED.split(", "))]
+
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer()
-        size = sum(learn_from(texts, code.value, tables.value, mixer) for texts in _texts(batches))
+        mixer, size = Mixer(), 0
+        for batch in batches:
+            found = [learn_from(texts, code.value, tables.value, mixer) for texts in _texts(iter([batch]))]
+            size += sum(bits for _, bits in found)
+            score = pa.array(np.concatenate([np.zeros(0), *(x for x, _ in found)]))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), score, *(pa.nulls(len(batch), k) for k in kinds[-3:])], names=names)
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array([float(size)]), pa.array([mixer.weights.astype(np.float64).ravel().tolist()]), pa.array([mixer.hits.ravel().tolist()])], names=["mass", "weights", "hits"])
+            last = [[float(size)], [mixer.weights.astype(np.float64).ravel().tolist()], [mixer.hits.ravel().tolist()]]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:-3]), *(pa.array(x, k) for x, k in zip(last, kinds[-3:]))], names=names)
 
     return trained
 
 
 def fit(training: DataFrame, code, tokens: int):
-    """(tables, mixer) of training(ids, spelled), as broadcast values of bounded size: 2 bytes a slot, and the mixer's few.
+    """(tables, mixer, scored) of training(row, ids, spelled ...): broadcast values of bounded size, 2 bytes a slot and the
+    mixer's few; and the training documents with their scores.
 
     Every bit of every training text takes part. Tasks of TASK_PARTS partitions count and add up their tables by parts; then
-    each passes over its texts with all counts, and the mixers' weights are averaged by the tasks' bits, their maps added.
+    each passes over its texts with all counts, predicts each bit and learns from it. The mixers' weights are averaged by the
+    tasks' bits, their maps added.
     """
     sc = training.sparkSession.sparkContext
     slot_bits = min(SLOT_BITS, max(12, tokens.bit_length()))
     part = min(PART, 1 << slot_bits)
     texts = training.coalesce(-(-training.rdd.getNumPartitions() // TASK_PARTS) or 1)
-    sums = texts.mapInArrow(_tables(code, slot_bits), "part int, counts binary").groupBy("part").applyInArrow(_summed(part), "part int, codes binary")
+    sums = texts.select("ids", "spelled").mapInArrow(_tables(code, slot_bits), "part int, counts binary").groupBy("part").applyInArrow(_summed(part), "part int, codes binary")
     codes = np.zeros((CONTEXTS << slot_bits) // part * part, np.uint16).reshape(-1, part)
     for row in sums.toLocalIterator():  # the tables, whose size is bounded
         codes[row["part"]] = np.frombuffer(row["codes"], np.uint16)
     tables = sc.broadcast(Tables(codes.reshape(CONTEXTS, -1)))
-    mixed = cut(texts.mapInArrow(_trained(code, tables), "mass double, weights array<double>, hits array<double>"))  # one row a task, summed by place before the driver sees it
+    both = written(texts.mapInArrow(_trained(code, tables), f"{SCORED}, {LEARNED}"))
+    mixed = both.where("mass is not null")  # one row a task, summed by place before the driver sees it
     total = mixed.agg(F.sum("mass")).first()[0]
+    scored = both.where("mass is null").drop("mass", "weights", "hits")
     if not total:
-        return tables, sc.broadcast(Mixer())
+        return tables, sc.broadcast(Mixer()), scored
     place = lambda c, x: mixed.select("mass", F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum(x).alias("x")).orderBy("i").collect()
     weights = np.array([r["x"] for r in place("weights", F.col("x") * F.col("mass"))], np.float64) / total
     hits = np.array([r["x"] for r in place("hits", F.col("x"))])
-    return tables, sc.broadcast(Mixer(weights.reshape(CONTEXTS + 1, SETS).astype(np.float32), hits.reshape(2, SETS, STEPS)))
+    return tables, sc.broadcast(Mixer(weights.reshape(CONTEXTS + 1, SETS).astype(np.float32), hits.reshape(2, SETS, STEPS))), scored
 
 
 def frequent(counted: DataFrame, most: int = FREQUENT) -> DataFrame:
@@ -477,8 +517,8 @@ def score_documents(docs: DataFrame, fold: int = 1, most_frequent: int = FREQUEN
     tree over the frequent tokens, any other's those of an escape and of its bytes. Several contexts, which reach back to the two
     words and the two hubs (very frequent tokens, which tell the language) before a token, give log odds from counts of all bits of
     all training texts; weights that a gate picks mix these, and an adaptive map refines the result. Chances of all next tokens
-    sum to one. In a training text each bit is left out of the counts that foretell it, so that its score is comparable with
-    held-out ones.
+    sum to one. A training text is scored online, by the mixer of its task as it stood before it learned from the text's bits, with
+    each bit left out of the counts that foretell it, so that its score is comparable with held-out ones.
 
     Texts become symbols once, in a table in the shared folder that all passes read. For the base the frequent tokens, a bounded
     number, are summed there; the others are joined by token to their counts. Every row is scored, repeated ones alike; a
@@ -527,18 +567,15 @@ def score_documents(docs: DataFrame, fold: int = 1, most_frequent: int = FREQUEN
     # a document's own row has no token and no partner in the join
     whole = parts.where(F.col("token").isNull()).drop("token", "times")
     shared = sc.broadcast(code)
-    tables, mixer = fit(whole.where(~F.col("held_out")).select("ids", "spelled"), shared, total)
+    tables, mixer, scores = fit(whole.where(~F.col("held_out")), shared, total)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            helds = ~np.array(batch["held_out"].to_pylist(), bool)
-            scores = [np.zeros(0)]
-            for i, texts in enumerate(_texts(iter([batch]))):
-                scores.append(text_scores(texts, shared.value, tables.value, mixer.value, helds[500 * i : 500 * i + 500]))
+            score = [text_scores(texts, shared.value, tables.value, mixer.value) for texts in _texts(iter([batch]))]
             keep = [c for c in batch.schema.names if c not in ("ids", "spelled")]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(np.concatenate(scores))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(np.concatenate([np.zeros(0), *score]))], names=[*keep, "score"])
 
-    scores = whole.mapInArrow(scored, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, size long, score double")
+    scores = scores.unionByName(whole.where("held_out").mapInArrow(scored, SCORED))
     rare = parts.where(F.col("token").isNotNull()).select("row", "token", "times").join(vocabulary, "token")
     times = F.col("times")
     rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, times).otherwise(0)).alias("rare_known"), F.sum(times * (F.log10(n + 0.5) - share)).alias("rare_base"))
