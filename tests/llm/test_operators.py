@@ -281,31 +281,39 @@ def small_model(spelled_too=True):
     return texts, code, tables, context_mixing.Mixer(mixer.weights, mixer.hits)
 
 
-def test_next_chances_sum_to_one():
+@pytest.mark.parametrize("deep", [2, 11])
+def test_next_chances_sum_to_one(monkeypatch, deep):
     """In sampled states the chances of all next tokens, the escape included, sum to one, and so do those of all next bytes."""
+    monkeypatch.setattr(context_mixing, "DEEP", deep)
     texts, code, tables, mixer = small_model()
     for words in texts[:12]:
         before, spelled = context_mixing.encoded(words[:-1], code.places())
         total = 0.0
         for symbol in range(len(code.tokens) + 1):
             ids = np.append(before, np.int32(symbol)).astype(np.int32)
-            rows = next(context_mixing.rows_of(code, [(ids, spelled + (b"q " if symbol == 0 else b""))]))
-            logs = context_mixing.bit_logs(rows, tables, mixer)
-            total += 10 ** float(logs[len(logs) - rows.sizes[-1] :].sum())
+            for rows in context_mixing.rows_of(code, [(ids, spelled + (b"q " if symbol == 0 else b""))]):
+                if rows.kind == context_mixing.HEAD:
+                    logs = context_mixing.bit_logs(rows, tables, mixer)
+                    chance = logs[len(logs) - rows.sizes[-1] :].sum()
+                if rows.kind == context_mixing.TAIL and code.tree.size[symbol] > context_mixing.DEEP:
+                    logs = context_mixing.bit_logs(rows, tables, mixer)
+                    chance += logs[len(logs) - rows.sizes[-1] :].sum()
+            total += 10 ** float(chance)
         assert total == pytest.approx(1, abs=1e-5)
     for start in (b"", b"a", b"xyz", b"c\xc3"):
         total = 0.0
         for b in range(256):
             raw = np.frombuffer(start + bytes([b]), np.uint8)
-            rows = context_mixing.Rows(context_mixing._BYTES, raw, context_mixing.byte_contexts(raw, np.arange(len(raw)) == 0, np.full(len(raw), 2)), np.zeros(len(raw), np.int64), True)
+            rows = context_mixing.Rows(context_mixing._BYTES, raw, context_mixing.byte_contexts(raw, np.arange(len(raw)) == 0, np.full(len(raw), 2)), np.zeros(len(raw), np.int64), context_mixing.SPELLED)
             logs = context_mixing.bit_logs(rows, tables, mixer)
             total += 10 ** float(logs[len(logs) - rows.sizes[-1] :].sum())
         assert total == pytest.approx(1, abs=1e-5)
 
 
-def test_scores_match_a_scalar_coder():
+def test_scores_match_a_scalar_coder(monkeypatch):
     """The blocks' scores against a plain loop over tokens and bits, with and without a text's own bits."""
     m = context_mixing
+    monkeypatch.setattr(m, "DEEP", 3)
     texts, code, tables, mixer = small_model()
     places, bits = code.places(), tables.slot_bits
     mask, low = (1 << 64) - 1, (1 << 32) - 1
@@ -318,15 +326,19 @@ def test_scores_match_a_scalar_coder():
         total = 0.0
         for at in range(tree.begin[symbol], tree.begin[symbol] + tree.size[symbol]):
             bit, odds, levels = int(tree.bits[at]), [], []
-            for c, k in enumerate(keys):
+            kind = m.SPELLED if spelled else m.TAIL if at - tree.begin[symbol] >= m.DEEP else m.HEAD
+            codes = []
+            for c, k in enumerate(keys[: 1 if kind == m.TAIL else 3]):
                 slot = ((hashed(k) ^ int(tree.nodes[at])) * int(m._FIB) & low) >> (32 - bits)
-                zeros, ones = (float(m._COUNT[x]) for x in divmod(int(tables.codes[c][slot]), m.LEVELS))
+                codes.append(int(tables.codes[c][slot]))
+            for code_of in codes + [int(tree.codes[at])] * (not spelled):
+                zeros, ones = (float(m._COUNT[x]) for x in divmod(code_of, m.LEVELS))
                 if own:
                     zeros, ones = max(zeros - (1 - bit), 0), max(ones - bit, 0)
                 odds.append(min(max(np.log((ones + 0.4) / (zeros + 0.4)), -12), 12))
                 levels.append(int(np.log2(zeros + ones + 1) / 2))
-            gate = int(spelled)
-            for level, sets in zip(levels[-3:], m.GATES):
+            gate = kind
+            for level, sets in zip(levels[: len(codes)] + [0] * (3 - len(codes)), m.GATES):
                 gate = gate * sets + min(level, sets - 1)
             z = sum(x * float(w) for x, w in zip([1.0, *odds], mixer.weights[:, gate]))
             z = min(max(z, -12), 12)
@@ -345,7 +357,7 @@ def test_scores_match_a_scalar_coder():
             symbol = places.get(word, 0)
             hub, first = rank(last(m.HUBS, 0), m.HUBS), last(m.PAIRED, 0)
             second = last(m.PAIRED, first) if first else 0
-            keys = [0, hub, rank(-1, m.BEFORE) or m.BEFORE + 1 + hub, rank(first, m.PAIRED) * (m.PAIRED + 1) + rank(second, m.PAIRED)]
+            keys = [hub, rank(-1, m.BEFORE) or m.BEFORE + 1 + hub, rank(first, m.PAIRED) * (m.PAIRED + 1) + rank(second, m.PAIRED)]
             total += bit_score([k * m.CONTEXTS + c + 1 for c, k in enumerate(keys)], code.tree, symbol, False, own)
             if symbol == 0:
                 for at, b in enumerate(word + b" "):

@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import cut, written
 from tidewright.llm.quality_classifier import held_out
 
-#: Contexts of a bit. Of a token: none, the last hub before it, the word before, the last two hubs. Of a byte of a spelled
-#: token: the last hub with two bytes before it in the token, three and five bytes.
-CONTEXTS, BYTE_CONTEXTS = 4, 3
+#: Hashed contexts of a bit. Of a token: the last hub before it, the word before, the last two hubs; of the bits from the DEEPth
+#: on, which tell rare tokens apart, the last hub only. Of a byte of a spelled token: the last hub with two bytes before it in the
+#: token, three and five bytes. A token's bits have one more input, the tree's own counts.
+CONTEXTS, DEEP = 3, 11
+#: Kinds of bits.
+HEAD, TAIL, SPELLED = 0, 1, 2
 #: Most slots of a context's table, as a power of two. Smaller corpora have about a slot for each training token.
 SLOT_BITS = 22
-#: Sets of mixing weights: by how often the last three contexts were seen, for tokens and for bytes.
+#: Sets of mixing weights for each kind: by how often the contexts were seen.
 GATES = (6, 5, 5)
-SETS = 2 * math.prod(GATES)
+SETS = 3 * math.prod(GATES)
 #: Steps of the final adaptive map, for each set of weights.
 STEPS = 33
 RATE = 0.05
@@ -55,15 +58,28 @@ def _hashed(x: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) * _STEP >> np.uint64(32)).astype(np.uint32)
 
 
+#: A count as one of LEVELS: exact below 24, then in quarters of a doubling.
+LEVELS, EXACT = 64, 24
+_COUNT = np.where(np.arange(LEVELS) < EXACT, np.arange(LEVELS), EXACT * 2.0 ** ((np.arange(LEVELS) - EXACT) / 4))
+
+
+def _coded(n: np.ndarray) -> np.ndarray:
+    out = np.minimum(n, EXACT).astype(np.uint16)
+    big = n >= EXACT
+    out[big] = np.minimum(EXACT + np.rint(4 * np.log2(n[big] / EXACT)), LEVELS - 1)
+    return out
+
+
 class Tree:
     """A binary code of symbols in a fixed order: each node parts its symbols where their weights come nearest to halves. The
-    path of symbol s is nodes[begin[s] : begin[s] + size[s]], with a bit each. A node is named by a hash of the first symbol of its right side."""
+    path of symbol s is nodes[begin[s] : begin[s] + size[s]], with a bit each, and a code of the weights of both sides. A node
+    is named by a hash of the first symbol of its right side."""
 
     def __init__(self, weights: np.ndarray) -> None:
         n = len(weights)
         sums = np.concatenate([[0], np.cumsum(weights, dtype=np.float64)])
         low, high, active = np.zeros(n, np.int64), np.full(n, n), np.arange(n)
-        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint16))]
         while True:
             active = active[high[active] - low[active] > 1]
             if not len(active):
@@ -73,13 +89,15 @@ class Tree:
             at = np.searchsorted(sums, half)
             at = np.clip(np.where(half - sums[at - 1] < sums[at] - half, at - 1, at), a + 1, b - 1)
             right = active >= at
-            found.append((active, at, right))
+            sides = np.stack([sums[at] - sums[a], sums[b] - sums[at]], axis=1)
+            found.append((active, at, right, _coded(sides)[:, 0] * np.uint16(LEVELS) + _coded(sides)[:, 1]))
             low[active], high[active] = np.where(right, at, a), np.where(right, b, at)
-        symbol, node, bit = map(np.concatenate, zip(*found))
+        symbol, node, bit, code = map(np.concatenate, zip(*found))
         order = np.argsort(symbol, kind="stable")
         self.size = np.bincount(symbol, minlength=n)
         self.begin = np.cumsum(self.size) - self.size
         self.nodes, self.bits = node[order].astype(np.uint32) * np.uint32(0x85EBCA6B), bit[order].astype(np.uint8)
+        self.codes = code[order]
 
 
 def _byte_tree() -> Tree:
@@ -88,7 +106,7 @@ def _byte_tree() -> Tree:
     weights[0x80:0xC6] = 1e-3
     for i, b in enumerate(b" etaoinsrhldcumfpgwybvk.,xjqz0123456789\n-'\"():;/"):
         weights[b] = 1 / (i + 2)
-    return Tree(weights)
+    return Tree(weights / 100)  # under one: no counts
 
 
 _BYTES = _byte_tree()
@@ -106,32 +124,32 @@ class Code:
         rank = np.full(len(order) + 1, HUBS + BEFORE)
         rank[1 + np.lexsort((np.arange(len(order)), -counts))] = np.arange(len(order))
         self.rank = rank
+        # of each symbol, and last of a text's begin: its name as a context (0: none), and whether it is found as such
+        self.hub, self.paired, self.before = (np.append(np.where(rank < most, rank + 1, 0), 0).astype(np.int32) for most in (HUBS, PAIRED, BEFORE))
+        self.is_hub, self.is_paired = (np.append(x[:-1] > 0, True).astype(np.int32) for x in (self.hub, self.paired))
 
     def places(self) -> dict[bytes, int]:
         return dict(zip(self.tokens, range(1, len(self.tokens) + 1)))
 
 
-def _last(marks: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """For each place the last marked one before it, not before `begin`; else -1."""
-    last = np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1))
-    last = np.concatenate([[-1], last[:-1]])
-    return np.where(last >= begin, last, -1)
-
-
 def token_contexts(code: Code, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashes of the contexts of each token of streams of so many tokens, and its last hub (0: none)."""
-    rank = code.rank[ids]
-    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    named = lambda at, most: np.where(at >= 0, np.where(rank[at] < most, rank[at] + 1, 0), 0)
-    hub = named(_last(rank < HUBS, begin), HUBS)
-    paired = _last(rank < PAIRED, begin)
-    first = named(paired, PAIRED)
-    second = named(np.where(paired >= 0, paired[paired], -1), PAIRED)
-    place = np.arange(len(ids))
-    before = named(np.where(place - 1 >= begin, place - 1, -1), BEFORE)
-    word = np.where(before > 0, before, BEFORE + 1 + hub)
-    keys = [np.zeros(len(ids), np.int64), hub, word, first * (PAIRED + 1) + second]
-    return [_hashed((k * CONTEXTS + c + 1).astype(np.uint64)) for c, k in enumerate(keys)], hub
+    n = len(ids) + len(sizes)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    own = np.ones(n, bool)
+    own[begins] = False
+    x = np.empty(n, np.int32)
+    x[own], x[begins] = ids, len(code.rank)
+    place = np.arange(n, dtype=np.int32)
+    at = np.flatnonzero(own) - 1  # the place before each token; a text's begin stops every search
+    hub = code.hub.take(x.take(np.maximum.accumulate(place * code.is_hub.take(x)).take(at)))
+    paired = np.maximum.accumulate(place * code.is_paired.take(x))
+    last = paired.take(at)
+    first = code.paired.take(x.take(last))
+    second = code.paired.take(x.take(paired.take(last - 1))) * (first > 0)
+    before = code.before.take(x.take(at))
+    keys = [hub, before + (before == 0) * (hub + np.int32(BEFORE + 1)), first * np.int32(PAIRED + 1) + second]
+    return [_hashed((k * np.int32(CONTEXTS) + np.int32(c + 1)).astype(np.uint64)) for c, k in enumerate(keys)], hub
 
 
 def byte_contexts(raw: np.ndarray, first: np.ndarray, hub: np.ndarray) -> list[np.ndarray]:
@@ -150,21 +168,29 @@ def byte_contexts(raw: np.ndarray, first: np.ndarray, hub: np.ndarray) -> list[n
 
 
 class Rows:
-    """Bits in order: their nodes, values, hashed contexts by symbol, and each symbol's number of bits and text."""
-
-    def __init__(self, tree: Tree, symbols: np.ndarray, hashes: list[np.ndarray], text: np.ndarray, spelled: bool) -> None:
-        self.sizes, self.hashes, self.text, self.spelled = tree.size[symbols], hashes, text, spelled
-        ends = np.cumsum(self.sizes)
-        path = np.arange(ends[-1] if len(ends) else 0) + np.repeat(tree.begin[symbols] - ends + self.sizes, self.sizes)
+    """Bits of one kind in order: their nodes, values, hashed contexts by symbol, and each symbol's number of bits and text."""
+
+    def __init__(self, tree: Tree, symbols: np.ndarray, hashes: list[np.ndarray], text: np.ndarray, kind: int) -> None:
+        size, begin = tree.size[symbols], tree.begin[symbols]
+        if kind == TAIL:
+            some = size > DEEP
+            size, begin, hashes, text = size[some] - DEEP, begin[some] + DEEP, [hashes[0][some]], text[some]
+        elif kind == HEAD:
+            size = np.minimum(size, DEEP)
+        self.sizes, self.hashes, self.text, self.kind = size, hashes, text, kind
+        ends = np.cumsum(size)
+        path = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
         self.nodes, self.bits = tree.nodes.take(path), tree.bits.take(path)
+        self.codes = tree.codes.take(path) if kind != SPELLED else None
 
     def slots(self, c: int, slot_bits: int) -> np.ndarray:
         return ((np.repeat(self.hashes[c], self.sizes) ^ self.nodes) * _FIB >> np.uint32(32 - slot_bits)).view(np.int32)
 
     def by_text(self, x: np.ndarray, texts: int) -> np.ndarray:
         """Sums of a number for each bit by text."""
-        ends = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[np.cumsum(self.sizes)]
-        return np.bincount(self.text, np.diff(ends, prepend=0.0), texts)
+        if not len(x):
+            return np.zeros(texts)
+        return np.bincount(self.text, np.add.reduceat(x, np.cumsum(self.sizes) - self.sizes), texts)
 
 
 def rows_of(code: Code, texts: list[tuple[np.ndarray, bytes]]) -> Iterator[Rows]:
@@ -177,7 +203,9 @@ def rows_of(code: Code, texts: list[tuple[np.ndarray, bytes]]) -> Iterator[Rows]
         ids = np.concatenate([x for _, x, _ in held])
         text = np.array([t for t, _, _ in held])
         hashes, hub = token_contexts(code, ids, sizes)
-        yield Rows(code.tree, ids, hashes, np.repeat(text, sizes), False)
+        of = np.repeat(text, sizes)
+        yield Rows(code.tree, ids, hashes, of, HEAD)
+        yield Rows(code.tree, ids, hashes, of, TAIL)
         raw = np.concatenate([x for _, _, x in held])
         if len(raw):
             stops = np.cumsum(raw == STOP) - (raw == STOP)
@@ -186,7 +214,7 @@ def rows_of(code: Code, texts: list[tuple[np.ndarray, bytes]]) -> Iterator[Rows]
             for lo in range(0, len(raw), PIECE):
                 part = slice(lo, lo + PIECE)
                 first = np.append(True, raw[part][:-1] == STOP)
-                yield Rows(_BYTES, raw[part], byte_contexts(raw[part], first, hubs[part]), of[part], True)
+                yield Rows(_BYTES, raw[part], byte_contexts(raw[part], first, hubs[part]), of[part], SPELLED)
 
     for t, (ids, spelled) in enumerate(texts):
         raw = np.frombuffer(spelled, np.uint8)
@@ -208,18 +236,6 @@ def rows_of(code: Code, texts: list[tuple[np.ndarray, bytes]]) -> Iterator[Rows]
         yield from flush()
 
 
-#: A count as one of LEVELS: exact below 24, then in quarters of a doubling.
-LEVELS, EXACT = 64, 24
-_COUNT = np.where(np.arange(LEVELS) < EXACT, np.arange(LEVELS), EXACT * 2.0 ** ((np.arange(LEVELS) - EXACT) / 4))
-
-
-def _coded(n: np.ndarray) -> np.ndarray:
-    out = np.minimum(n, EXACT).astype(np.uint16)
-    big = n >= EXACT
-    out[big] = np.minimum(EXACT + np.rint(4 * np.log2(n[big] / EXACT)), LEVELS - 1)
-    return out
-
-
 def _lookup() -> tuple[np.ndarray, np.ndarray]:
     """By LEVELS ** 2 * left out (0: nothing, 1: a zero, 2: a one) + a slot's code: log odds of a one; half the log2 of the times seen."""
     zeros, ones = np.repeat(_COUNT, LEVELS), np.tile(_COUNT, LEVELS)
@@ -258,22 +274,22 @@ class Tables:
         return both[..., 0] * np.uint16(LEVELS) + both[..., 1]
 
     def inputs(self, rows: Rows, left_out: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-        """Log odds of a one from each context and the gate of each bit. left_out: what is taken from the counts, as in
+        """Log odds of a one from each context and the tree, and the gate of each bit. left_out: what is taken from the counts, as in
         _lookup(): in training texts a bit's own."""
-        odds, gate = [], np.full(len(rows.bits), SETS // 2 * rows.spelled, np.int32)
-        ungated = len(rows.hashes) - len(GATES)
-        for c in range(len(rows.hashes)):
-            at = self.codes[c].take(rows.slots(c, self.slot_bits), mode="clip").astype(np.int32)
-            if left_out is not None:
-                at += left_out
+        gate = np.full(len(rows.bits), math.prod(GATES) * rows.kind, np.int32)
+        codes = [self.codes[c].take(rows.slots(c, self.slot_bits), mode="clip") for c in range(len(rows.hashes))]
+        codes += [rows.codes] if rows.codes is not None else []
+        odds = []
+        for c, code in enumerate(codes):
+            at = code if left_out is None else code + left_out
             odds.append(_ODDS.take(at, mode="clip"))
-            if c >= ungated:
-                gate += _GATE[c - ungated].take(at, mode="clip")
+            if c < len(rows.hashes):
+                gate += _GATE[c].take(at, mode="clip")
         return odds, gate
 
 
 def _start_weights() -> np.ndarray:
-    w = np.full((CONTEXTS + 1, SETS), 0.35, np.float32)
+    w = np.full((CONTEXTS + 2, SETS), 0.35, np.float32)
     w[0] = 0
     return w
 
@@ -349,7 +365,7 @@ class Mixer:
 
 
 def _own(bits: np.ndarray) -> np.ndarray:
-    return (bits + np.uint8(1)) * np.int32(LEVELS**2)
+    return (bits + np.uint16(1)) * np.uint16(LEVELS**2)
 
 
 def bit_logs(rows: Rows, tables: Tables, mixer: Mixer, training: np.ndarray | None = None) -> np.ndarray:
@@ -494,7 +510,7 @@ def fit(training: DataFrame, code, tokens: int):
     place = lambda c, x: mixed.select("mass", F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum(x).alias("x")).orderBy("i").collect()
     weights = np.array([r["x"] for r in place("weights", F.col("x") * F.col("mass"))], np.float64) / total
     hits = np.array([r["x"] for r in place("hits", F.col("x"))])
-    return tables, sc.broadcast(Mixer(weights.reshape(CONTEXTS + 1, SETS).astype(np.float32), hits.reshape(2, SETS, STEPS))), scored
+    return tables, sc.broadcast(Mixer(weights.reshape(CONTEXTS + 2, SETS).astype(np.float32), hits.reshape(2, SETS, STEPS))), scored
 
 
 def frequent(counted: DataFrame, most: int = FREQUENT) -> DataFrame:
