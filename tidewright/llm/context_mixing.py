@@ -37,7 +37,7 @@ BLOCK, PIECE = 8192, 1 << 16
 #: Partitions that one counting or learning task takes, so that few tables are shuffled.
 TASK_PARTS = 4
 #: Tokens that have a code of their own, at most, and the bytes of the longest; the others are spelled.
-FREQUENT, LONGEST = 1 << 19, 64
+FREQUENT, LONGEST = 1 << 18, 64
 #: Of the tokens by frequency: those that are hubs, those of a pair of hubs, those that a word before is told apart by.
 HUBS, PAIRED, BEFORE = 256, 64, 4096
 #: Distinct tokens that a counting task holds before it hands them on.
@@ -78,8 +78,8 @@ class Tree:
     def __init__(self, weights: np.ndarray) -> None:
         n = len(weights)
         sums = np.concatenate([[0], np.cumsum(weights, dtype=np.float64)])
-        low, high, active = np.zeros(n, np.int64), np.full(n, n), np.arange(n)
-        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint16))]
+        low, high, active = np.zeros(n, np.int32), np.full(n, n, np.int32), np.arange(n, dtype=np.int32)
+        found: list[tuple] = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.uint16))]
         while True:
             active = active[high[active] - low[active] > 1]
             if not len(active):
@@ -87,7 +87,7 @@ class Tree:
             a, b = low[active], high[active]
             half = (sums[a] + sums[b]) / 2
             at = np.searchsorted(sums, half)
-            at = np.clip(np.where(half - sums[at - 1] < sums[at] - half, at - 1, at), a + 1, b - 1)
+            at = np.clip(np.where(half - sums[at - 1] < sums[at] - half, at - 1, at), a + 1, b - 1).astype(np.int32)
             right = active >= at
             sides = np.stack([sums[at] - sums[a], sums[b] - sums[at]], axis=1)
             found.append((active, at, right, _coded(sides)[:, 0] * np.uint16(LEVELS) + _coded(sides)[:, 1]))
