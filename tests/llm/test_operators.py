@@ -104,7 +104,7 @@ def test_keys_guarantee_the_distance():
 
 
 def test_packing_round_trip(spark, odd):
-    docs = sample(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(10_001, ""), (10_002, None), (10_003, "two  spaces \n and\ttabs <|endoftext|> 's "), (10_004, " lead"), (10_005, "end "), (10_006, "a\u00a0 b \u3000c d\x1c e\n\n f \n"), (10_007, "  x")], "doc_id long, text string"))
+    docs = sample(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(10_001, ""), (10_002, None), (10_003, "two  spaces \n and\ttabs <|endoftext|> 's "), (10_004, " lead"), (10_005, "end "), (10_006, "a\u00a0 b \u3000c d\x1c e\n\n f \n"), (10_007, "  x"), (10_008, "<|endoftext|>"), (10_009, "x <|endoftext|> y"), (10_010, "<|endoftext|><|endoftext|>a<|endoftext|>b  <|endoftext|>  c"), (10_011, "word<|endoftext|>word <|endoftext"), (10_012, " <|endoftext|>\n")], "doc_id long, text string"))
     rows = packing.pack_documents(docs).collect()
     tok = packing.load_tokenizer()
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)

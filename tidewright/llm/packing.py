@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -25,12 +26,21 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def load_tokenizer(name: str = TOKENIZER):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(_path(name))
+
+
+def _path(name: str) -> str:
+    import public_tokenizers
+
+    return name if os.path.isabs(name) else public_tokenizers.path(name)
+
+
+def special_ids(name: str = TOKENIZER) -> dict[str, bytes]:
+    """The tokenizer's added tokens, which it finds in any text, with their ids as bytes."""
+    with open(_path(name)) as found:
+        return {x["content"]: int(x["id"]).to_bytes(4, "little") for x in json.load(found)["added_tokens"]}
 
 
 class _Known(dict):
@@ -40,8 +50,7 @@ class _Known(dict):
         import public_tokenizers
         import tiktoken
 
-        path = name if os.path.isabs(name) else public_tokenizers.path(name)
-        with open(path, "rb") as lines:
+        with open(_path(name), "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -58,16 +67,24 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes: those of TOKENIZER, from the same vocabulary's ranks.
 
     The tokenizer never joins what stands before a single space with what follows, unless white space lies next to it; so
-    texts are cut there, and each distinct piece (a space and a word) is encoded once a task. Elsewhere texts stay whole.
+    texts are cut there, and each distinct piece (a space and a word) is encoded once a task. Elsewhere texts stay whole. The
+    tokenizer's added tokens have their own ids wherever they stand; what lies between them is encoded for itself.
     """
 
-    def __init__(self, name: str = RANKS) -> None:
+    def __init__(self, name: str = RANKS, tokenizer: str = TOKENIZER) -> None:
         self.known = _Known(name)
+        self.special = special_ids(tokenizer)
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known.clear()
-        return [b"".join(map(self.known.__getitem__, self._cut(x))) for x in texts]
+        return [self._encoded(x) for x in texts]
+
+    def _encoded(self, text: str) -> bytes:
+        if self.added is None or not self.added.search(text):
+            return b"".join(map(self.known.__getitem__, self._cut(text)))
+        return b"".join(self.special.get(x) or b"".join(map(self.known.__getitem__, self._cut(x))) for x in self.added.split(text) if x)
 
     @staticmethod
     def _cut(text: str) -> list[str]:
