@@ -16,10 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, *taken: DataFrame) -> str:
+    """name, with underscores before it until no column of `taken` has it in any case."""
+    known = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and Spark runs in one process
+    (tests) a new local one. On a cluster it has to be set: executors don't see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidewright-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WORD, cut
+from tidewright.llm.common import WORD, cut, fresh
 
 #: Weights of the sources, dealt by code point again and again.
 WEIGHTS = (3, 1, 2)
@@ -13,6 +13,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, PASSES = 1.5, 2
 #: Ranges into which a source's shuffle order, and all virtual finish times, are cut for running sums.
 RANGES = 4096
+#: Bytes of the sources' table, names and cuts, up to which it is sent to all tasks; and the parts a source is dealt into beyond.
+MAX_BROADCAST, SALTS = 8_000_000, 64
 
 
 def words(text: Column) -> Column:
@@ -93,9 +95,15 @@ def fair_queue(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     edge = steps.where(F.col("upto") > F.col("budget")).agg(F.min(F.struct("range", (F.col("budget") - F.col("upto") + F.col("sum")).alias("left"))).alias("edge"))
     at = timed.crossJoin(F.broadcast(edge))  # one row
     whole = at.where(F.col("edge").isNull() | (F.col("range") < F.col("edge.range")))
-    in_edge = Window.partitionBy("range").orderBy("order").rangeBetween(Window.unboundedPreceding, 0)
-    part = at.where(F.col("range") == F.col("edge.range")).withColumn("order", F.struct("finish", "source", "turn", "place"))
-    part = part.withColumn("so_far", F.sum("size").over(in_edge)).where(F.col("so_far") - F.col("size") / 2 <= F.col("edge.left"))
+    # what finishes in the last range, be it every document of sources of one document, in ranges of its own full order
+    order = F.struct("finish", F.col("source").isNull().alias("none"), "source", "turn", "place")
+    part = at.where(F.col("range") == F.col("edge.range")).withColumn("order", order).repartitionByRange("order")
+    part = cut(part.withColumn("piece", F.spark_partition_id()))
+    pieces = part.groupBy("piece").agg(F.sum("size").alias("sum"))
+    pieces = pieces.select(F.col("piece").alias("at"), (F.sum("sum").over(Window.orderBy("piece")) - F.col("sum")).alias("before"))
+    in_piece = Window.partitionBy("piece").orderBy("order").rangeBetween(Window.unboundedPreceding, 0)
+    part = part.withColumn("so_far", F.sum("size").over(in_piece)).join(F.broadcast(pieces), F.col("piece") == F.col("at"))  # a row for each partition
+    part = part.where(F.col("before") + F.col("so_far") - F.col("size") / 2 <= F.col("edge.left"))
     last = whole.select("source", "turn", "place").unionByName(part.select("source", "turn", "place"))
     last = last.groupBy("source").agg(*[F.max(F.when(F.col("turn") == p, F.col("place"))).alias(f"cut{p}") for p in range(passes)])
     last = last.withColumnRenamed("source", "s")
@@ -110,10 +118,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passes:
     named as results are replaced.
     """
     results = ["size", "source_size", "target", "copies", "taken"]
-    flows = fair_queue(docs, weights, share, passes).withColumnRenamed("source", "__s")
-    place = F.struct(_unsigned(shuffle_key(F.col("doc_id"))).alias("k"), F.col("doc_id").alias("d"))
     carried = [c for c in docs.columns if c not in results]
-    sized = docs.select(*carried, words(F.col("text")).alias("size"), place.alias("__place"))
-    both = sized.join(flows, F.col("source").eqNullSafe(F.col("__s")), "left")
-    copies = F.aggregate("cuts", F.lit(0), lambda n, c: n + F.when(F.col("__place") <= c, 1).otherwise(0))
-    return both.withColumn("copies", copies).select(*carried, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    spark, kept = docs.sparkSession, docs.select(*carried)
+    name, flow, place, salt = (fresh(x, docs) for x in ("__source", "__flow", "__place", "__salt"))
+    flows = fair_queue(docs, weights, share, passes).select(F.col("source").alias(name), F.struct("source_size", "target", "cuts").alias(flow))
+    at = F.struct(_unsigned(shuffle_key(F.col("doc_id"))).alias("k"), F.col("doc_id").alias("d"))
+    sized = kept.withColumns({"size": words(F.col("text")), place: at})
+    same = F.col("source").eqNullSafe(F.col(name))
+    bytes_of = flows.agg(F.sum(64 * (1 + passes) + F.coalesce(F.octet_length(name), F.lit(0)))).first()[0] or 0
+    if bytes_of <= MAX_BROADCAST:
+        both = sized.join(F.broadcast(flows), same, "left")
+    else:  # each source in SALTS parts, so that none is one task's
+        dealt = flows.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        of = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        both = sized.join(dealt, same & (of == F.col(salt)), "left")
+    copies = F.aggregate(F.col(flow)["cuts"], F.lit(0), lambda n, c: n + F.when(F.col(place) <= c, 1).otherwise(0))
+    both = both.withColumn("copies", copies)
+    return both.select(*carried, "size", F.col(flow)["source_size"].alias("source_size"), F.col(flow)["target"].alias("target"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
