@@ -285,6 +285,32 @@ def test_nearest_has_recall(spark):
     assert permutation_index.nearest(df.limit(0), df).count() == 0
 
 
+def test_nearest_in_parts_and_exact(spark, monkeypatch):
+    """Queries dealt to several tasks a block; and with rerank=1 the exact neighbours, ties and repeated rows included."""
+    monkeypatch.setattr(permutation_index, "QUERIES", 7)
+    rng = np.random.default_rng(5)
+    v = rng.integers(-3, 4, size=(400, 6)).astype(float)
+    v[~v.any(axis=1)] = 1
+    rows = [(int(i), v[i].tolist()) for i in range(400)] + [(3, v[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = permutation_index.nearest(df, df.where("vec_id % 20 = 0"), block=64, rerank=1).collect()
+    found = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 400, 20):
+        score = v @ v[q]
+        assert found[q] == [int(i) for i in np.lexsort((np.arange(400), -score)) if i != q][:20]
+
+
+def test_recall_on_embeddings(spark):
+    """The query's own parameters on the test table."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = permutation_index.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    exact = permutation_index.nearest(df, df.where("vec_id % 20 = 0"), rerank=1).collect()
+    pairs = lambda rows: {(r["query_id"], r["vec_id"]) for r in rows}
+    assert len(pairs(got) & pairs(exact)) >= 0.9 * len(pairs(exact))
+
+
 def test_classifier_learns(spark, odd):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))

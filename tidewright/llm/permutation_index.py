@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import cut, written
 
-#: Pivots, and how many of its nearest a vector is known by.
-PIVOTS, NEAREST = 256, 64
-#: Vectors of an index block, and the share of them whose scores are computed after ranking by footrule distance.
-BLOCK, RERANK = 8192, 0.125
+#: Pivots, how many of its nearest a vector is known by, and the files of how many of its nearest a query visits.
+PIVOTS, NEAREST, LISTS = 512, 96, 32
+#: Vectors of an index block, and the share of them whose scores are computed after ranking by footrule distance, FEWEST at least.
+BLOCK, RERANK, FEWEST = 8192, 0.0625, 512
+#: Queries that one task brings to a block.
+QUERIES = 4096
 
 
 def usable(vector: Column) -> Column:
@@ -33,17 +35,19 @@ class InvertedFiles:
     """One block of vectors. For each pivot, the vectors that have it among their `nearest`, and its place there.
 
     The footrule distance of two orders of `nearest` pivots, where a missing one counts as at place `nearest`, is a
-    constant less 2 * sum over shared pivots of (nearest - the later place). A query adds these along its pivots' files.
+    constant less 2 * sum over shared pivots of (nearest - the later place). A query adds these along the files of its first
+    `lists` pivots, where a shared pivot counts most.
     """
 
-    def __init__(self, vectors: np.ndarray, pivots: np.ndarray, reach: float, nearest: int) -> None:
+    def __init__(self, vectors: np.ndarray, pivots: np.ndarray, reach: float, nearest: int, lists: int = LISTS) -> None:
         self.vectors, self.pivots, self.nearest = vectors.astype(np.float64), pivots, min(nearest, len(pivots))
+        self.lists = min(lists, self.nearest)
         rest = np.sqrt(np.maximum(reach**2 - (self.vectors**2).sum(axis=1), 0))
         order = self.order(np.column_stack([self.vectors, rest]))
         flat = order.ravel()
         by = np.argsort(flat, kind="stable")
-        self.rows = by // self.nearest
-        self.places = by % self.nearest
+        self.rows = (by // self.nearest).astype(np.int32)
+        self.places = (by % self.nearest).astype(np.int32)
         self.begin = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
 
     def order(self, lifted: np.ndarray) -> np.ndarray:
@@ -56,25 +60,27 @@ class InvertedFiles:
         q = queries.astype(np.float64)
         for vector, pivots in zip(q, self.order(np.column_stack([q, np.zeros(len(q))]))):
             if most < len(self.vectors):
-                gain = np.zeros(len(self.vectors), np.int32)
-                for place, p in enumerate(pivots):
-                    at = slice(self.begin[p], self.begin[p + 1])
-                    gain[self.rows[at]] += (self.nearest - np.maximum(self.places[at], place)).astype(np.int32)
+                files = [slice(self.begin[p], self.begin[p + 1]) for p in pivots[: self.lists]]
+                place = np.repeat(np.arange(self.lists, dtype=np.int32), [f.stop - f.start for f in files])
+                later = np.maximum(np.concatenate([self.places[f] for f in files]), place)
+                gain = np.bincount(np.concatenate([self.rows[f] for f in files]), self.nearest - later, len(self.vectors))
                 rows = np.argpartition(-gain, most)[:most]
             else:
                 rows = np.arange(len(self.vectors))
             yield rows, self.vectors[rows] @ vector
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, nearest_pivots: int = NEAREST, block: int = BLOCK, rerank: float = RERANK) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, nearest_pivots: int = NEAREST, block: int = BLOCK, rerank: float = RERANK, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of rows(vec_id, embedding), by largest inner product, in
     double precision, ties to the smaller vec_id, without the query's own vec_id.
 
     Equal vectors are indexed once and carry their k + 1 smallest ids, all that a result can name; so a vector that many
     rows share is neither a hot key nor a crowd in the result. The index is cut into blocks of about `block` vectors by
-    hash. Each holds inverted files over `pivots` pivots; every distinct query vector visits every block, ranks its
-    vectors by footrule distance, scores the nearest share `rerank` of them exactly, and leaves its k + 1 best. Pivots
-    are a sample of fixed size, the vectors of least hash. Inner product is turned to nearness by one more coordinate.
+    hash. Each holds inverted files over `pivots` pivots; every distinct query vector visits every block, in it the files of its
+    `lists` nearest pivots, ranks the vectors found there by footrule distance, scores the nearest share `rerank` of the block,
+    FEWEST at least, exactly, and leaves its k + 1 best. rerank=1 scores all: the exact way. Queries come to a block in parts of
+    about QUERIES, a task for each. Pivots are a sample of fixed size, the vectors of least hash. Inner product is turned to
+    nearness by one more coordinate.
 
     Vectors null, empty, zero or with null or non-finite components take no part, nor do null ids or vectors whose length
     isn't the table's most frequent (of several the longest). A row repeated with one id and vector counts once. Fewer
@@ -101,15 +107,19 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVO
     asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     asked = asked.where(usable(F.col("embedding")) & F.col("query_id").isNotNull() & fits).distinct()
     vectors = asked.groupBy("embedding").agg(F.min("query_id").alias("q"))
-    stored = classes.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "embedding", "ids")
-    visits = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.col("q").alias("id"), "embedding", F.array().cast("array<long>").alias("ids"))
+    vectors = cut(vectors)
+    parts = -(-vectors.count() // QUERIES) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    stored = classes.select(of(blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("kind"), "id", "embedding", "ids")
+    asking = vectors.withColumn("id", F.col("q")).select(every(blocks).alias("block"), of(parts).alias("part"), F.lit(1).alias("kind"), "id", "embedding", F.array().cast("array<long>").alias("ids"))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now, files, ids = None, None, None
         for batch in batches:
-            block_of, kind_of = batch["block"].to_numpy(), batch["kind"].to_numpy()
-            edges = np.flatnonzero(np.diff(block_of.astype(np.int64) * 2 + kind_of)) + 1
+            block_of, kind_of = batch["block"].to_numpy().astype(np.int64) * parts + batch["part"].to_numpy(), batch["kind"].to_numpy()
+            edges = np.flatnonzero(np.diff(block_of * 2 + kind_of)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(batch)]):
                 part = batch.slice(lo, hi - lo)
                 if block_of[lo] != now:
@@ -120,10 +130,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVO
                 if not held and files is None:
                     continue
                 if files is None:
-                    files = InvertedFiles(np.concatenate([_matrix(p["embedding"]) for p in held]), base, reach, nearest_pivots)
+                    files = InvertedFiles(np.concatenate([_matrix(p["embedding"]) for p in held]), base, reach, nearest_pivots, lists)
                     ids = [x for p in held for x in p["ids"].to_pylist()]
                     held = []
-                most = max(4 * (k + 1), int(np.ceil(rerank * len(ids))))
+                most = max(4 * (k + 1), FEWEST, int(np.ceil(rerank * len(ids))))
                 out: list[list] = [[], [], []]
                 for q, (at, score) in zip(part["id"].to_pylist(), files.search(_matrix(part["embedding"]), most)):
                     if len(at) > k + 1:  # all that tie with the last stay
@@ -135,7 +145,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVO
                     out[2] += [-s for s, _ in best]
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["q", "vec_id", "score"])
 
-    placed = stored.unionByName(visits).repartition(max(1, blocks), "block").sortWithinPartitions("block", "kind")
+    placed = stored.unionByName(asking).repartition(max(1, blocks * parts), "block", "part").sortWithinPartitions("block", "part", "kind")
     found = placed.mapInArrow(searched, "q long, vec_id long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = cut(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"))
