@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
@@ -506,3 +507,129 @@ def test_mentions_in_other_spellings():
     assert found("Dr. Jean-Luc Picard met Mr. O'Brien and MRS. ANNA O’NEILL-SMITH") == [("name", "Jean-Luc Picard"), ("name", "O'Brien"), ("name", "ANNA O’NEILL-SMITH")]
     assert found("Miss Smith's hat") == [("name", "Smith")]
     assert pii.canonical("name", "ANNA LEE", "MRS. ANNA LEE", 5) == "latin:f:ANNA LEE"
+
+
+def test_names_corefer():
+    text = "Mr. John Smith came. John Smith left. Mr. Smith laughed. Dr. Smithson and John Smithers stayed. Smith spoke."
+    found = pii.mentions(text)
+    assert [m for _, m, *_ in found] == ["John Smith", "John Smith", "Smith", "Smithson"]
+    assert len({v for _, m, v, *_ in found if m != "Smithson"}) == 1
+    both = pii.mentions("Mr. John Smith met Mrs. Ann Smith. Dr. Smith waited.")
+    assert len({v for _, _, v, *_ in both}) == 3  # whose name stands alone isn't told
+    assert pii.rendered("name", "Smith", "latin:m:Martin Turner") == "Turner"
+
+
+def test_numbers_keep_their_form():
+    assert pii.canonical("phone", "+1 (988) 555-2485", "", 0) == pii.canonical("phone", "988-555-2485", "", 0)
+    assert len({pii.canonical("phone", x, "", 0) for x in ("+44 988 555 2485", "+1 988 555 2485", "+49 988 555 2485")}) == 3
+    assert pii.surrogate("phone", "449885552485").startswith("44")
+    iban = "GB82WEST12345698765432"
+    new = pii.surrogate("iban", iban)
+    assert new != iban and new[:2] == "GB" and pii._mod97(new[4:] + new[:4]) == 1
+
+
+def test_surrogates_match_a_plain_replacement(spark):
+    """Each text against a loop over its mentions with one dictionary of surrogates: 10,000 addresses, many names, all distinct."""
+    names = [f"X{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    docs = [(i, f"from {i // 1000 % 10}.{i // 100 % 10}.{i // 10 % 10}.{i % 10} came Mr. {names[i % 3000]} Qu") for i in range(10_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(df, b"key").collect()}
+    seen: dict = {}
+    for i, text in docs:
+        at, shift = 0, out[i]
+        for kind, mention, value, start, end in pii.mentions(text):
+            gap = text[at:start]
+            assert shift.startswith(gap)
+            shift = shift[len(gap) :]
+            new = re.match(r"[\d.]+\d" if kind == "ip" else r"\w+ [\w-]+", shift)[0]
+            assert seen.setdefault((kind, value), new) == new
+            shift, at = shift[len(new) :], end
+        assert shift == text[at:]
+    assert len(set(seen.values())) == len(seen) == 13_000
+    assert not {v.split(":")[-1] for _, v in seen} & set(seen.values())
+    other = {r["doc_id"]: r["text"] for r in pii.replace_pii(df.limit(50), b"other").collect()}
+    assert all(out[i] != t for i, t in other.items())
+
+
+CLASHES = ["__s", "__ids", "__later", "__doc", "__hash", "__id", "__none", "__row", "__flow", "__place", "cuts", "size", "copies", "key", "node", "component", "sig", "score", "held_out", "kind", "rest", "range", "target"]
+
+
+def every_operator():
+    """All operators as a function of documents."""
+    net = quality_classifier.ByteConvolution()
+    return {
+        "classifier": lambda d: quality_classifier.score(d, net),
+        "context_mixing": context_mixing.score_documents,
+        "mixing": mixing.mix,
+        "pii": pii.replace_pii,
+        "rules": quality_rules.quality_rules,
+        "packing": packing.pack_documents,
+        "licenses": licenses.scan_licenses,
+        "near_duplicates": near_dedup.near_duplicates,
+        "deduplicated": near_dedup.deduplicated,
+        "urls": lambda d: url_filter.judge_urls(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"})),
+        "urls_joined": lambda d: url_filter.judge_urls(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"}), max_broadcast=0),
+    }
+
+
+@pytest.mark.parametrize("name", list(every_operator()))
+def test_empty_tables_and_clashing_columns(odd, empty, name):
+    operator = every_operator()[name]
+    assert operator(empty).count() == 0
+    extra = odd.withColumns({c: F.lit(1) for c in CLASHES})
+    plain, clashing = operator(odd), operator(extra)
+    rows = lambda df: sorted(map(str, df.select(*sorted(set(plain.columns) - set(CLASHES) - {"sequence_id", "offset"})).collect()))
+    assert rows(clashing) == rows(plain)
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes: one of many words, one of a single word, one of repeats."""
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(1, " ".join(f"w{rng.randrange(50_000)}" for _ in range(300_000))), (2, "q" * 2_000_000), (3, "again and again " * 100_000)], "doc_id long, text string").withColumn("source", F.lit("a"))
+    counts = {name: operator(docs).count() for name, operator in every_operator().items()}
+    assert all(n == 3 for name, n in counts.items() if name != "packing") and counts["packing"] > 300
+
+
+def test_base_columns_of_rules(spark):
+    docs = sample(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(9_001, "# a\n\n a \na\nb$|\n ü ü"), (9_002, ""), (9_003, None), (9_004, "x\x0bx\x0cx\ry")], "doc_id long, text string"))
+    for r in quality_rules.quality_rules(docs).collect():
+        text = r["text"] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines, seen, dup = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)], set(), 0
+        for x in lines:
+            dup += x in seen
+            seen.add(x)
+        windows = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        repeated = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(repeated))
+        assert r["base_failed"] == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
+
+
+def test_convolution_matches_a_plain_loop():
+    net = quality_classifier.ByteConvolution(3)
+    texts = [b"", b"a", bytes(range(256)), b"abcdefgh" * 5, "é\n".encode() * 9]
+    width, step = quality_classifier.WIDTH, quality_classifier.STEP
+    for text, got in zip(texts, net.scores(texts)):
+        best = np.full(quality_classifier.FILTERS, -np.inf)
+        for at in range(0, max(1, -(-(len(text) - width) // step) + 1) * step, step):
+            chunk = text[at : at + width].ljust(width, b"\0")
+            best = np.maximum(best, np.concatenate([net.embed[b] for b in chunk]).astype(float) @ net.filters)
+        z = float(np.maximum(best + net.bias, 0) @ net.out + net.base[0])
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
+
+
+def test_gate_keeps_every_known_sentence(spark):
+    own = {"free": "Do what you want.", "mine": "NOT for sale"}
+    docs = spark.createDataFrame([(1, "Do what you want."), (2, "not FOR sale!"), (3, "other")], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs, own, [("A", ["free"]), ("B", ["mine"])]).collect()}
+    assert got == {1: "A", 2: "B", 3: None}
+    every = spark.createDataFrame(list(licenses.SENTENCES.items()), "name string, text string").withColumn("doc_id", F.lit(1))
+    rows = licenses.scan_licenses(every).collect()
+    assert all(r["name"] in r["sentence_ids"].split(",") for r in rows) and all(r["license"] for r in rows if any(s == [r["name"]] for _, s in licenses.RULES))
+
+
+def test_rules_of_any_case_by_join(spark):
+    pages = spark.createDataFrame([(1, "http://bad.example/x/1"), (2, "http://a.BAD.example/x")], "page_id long, url string")
+    rules = [("block", "Bad.Example", "/x")]
+    assert sorted(url_filter.judge_urls(pages, rules).collect()) == sorted(url_filter.judge_urls(pages, rules, max_broadcast=0).collect())
+    assert url_filter.judge_urls(pages, rules).where("verdict = 'block'").count() == 2

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, written
+from tidewright.llm.common import cut, fresh, written
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -311,17 +311,18 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     decide. Rows of one doc_id whose texts aren't linked are in groups of their own. Texts without shingles are linked with
     nothing; of those one row stays under each doc_id, and one under null.
     """
-    names = ["__hash", "__id", "__none"]
+    names = [fresh(x, docs) for x in ("__hash", "__id", "__none")]
+    hash_name, id_name, none_name = names
     columns = [F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.col("doc_id").isNull()]
     rows = docs.withColumns(dict(zip(names, columns)))
     # texts, not doc_ids, name the nodes
-    grouped = _grouped(rows.select(F.col("__hash").alias("doc_id"), "text", F.when(~F.col("__none"), F.col("__id")).alias("tag")), percent)
+    grouped = _grouped(rows.select(F.col(hash_name).alias("doc_id"), "text", F.when(~F.col(none_name), F.col(id_name)).alias("tag")), percent)
     some = F.col("n_shingles") > 0
-    keys = [F.col("doc_id").alias("__hash"), F.coalesce("tag", F.lit(0).cast("long")).alias("__id"), F.col("tag").isNull().alias("__none")]
+    keys = [F.col("doc_id").alias(hash_name), F.coalesce("tag", F.lit(0).cast("long")).alias(id_name), F.col("tag").isNull().alias(none_name)]
     found = grouped.select(*keys, some.alias("some"), F.when(some, F.col("component_id")).otherwise(F.coalesce("tag", F.lit(0))).alias("group"), (~some & F.col("tag").isNull()).alias("lost"))
     found = written(found.groupBy(*names, "some", "group", "lost").agg(F.count("*").alias("rows")))
-    best = found.groupBy("some", "group", "lost").agg(F.min(F.struct("__none", "__id", "__hash")).alias("best"))
-    judged = written(found.join(best, ["some", "group", "lost"]).select(*names, "rows", (F.struct("__none", "__id", "__hash") == F.col("best")).alias("first")))
+    best = found.groupBy("some", "group", "lost").agg(F.min(F.struct(none_name, id_name, hash_name)).alias("best"))
+    judged = written(found.join(best, ["some", "group", "lost"]).select(*names, "rows", (F.struct(none_name, id_name, hash_name) == F.col("best")).alias("first")))
     single = rows.join(judged.where("not first or rows > 1").select(*names), names, "left_anti").select(*docs.columns)
     again = rows.join(judged.where("first and rows > 1").select(*names), names, "left_semi")
     return single.unionByName(again.groupBy(*names).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))

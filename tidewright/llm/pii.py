@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -13,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut, written
+from tidewright.llm.common import cut, fresh, written
 
-KEY = b"surrogates"
+#: The key where a session names none in KEY_SETTING. It is known to all who read this: set another to keep short numbers secret.
+KEY, KEY_SETTING = b"surrogates", "spark.tidewright.pii.key"
 #: Draws after which what is drawn grows with each draw.
 SHORT_DRAWS = 4
 
@@ -83,7 +85,8 @@ def canonical(kind: str, found: str, text: str, start: int) -> str:
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", found)
     if kind == "phone":
-        return re.sub(r"\D", "", found)[-10:]
+        digits = re.sub(r"\D", "", found)
+        return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
     if kind == "iban":
         return found.replace(" ", "")
     if kind == "name":
@@ -134,6 +137,10 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
+def _mod97(x: str) -> int:
+    return int("".join(str(int(c, 36)) for c in x)) % 97
+
+
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The replacement of an entity's canonical value, itself canonical."""
     draw = _Stream(key, kind, value, attempt)
@@ -149,7 +156,10 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "ip":
         return ".".join(str((1 + draw.below(9), 10 + draw.below(90), 100 + draw.below(124))[len(x) - 1]) for x in value.split("."))
     if kind == "iban":
-        return value[:2] + _redrawn(value[2:], draw)
+        rest = _redrawn(value[4:], draw)
+        if _mod97(value[4:] + value[:4]) == 1:  # stays valid
+            return f"{value[:2]}{98 - _mod97(f'{rest}{value[:2]}00'):02}{rest}"
+        return value[:2] + _redrawn(value[2:4], draw) + rest
     if kind == "card":
         digits = value[0] + "".join(str(draw.below(10)) for _ in value[1:])
         if _luhn(value) == 0:  # stays valid
@@ -169,7 +179,8 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
             new = f"{names[draw.below(len(names))]} {families[draw.below(len(families))]}{extra}"
         return f"{script}:{value.split(':', 2)[1]}:{new.upper() if name.isupper() else new}"
     if kind == "phone":
-        return "".join(c if i == len(value) - 10 and c == "1" else str(2 + draw.below(8)) if i in (len(value) - 10, len(value) - 7) else str(draw.below(10)) for i, c in enumerate(value))
+        # a country's code stays
+        return "".join(c if i < len(value) - 10 or i == len(value) - 10 and c == "1" else str(2 + draw.below(8)) if i in (len(value) - 10, len(value) - 7) else str(draw.below(10)) for i, c in enumerate(value))
     new = _redrawn(value, draw)
     return new if kind == "ssn" else new + "".join("0123456789abcdef"[draw.below(16)] for _ in range(more))
 
@@ -189,15 +200,39 @@ def rendered(kind: str, found: str, new: str) -> str:
         return "".join(out)
     if kind == "email" and found != found.lower():
         return "".join(b.upper() if a.isupper() else b for a, b in zip(found, new)) if len(found) == len(new) else new
+    if kind == "name" and " " not in found:  # a family name told alone
+        return shown(kind, new).rpartition(" ")[2]
     return shown(kind, new)
 
 
-def mentions(text: str) -> Iterator[tuple[str, str, str, int, int]]:
-    """kind, mention, canonical value, start, end of every entity, in order."""
-    if text and HINT.search(text):
-        for m in PATTERN.finditer(text):
-            kind = m.lastgroup
-            yield kind, m[kind], canonical(kind, m[kind], text, m.start(kind)), m.start(kind), m.end(kind)
+def mentions(text: str | None) -> list[tuple[str, str, str, int, int]]:
+    """kind, mention, canonical value, start, end of every entity, in order.
+
+    Where a title tells a full name, it is one entity at all its mentions in the text, with a title or without, and so is its
+    family name after a title, if the text has no other full name with that.
+    """
+    if not text or not HINT.search(text):
+        return []
+    found = [(m.lastgroup, m[m.lastgroup], canonical(m.lastgroup, m[m.lastgroup], text, m.start(m.lastgroup)), m.start(m.lastgroup), m.end(m.lastgroup)) for m in PATTERN.finditer(text)]
+    full: dict[str, str] = {}
+    for kind, mention, value, _, _ in found:
+        if kind == "name" and " " in mention:
+            full.setdefault(mention, value)
+    if not full:
+        return found
+    families: dict[str, set[str]] = {}
+    for name in full:
+        families.setdefault(name.rpartition(" ")[2], set()).add(name)
+    alone = {family: full[next(iter(names))] for family, names in families.items() if len(names) == 1}
+    named = lambda mention, value: full.get(mention) or alone.get(mention, value)
+    found = [(k, m, named(m, v) if k == "name" else v, a, b) for k, m, v, a, b in found]
+    bare = re.compile(r"(?<![\w'’-])(?:" + "|".join(map(re.escape, sorted(full, key=len, reverse=True))) + r")(?![\w-])")
+    ends, more = [b for *_, b in found], []
+    for m in bare.finditer(text):
+        at = bisect.bisect_right(ends, m.start())  # the first entity that ends after its beginning
+        if at == len(found) or found[at][3] >= m.end():
+            more.append(("name", m[0], full[m[0]], m.start(), m.end()))
+    return sorted(found + more, key=lambda x: x[3])
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,15 +278,17 @@ def assigned(entities: DataFrame, key: bytes = KEY) -> tuple[DataFrame, int]:
     return done, later
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """docs with text's entities replaced, n_entities (mentions replaced) and kinds (of them, sorted, joined by commas).
 
     A surrogate is drawn with the key from the entity's canonical value: an entity has the same one in all documents and
     formats, and different entities have different ones (see assigned()). Draws are made again from the value where
     texts are rewritten, so only the entities that needed a later draw are joined to their documents: by broadcast where
     Spark finds that table small, else by shuffle. Null and empty texts stay. Rows repeated under one doc_id share their
-    later draws. Columns of docs named n_entities or kinds are replaced.
+    later draws. Columns of docs named n_entities or kinds are replaced. Without a key the session's setting KEY_SETTING holds.
     """
+    key = docs.sparkSession.conf.get(KEY_SETTING, KEY.decode()).encode() if key is None else key
+    doc_name, later_name = fresh("__doc", docs), fresh("__later", docs)
     carried = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     seen = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_found, "doc_id long, kind string, value string"))
@@ -259,16 +296,16 @@ def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     base = docs.select(*carried)
     if later:
         drawn = done.where("attempt > 0").select("kind", "value", "attempt")
-        by_doc = seen.join(drawn, ["kind", "value"]).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("__later"))
-        base = base.join(written(by_doc), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+        by_doc = seen.join(drawn, ["kind", "value"]).groupBy(F.col("doc_id").alias(doc_name)).agg(F.collect_set(F.struct("kind", "value", "attempt")).alias(later_name))
+        base = base.join(written(by_doc), F.col("doc_id").cast("long").eqNullSafe(F.col(doc_name)), "left").drop(doc_name)
     else:
-        base = base.withColumn("__later", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+        base = base.withColumn(later_name, F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, str] = {}
         for batch in batches:
             texts, counts, told = [], [], []
-            for text, later in zip(batch["text"].to_pylist(), batch["__later"].to_pylist()):
+            for text, later in zip(batch["text"].to_pylist(), batch[later_name].to_pylist()):
                 again = {(x["kind"], x["value"]): x["attempt"] for x in later or ()}
                 out, at, n, had = [], 0, 0, set()
                 for kind, found, value, start, end in mentions(text):

@@ -123,7 +123,7 @@ def held_out(doc_id, fold: int = 0):
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict = SAMPLE, epochs: int = EPOCHS) -> ByteConvolution:
     """A network fitted on a bounded sample: of each label's documents outside the held-out fold the sample[label] of least
-    hash, up to SAMPLE_BYTES long, whole. Weights give each label its share of all labelled documents. Null labels don't
+    hash among those up to SAMPLE_BYTES long, whole; of rows repeated under one doc_id the least text. Weights give each label its share of all labelled documents. Null labels don't
     count; of several labels of a document the highest does. Without two labels the network says the share of label 1."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out(F.col("doc_id")))
@@ -133,11 +133,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict = SAMPLE, epochs: int
         net.out[:] = 0
         net.base[:] = 4.0 if shares.get(1) else -4.0 if shares else 0.0
         return net
+    short = F.octet_length("text") <= SAMPLE_BYTES
+    able = known.join(docs.where(short).select("doc_id").distinct(), "doc_id", "left_semi")
     picked = None
     for label, most in sample.items():
-        part = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = able.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").toPandas()  # at most the sample's size
+    rows = docs.where(short).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).toPandas()  # at most the sample's size
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
     y = rows["quality"].to_numpy(np.float32)
     total = sum(shares.values())

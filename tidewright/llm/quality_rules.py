@@ -33,7 +33,7 @@ class _Ids(defaultdict):
 
 
 def _ranks(key: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, ranks of all suffixes by their first k words) for k = 1, 2, 4 ... until all differ. A rank is the first place of
+    """(k, ranks of all suffixes by their first k words, in one array that changes) for k = 1, 2, 4 ... until all differ. A rank is the first place of
     its group in the suffix array, so suffixes that already stand alone are never sorted again. end: one past the last
     word of each suffix's document; key differs between documents."""
     n = len(key)
@@ -67,7 +67,6 @@ def _ranks(key: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray]]
         place = np.arange(len(o))
         first = np.maximum.accumulate(np.where(group, place, 0))
         begun = np.maximum.accumulate(np.where(new, place, 0))
-        rank = rank.copy()
         rank[active] = old + begun - first
         sizes = np.diff(np.append(np.flatnonzero(new), len(o)))
         active = active[np.repeat(sizes > 1, sizes)]
@@ -98,10 +97,10 @@ def repetition(ids: np.ndarray, sizes: np.ndarray, min_repeat: int = MIN_REPEAT)
     key = doc * (int(ids.max()) + 1) + ids
     levels, triple = {}, np.zeros(n, bool)
     for k, rank in _ranks(key, end):
-        levels[k] = rank
+        levels[k] = rank.astype(np.int32 if n < 2**31 else np.int64)
         if k == 2:
             at = np.flatnonzero(np.arange(n) + 2 < end)
-            three = rank[at] * n + levels[1][at + 2]
+            three = rank[at].astype(np.int64) * n + levels[1][at + 2]
             _, back, times = np.unique(three, return_inverse=True, return_counts=True)
             twice = at[times[back] > 1]
             triple[twice] = triple[twice + 1] = triple[twice + 2] = True

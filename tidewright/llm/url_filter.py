@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import written
+
 #: Above so many rules the trie isn't broadcast; judge_urls() then joins.
 MAX_BROADCAST_RULES = 1_000_000
 
@@ -91,10 +93,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def _by_join(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """The same result where there are too many rules to broadcast: every (host suffix, path prefix) that some rule's lengths allow is looked up in the rules."""
     spark = pages.sparkSession
-    table = spark.createDataFrame([(h, p, f"{h}{p}", v, i) for i, (v, h, p) in enumerate(rules)], "rh string, rp string, rule string, verdict string, seq int")
+    table = spark.createDataFrame([(h.lower(), p, f"{h}{p}", v, i) for i, (v, h, p) in enumerate(rules)], "rh string, rp string, rule string, verdict string, seq int")
     table = table.groupBy("rh", "rp").agg(F.max_by("rule", "seq").alias("rule"), F.max_by("verdict", "seq").alias("verdict"))
     lengths = sorted({len(p) for _, _, p in rules})
-    keyed = pages.withColumn("__row", F.monotonically_increasing_id())
+    keyed = written(pages.withColumn("__row", F.monotonically_increasing_id()))  # read twice: numbers have to stay
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
