@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import shared_dir
+from tidewright.llm.common import fresh, shared_dir
 from tidewright.llm.mixing import mix
 from tidewright.llm.near_dedup import deduplicated
 from tidewright.llm.packing import pack_documents
@@ -19,7 +19,8 @@ ORACLE_SQL = None
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, repeated rows alike; null and empty texts go. An empty table stays empty, here and in
+    all stages; extra columns pass through, whatever their names, to the last."""
     return quality_rules(docs).where("kept").select(*docs.columns)
 
 
@@ -30,19 +31,20 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for private data; n_chars follows."""
+    """Texts with surrogates for private data; n_chars follows. Null and empty texts stay; repeated rows get the same surrogates."""
     new = replace_pii(docs).select(*docs.columns)
     return new.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else new
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    """Every document as often as the mix takes it, repeated rows alike. A null source is one of its own; a null text has no words."""
+    copy = fresh("__copy", docs)
+    copies = mix(docs).where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return copies.select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of tokens."""
+    """The pieces of all documents in sequences of tokens; a null text is empty, a null doc_id stays null."""
     return pack_documents(docs)
 
 
