@@ -83,16 +83,7 @@ def pct_rank(x: str, n: int) -> Column:
     return F.when(F.count(x).over(frame(n)) == n, (less + (same + 1) / 2) / n)
 
 
-def staged(df: DataFrame, *levels: dict[str, Column]) -> DataFrame:
-    """Adds columns level by level; a level may use those before it. All windows share one exchange and sort."""
-    return reduce(lambda d, level: d.withColumns(level), levels, df)
-
-
-def ema(x: str, span: int) -> Column:
-    """Exponential mean without bias correction, from the first value on: a fold over the values so far.
-
-    For a series of n rows this holds n values a row; see operators.recursive for long ones.
-    """
-    a = 2.0 / (span + 1)
-    values = F.collect_list(x).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
-    return F.aggregate(F.slice(values, 2, F.size(values)), F.element_at(values, 1), lambda y, v: y * (1 - a) + v * a)
+def staged(df: DataFrame, *levels) -> DataFrame:
+    """Adds columns level by level; a level may use those before it. A level is {name: column}, or a function of df for what
+    columns can't express. All windows between two such share one exchange and sort."""
+    return reduce(lambda d, level: level(d) if callable(level) else d.withColumns(level), levels, df)

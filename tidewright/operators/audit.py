@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.series import both_max, both_min, lag, ordered, ratio, zero
+from tidewright.functions.series import lag, ordered, ratio, zero
 
-FORWARD_LOOKING = ["target_label", "target_barrier_return", "barrier_touch_time", "local_volatility", "barrier_return", "true_target"]
+#: Columns that a model may not see: what looks ahead, and the corporate actions.
+FORWARD_LOOKING = ["target_label", "target_barrier_return", "barrier_touch_time", "local_volatility", "split_factor", "dividend"]
 PRICES = ["open", "high", "low", "close"]
 
 
@@ -57,8 +58,16 @@ def flat_columns(df: DataFrame, kept: tuple = ("split_factor", "dividend", "targ
     return [c for c in numeric if row[f"n_{c}"] <= 1 or (row[f"s_{c}"] or 0.0) < least]
 
 
-def audit_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    return raw.groupBy("symbol").agg(F.count("*").alias("initial_rows")).join(clean.groupBy("symbol").agg(F.count("*").alias("clean_rows")), "symbol", "left").fillna(0, ["clean_rows"])
+def audit_report(raw: DataFrame, clean: DataFrame, dropped: list[str] = ()) -> DataFrame:
+    """Rows by symbol before and after, and the flat columns that were dropped."""
+    after = clean.groupBy("symbol").agg(F.count("*").alias("clean_rows"))
+    counts = raw.groupBy("symbol").agg(F.count("*").alias("initial_rows")).join(after, "symbol", "left").fillna(0, ["clean_rows"])
+    return counts.withColumn("dropped_columns", F.array(*map(F.lit, dropped)).cast("array<string>"))
+
+
+def complete(df: DataFrame) -> DataFrame:
+    """Labelled rows without any missing value: first those whose label or touch time is missing go, then all others."""
+    return df.dropna(subset=["target_label", "barrier_touch_time"]).dropna()
 
 
 def without_future(df: DataFrame) -> DataFrame:
@@ -94,8 +103,3 @@ def with_benchmark(df: DataFrame, market: DataFrame) -> DataFrame:
     m = market.select("ts", *[F.col(c).alias(f"mkt_{c}") for c in market.columns if c not in ("ts", "symbol")])
     names = [c for c in m.columns if c != "ts"]
     return df.join(m, "ts", "left").fillna(0.0, names)
-
-
-def envelope(df: DataFrame) -> DataFrame:
-    """Highs and lows only where both sides are known."""
-    return df.withColumns({"high": both_max(F.col("high"), F.col("close")), "low": both_min(F.col("low"), F.col("close"))})

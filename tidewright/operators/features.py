@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.kernels import difference_weights
-from tidewright.functions.series import EPS, both_max, both_min, correlation, delta, ema, floored, frame, kurt, lag, ordered, pct_rank, ratio, rolled, skew, staged, zero
+from tidewright.functions.series import EPS, both_max, both_min, correlation, delta, floored, frame, kurt, lag, ordered, pct_rank, ratio, rolled, skew, staged, zero
+from tidewright.operators import recursive
 
 LAGS = (1, 3, 5, 10, 20)
-Levels = list[dict[str, Column]]
+Levels = list[dict[str, Column] | Callable[[DataFrame], DataFrame]]
 
 
 class Prices(NamedTuple):
@@ -78,8 +79,9 @@ def baseline(lags: tuple = (1, 3), width: int = 5) -> Levels:
 
 def trend(lags: tuple = (1, 3)) -> Levels:
     c = prices().c
-    first = {f"ret_{k}": F.log(ratio(c, lag("close_adj", k))) for k in lags} | {"_vol": std("log_return", 20, 1), "macd_dist": ratio(ema("close_adj", 12), ema("close_adj", 26)) - 1}
-    return [first, {f"vol_adj_mom_{k}": F.col(f"ret_{k}") / ((F.col("_vol") + EPS) * math.sqrt(k)) for k in lags}]
+    means = lambda df: recursive.ema(df, {"_ema_12": ("close_adj", 12), "_ema_26": ("close_adj", 26)})
+    first = {f"ret_{k}": F.log(ratio(c, lag("close_adj", k))) for k in lags} | {"_vol": std("log_return", 20, 1), "macd_dist": ratio(F.col("_ema_12"), F.col("_ema_26")) - 1, "_ema_12": F.col("_ema_12"), "_ema_26": F.col("_ema_26")}
+    return [means, first, {f"vol_adj_mom_{k}": F.col(f"ret_{k}") / ((F.col("_vol") + EPS) * math.sqrt(k)) for k in lags}]
 
 
 def trend_more(lags: tuple = LAGS) -> Levels:
@@ -347,8 +349,9 @@ def compute(df: DataFrame, strategies: list[Callable[[], Levels]]) -> tuple[Data
             continue
         levels = s()
         df = staged(df, *levels)
-        helpers = [n for level in levels for n in level if n.startswith("_")]
-        names += [n for level in levels for n in level if not n.startswith("_") and n not in names]
+        made = [n for level in levels if not callable(level) for n in level]
+        helpers = [n for n in made if n.startswith("_")]
+        names += [n for n in made if not n.startswith("_") and n not in names]
         df = df.drop(*helpers)
     return df, names
 

@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.series import lag, ordered, ratio
+from tidewright.functions.series import ordered
+from tidewright.operators.recursive import ewm_std
 
 
-def ewm_volatility(df: DataFrame, x: str, span: int, out: str, memory: int = 0) -> DataFrame:
-    """df with `out`: the bias-corrected exponential deviation of x so far, from weighted sums over the frame.
-
-    Weights fall by 1 - 2 / (span + 1) a row; over `memory` rows (0: all) the rest is negligible when memory is some
-    12 spans, which bounds what a row holds.
-    """
-    keep = 1 - 2.0 / (span + 1)
-    w = ordered().rowsBetween(-(memory - 1) if memory else Window.unboundedPreceding, 0)
-    # each step ages the sums, also where x is missing
-    start = F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(c) for c in ("w", "w2", "wx", "wxx")])
-    aged = lambda s, v: F.struct((s["n"] + F.when(v["x"].isNotNull(), 1).otherwise(0)).alias("n"), *[(s[c] * k + F.when(v["x"].isNotNull(), y).otherwise(0.0)).alias(c) for c, k, y in (("w", keep, F.lit(1.0)), ("w2", keep * keep, F.lit(1.0)), ("wx", keep, v["x"]), ("wxx", keep, v["x"] * v["x"]))])
-    df = df.withColumn("__s", F.aggregate(F.collect_list(F.struct(F.col(x).alias("x"))).over(w), start, aged))
-    spread = F.greatest(F.col("__s.wxx") - ratio(F.col("__s.wx") * F.col("__s.wx"), F.col("__s.w")), F.lit(0.0))
-    bias = ratio(F.col("__s.w"), F.col("__s.w") * F.col("__s.w") - F.col("__s.w2"))
-    return df.withColumn(out, F.when(F.col("__s.n") >= 2, F.sqrt(spread * bias))).drop("__s")
-
-
-def triple_barrier(df: DataFrame, horizon: int = 5, up: float = 1.0, down: float = 1.0, span: int = 20, floor: float = 1e-4, memory: int = 240) -> DataFrame:
+def triple_barrier(df: DataFrame, horizon: int = 5, up: float = 1.0, down: float = 1.0, span: int = 20, floor: float = 1e-4) -> DataFrame:
     """Adds local_volatility, target_label, target_barrier_return, barrier_touch_time to bars with close_adj and log_return.
 
     Barriers lie at up and down times the volatility known one bar before. The first close within `horizon` bars at or
@@ -33,8 +17,7 @@ def triple_barrier(df: DataFrame, horizon: int = 5, up: float = 1.0, down: float
     none. The frame ahead holds `horizon` bars a row, so memory is bounded.
     """
     w = ordered()
-    vol = ewm_volatility(df, "log_return", span, "__vol", memory)
-    vol = vol.withColumn("local_volatility", F.greatest(F.coalesce(lag("__vol"), F.lit(floor)), F.lit(floor))).drop("__vol")
+    vol = ewm_std(df, "log_return", span, "local_volatility", floor=floor)
     ahead = F.collect_list(F.struct("ts", F.col("close_adj").alias("p"))).over(w.rowsBetween(1, horizon))
     out = vol.withColumn("__ahead", ahead)
     p, s = F.col("close_adj"), F.col("local_volatility")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import cut
+from tidewright.functions.tables import cut
 
 
 def _bins(df: DataFrame, b: Column) -> DataFrame:

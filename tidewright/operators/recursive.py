@@ -7,31 +7,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def ewm_std_values(x: np.ndarray, span: int, min_periods: int = 2) -> np.ndarray:
-    """Bias-corrected exponential deviation; a missing value ages the weights and keeps the last result."""
-    keep = 1 - 2.0 / (span + 1)
-    out = np.full(len(x), np.nan)
-    w = w2 = mean = spread = 0.0
-    n = 0
-    for i, v in enumerate(x):
-        w, w2, spread = w * keep, w2 * keep * keep, spread * keep
-        if not np.isnan(v):
-            total = w + 1
-            step = v - mean
-            mean += step / total
-            spread += step * (v - mean)
-            w, w2, n = total, w2 + 1, n + 1
-        if n >= min_periods and w * w > w2:
-            out[i] = np.sqrt(max(spread / w * w * w / (w * w - w2), 0.0))
-    return out
+def ewm_std_values(x, span: int) -> np.ndarray:
+    """Bias-corrected exponential deviation of the values so far, from the second on; a missing value ages the weights."""
+    return pd.Series(x, dtype=float).ewm(span=span, min_periods=2).std().to_numpy()
 
 
 def ewm_std(df: DataFrame, x: str, span: int, out: str, lag: int = 1, floor: float | None = None) -> DataFrame:
-    """df with `out`: the exponential deviation of x, `lag` rows late, missing and small values raised to floor."""
+    """df with `out`: the bias-corrected exponential deviation of x, `lag` rows late, missing and small values raised to floor.
+    Weights age also where x is missing."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
-        found = pd.Series(ewm_std_values(pdf[x].to_numpy(float), span), index=pdf.index).shift(lag)
+        found = pd.Series(ewm_std_values(pdf[x], span), index=pdf.index).shift(lag)
         if floor is not None:
             found = found.fillna(floor).clip(lower=floor)
         return pdf.assign(**{out: found})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,15 +38,28 @@ def probability_buffer(train: DataFrame, test: DataFrame, window: int = 60) -> D
 def locked_out(df: DataFrame, by: tuple = ("symbol",)) -> DataFrame:
     """executed_signal: a signal is taken if the last taken one's barrier_touch_time has come; without one it never comes.
 
-    One fold over each group's ordered signals (not bars); its state is the unlocking time. A group's signals meet in one
-    row, which the number of bars of a symbol bounds.
+    One pass over each group's ordered signals (not bars), as they stream in sorted; its state is the unlocking time.
     """
-    far = F.lit("9999-12-31").cast("timestamp")
-    signals = df.where("pred_signal = 1").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ts", F.coalesce(F.col("barrier_touch_time").cast("timestamp"), far).alias("until")))).alias("s"))
-    start = F.struct(F.lit("0001-01-01").cast("timestamp").alias("free"), F.array().cast("array<timestamp>").alias("taken"))
-    step = lambda a, x: F.when(x["ts"] >= a["free"], F.struct(x["until"].alias("free"), F.array_append(a["taken"], x["ts"]).alias("taken"))).otherwise(a)
-    taken = signals.select(*by, F.explode(F.aggregate("s", start, step)["taken"]).alias("ts")).withColumn("executed_signal", F.lit(1))
-    return df.join(taken, [*by, "ts"], "left").fillna(0, ["executed_signal"])
+    far = 2**62
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    signals = df.where("pred_signal = 1").select(*by, "ts", micros("ts").alias("at"), F.coalesce(micros("barrier_touch_time"), F.lit(far)).alias("until"))
+    dealt = signals.repartition(*by).sortWithinPartitions(*by, "at", "until")
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free = None, -far
+        for batch in batches:
+            keep = []
+            for key, at, until in zip(zip(*(batch[c].to_pylist() for c in by)), batch["at"].to_pylist(), batch["until"].to_pylist()):
+                if key != now:
+                    now, free = key, -far
+                keep.append(at >= free)
+                if at >= free:
+                    free = until
+            yield pa.RecordBatch.from_arrays([*(batch[c].filter(pa.array(keep)) for c in (*by, "ts"))], names=[*by, "ts"])
+
+    kinds = dict(df.dtypes)
+    chosen = dealt.mapInArrow(taken, ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "ts"))).distinct().withColumn("executed_signal", F.lit(1))
+    return df.join(chosen, [*by, "ts"], "left").fillna(0, ["executed_signal"])
 
 
 def executed(df: DataFrame, cost: float = 0.002, ret: str = "barrier_return") -> DataFrame:
@@ -62,25 +78,28 @@ def equity(df: DataFrame, by: tuple = ("symbol",)) -> DataFrame:
 
 
 def risk_metrics(df: DataFrame, by: tuple = ("symbol",), risk_free: float = 0.045, days: int = 252) -> DataFrame:
-    """One row a group of equity()'s rows. Groups without trades have zeros."""
+    """One row a group of equity()'s rows. A ratio without a loss below it, a growth rate after a total loss, and a Calmar ratio
+    without a drawdown are null; so are the ratios of groups without trades, whose other metrics are 0."""
     on = F.col("executed_signal") == 1
     pnl = F.when(on, F.col("net_trade_pnl"))
     gain, loss = F.when(pnl > 0, pnl), F.when(pnl < 0, pnl)
     g = df.groupBy(*by).agg(
         F.count(pnl).alias("n"), F.count("*").alias("rows"), F.count(gain).alias("wins"), F.sum(gain).alias("won"), F.sum(loss).alias("lost"), F.avg(gain).alias("avg_win"), F.avg(loss).alias("avg_loss"),
-        F.max_by("equity_curve", "ts").alias("final"), F.avg("net_trade_pnl").alias("mean"), F.stddev_samp("net_trade_pnl").alias("sd"), F.stddev_samp(F.when(F.col("net_trade_pnl") < 0, F.col("net_trade_pnl"))).alias("down"),
+        F.max_by("equity_curve", "ts").alias("final"), F.avg("net_trade_pnl").alias("mean"), F.stddev_samp("net_trade_pnl").alias("sd"), F.stddev_samp(F.when(F.col("net_trade_pnl") < 0, F.col("net_trade_pnl"))).alias("down"), F.count_if(F.col("net_trade_pnl") < 0).alias("falls"),
         F.min("drawdown").alias("max_dd"), F.avg(F.when(on, F.col("bet_size"))).alias("bet"),
     )
-    z = lambda x: F.coalesce(x, F.lit(0.0))
     year = F.col("rows") / days
-    cagr = F.pow(F.greatest(F.col("final"), F.lit(1e-8)), 1 / year) - 1
+    cum, sd = F.col("final") - 1, F.col("sd") * days**0.5
+    cagr = F.when(cum > -1, F.pow(1 + cum, 1 / year) - 1)
     excess = F.col("mean") * days - risk_free
+    down = F.when(F.col("falls") > 1, F.col("down") * days**0.5).otherwise(1e-8)
     traded = lambda x: F.when(F.col("n") > 0, x).otherwise(0.0)
+    known = lambda x: F.when(F.col("n") > 0, x)
     return g.select(
-        *by, F.col("n").alias("total_trades"), traded(F.col("wins") / F.col("n")).alias("win_rate"), traded(z(F.col("won")) / (F.abs(z(F.col("lost"))) + 1e-8)).alias("profit_factor"),
-        traded(z(F.col("avg_win")) / (F.abs(z(F.col("avg_loss"))) + 1e-8)).alias("win_loss_ratio"), traded(F.col("final") - 1).alias("cum_return"), traded(cagr).alias("cagr"), traded(z(F.col("sd")) * days**0.5).alias("ann_vol"),
-        traded(excess / (z(F.col("sd")) * days**0.5 + 1e-8)).alias("sharpe"), traded(excess / (z(F.col("down")) * days**0.5 + 1e-8)).alias("sortino"), traded(F.col("max_dd")).alias("max_drawdown"),
-        traded(cagr / (F.abs(F.col("max_dd")) + 1e-8)).alias("calmar"), traded(z(F.col("bet"))).alias("avg_bet"),
+        *by, F.col("n").alias("total_trades"), traded(F.try_divide("wins", "n")).alias("win_rate"),
+        known(F.try_divide(F.coalesce("won", F.lit(0.0)), F.abs("lost"))).alias("profit_factor"), known(F.try_divide(F.coalesce("avg_win", F.lit(0.0)), F.abs("avg_loss"))).alias("win_loss_ratio"),
+        traded(cum).alias("cum_return"), traded(cagr).alias("cagr"), traded(sd).alias("ann_vol"), traded(F.when(sd > 0, excess / sd).otherwise(0.0)).alias("sharpe"),
+        traded(F.when(down > 0, excess / down).otherwise(0.0)).alias("sortino"), traded(F.col("max_dd")).alias("max_drawdown"), known(F.when(F.col("max_dd") < 0, cagr / F.abs("max_dd"))).alias("calmar"), traded(F.col("bet")).alias("avg_bet"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.series import ema
+
 from tidewright.operators import audit, cv, diagnostics, features, labels, metrics, model, portfolio, recursive, selection, trading
 from tidewright.plans.feature_queries import adjusted_orders, with_market
 from tidewright.plans.oracle import EVENTS, INDEX, ORD, ORDERS, TS, adjusted as adjusted_sql, label_sql, lag
@@ -143,7 +143,7 @@ def ema_long(spark, sf_dir):
 
 @query("ema_fold", ["symbol", "ts"], ["ema_12"], f"WITH {EVENTS} SELECT symbol, {TS}, list_reduce(list(close) OVER ({ORD} ROWS UNBOUNDED PRECEDING), lambda a, b: a * {1 - 2 / 13} + b * {2 / 13}) AS ema_12 FROM ev")
 def ema_fold(spark, sf_dir):
-    return bars.event_bars(spark, sf_dir).withColumn("ema_12", ema("close", 12))
+    return recursive.ema(bars.event_bars(spark, sf_dir).repartition("symbol"), {"ema_12": ("close", 12), "ema_26": ("close", 26)})
 
 
 # portfolios: a weight for each priority and year from its orders' share
@@ -279,7 +279,7 @@ def equity_drawdown(spark, sf_dir):
     return trading.equity(traded(spark, sf_dir))
 
 
-@query("risk_metrics", ["symbol", "total_trades"], ["win_rate", "profit_factor", "win_loss_ratio", "cum_return", "ann_vol", "max_drawdown", "avg_bet", "sharpe"], f"{EQ} SELECT symbol, count(*) FILTER (taken = 1) AS total_trades, count(*) FILTER (taken = 1 AND pnl > 0) / count(*) FILTER (taken = 1) AS win_rate, coalesce(sum(pnl) FILTER (pnl > 0), 0) / (abs(coalesce(sum(pnl) FILTER (pnl < 0), 0)) + 1e-8) AS profit_factor, coalesce(avg(pnl) FILTER (pnl > 0), 0) / (abs(coalesce(avg(pnl) FILTER (pnl < 0), 0)) + 1e-8) AS win_loss_ratio, arg_max(e, t) - 1 AS cum_return, stddev_samp(pnl) * sqrt(252) AS ann_vol, min((e - top) / top) AS max_drawdown, avg(bet) FILTER (taken = 1) AS avg_bet, (avg(pnl) * 252 - 0.045) / (stddev_samp(pnl) * sqrt(252) + 1e-8) AS sharpe FROM pk GROUP BY 1")
+@query("risk_metrics", ["symbol", "total_trades"], ["win_rate", "profit_factor", "win_loss_ratio", "cum_return", "ann_vol", "max_drawdown", "avg_bet", "sharpe", "sortino", "cagr", "calmar"], f"{EQ} SELECT symbol, count(*) FILTER (taken = 1) AS total_trades, count(*) FILTER (taken = 1 AND pnl > 0) / count(*) FILTER (taken = 1) AS win_rate, coalesce(sum(pnl) FILTER (pnl > 0), 0) / abs(sum(pnl) FILTER (pnl < 0)) AS profit_factor, coalesce(avg(pnl) FILTER (pnl > 0), 0) / abs(avg(pnl) FILTER (pnl < 0)) AS win_loss_ratio, arg_max(e, t) - 1 AS cum_return, stddev_samp(pnl) * sqrt(252) AS ann_vol, min((e - top) / top) AS max_drawdown, avg(bet) FILTER (taken = 1) AS avg_bet, (avg(pnl) * 252 - 0.045) / (stddev_samp(pnl) * sqrt(252)) AS sharpe, (avg(pnl) * 252 - 0.045) / (stddev_samp(pnl) FILTER (pnl < 0) * sqrt(252)) AS sortino, power(arg_max(e, t), 252 / count(*)) - 1 AS cagr, (power(arg_max(e, t), 252 / count(*)) - 1) / abs(min((e - top) / top)) AS calmar FROM pk GROUP BY 1")
 def risk_metrics(spark, sf_dir):
     return trading.risk_metrics(trading.equity(traded(spark, sf_dir)))
 
