@@ -85,10 +85,16 @@ def adf(x: np.ndarray) -> tuple[float, float]:
 
 
 def kpss(x: np.ndarray) -> tuple[float, float]:
-    """Statistic and interpolated p (0.01 to 0.1) of level stationarity."""
+    """Statistic and interpolated p (0.01 to 0.1) of level stationarity; lags by the data (Hobijn, Franses and Ooms 1998)."""
     e = np.asarray(x, float) - np.mean(x)
     n = len(e)
-    lags = min(int(np.ceil(12 * (n / 100) ** 0.25)), n - 1)
+    cover = int(n ** (2 / 9))
+    s0, s1 = e @ e / n, 0.0
+    for i in range(1, cover + 1):
+        moment = 2 * (e[i:] @ e[:-i]) / n
+        s0, s1 = s0 + moment, s1 + i * moment
+    gamma = 1.1447 * ((s1 / s0) ** 2) ** (1 / 3) if s0 else 0.0
+    lags = min(int(gamma * n ** (1 / 3)), n - 1)
     s = e @ e / n + 2 / n * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, lags + 1))
     stat = float((np.cumsum(e) ** 2).sum() / (n * n * max(s, 1e-300)))
     return stat, float(np.interp(stat, [c for c, _ in KPSS], [p for _, p in KPSS]))
@@ -150,13 +156,34 @@ def acf(x: np.ndarray, lags: int) -> np.ndarray:
 
 def arch_lm(r: np.ndarray, lags: int = 5) -> float:
     """p of the Lagrange-multiplier test of squared returns on their lags."""
-    s = (np.asarray(r, float) - np.mean(r)) ** 2
+    s = np.asarray(r, float) ** 2
     y = s[lags:]
     m = np.column_stack([np.ones(len(y)), *(s[lags - k : len(s) - k] for k in range(1, lags + 1))])
     _, _, ssr = ols(m, y)
     return chi2_sf(len(y) * (1 - ssr / max(((y - y.mean()) ** 2).sum(), 1e-300)), lags)
 
 
+def pearson(x: np.ndarray, y: np.ndarray) -> float:
+    a, b = x - x.mean(), y - y.mean()
+    spread = math.sqrt(float(a @ a) * float(b @ b))
+    return float(a @ b) / spread if spread > 0 else 0.0
+
+
+def rank_test(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Spearman's coefficient and its two-sided p by Student's t."""
+    r = pearson(ranks(x[:, None])[:, 0], ranks(y[:, None])[:, 0])
+    n = len(x)
+    return r, 0.0 if abs(r) >= 1 else t_two_sided(abs(r) * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+
+def jump_share(r: np.ndarray, window: int = 20) -> tuple[float, int]:
+    """Mean share of jumps in the variance of windows, and how many have over a quarter."""
+    sums = lambda v: np.convolve(v, np.ones(window), "valid")
+    rv, bv = sums(r * r)[1:], math.pi / 2 * sums(np.abs(r[1:] * r[:-1]))
+    share = np.maximum(rv - bv, 0) / (rv + 1e-8)
+    return float(share.mean()), int((share > 0.25).sum())
+
+
 def permutation_entropy(x: np.ndarray) -> float:
     """Of order three, as a share of its maximum; 1 for under 30 values."""
     x = np.asarray(x, float)
@@ -198,29 +225,75 @@ def ar1_residuals(x: np.ndarray) -> np.ndarray:
     return now - before * (before @ now / square if square > 0 else 0.0)
 
 
+def ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks of each column's values from 1, ties at their mean."""
+    out = np.empty(x.shape)
+    for i, c in enumerate(x.T):
+        _, back, times = np.unique(c, return_inverse=True, return_counts=True)
+        out[:, i] = (np.cumsum(times) - (times - 1) / 2)[back]
+    return out
+
+
+def spearman(x: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.corrcoef(ranks(x), rowvar=False).reshape(x.shape[1], x.shape[1])
+
+
+def _digamma(v: np.ndarray) -> np.ndarray:
+    v = np.asarray(v, float)
+    low = np.zeros_like(v)
+    for _ in range(6):
+        small = v < 6
+        low = low - np.where(small, 1 / v, 0.0)
+        v = np.where(small, v + 1, v)
+    return low + np.log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4)
+
+
+def _neighbour(s: np.ndarray, k: int) -> np.ndarray:
+    """Of each of sorted values the distance to its k-th nearest other."""
+    n, best = len(s), np.full(len(s), np.inf)
+    for left in range(k + 1):
+        i = np.arange(left, n - (k - left))
+        best[i] = np.minimum(best[i], np.maximum(s[i] - s[i - left], s[i + k - left] - s[i]))
+    return best
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     """Of a continuous and a binary variable, by nearest neighbours within the class."""
     x, y = np.asarray(x, float), np.asarray(y)
     x = x / (x.std() or 1.0)
-    digamma = lambda v: np.log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4) if v >= 6 else digamma(v + 1) - 1 / v
     parts, radius, sizes = [], np.zeros(len(x)), np.zeros(len(x))
     for label in np.unique(y):
         at = np.flatnonzero(y == label)
         if len(at) > k:
-            d = np.sort(np.abs(x[at][:, None] - x[at][None]), axis=1)
-            radius[at], sizes[at] = np.nextafter(d[:, k], 0), len(at)
+            at = at[np.argsort(x[at], kind="stable")]
+            radius[at], sizes[at] = np.nextafter(_neighbour(x[at], k), 0), len(at)
             parts.append(at)
     if not parts:
         return 0.0
     at = np.concatenate(parts)
     s = np.sort(x[at])
     m = np.searchsorted(s, x[at] + radius[at], "right") - np.searchsorted(s, x[at] - radius[at], "left")
-    return max(0.0, float(digamma(len(at)) + digamma(k) - np.mean([digamma(v) for v in sizes[at]]) - np.mean([digamma(max(1, v)) for v in m])))
+    return max(0.0, float(_digamma(np.array(len(at))) + _digamma(np.array(k)) - _digamma(sizes[at]).mean() - _digamma(np.maximum(1, m)).mean()))
 
 
-def granger(x: np.ndarray, y: np.ndarray, lags: int = 2) -> float:
-    """Least p over 1..lags of whether x's past helps to foretell y."""
-    best = 1.0
+def mutual_information_of_series(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
+    """Of two continuous variables, by nearest neighbours in the greater of both distances; found in blocks of rows."""
+    x, y = (np.asarray(v, float) / (np.std(v) or 1.0) for v in (x, y))
+    n = len(x)
+    if n <= k:
+        return 0.0
+    radius = np.empty(n)
+    for lo in range(0, n, 256):
+        far = np.maximum(np.abs(x[lo : lo + 256, None] - x[None]), np.abs(y[lo : lo + 256, None] - y[None]))
+        radius[lo : lo + 256] = np.nextafter(np.partition(far, k, axis=1)[:, k], 0)
+    within = lambda v: np.searchsorted(np.sort(v), v + radius, "right") - np.searchsorted(np.sort(v), v - radius, "left")
+    return max(0.0, float(_digamma(np.array(n)) + _digamma(np.array(k)) - _digamma(within(x)).mean() - _digamma(within(y)).mean()))
+
+
+def granger(x: np.ndarray, y: np.ndarray, lags: int = 2) -> tuple[float, int]:
+    """Least p over 1..lags of whether x's past helps to foretell y, and the lag that gives it."""
+    best, at = 1.0, 1
     for k in range(1, lags + 1):
         t = y[k:]
         own = np.column_stack([np.ones(len(t)), *(y[k - j : len(y) - j] for j in range(1, k + 1))])
@@ -229,8 +302,10 @@ def granger(x: np.ndarray, y: np.ndarray, lags: int = 2) -> float:
         if left <= 0:
             continue
         s0, s1 = ols(own, t)[2], ols(both, t)[2]
-        best = min(best, f_sf((s0 - s1) / k / max(s1 / left, 1e-300), k, left))
-    return best
+        p = f_sf((s0 - s1) / k / max(s1 / left, 1e-300), k, left)
+        if p < best:
+            best, at = p, k
+    return best, at
 
 
 def vif_kept(corr: np.ndarray, most: float = 4.0) -> list[int]:
@@ -251,17 +326,21 @@ def correlated_kept(corr: np.ndarray, most: float = 0.8) -> list[int]:
 
 def average_linkage(distance: np.ndarray, cut: float) -> list[int]:
     """Cluster of each item: the two nearest by mean distance join until none are within `cut`."""
-    groups = [[i] for i in range(len(distance))]
-    while len(groups) > 1:
-        d, i, j = min((distance[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
-        if d > cut:
+    d = np.array(distance, float)
+    np.fill_diagonal(d, np.inf)
+    of, size = list(range(len(d))), np.ones(len(d))
+    while len(d) > 1:
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        if d[i, j] > cut or i == j:
             break
-        groups[i] += groups.pop(j)
-    out = [0] * len(distance)
-    for k, g in enumerate(groups):
-        for i in g:
-            out[i] = k
-    return out
+        joined = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+        d[i], d[:, i] = joined, joined
+        d[j], d[:, j] = np.inf, np.inf
+        d[i, i] = d[i, j] = d[j, i] = np.inf
+        size[i] += size[j]
+        of = [int(i) if g == j else g for g in of]
+    names = {g: n for n, g in enumerate(dict.fromkeys(of))}
+    return [names[g] for g in of]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, c: float = 0.03, balanced: bool = True, steps: int = 60) -> np.ndarray:

@@ -4,15 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint in the folder of spark.checkpoint.dir; only Spark in one process (tests) may leave it unset."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many partitions as there are cores or shuffle partitions: groups of few rows and much work stay in
+    parallel, where small partitions would be joined to one task."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local["):
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only Spark in one process (tests) may leave it unset, and gets a new one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='tidewright-')}")
+        found = f"file://{tempfile.mkdtemp(prefix='tidewright-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df behind a checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()

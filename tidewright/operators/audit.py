@@ -94,6 +94,11 @@ def dense_columns(df: DataFrame, most_null: float = 0.25) -> list[str]:
     return [c for c in df.columns if row[f"n_{c}"] < most_null * max(1, row["rows"])]
 
 
+def common_rows(df: DataFrame, other: DataFrame, keys: tuple = ("symbol", "ts")) -> DataFrame:
+    """Rows of df whose keys other has too."""
+    return df.join(other.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in columns})
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import kernels as k
-from tidewright.functions.series import correlation, lag, ratio, rolled
+from tidewright.functions.tables import spread
+from tidewright.functions.series import EPS, correlation, lag, ratio, rolled
 
 
 def distribution(df: DataFrame, x: str = "log_return") -> DataFrame:
@@ -34,13 +35,15 @@ def autocorrelation(df: DataFrame, x: str = "log_return", lags: int = 10) -> Dat
 
 
 def jumps(df: DataFrame, window: int = 20) -> DataFrame:
-    """Mean share of jumps in realised variance by symbol, and whether over 5 % of bars have one over 0.25."""
-    from tidewright.operators.features import compute, jump
-
-    f, _ = compute(df, [jump])
-    j = F.col("jump_diffusion_component")
-    g = f.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(j).alias("mean_ratio"), F.count_if(j > 0.25).alias("jump_bars"))
-    return g.select("symbol", F.coalesce("mean_ratio", F.lit(0.0)).alias("mean_ratio"), "jump_bars", ((F.col("n") >= 40) & (F.col("jump_bars") > 0.05 * F.col("n"))).cast("int").alias("has_jumps"))
+    """Mean share of jumps in realised variance by symbol, over its returns, and whether over 5 % of these have one over 0.25;
+    nothing for under two windows of returns. The first window of products of neighbours is one short, and so missing."""
+    r = df.where(F.col("log_return").isNotNull()).select("symbol", "ts", F.col("log_return").alias("r"))
+    r = r.withColumns({"_sq": F.col("r") * F.col("r"), "_two": F.abs("r") * F.abs(lag("r"))})
+    rv, bv = rolled(F.sum, "_sq", window), float(np.pi / 2) * rolled(F.sum, "_two", window)
+    j = r.withColumn("j", F.when(bv.isNotNull(), F.greatest(rv - bv, F.lit(0.0)) / (rv + EPS)))
+    g = j.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("j").alias("mean_ratio"), F.count_if(F.col("j") > 0.25).alias("jump_bars"))
+    enough = F.col("n") >= 2 * window
+    return g.select("symbol", F.when(enough, F.col("mean_ratio")).otherwise(0.0).alias("mean_ratio"), F.when(enough, F.col("jump_bars")).otherwise(0).alias("jump_bars"), (enough & (F.col("jump_bars") > 0.05 * F.col("n"))).cast("int").alias("has_jumps"))
 
 
 def pattern_entropy(df: DataFrame, x: str = "log_return") -> DataFrame:
@@ -63,43 +66,82 @@ def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     return g.withColumn("t_stat", F.col("rho") * F.sqrt(ratio((F.col("n") - 2).cast("double"), 1 - F.col("rho") ** 2)))
 
 
+def fitted_regime(train: DataFrame, df: DataFrame) -> DataFrame:
+    """gmm_prob_bull and gmm_prob_bear of df's (return, Parkinson volatility): one mixture for each symbol, fitted on its training
+    rows and applied to all of df's. A symbol is one group."""
+
+    def pair(d: DataFrame) -> DataFrame:
+        spread = F.log(ratio(F.col("high_adj"), F.col("low_adj")))
+        return d.select(F.col("symbol").alias("symbol"), F.col("ts").alias("ts"), F.coalesce("log_return", F.lit(0.0)).alias("a"), F.coalesce(F.sqrt(spread * spread / float(4 * np.log(2))), F.lit(0.0)).alias("b"))
+
+    def fit(past: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        x = past.sort_values("ts")[["a", "b"]].to_numpy(float)
+        p = np.zeros((len(now), 2))
+        if len(x) > 10 and x[:, 0].var() > 1e-8:
+            p = k.responsibilities(now[["a", "b"]].to_numpy(float), *k.two_gaussians(x))
+        return now[["symbol", "ts"]].assign(gmm_prob_bull=p[:, 1], gmm_prob_bear=p[:, 0])
+
+    return pair(train).groupBy("symbol").cogroup(pair(df).groupBy("symbol")).applyInPandas(fit, "symbol string, ts timestamp, gmm_prob_bull double, gmm_prob_bear double")
+
+
 def leverage(df: DataFrame) -> DataFrame:
     """Correlation of a return with the next squared one by symbol."""
     w = df.withColumn("_l", lag("log_return"))
     return w.groupBy("symbol").agg(correlation("_l", F.col("log_return") * F.col("log_return")).alias("leverage")).withColumn("is_asymmetric", (F.col("leverage") < -0.1).cast("int"))
 
 
-PAYLOAD = (
-    "symbol string, dynamic_lags array<int>, optimal_d double, dominant_cycle int, hurst double, vr_3 double, vr_20 double, adf_p double, kpss_p double, arch_p double, bds_p double, entropy double, "
-    "flags struct<has_memory: boolean, is_volatile: boolean, is_nonlinear: boolean, is_noisy: boolean, is_stationary: boolean>"
-)
+#: The hypotheses of a payload.
+FLAGS = ("has_long_trend", "has_short_reversion", "has_vol_clustering", "has_asymmetric_vol", "is_volume_significant", "is_nonlinear", "has_vol_jumps", "is_high_complexity", "has_l2_orderbook", "micro_deviation_sig")
+STATISTICS = ("hurst", "vr_3", "vr_3_p", "vr_20", "vr_20_p", "adf_p", "kpss_p", "memory_corr", "arch_p", "leverage", "volume_corr", "volume_p", "bds_stat", "bds_p", "mi_lag1", "jump_ratio", "entropy", "micro_corr", "micro_p", "spread_adf_p")
+PAYLOAD = f"symbol string, dynamic_lags array<int>, optimal_d double, dominant_cycle int, price_stationary boolean, {', '.join(f'{x} double' for x in STATISTICS)}, flags struct<{', '.join(f'{x}: boolean' for x in FLAGS)}>"
 
 
 def _one(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("ts", kind="stable")
-    price = pdf["close_adj"].to_numpy(float)
+    price = pdf["close_adj"].dropna().to_numpy(float)
     r = pdf["log_return"].dropna().to_numpy(float)
-    if len(r) < 50:
-        lags, vr3, vr20 = [1, 3, 5], 1.0, 1.0
-    else:
+    x = dict.fromkeys(STATISTICS, 0.0) | dict.fromkeys([c for c in STATISTICS if c.endswith("_p")], 1.0) | {"vr_3": 1.0, "vr_20": 1.0, "hurst": 0.5}
+    lags = [1, 3, 5]
+    if len(r) >= 50:
         a = k.acf(r, min(30, len(r) // 3))
-        sig = [i for i in range(1, len(a)) if abs(a[i]) > 1.96 / np.sqrt(len(r))]
+        sig = [i for i in range(1, len(a)) if abs(a[i]) > 1.96 / np.sqrt(len(r))] or [1, 3, 5]
         lags = sorted({*sig[:5], 1, 5, 20})
-        vr3, vr20 = k.variance_ratio(price, 3)[0], k.variance_ratio(price, 20)[0]
-    d, _, _ = k.optimal_difference(price)
-    enough = len(price) >= 50
-    adf_p, kpss_p = (k.adf(price)[1], k.kpss(price)[1]) if enough else (1.0, 0.1)
-    arch_p = k.arch_lm(r) if len(r) >= 30 else 1.0
-    left = k.ar1_residuals(r) if len(r) >= 50 else r[:0]
-    bds_p = k.bds(left)[1] if len(left) and left.std() > 0 else 1.0
-    h, e = k.hurst_dfa(r), k.permutation_entropy(r)
-    flags = {"has_memory": bool(abs(h - 0.5) > 0.1), "is_volatile": bool(arch_p < 0.05), "is_nonlinear": bool(bds_p < 0.05), "is_noisy": bool(e > 0.85), "is_stationary": bool(adf_p < 0.05)}
-    return pd.DataFrame([{"symbol": pdf["symbol"].iloc[0], "dynamic_lags": lags, "optimal_d": d, "dominant_cycle": k.dominant_cycle(price), "hurst": h, "vr_3": vr3, "vr_20": vr20, "adf_p": adf_p, "kpss_p": kpss_p, "arch_p": arch_p, "bds_p": bds_p, "entropy": e, "flags": flags}])
+        (x["vr_3"], _, x["vr_3_p"]), (x["vr_20"], _, x["vr_20_p"]) = k.variance_ratio(price, 3), k.variance_ratio(price, 20)
+        x["hurst"] = k.hurst_dfa(r)
+        left = k.ar1_residuals(r)
+        if left.std() > 0:
+            x["bds_stat"], x["bds_p"] = k.bds((left - left.mean()) / (left.std() + EPS))
+        x["mi_lag1"] = k.mutual_information_of_series(r[:-1], r[1:])
+    d, stationary = 1.0, False
+    if len(price) >= 50:
+        d, _, x["memory_corr"] = k.optimal_difference(price)
+        x["adf_p"], x["kpss_p"] = k.adf(price)[1], k.kpss(price)[1]
+        stationary = x["adf_p"] < 0.05 < x["kpss_p"]
+    if len(r) >= 30:
+        x["arch_p"], x["leverage"] = k.arch_lm(r), k.pearson(r[:-1], r[1:] ** 2)
+    both = pdf[["volume", "log_return"]].dropna() if "volume" in pdf else pdf[:0]
+    if len(both) >= 30:
+        x["volume_corr"], x["volume_p"] = k.rank_test(both["volume"].to_numpy(float), both["log_return"].abs().to_numpy(float))
+    if len(r) >= 40:
+        x["jump_ratio"], many = k.jump_share(r)
+    x["entropy"] = k.permutation_entropy(r)
+    book = "micro_mid_deviation" in pdf and "l2_spread" in pdf
+    if book:
+        before = pdf["micro_mid_deviation"].fillna(0.0).shift(1).fillna(0.0).to_numpy(float)
+        x["micro_corr"], x["micro_p"] = k.rank_test(before, pdf["log_return"].fillna(0.0).to_numpy(float))
+        x["spread_adf_p"] = k.adf(pdf["l2_spread"].fillna(0.0).to_numpy(float))[1] if len(pdf) >= 20 else 1.0
+    flags = dict(zip(FLAGS, (
+        x["vr_20"] > 1 and x["vr_20_p"] < 0.05, x["vr_3"] < 1 and x["vr_3_p"] < 0.05, x["arch_p"] < 0.05, x["leverage"] < -0.1, x["volume_p"] < 0.05 and x["volume_corr"] > 0.1, x["bds_p"] < 0.05,
+        len(r) >= 40 and many > 0.05 * len(r), len(r) >= 30 and x["entropy"] > 0.85, book, book and x["micro_p"] < 0.05 and abs(x["micro_corr"]) > 0.05,
+    )))
+    return pd.DataFrame([{"symbol": pdf["symbol"].iloc[0], "dynamic_lags": lags, "optimal_d": d, "dominant_cycle": k.dominant_cycle(price), "price_stationary": bool(stationary), **x, "flags": {f: bool(v) for f, v in flags.items()}}])
 
 
 def scan(df: DataFrame) -> DataFrame:
-    """The routing payload of each symbol: lags, order of difference, cycle, statistics and flags."""
-    return df.select("symbol", "ts", "close_adj", "log_return").groupBy("symbol").applyInPandas(_one, PAYLOAD)
+    """The routing payload of each symbol: lags, order of difference, cycle, statistics and the ten flags. The order book takes
+    part where df has micro_mid_deviation and l2_spread. Each symbol's series is one group."""
+    book = [c for c in ("micro_mid_deviation", "l2_spread") if c in df.columns]
+    return spread(df.select("symbol", "ts", "close_adj", "volume", "log_return", *book), "symbol").groupBy("symbol").applyInPandas(_one, PAYLOAD)
 
 
 def regime_probabilities(df: DataFrame, train: int = 120, step: int = 20) -> DataFrame:

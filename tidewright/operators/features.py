@@ -242,6 +242,19 @@ def complexity(n: int = 20) -> Levels:
     return [flips, {"_pat": pattern("_r0"), "_flip": F.abs(delta("_sign")).cast("double")}, {"chaos_permutation_entropy_20": F.when(F.count("_pat").over(frame(windows)) == windows, entropy), "lz_complexity_proxy_20": mean("_flip", n)}]
 
 
+def fractional_of(df: DataFrame, orders: DataFrame, x: str = "close_adj", out: str = "frac_diff_d", least_rows: int = 10) -> DataFrame:
+    """df with each symbol's fractional difference by its own order in orders(symbol, optimal_d); null unless 0 < order < 1."""
+    step = lambda w, k: F.concat(w, F.array(-F.element_at(w, -1) * (F.col("_d") - k + 1) / k))
+    weights = F.aggregate(F.sequence(F.lit(1), F.lit(99)), F.array(F.lit(1.0)), lambda w, k: F.when(F.abs(F.element_at(step(w, k), -1)) >= 1e-4, F.when(F.size(w) == k, step(w, k)).otherwise(w)).otherwise(w))
+    known = orders.where("optimal_d > 0 and optimal_d < 1").select("symbol", F.col("optimal_d").alias("_d")).withColumn("_w", weights)
+    values = F.collect_list(F.struct(F.col(x).alias("x"))).over(frame(100))
+    joined = df.withColumn("_recent", F.transform(F.reverse(values), lambda v: F.coalesce(v["x"], F.lit(0.0)))).withColumn("_n", F.count(x).over(frame(100))).join(known, "symbol", "left")
+    n = F.least(F.size("_recent"), F.size("_w"))
+    products = F.zip_with(F.slice("_recent", F.lit(1), n), F.slice("_w", F.lit(1), n), lambda a, b: a * b)
+    value = F.aggregate(products, F.lit(0.0), lambda s, t: s + t)
+    return joined.withColumn(out, F.when(F.col("_w").isNotNull() & (F.col("_n") >= least_rows), value)).drop("_recent", "_n", "_d", "_w")
+
+
 def fractional(d: float = 0.4, x: str = "close_adj", least_rows: int = 10) -> Levels:
     """The current value takes part; missing ones count 0; null before `least_rows` values."""
     w = difference_weights(d)
@@ -252,21 +265,36 @@ def fractional(d: float = 0.4, x: str = "close_adj", least_rows: int = 10) -> Le
     return [{f"frac_diff_d{d:.2f}": F.when(n >= least_rows, value)}]
 
 
-def order_book() -> Levels:
-    """Needs micro_mid_deviation, l2_spread, bid_size, ask_size."""
-    b, a = F.col("bid_size"), F.col("ask_size")
-    gone = lambda x: zero(floored(x))
-    return [{
-        "l2_micro_dev_raw": F.col("micro_mid_deviation"), "l2_micro_dev_diff": delta("micro_mid_deviation"), "l2_spread_zscore": z("l2_spread", 20),
+def sizes(columns: list[str]) -> tuple[str, str] | None:
+    """The bid and ask sizes of the first level of a ladder, else of the best quotes."""
+    return next(((b, a) for b, a in (("bid_size_1", "ask_size_1"), ("bid_size", "ask_size")) if {b, a} <= set(columns)), None)
+
+
+def order_book(columns: list[str] = ("bid_size", "ask_size")) -> Levels:
+    """Needs micro_mid_deviation and l2_spread. Features of sizes come where df has some; in a symbol whose sizes are all 0 or
+    missing they are null."""
+    out = {"l2_micro_dev_raw": F.col("micro_mid_deviation"), "l2_micro_dev_diff": delta("micro_mid_deviation"), "l2_spread_zscore": z("l2_spread", 20)}
+    found = sizes(list(columns))
+    if not found:
+        return [out]
+    whole = Window.partitionBy("symbol")
+    some = (F.coalesce(F.sum(found[0]).over(whole), F.lit(0.0)) != 0) | (F.coalesce(F.sum(found[1]).over(whole), F.lit(0.0)) != 0)
+    first = {"_some": some}
+    b, a = F.when(F.col("_some"), F.col(found[0])), F.when(F.col("_some"), F.col(found[1]))
+    gone = lambda x: F.when(F.col("_some"), zero(floored(x)))
+    out |= {
         "l2_order_imbalance_raw": b - a, "l2_depth_total": b + a, "l2_depth_ratio": b / (a + EPS),
-        "l2_bid_replenishment": gone(delta("bid_size")), "l2_ask_replenishment": gone(delta("ask_size")), "l2_bid_withdrawal": gone(-delta("bid_size")), "l2_ask_withdrawal": gone(-delta("ask_size")),
-    }, {"l2_order_imbalance_z": z("l2_order_imbalance_raw", 20)}]
+        "l2_bid_replenishment": gone(delta(found[0])), "l2_ask_replenishment": gone(delta(found[1])), "l2_bid_withdrawal": gone(-delta(found[0])), "l2_ask_withdrawal": gone(-delta(found[1])),
+    }
+    return [first, out, {"l2_order_imbalance_z": z("l2_order_imbalance_raw", 20)}]
 
 
-def toxicity(quotes: bool = False) -> Levels:
+def toxicity(columns: list[str] = ()) -> Levels:
+    """From the sizes that df has, else from where a bar closes in its range."""
     p = prices()
     v, clv = p.v, p.clv
-    first = {"flow_imbalance_proxy": F.col("bid_size") - F.col("ask_size") if quotes else clv * v}
+    found = sizes(list(columns))
+    first = {"flow_imbalance_proxy": F.col(found[0]) - F.col(found[1]) if found else clv * v}
     return [first, {"_abs": F.abs("flow_imbalance_proxy"), "flow_imbalance_zscore": z("flow_imbalance_proxy", 20)}, {"flow_vpin_10": total("_abs", 10) / (total("volume", 10) + EPS)}]
 
 
@@ -347,7 +375,7 @@ def compute(df: DataFrame, strategies: list[Callable[[], Levels]]) -> tuple[Data
     for s in strategies:
         if s is market_context and "mkt_return" not in df.columns:
             continue
-        levels = s()
+        levels = s(df.columns) if s in (order_book, toxicity) else s()
         df = staged(df, *levels)
         made = [n for level in levels if not callable(level) for n in level]
         helpers = [n for n in made if n.startswith("_")]
@@ -369,11 +397,17 @@ def regime_rank(df: DataFrame, high: float = 0.70) -> DataFrame:
     return staged(df, {"_r0": r0}, {"_vol": std("_r0", 20)}, {"regime_vol_rank_60": pct_rank("_vol", 60)}, {"regime_is_high_vol": rank}).drop("_r0", "_vol")
 
 
-def lagged(df: DataFrame, lags: dict[str, int]) -> DataFrame:
-    """{col}_zscaled_lag{L} and {col}_momentum for each column and its lag, clamped to 1 or 2."""
+def accelerated(df: DataFrame, lags: dict[str, int]) -> DataFrame:
+    """{col}_acceleration: the change of a column's momentum over its lag from one bar to the next; lags aren't clamped."""
+    steps = {f"_m_{x}": (F.col(x) - lag(x, k)) / (F.abs(lag(x, k)) + EPS) for x, k in lags.items()}
+    return staged(df, steps, {f"{x}_acceleration": delta(f"_m_{x}") for x in lags}).drop(*steps)
+
+
+def lagged(df: DataFrame, lags: dict[str, int], most: int = 2) -> DataFrame:
+    """{col}_zscaled_lag{L} and {col}_momentum for each column and its lag, clamped to 1 .. most."""
     out = {}
     for x, k in lags.items():
-        k = min(max(int(k), 1), 2)
+        k = min(max(int(k), 1), most)
         out[f"{x}_zscaled_lag{k}"] = (lag(x, k) - mean(x, 20, k)) / (std(x, 20, k) + EPS)
         out[f"{x}_momentum"] = (F.col(x) - lag(x, k)) / (F.abs(lag(x, k)) + EPS)
     return df.withColumns(out)

@@ -78,6 +78,15 @@ def bet_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("fold").agg((100.0 * F.count_if(F.col("bet_size") > 0) / F.count("*")).alias("active_pct"), F.avg("bet_size").alias("mean_bet"), F.max("bet_size").alias("max_bet"))
 
 
+def by_group(df: DataFrame, by: str, threshold: float = 0.5) -> DataFrame:
+    """auc and acc of (p, y) by group: rank sums from counts by distinct p, whose windows lie within a group."""
+    g = df.groupBy(by, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hit = F.when(F.col("p") >= threshold, F.col("pos")).otherwise(F.col("neg"))
+    g = g.withColumns({"won": F.col("pos") * (below + F.col("neg") / 2), "hit": hit})
+    return g.groupBy(by).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"), (F.sum("hit") / F.sum(F.col("pos") + F.col("neg"))).alias("acc"))
+
+
 def stability(selected: DataFrame) -> DataFrame:
     """In how many folds each of (fold, features array) was selected."""
     return selected.select("fold", F.explode("features").alias("feature")).groupBy("feature").agg(F.count_distinct("fold").alias("folds"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import kernels as k
+from tidewright.functions.tables import spread
 
 
 def interactions(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
@@ -44,10 +45,13 @@ def balanced_logistic(df: DataFrame, columns: list[str], label: str, c: float =
 
 
 class Calibrated:
-    """Imputer, interactions, scaler, logistic model on the first 70 % of rows, calibration on the rest."""
+    """Imputer, interactions, scaler, logistic model on the first 70 % of rows, calibration on the rest; method "none" fits all
+    rows and doesn't calibrate, and so do rows of which either part has one class. Calibration needs over LEAST rows to fit."""
 
-    def __init__(self, c: float = 0.03, split: float = 0.7, pairs: bool = True) -> None:
-        self.c, self.split, self.pairs, self.a, self.b = c, split, pairs, 1.0, 0.0
+    LEAST = 50
+
+    def __init__(self, c: float = 0.03, split: float = 0.7, pairs: bool = True, method: str = "bounded") -> None:
+        self.c, self.split, self.pairs, self.method, self.a, self.b = c, split, pairs, method, 1.0, 0.0
 
     def _wide(self, x: np.ndarray) -> np.ndarray:
         x = np.where(np.isnan(x), self.median, x)
@@ -60,8 +64,10 @@ class Calibrated:
         self.sd = np.where(sd > 0, sd, 1.0)
         wide = (wide - self.mean) / self.sd
         cut = int(len(y) * self.split)
-        if cut <= 50 or len(np.unique(y[:cut])) < 2 or len(np.unique(y[cut:])) < 2:
+        if self.method == "none" or len(np.unique(y[:cut])) < 2 or len(np.unique(y[cut:])) < 2:
             self.beta = k.logistic(wide, y, self.c)
+        elif cut <= self.LEAST:
+            raise ValueError(f"calibration needs over {self.LEAST} rows to fit, not {cut}")
         else:
             self.beta = k.logistic(wide[:cut], y[:cut], self.c)
             self.a, self.b = k.bounded_platt(wide[cut:] @ self.beta[:-1] + self.beta[-1], y[cut:])
@@ -77,37 +83,62 @@ class Calibrated:
 OOS = "symbol string, fold int, ts timestamp, role string, prob_up double, y int, barrier_return double, barrier_touch_time timestamp, slope double, offset double"
 
 
-def out_of_sample(df: DataFrame, columns: list[str], label: str = "target_label", c: float = 0.03, pairs: bool = True) -> DataFrame:
+def out_of_sample(df: DataFrame, columns: list[str], label: str = "target_label", c: float = 0.03, pairs: bool = True, method: str = "bounded") -> DataFrame:
     """Probabilities of purged() folds' rows: each (symbol, fold), of at most max_train and its test rows, is fitted in one
-    group, in parallel. Training rows come with theirs too, which thresholds of the first test rows need."""
+    group, in parallel. Training rows come with theirs too, which thresholds of the first test rows need. Folds with too few
+    training rows to calibrate have no model: 0.5."""
     named = df.select("symbol", F.col("fold").cast("int").alias("fold"), "ts", "role", F.col(label).cast("int").alias("y"), F.col("target_barrier_return").alias("barrier_return"), "barrier_touch_time", *columns)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts").reset_index(drop=True)
         x, y = pdf[columns].to_numpy(float), pdf["y"].to_numpy(float)
         train = ((pdf["role"] == "train") & pdf["y"].notna()).to_numpy()
-        net = Calibrated(c, pairs=pairs)
-        if train.sum() >= 20 and len(np.unique(y[train])) > 1:
+        net = Calibrated(c, pairs=pairs, method=method)
+        if enough(int(train.sum()), net) and len(np.unique(y[train])) > 1:
             p = net.fit(x[train], y[train]).probability(x)
         else:
             p = np.full(len(pdf), 0.5)
         return pdf[["symbol", "fold", "ts", "role"]].assign(prob_up=p, y=pdf["y"].astype("Int32"), barrier_return=pdf["barrier_return"], barrier_touch_time=pdf["barrier_touch_time"], slope=net.a, offset=net.b)
 
-    return named.groupBy("symbol", "fold").applyInPandas(one, OOS)
+    return spread(named, "symbol", "fold").groupBy("symbol", "fold").applyInPandas(one, OOS)
+
+
+def enough(rows: int, net: Calibrated) -> bool:
+    return rows >= 20 if net.method == "none" else int(rows * net.split) > net.LEAST
+
+
+def auc(p: np.ndarray, y: np.ndarray) -> float:
+    order = pd.Series(p).rank().to_numpy()
+    pos = (y == 1).sum()
+    return float((order[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos)))
+
+
+def interaction_gain(df: DataFrame, columns: list[str], label: str = "target_label", c: float = 0.05) -> DataFrame:
+    """symbol, fold, base_auc, pairs_auc, delta_auc on test rows: a calibrated model, and an uncalibrated one of all products of
+    two columns at the weaker penalty. Folds with one class, or too few training rows, are left out."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts").dropna(subset=[label])
+        x, y, train = pdf[columns].to_numpy(float), pdf[label].to_numpy(float), (pdf["role"] == "train").to_numpy()
+        base = Calibrated()
+        if not enough(int(train.sum()), base) or len(np.unique(y[train])) < 2 or len(np.unique(y[~train])) < 2:
+            return pd.DataFrame({"symbol": pd.Series([], dtype=object), "fold": pd.Series([], dtype="int32"), "base_auc": pd.Series([], dtype=float), "pairs_auc": pd.Series([], dtype=float)})
+        pairs = Calibrated(c, method="none").fit(x[train], y[train])
+        base.fit(x[train], y[train])
+        return pd.DataFrame([{"symbol": pdf["symbol"].iloc[0], "fold": int(pdf["fold"].iloc[0]), "base_auc": auc(base.probability(x[~train]), y[~train]), "pairs_auc": auc(pairs.probability(x[~train]), y[~train])}])
+
+    named = spread(df.select("symbol", F.col("fold").cast("int").alias("fold"), "ts", "role", label, *columns), "symbol", "fold")
+    found = named.groupBy("symbol", "fold").applyInPandas(one, "symbol string, fold int, base_auc double, pairs_auc double")
+    return found.withColumn("delta_auc", F.col("pairs_auc") - F.col("base_auc"))
 
 
 def importance(df: DataFrame, columns: list[str], label: str = "target_label") -> DataFrame:
     """feature, mean, std, n of the loss of test AUC over folds when the feature's test values are shuffled."""
 
-    def auc(p: np.ndarray, y: np.ndarray) -> float:
-        order = pd.Series(p).rank().to_numpy()
-        pos = (y == 1).sum()
-        return float((order[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos)))
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts").dropna(subset=[label])
         x, y, train = pdf[columns].to_numpy(float), pdf[label].to_numpy(float), (pdf["role"] == "train").to_numpy()
-        if train.sum() < 20 or len(np.unique(y[train])) < 2 or len(np.unique(y[~train])) < 2:
+        if not enough(int(train.sum()), Calibrated()) or len(np.unique(y[train])) < 2 or len(np.unique(y[~train])) < 2:
             return pd.DataFrame({"feature": pd.Series([], dtype=object), "loss": pd.Series([], dtype=float)})
         net, rng = Calibrated().fit(x[train], y[train]), np.random.default_rng(42)
         base, out = auc(net.probability(x[~train]), y[~train]), []
@@ -117,5 +148,5 @@ def importance(df: DataFrame, columns: list[str], label: str = "target_label") -
             out.append(base - auc(net.probability(moved), y[~train]))
         return pd.DataFrame({"feature": columns, "loss": out})
 
-    losses = df.select("symbol", "fold", "ts", "role", label, *columns).groupBy("symbol", "fold").applyInPandas(one, "feature string, loss double")
+    losses = spread(df.select("symbol", "fold", "ts", "role", label, *columns), "symbol", "fold").groupBy("symbol", "fold").applyInPandas(one, "feature string, loss double")
     return losses.groupBy("feature").agg(F.avg("loss").alias("mean_loss"), F.stddev_samp("loss").alias("std_loss"), F.count("*").alias("n")).orderBy(F.desc("mean_loss"))

@@ -6,13 +6,25 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import kernels as k
-
-BLACKLIST = {"sin_dow", "cos_dow", "sin_month", "cos_month", "open", "high", "low", "close", "open_adj", "high_adj", "low_adj", "close_adj", "volume", "log_return"}
-CLUSTERS = {"flow": ("cmf", "obv", "vpt", "flow", "net_pressure", "wick"), "volatility": ("vol_", "kinematic_squeeze", "regime"), "momentum": ("ret_", "macd", "zscore", "rsi", "body", "mkt"), "microstructure": ("liq_", "l2_", "geo_", "shadow")}
+from tidewright.functions.tables import spread
+from tidewright.operators.audit import filled
+
+#: Lagged features that are never used.
+BLACKLIST = (
+    "geo_lower_shadow_momentum", "geo_lower_shadow_zscaled_lag2", "regime_vol_rank_60_momentum", "regime_vol_rank_60_zscaled_lag1", "volume_zscaled_lag1", "volume_momentum", "cmf_slope_5_zscaled_lag2",
+    "kinematic_squeeze_ratio_momentum", "sin_month_zscaled_lag1", "sin_month_momentum", "liq_amihud_pct_rank_zscaled_lag2", "obv_slope_5_zscaled_lag1", "wavelet_energy_ratio_momentum", "geo_upper_shadow_zscaled_lag2",
+)
+#: Clusters of features, by the beginnings of their names.
+CLUSTERS = {
+    "flow": ("cmf_slope_5", "obv_slope_5", "rvol_5"),
+    "volatility": ("vol_parkinson", "hl_log_range", "kinematic_squeeze_ratio"),
+    "momentum": ("ret_3", "body_direction_momentum"),
+    "microstructure": ("skewness_20", "wavelet_energy_ratio", "liq_amihud_pct_rank", "geo_upper_shadow"),
+}
 
 
 def matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> np.ndarray:
@@ -43,45 +55,107 @@ def clusters(df: DataFrame, columns: list[str], similar: float = 0.6) -> dict[st
 
 
 def blocks(df: DataFrame, count: int = 8, share: float = 0.75, least: int = 40) -> DataFrame:
-    """Rows by overlapping block: starts are spread evenly, so that each block is a contiguous share of its symbol's rows."""
+    """Rows by overlapping block, each a contiguous share of its symbol's rows: starts lie a whole step apart, and those that
+    would begin alike are one block."""
     from tidewright.operators.cv import numbered
 
     n = numbered(df)
-    length = F.least(F.col("n_rows"), F.greatest(F.floor(F.col("n_rows") * share), F.lit(least)))
+    length = F.greatest(F.floor(F.col("n_rows") * share), F.lit(least))
+    last = F.greatest(F.col("n_rows") - length, F.lit(0))
+    step = F.greatest(F.lit(1), F.floor(last / max(1, count - 1)))
+    start = lambda i: F.least(i * step, last)
     rows = n.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    start = F.floor((F.col("n_rows") - length) * F.col("block") / (count - 1))
-    return rows.where((F.col("row_id") >= start) & (F.col("row_id") < start + length))
+    own = (F.col("block") == 0) | (start(F.col("block")) > start(F.col("block") - 1))
+    return rows.where(own & (F.col("row_id") >= start(F.col("block"))) & (F.col("row_id") < start(F.col("block")) + length))
+
+
+def selected_in_block(x: np.ndarray, y: np.ndarray, p: float = 0.10, least_mi: float = 0.01, least: int = 3, lags: int = 2) -> dict[int, int]:
+    """Columns of x that a block votes for, with the lag at which each foretells y (0: none does): of those left by correlation
+    and variance inflation the best of each cluster, if Granger's test or mutual information finds a lag; where that leaves under
+    `least`, all of them."""
+    some = np.flatnonzero(x.var(axis=0) > 1e-8)
+    corr = np.nan_to_num(np.corrcoef(x[:, some], rowvar=False)).reshape(len(some), len(some))
+    kept = k.correlated_kept(corr)
+    kept = [int(some[kept[i]]) for i in k.vif_kept(corr[np.ix_(kept, kept)])] if len(kept) > 1 else [int(some[i]) for i in kept]
+    kept = best_of_clusters(x, y, kept, least)
+    found = {}
+    for c in kept:
+        chance, lag = k.granger(x[:, c], y, lags)
+        if chance >= p:
+            mi = [k.mutual_information(np.concatenate([np.zeros(i), x[:-i, c]]), y) for i in range(1, lags + 1)]
+            lag = int(np.argmax(mi)) + 1 if max(mi) > least_mi else 0
+        if lag:
+            found[c] = lag
+    return found if len(found) >= least else {c: found.get(c, 0) for c in kept}
+
+
+def best_of_clusters(x: np.ndarray, y: np.ndarray, columns: list[int], least: int = 3, similar: float = 0.6) -> list[int]:
+    """Of each cluster by rank correlation the column of most mutual information with y; all where there are few."""
+    if len(columns) <= least:
+        return columns
+    rho = np.abs(np.nan_to_num(k.spearman(x[:, columns])))
+    np.fill_diagonal(rho, 1.0)
+    of = np.array(k.average_linkage(np.sqrt(np.clip(1 - rho, 0, 1)), float(np.sqrt(1 - similar))))
+    mi = np.array([k.mutual_information(x[:, c], y) for c in columns])
+    return [columns[g[mi[g].argmax()]] for g in (np.flatnonzero(of == c) for c in np.unique(of))]
+
+
+def votes(df: DataFrame, columns: list[str], label: str = "target_label", count: int = 8) -> DataFrame:
+    """symbol, feature, votes, lag, blocks: in how many of a symbol's blocks a feature is selected, and the median of the lags
+    found, 1 or 2 (1: none). Blocks are groups of their own and run in parallel; those of one class don't vote, but count."""
+    rows = blocks(filled(df.where(F.col(label).isNotNull()).select("symbol", "ts", F.col(label).cast("double").alias(label), *columns), columns), count)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        x, y = pdf[columns].to_numpy(float), pdf[label].to_numpy()
+        found = selected_in_block(x, y) if len(np.unique(y)) > 1 else {}
+        names = [columns[i] for i in found]
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "feature": pd.Series([*names, None], dtype=object), "lag": [*found.values(), 0]})
 
+    found = spread(rows, "symbol", "block").groupBy("symbol", "block").applyInPandas(one, "symbol string, feature string, lag int")
+    of_all = found.where("feature is null").groupBy("symbol").agg(F.count("*").alias("blocks"))
+    median = F.least(F.greatest(F.coalesce(F.floor(F.percentile(F.when(F.col("lag") > 0, F.col("lag")), F.lit(0.5))), F.lit(1)), F.lit(1)), F.lit(2)).cast("int")
+    voted = found.where("feature is not null").groupBy("symbol", "feature").agg(F.count("*").alias("votes"), median.alias("lag"))
+    return voted.join(of_all, "symbol")
 
-def votes(df: DataFrame, columns: list[str], label: str = "target_label", count: int = 8, p: float = 0.10, least_mi: float = 0.01) -> DataFrame:
-    """feature, votes, blocks: in how many blocks of each symbol's rows a feature's past foretells the label, by Granger's
-    test or else by mutual information one bar late. Blocks are groups of their own and run in parallel."""
-    named = blocks(df.select("symbol", "ts", label, *columns), count)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts").dropna(subset=[label])
-        y = pdf[label].to_numpy(float)
-        out = []
-        for c in columns if len(np.unique(y)) > 1 and len(y) >= 20 else ():
-            x = pdf[c].bfill().ffill().fillna(0).to_numpy(float)
-            if x.std() > 1e-8 and (k.granger(x, y) < p or k.mutual_information(x[:-1], y[1:]) > least_mi):
-                out.append(c)
-        return pd.DataFrame({"feature": pd.Series(out, dtype=object)})
+def candidates(voted: DataFrame, threshold: float = 0.6, fallback: int = 3) -> DataFrame:
+    """Of votes() the features with at least a share `threshold` of the blocks, rounded up; where those are under `fallback`, the
+    first so many by votes, then by name."""
+    enough = (F.col("votes") >= F.ceil(F.col("blocks") * threshold)).cast("int")
+    by = Window.partitionBy("symbol")
+    placed = voted.withColumn("place", F.row_number().over(by.orderBy(F.desc("votes"), "feature"))).withColumn("enough", enough)
+    placed = placed.withColumn("many", F.sum("enough").over(by))
+    return placed.where(F.when(F.col("many") >= fallback, F.col("enough") == 1).otherwise(F.col("place") <= fallback)).drop("enough", "many")
 
-    found = named.groupBy("symbol", "block").applyInPandas(one, "feature string")
-    return found.groupBy("feature").agg(F.count("*").alias("votes")).orderBy(F.desc("votes"), "feature")
 
+def consensus(df: DataFrame, columns: list[str], label: str = "target_label", count: int = 8, threshold: float = 0.6, most: int = 5) -> DataFrame:
+    """symbol, place, feature, votes, lag: the candidates of each symbol clustered once more over all its rows, the best of each
+    cluster kept, at most `most` by votes."""
+    voted = candidates(votes(df, columns, label, count), threshold)
+    rows = filled(df.where(F.col(label).isNotNull()).select("symbol", "ts", F.col(label).cast("double").alias(label), *columns), columns)
 
-def consensus(voted: DataFrame, count: int, threshold: float = 0.6, fallback: int = 3) -> list[str]:
-    """Features with at least a share `threshold` of `count` votes; the first `fallback` where there are none."""
-    rows = voted.collect()  # one row a feature
-    return [r["feature"] for r in rows if r["votes"] >= np.ceil(count * threshold)] or [r["feature"] for r in rows[:fallback]]
+    def final(pdf: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
+        named = named.sort_values("place")
+        at = {f: i for i, f in enumerate(named["feature"])}
+        kept = best_of_clusters(pdf.sort_values("ts", kind="stable")[list(at)].to_numpy(float), pdf.sort_values("ts", kind="stable")[label].to_numpy(), list(at.values())) if len(pdf) else []
+        out = named.iloc[sorted(kept)].head(most)
+        return out.assign(place=range(1, len(out) + 1))[["symbol", "place", "feature", "votes", "lag"]]
+
+    return spread(rows, "symbol").groupBy("symbol").cogroup(voted.groupBy("symbol")).applyInPandas(final, "symbol string, place int, feature string, votes long, lag int")
 
 
 def diversified(features: list[str], most: int = 4) -> list[str]:
-    """One feature of each named cluster, in order, then others up to `most`; blacklisted ones never."""
-    features = [f for f in features if f not in BLACKLIST]
-    picked = []
-    for prefixes in CLUSTERS.values():
-        picked += [f for f in features if f.startswith(prefixes) and f not in picked][:1]
+    """In the order of the candidates, the first feature of each cluster, then others in order up to `most`."""
+    picked, told = [], set()
+    for f in features:
+        cluster = next((c for c, heads in CLUSTERS.items() if c not in told and f.startswith(heads)), None)
+        if cluster and len(picked) < most:
+            picked.append(f)
+            told.add(cluster)
     return (picked + [f for f in features if f not in picked])[:most]
+
+
+def allowed(features: list[str]) -> list[str]:
+    """Features that aren't blacklisted; all where none is left."""
+    return [f for f in features if f not in BLACKLIST] or features

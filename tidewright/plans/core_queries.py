@@ -70,12 +70,6 @@ def audit_report(spark, sf_dir):
     return audit.audit_report(raw, audit.repaired(raw))
 
 
-@query("audit_flat_columns", ["column_name"], [], "SELECT 'constant' AS column_name")
-def audit_flat_columns(spark, sf_dir):
-    df = bars.event_bars(spark, sf_dir).withColumn("constant", F.lit(1.0)).withColumn("dividend", F.lit(0.0))
-    return spark.createDataFrame([(c,) for c in audit.flat_columns(df)], "column_name string")
-
-
 ADJ = ["open_adj", "high_adj", "low_adj", "close_adj"]
 
 
@@ -94,12 +88,6 @@ def fill_gaps(spark, sf_dir):
     return audit.filled(bars.event_bars(spark, sf_dir).withColumn("x", F.when(F.col("volume") > 1, F.col("close"))), ["x"])
 
 
-@query("dense_columns", ["column_name"], [], "SELECT unnest(['symbol', 'ts', 'close']) AS column_name")
-def dense_columns(spark, sf_dir):
-    df = bars.event_bars(spark, sf_dir).select("symbol", "ts", "close", F.lit(None).cast("double").alias("sparse"))
-    return spark.createDataFrame([(c,) for c in audit.dense_columns(df)], "column_name string")
-
-
 @query("align_schema", ["symbol"], ["close", "missing"], f"WITH {EVENTS} SELECT symbol, close, CAST(NULL AS DOUBLE) AS missing FROM ev")
 def align_schema(spark, sf_dir):
     return audit.aligned(bars.event_bars(spark, sf_dir), ["symbol", "close", "missing"])
@@ -372,11 +360,6 @@ def acf(spark, sf_dir):
     return diagnostics.autocorrelation(adjusted_events(spark, sf_dir))
 
 
-@query("bns_jump", ["symbol", "jump_bars", "has_jumps"], ["mean_ratio"])
-def bns_jump(spark, sf_dir):
-    return diagnostics.jumps(adjusted_events(spark, sf_dir))
-
-
 @query("permutation_entropy", ["symbol"], ["entropy"], f"{BASE}, p AS (SELECT symbol, r AS z, {lag('r')} AS y, {lag('r', 2)} AS x FROM b WHERE r IS NOT NULL), c AS (SELECT symbol, CAST(x > y AS INT) * 4 + CAST(y > z AS INT) * 2 + CAST(x > z AS INT) AS k, count(*) AS n FROM p WHERE x IS NOT NULL GROUP BY 1, 2), s AS (SELECT symbol, n / sum(n) OVER (PARTITION BY symbol) AS q FROM c) SELECT symbol, -sum(q * log2(q)) / log2(6) AS entropy FROM s GROUP BY 1")
 def permutation_entropy(spark, sf_dir):
     return diagnostics.pattern_entropy(adjusted_events(spark, sf_dir))
@@ -422,14 +405,14 @@ def feature_clusters(spark, sf_dir):
     return spark.createDataFrame(list(selection.clusters(routed(spark, sf_dir), CANDIDATES).items()), "feature string, cluster int")
 
 
-@query("consensus_vote", ["feature", "votes"], [])
+@query("consensus_vote", ["symbol", "feature", "votes", "lag", "blocks"], [])
 def consensus_vote(spark, sf_dir):
     return selection.votes(routed(spark, sf_dir), CANDIDATES)
 
 
-@query("diversify", ["feature"], [], "SELECT unnest(['cmf_20', 'vol_parkinson', 'ret_3', 'geo_body_ratio']) AS feature")
-def diversify(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in selection.diversified(["log_return", *CANDIDATES])], "feature string")
+@query("consensus_features", ["symbol", "place", "feature", "votes", "lag"], [])
+def consensus_features(spark, sf_dir):
+    return selection.consensus(routed(spark, sf_dir), CANDIDATES)
 
 
 def fold_rows(spark, sf_dir):

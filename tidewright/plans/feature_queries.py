@@ -28,10 +28,10 @@ def with_market(spark, sf_dir):
     return with_benchmark(adjusted_orders(spark, sf_dir), m)
 
 
-def strategy(name, levels, columns, *helpers, start=adjusted_orders, extra=""):
+def strategy(name, levels, columns, *helpers, start=adjusted_orders, extra="", scale=None):
     """Registers feat_<name>: its features, and SQL from formulas of columns over helper levels."""
 
-    @query(f"feat_{name}", ["symbol", "ts"], list(columns), sql(columns, *helpers, extra=extra))
+    @query(f"feat_{name}", ["symbol", "ts"], list(columns), sql(columns, *helpers, extra=extra), scale)
     def run(spark, sf_dir):
         df = f.compute(start(spark, sf_dir), levels if isinstance(levels, list) else [levels])[0]
         return df.withColumn("log_energy_ratio", F.log1p("wavelet_energy_ratio")) if name == "wavelet" else df

@@ -41,10 +41,10 @@ def provider_symbol(symbol: Column) -> Column:
 
 
 def read_bar_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV file a symbol, named by it, in capitalised or plain column names."""
+    """One CSV file (or folder of parts) a symbol, named by it, in capitalised or plain column names."""
     raw = spark.read.csv(path, header=True)
     raw = raw.withColumnsRenamed({c: {"date": "time"}.get(c.lower(), c.lower()) for c in raw.columns})
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv[^/]*$", 1)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv(/[^/]*)?$", 1)
     return raw.select(name.alias("symbol"), F.to_timestamp("time").alias("ts"), *[F.expr(f"try_cast({c} as double)").alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
@@ -61,6 +61,28 @@ def write_bars(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy("symbol").format(format).save(path)
 
 
+def write_labelled(df: DataFrame, path: str) -> None:
+    """The labelled bars, and those without any missing value, as Parquet below path."""
+    from tidewright.operators.audit import complete
+
+    df.write.mode("overwrite").parquet(f"{path}/labelled")
+    complete(df).write.mode("overwrite").parquet(f"{path}/ready")
+
+
+#: Columns of out-of-sample predictions and of executed trades, with which their tables are read.
+PREDICTION_SCHEMA = "symbol string, ts timestamp, fold int, prob_up double, dynamic_threshold double, pred_signal int, bet_size double, true_target int, barrier_return double, barrier_touch_time timestamp"
+EXECUTION_SCHEMA = PREDICTION_SCHEMA + ", executed_signal int, executed_return double, executed_bet double, trade_cost double, net_trade_pnl double, equity_curve double, peak_equity double, drawdown double"
+
+
+def write_predictions(df: DataFrame, path: str, schema: str = PREDICTION_SCHEMA) -> None:
+    """Exactly the columns of the schema, as Parquet."""
+    df.select(*[F.expr(f"cast({f.split()[0]} as {f.split()[1]})").alias(f.split()[0]) for f in schema.split(", ")]).write.mode("overwrite").parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str, schema: str = PREDICTION_SCHEMA) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
 def long_enough(df: DataFrame, rows: int = 50) -> DataFrame:
     """Bars of symbols that have more than so many."""
     kept = df.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") > rows).select("symbol")
