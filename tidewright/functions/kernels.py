@@ -249,6 +249,10 @@ def _digamma(v: np.ndarray) -> np.ndarray:
     return low + np.log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4)
 
 
+#: Just inside a distance, by more than sums round.
+_WITHIN = 1 - 1e-10
+
+
 def _neighbour(s: np.ndarray, k: int) -> np.ndarray:
     """Of each of sorted values the distance to its k-th nearest other."""
     n, best = len(s), np.full(len(s), np.inf)
@@ -267,7 +271,7 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
         at = np.flatnonzero(y == label)
         if len(at) > k:
             at = at[np.argsort(x[at], kind="stable")]
-            radius[at], sizes[at] = np.nextafter(_neighbour(x[at], k), 0), len(at)
+            radius[at], sizes[at] = _WITHIN * _neighbour(x[at], k), len(at)
             parts.append(at)
     if not parts:
         return 0.0
@@ -286,7 +290,7 @@ def mutual_information_of_series(x: np.ndarray, y: np.ndarray, k: int = 3) -> fl
     radius = np.empty(n)
     for lo in range(0, n, 256):
         far = np.maximum(np.abs(x[lo : lo + 256, None] - x[None]), np.abs(y[lo : lo + 256, None] - y[None]))
-        radius[lo : lo + 256] = np.nextafter(np.partition(far, k, axis=1)[:, k], 0)
+        radius[lo : lo + 256] = _WITHIN * np.partition(far, k, axis=1)[:, k]
     within = lambda v: np.searchsorted(np.sort(v), v + radius, "right") - np.searchsorted(np.sort(v), v - radius, "left")
     return max(0.0, float(_digamma(np.array(n)) + _digamma(np.array(k)) - _digamma(within(x)).mean() - _digamma(within(y)).mean()))
 
