@@ -405,7 +405,7 @@ def test_scores_match_a_scalar_coder(monkeypatch):
             bit, odds, levels = int(tree.bits[at]), [], []
             kind = m.SPELLED if spelled else m.TAIL if at - tree.begin[symbol] >= m.DEEP else m.HEAD
             codes = []
-            for c, k in enumerate(keys[: 1 if kind == m.TAIL else 3]):
+            for c, k in enumerate(keys[{m.HEAD: slice(1, 3), m.TAIL: slice(0, 1), m.SPELLED: slice(0, 3)}[kind]]):
                 slot = ((hashed(k) ^ int(tree.nodes[at])) * int(m._FIB) & low) >> (32 - bits)
                 codes.append(int(tables.codes[c][slot]))
             for code_of in codes + [int(tree.codes[at])] * (not spelled):

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import cut, written
 from tidewright.llm.quality_classifier import held_out
 
-#: Hashed contexts of a bit. Of a token: the last hub before it, the word before, the last two hubs; of the bits from the DEEPth
-#: on, which tell rare tokens apart, the last hub only. Of a byte of a spelled token: the last hub with two bytes before it in the
-#: token, three and five bytes. A token's bits have one more input, the tree's own counts.
-CONTEXTS, DEEP = 3, 11
+#: Hashed contexts of a bit. Of a token: the word before (if it isn't frequent, the last hub), and the last two hubs; of the bits
+#: from the DEEPth on, which tell rare tokens apart, the last hub. Of a byte of a spelled token: the last hub with two bytes before
+#: it in the token, three and five bytes. A token's bits have one more input, the tree's own counts.
+CONTEXTS, DEEP = 3, 9
 #: Kinds of bits.
 HEAD, TAIL, SPELLED = 0, 1, 2
 #: Most slots of a context's table, as a power of two. Smaller corpora have about a slot for each training token.
-SLOT_BITS = 22
+SLOT_BITS = 21
 #: Sets of mixing weights for each kind: by how often the contexts were seen.
 GATES = (6, 5, 5)
 SETS = 3 * math.prod(GATES)
@@ -176,7 +176,7 @@ class Rows:
             some = size > DEEP
             size, begin, hashes, text = size[some] - DEEP, begin[some] + DEEP, [hashes[0][some]], text[some]
         elif kind == HEAD:
-            size = np.minimum(size, DEEP)
+            size, hashes = np.minimum(size, DEEP), hashes[1:]
         self.sizes, self.hashes, self.text, self.kind = size, hashes, text, kind
         ends = np.cumsum(size)
         path = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
@@ -582,6 +582,7 @@ def score_documents(docs: DataFrame, fold: int = 1, most_frequent: int = FREQUEN
     parts = written(named.mapInArrow(summed, "row long, token binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, size long, ids binary, spelled binary"))
     # a document's own row has no token and no partner in the join
     whole = parts.where(F.col("token").isNull()).drop("token", "times")
+    places = code.tokens = None  # held apart
     shared = sc.broadcast(code)
     tables, mixer, scores = fit(whole.where(~F.col("held_out")), shared, total)
 
