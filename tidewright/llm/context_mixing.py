@@ -31,7 +31,7 @@ SETS = 3 * math.prod(GATES)
 STEPS = 33
 RATE = 0.05
 #: Rows of one step of learning.
-STEP_ROWS = 8192
+STEP_ROWS = 1 << 14
 #: Tokens and bytes of a numpy block; a longer text is cut, and contexts begin anew.
 BLOCK, PIECE = 8192, 1 << 16
 #: Partitions that one counting or learning task takes, so that few tables are shuffled.
