@@ -19,12 +19,16 @@ SHINGLE = 5
 SYMBOLS = 64
 
 
-def distance(percent: int) -> int:
+#: Symbols of the longer signature, 8 bits each, of documents in buckets that the first comparisons leave apart.
+LONG = 256
+
+
+def distance(percent: int, symbols: int = SYMBOLS) -> int:
     """The largest number of symbols in which linked documents may differ: a pair at similarity percent / 100 differs in more
     with probability under 1e-7."""
     p, over = 1 - percent / 100, 0.0
-    for d in range(SYMBOLS, 0, -1):
-        over += math.comb(SYMBOLS, d) * p**d * (1 - p) ** (SYMBOLS - d)
+    for d in range(symbols, 0, -1):
+        over += math.comb(symbols, d) * p**d * (1 - p) ** (symbols - d)
         if over >= 1e-7:
             return d
     return 0
@@ -173,6 +177,24 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(node)], names=["shingle", "node"])
 
 
+def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MinHash signatures of LONG symbols, a byte each, by other hash functions than the first."""
+    salts = _mix(np.arange(1001, 1001 + LONG, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64)
+            sets = [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()]
+            flat = np.concatenate(sets)
+            starts = np.cumsum([0, *map(len, sets[:-1])])
+            out = np.empty((len(sets), LONG), np.uint8)
+            for k, salt in enumerate(salts):
+                h = (flat ^ salt) * salt
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(0x94D049BB133111EB)
+                out[:, k] = _mix(np.minimum.reduceat(h, starts)) & np.uint64(0xFF)
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array([x.tobytes() for x in out], pa.binary())], names=["node", "long"])
+
+
 def _confirmed(percent: int):
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,15 +263,15 @@ def _first_place(differ: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
 
 
 def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs that can be linked within each bucket of members(key, node, component, sig, n, own), but for those of one
+    """All pairs that can be linked within each bucket of members(key, node, component, sig, long, n, own), but for those of one
     component.
 
     Members of a bucket's largest component need no comparison among themselves: only the others, the strays, meet all. Both
-    are dealt into blocks of about BLOCK, and every block of strays meets every block in one task that compares counts and
+    are dealt into blocks of about BLOCK, and every block of strays meets every block in one task that compares counts and both
     signatures and returns the near pairs only: neither a bucket's rows nor its pairs are gathered. A bucket of one block
     stays whole. Of the buckets that a pair shares only that of _first_place() returns it.
     """
-    furthest = distance(percent)
+    furthest, in_long = distance(percent), distance(percent, LONG)
     chunks = chunks_of(furthest)
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("rows"))
     sizes = sizes.groupBy("key").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("large"))
@@ -260,10 +282,11 @@ def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
     turn = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     dealt = dealt.withColumn("block", F.when(F.col("stray"), turn(F.col("strays"))).otherwise(F.col("strays") + turn(F.greatest("others", F.lit(1)))))
     other = F.sequence(F.lit(0), F.col("strays") + F.when(F.col("stray"), F.col("others")).otherwise(0) - 1)
-    meets = dealt.withColumn("with", F.explode(other)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "place", "node", "component", "sig", "n", "own")
+    meets = dealt.withColumn("with", F.explode(other)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "place", "node", "component", "sig", "long", "n", "own")
 
     def near(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        long = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint8).reshape(-1, LONG)
         node, comp, block, n, own = (table[c].to_numpy() for c in ("node", "component", "block", "n", "own"))
         i, j = key[1].as_py(), key[2].as_py()
         place = table["place"][0].as_py()
@@ -275,6 +298,7 @@ def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
             if len(y):
                 differ = sig[y] != sig[x]
                 y = y[(differ.sum(axis=1) <= furthest) & (_first_place(differ, chunks) == place)]
+                y = y[(long[y] != long[x]).sum(axis=1) <= in_long]
                 a.append(np.minimum(node[x], node[y]))
                 b.append(np.maximum(node[x], node[y]))
         none = np.zeros(0, np.int64)
@@ -295,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     with none. 4. In each bucket the node with the smallest such share, which in a group of copies is the nearest to what
     they were copied from, is compared with the others; pairs are confirmed on full sets and joined to components. 5. Where
     nodes of one bucket still lie in different components, those outside its largest are compared with all others too, in
-    blocks, and the pairs that signatures and counts allow are confirmed. So no link within the distance is lost, and a large group of copies costs
+    blocks, and the pairs that counts, signatures and longer signatures allow are confirmed. So no link within the distance is lost, and a large group of copies costs
     about one comparison a member and bucket.
 
     Empty and null texts: no shingles, linked with nothing. A null doc_id is its own component (null). Rows repeated under
@@ -354,7 +378,9 @@ def _grouped(known: DataFrame, percent: int) -> DataFrame:
     first = written(components(links))
     grouped = placed.select("key", "place", "node").join(first, "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = grouped.join(open_keys, "key").join(able, "node")
+    rest = written(grouped.join(open_keys, "key").join(able, "node"))
+    apart = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_long_signatures, "node long, long binary")
+    rest = rest.join(written(apart).dropDuplicates(["node"]), "node")
     more = _bucket_pairs(rest, percent).join(star, ["a", "b"], "left_anti")
     links = links.unionByName(_links(cut(more), sets, percent))
     final = components(links)
