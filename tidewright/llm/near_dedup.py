@@ -209,13 +209,6 @@ def _confirmed(percent: int):
     return confirmed
 
 
-def _near_pairs(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most so many symbols."""
-    sig = nodes.select("node", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b").join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
-    return cut(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_near(most), "a long, b long"))
-
-
 def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     full = near.join(sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a")
@@ -368,13 +361,15 @@ def _grouped(known: DataFrame, percent: int) -> DataFrame:
     counts = nodes.select("node", F.col("n_shingles").alias("n"), "sig").join(met.withColumnRenamed("doc_id", "node"), "node").join(lone, "node", "left")
     able = written(counts.withColumn("own", F.coalesce("own", F.lit(0).cast("long"))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")))
 
-    placed = written(bucket.join(able.select("node", "n", "own"), "node"))
-    center = placed.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "node", "n", "own")).alias("c"))
+    placed = written(bucket.join(able.select("node", "n", "own", "sig"), "node"))
+    center = placed.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "node", "n", "own", "sig")).alias("c"))
     star = placed.join(center, "key").where("node <> c.node")
     most = F.least(F.col("n") - F.col("own"), F.col("c.n") - F.col("c.own"))
-    star = star.where(100 * most >= percent * (F.col("n") + F.col("c.n") - most)).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-    star = written(star.distinct())
-    links = _links(_near_pairs(star, nodes, furthest), sets, percent)
+    star = star.where(100 * most >= percent * (F.col("n") + F.col("c.n") - most))
+    # signatures come along: a pair's are compared where its bucket meets, and only near pairs go on
+    star = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.col("sig").alias("sig_a"), F.col("c.sig").alias("sig_b"))
+    star = written(star.mapInArrow(_near(furthest), "a long, b long").distinct())
+    links = _links(star, sets, percent)
     first = written(components(links))
     grouped = placed.select("key", "place", "node").join(first, "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
