@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import context_mixing, licenses, merkle, mixing, near_dedup, packing, permutation_index, pii, quality_classifier, quality_rules, url_filter
+from tidewright.llm import collocations, context_mixing, licenses, merkle, mixing, near_dedup, packing, permutation_index, pii, quality_classifier, quality_rules, url_filter
 from tidewright.llm.common import table
 
 
@@ -58,8 +58,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_permutation_index, op2_quality_classifier, op3_context_mixing, op4_mixing, op5_pii_surrogates, op6_url_filter, op7_quality_rules, op8_packing, op9_licenses, op10_near_dedup, op12_merkle_manifest]
+    own = [op1_permutation_index, op2_quality_classifier, op3_context_mixing, op4_mixing, op5_pii_surrogates, op6_url_filter, op7_quality_rules, op8_packing, op9_licenses, op10_near_dedup, op12_merkle_manifest, op13_collocations]
     return {f.__name__: f for f in own}
 
 
@@ -76,4 +80,4 @@ SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": _op6_sql(), "op9_licenses": licenses.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
+    return {"op6_url_filter": _op6_sql(), "op9_licenses": licenses.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql(), "op13_collocations": collocations.oracle_sql()}
