@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import collocations, context_mixing, licenses, merkle, mixing, near_dedup, packing, permutation_index, pii, quality_classifier, quality_rules, url_filter
+from tidewright.llm import collocations, context_mixing, html_extraction, licenses, merkle, mixing, near_dedup, packing, permutation_index, pii, quality_classifier, quality_rules, url_filter
 from tidewright.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_permutation_index, op2_quality_classifier, op3_context_mixing, op4_mixing, op5_pii_surrogates, op6_url_filter, op7_quality_rules, op8_packing, op9_licenses, op10_near_dedup, op12_merkle_manifest, op13_collocations]
+    own = [op1_permutation_index, op2_quality_classifier, op3_context_mixing, op4_mixing, op5_pii_surrogates, op6_url_filter, op7_quality_rules, op8_packing, op9_licenses, op10_near_dedup, op11_html_extraction, op12_merkle_manifest, op13_collocations]
     return {f.__name__: f for f in own}
 
 
