@@ -200,8 +200,8 @@ def classify(blocks: list[Block], stop_words: frozenset, max_link: float, short:
     a main element or, without these, an element named like one, blocks out of it are bad, and a block of `short` characters within is good. Elsewhere a block of `short`
     characters is good from a stop-word density of `high`, or of `low` where the page has no stop words at all or the block is twice as
     long, else bad. Second pass: a shorter one gets the label of the nearest decided neighbour of its own article or, in a page
-    without one, of the page; a heading looks ahead first, ties are good, and without a decided neighbour an article's block is
-    good, any other bad."""
+    without one, of the page; a heading looks ahead first, ties are good, an article's ends count as good neighbours, and
+    without any a block is bad."""
     marked = any(b.landmark and not b.beside for b in blocks)
     page_words = page_stops = 0
     stops = []
@@ -233,8 +233,8 @@ def classify(blocks: list[Block], stop_words: frozenset, max_link: float, short:
         x, y = before[i], after[i]
         if blocks[i].heading and y is not None:
             x = None
-        near = [(abs(i - k), not blocks[k].good) for k in (x, y) if k is not None]
-        decided.append(not min(near)[1] if near else bool(blocks[i].landmark))
+        near = [(abs(i - k), not blocks[k].good) for k in (x, y) if k is not None] + [(1, False)] * (blocks[i].landmark > 0 and None in (x, y))
+        decided.append(bool(near) and not min(near)[1])
     for i, good in zip(open_blocks, decided):
         blocks[i].good = good
 
