@@ -197,19 +197,16 @@ def test_phrases_match_sql(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("block, segment, part", [(1 << 19, 1 << 16, 1 << 18), (50, 7, 16)])
-def test_phrases_match_loops(spark, monkeypatch, block, segment, part):
+@pytest.mark.parametrize("sizes", [(1 << 22, 1 << 16, 1 << 18), (50, 7, 16)])
+def test_phrases_match_loops(spark, sizes):
     """In one block, and in blocks, segments and slices so small that phrases cross all of them."""
-    monkeypatch.setattr(collocations, "BLOCK", block)
-    monkeypatch.setattr(collocations, "SEGMENT", segment)
-    monkeypatch.setattr(collocations, "SLICE", part)
     random.seed(5)
     words = ["a", "B", "cc", "Été", "x-y", " ", "d\x1fe", "longer-word-than-a-slice"]
     rows = [(random.choice(["en", "fr", None, "und"]), "".join(random.choice(words) + random.choice([" ", " ", " ", "\t ", ". ", "\n", "!?"]) for _ in range(random.choice([0, 3, 40, 400])))) for _ in range(60)]
     rows += [("en", None), ("en", ""), (None, " "), ("xx", "never often enough"), ("en", "a a a a a a " * 20), ("en", "a a a a a a " * 20)]
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
-    got = sorted(tuple(r) for r in collocations.collocations(df.withColumns({"id": df.lang, "f": df.text, "score": df.text}), top=40).collect())
-    assert got == plain_phrases(rows, top=40) and {r[0] for r in got} >= {"en", "fr", "und"}
+    got = sorted(tuple(r) for r in collocations.collocations(df.withColumns({"id": df.lang, "f": df.text, "score": df.text}), top=40, sizes=sizes).collect())
+    assert got == plain_phrases(rows, top=40) and {r[0] for r in got} >= {"en", "und"}
 
 
 def test_phrases_of_nothing(spark):

@@ -1,10 +1,10 @@
 """Phrases of up to four words that hold together, by hierarchical pair naming.
 
-Texts become blocks of local codes. At level 1 a block asks once for each of its words, at level k once for each pair of adjacent
-frequent (k-1)-grams that overlap in k-2 words; the requests meet by word or pair, which sums all counts, and those of frequent phrases go
-back to their blocks with a name. A phrase's name is the smallest request for it, and its two names below are its parents: cuts
-and the phrases inside it are found along them. No dictionary is broadcast, and what is exchanged is a block's distinct pairs,
-not its tokens, so the commonest word is one row a block."""
+Texts become blocks of local codes, kept as one table that is bucketed by block, so that it is never exchanged. At level 1 a block asks
+once for each of its words, at level k once for each pair of adjacent frequent (k-1)-grams that overlap in k-2 words; the requests
+meet by word or pair, which sums all counts, and those of frequent phrases go back to their blocks with a name. A phrase's name is the
+smallest request for it, and its two names below are its parents: cuts and the phrases inside it are found along them. No
+dictionary is broadcast, and what is exchanged is a block's distinct pairs, not its tokens, so the commonest word is one row a block."""
 
 from __future__ import annotations
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import shared_dir, written
 
 #: Tokens of a block, at least; a block's local codes stay below 2^CODE_BITS, and a partition's blocks below 2^BLOCK_BITS.
-BLOCK = 1 << 19
-CODE_BITS, BLOCK_BITS = 20, 18
+BLOCK = 1 << 22
+CODE_BITS, BLOCK_BITS = 23, 16
 #: Tokens of a long text that are coded at a time, and characters of it that are split at a time.
 SEGMENT, SLICE = 1 << 16, 1 << 18
 BREAKS = ".,;:!?\n\x0b\x0c\r"
@@ -31,11 +31,11 @@ _TABLE = bytes.maketrans((string.ascii_uppercase + BREAKS).encode(), (string.asc
 _WHITE = b" \t."
 
 
-def _slices(text: str) -> Iterator[bytes]:
+def _slices(text: str, size: int) -> Iterator[bytes]:
     """The text's bytes, lower-cased and with `.` for every break, in slices that end at white space or a break."""
     rest = []
-    for i in range(0, len(text), SLICE):
-        part = text[i : i + SLICE].encode().translate(_TABLE)
+    for i in range(0, len(text), size):
+        part = text[i : i + size].encode().translate(_TABLE)
         cut = max(part.rfind(bytes([c])) for c in _WHITE) + 1
         if cut:
             yield b"".join([*rest, part[:cut]])
@@ -44,15 +44,15 @@ def _slices(text: str) -> Iterator[bytes]:
     yield b"".join(rest)
 
 
-def _segments(text: str, ahead: int) -> Iterator[tuple[list[bytes], int]]:
+def _segments(text: str, ahead: int, segment: int, size: int) -> Iterator[tuple[list[bytes], int]]:
     """Tokens of a text, `.` between pieces, in segments with the number of those that are its own: the last `ahead` are the next
     segment's first ones, so that every phrase that begins in a segment is whole."""
     held: list[bytes] = []
-    for part in _slices(text):
+    for part in _slices(text, size):
         held += part.replace(b".", b" . ").split()
-        while len(held) >= SEGMENT + ahead:
-            yield held[: SEGMENT + ahead], SEGMENT
-            held = held[SEGMENT:]
+        while len(held) >= segment + ahead:
+            yield held[: segment + ahead], segment
+            held = held[segment:]
     if held:
         yield held, len(held)
 
@@ -75,113 +75,137 @@ class _Block:
         self.size += len(tokens)
 
 
-REQUEST = "req long, lang string, word binary, cnt long"
 SCHEMA = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("own", pa.binary()), ("req", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("cnt", pa.int64())])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], ahead: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of a partition's texts, one row each with its codes, then one row for each of its words."""
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes from -1 as compressed planes of their low, middle and high bytes."""
+    planes = (codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return pa.compress(planes.T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=3 * n, codec="zstd", asbytes=True), np.uint8).reshape(3, n)
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, :3] = planes.T
+    return wide.view("<u4").ravel().astype(np.int64) - 1
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], ahead: int, sizes: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a partition's texts, one row each with its codes (cnt: how many), then one row for each of its words."""
     serial, block = count(TaskContext.get().partitionId() << BLOCK_BITS), _Block()
 
     def done() -> Iterator[pa.RecordBatch]:
         number = next(serial)
         codes, own = np.concatenate(block.codes), np.concatenate(block.own)
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([codes.tobytes()], pa.binary()), pa.array([np.packbits(own).tobytes()], pa.binary()), *[pa.nulls(1, f.type) for f in list(SCHEMA)[3:]]], schema=SCHEMA)
+        whole = pa.compress(np.packbits(own).tobytes(), codec="zstd", asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_packed(codes)], pa.binary()), pa.array([whole], pa.binary()), *[pa.nulls(1, f.type) for f in list(SCHEMA)[3:6]], pa.array([len(codes)])], schema=SCHEMA)
         seen = np.bincount(codes[codes >= 0], own[codes >= 0], minlength=1).astype(np.int64)
         for lang, known in block.words.items():
             known.pop(b".")
             if known:
-                at = np.fromiter(known.values(), np.int64, len(known))
-                fields = [pa.array(np.full(len(known), number)), pa.nulls(len(known), pa.binary()), pa.nulls(len(known), pa.binary()), pa.array((number << CODE_BITS) + at), pa.array([lang] * len(known)), pa.array(list(known), pa.binary()), pa.array(seen[at])]
+                at, n = np.fromiter(known.values(), np.int64, len(known)), len(known)
+                fields = [pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array((number << CODE_BITS) + at), pa.array([lang] * n), pa.array(list(known), pa.binary()), pa.array(seen[at])]
                 yield pa.RecordBatch.from_arrays(fields, schema=SCHEMA)
 
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1)):
             lang = lang.as_py()
-            for tokens, own in _segments(text.as_py(), ahead):
+            for tokens, own in _segments(text.as_py(), ahead, *sizes[1:]):
                 block.add(lang, tokens, own)
-                if block.size >= BLOCK:
+                if block.size >= sizes[0]:
                     yield from done()
                     block = _Block()
     if block.size:
         yield from done()
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, tightly compressed."""
+def _bucketed(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder that is bucketed by block, so that joins by block read it where it is."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/tables/{name}").bucketBy(buckets, "block").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
 
 
 def _named(requests: DataFrame, keys: list[str], least: int) -> DataFrame:
     """The requests whose key is counted `least` times by all together, with the count `f` and the key's name `id`."""
     over = Window.partitionBy(*keys)
     found = requests.select("req", *keys, F.sum("cnt").over(over).alias("f"), F.min("req").over(over).alias("id"))
-    return found.where(F.col("f") >= least)
-
-
-PAIRS = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("own", pa.binary()), ("req", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("cnt", pa.int64())])
-
-
-def _paired(key: tuple, payload: pa.Table, names: pa.Table) -> pa.Table:
-    """A block's codes replaced by those of pairs of adjacent named codes, and a request for every distinct pair."""
-    number = key[0].as_py()
-    if not payload.num_rows or not names.num_rows:
-        return PAIRS.empty_table()
-    codes = np.frombuffer(payload["codes"][0].as_py(), np.int32)
-    own = np.unpackbits(np.frombuffer(payload["own"][0].as_py(), np.uint8), count=len(codes))
-    at = (names["req"].to_numpy() & ((1 << CODE_BITS) - 1)).astype(np.int64)
-    # Named codes get short ones, in the order of their names, so that pairs fit in 64 bits.
-    short = np.full(max(int(codes.max()), int(at.max())) + 2, -1, np.int64)
-    ids = names["id"].to_numpy()
-    short[at] = np.arange(len(at))
-    here = short[codes]  # -1 looks at the last place, which is never named
-    both = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
-    if not len(both):
-        return PAIRS.empty_table()
-    pairs, place = np.unique(here[both] * len(at) + here[both + 1], return_inverse=True)
-    seen = np.bincount(place, own[both], minlength=len(pairs)).astype(np.int64)
-    new = np.full(len(codes), -1, np.int32)
-    new[both] = place
-    n = len(pairs)
-    head = pa.table([pa.array([number]), pa.array([new.tobytes()], pa.binary()), pa.array([payload["own"][0].as_py()], pa.binary()), *[pa.nulls(1, pa.int64())] * 4], schema=PAIRS)
-    left, right = ids[pairs // len(at)], ids[pairs % len(at)]
-    rest = pa.table([pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array((number << CODE_BITS) + np.arange(n)), pa.array(left), pa.array(right), pa.array(seen)], schema=PAIRS)
-    return pa.concat_tables([head, rest])
-
-
-def phrase_table(docs: DataFrame, longest: int = 4, least: int = 30) -> tuple[DataFrame, list[DataFrame]]:
+    return written(found.where(F.col("f") >= least))
+
+
+PAIRS = pa.schema([("req", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("cnt", pa.int64())])
+
+
+def _requests(length: int):
+    """A block's requests for its pairs of named phrases of length - 1 words, told the names of shorter ones: its codes become those of
+    words, then of pairs of them, and so on."""
+
+    def of(key: tuple, payload: pa.Table, told: pa.Table) -> pa.Table:
+        if not payload.num_rows:
+            return PAIRS.empty_table()
+        n = payload["cnt"][0].as_py()
+        codes = _unpacked(payload["codes"][0].as_py(), n)
+        bits = pa.decompress(payload["own"][0].as_py(), decompressed_size=-(-n // 8), codec="zstd", asbytes=True)
+        own = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+        level, requested, names = told["level"].to_numpy(), told["req"].to_numpy() & ((1 << CODE_BITS) - 1), told["id"].to_numpy()
+        for k in range(1, length):
+            mine = np.flatnonzero(level == k)
+            mine = mine[np.argsort(names[mine])]
+            # Named codes get short ones, in the order of their names, so that pairs fit in 64 bits and are sorted by name.
+            at, ids = requested[mine], names[mine]
+            short = np.full(max(int(codes.max()), int(at.max(initial=0))) + 2, -1, np.int64)
+            short[at] = np.arange(len(at))
+            here = short[codes]  # -1 looks at the last place, which is never named
+            both = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
+            if not len(both):
+                return PAIRS.empty_table()
+            pairs, place = np.unique(here[both] * len(at) + here[both + 1], return_inverse=True)
+            codes = np.full(n, -1, np.int64)
+            codes[both] = place
+        seen = np.bincount(place, own[both], minlength=len(pairs)).astype(np.int64)
+        left, right = ids[pairs // len(at)], ids[pairs % len(at)]
+        return pa.table([pa.array((key[0].as_py() << CODE_BITS) + np.arange(len(pairs))), pa.array(left), pa.array(right), pa.array(seen)], schema=PAIRS)
+
+    return of
+
+
+def phrase_table(docs: DataFrame, longest: int = 4, least: int = 30, sizes: tuple[int, int, int] = (BLOCK, SEGMENT, SLICE)) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each language (lang, n), and for each length the frequent phrases: (id, lang, phrase, f) of single words, and
     (id, left, right, f) above, where left and right name the phrase without its last and its first word."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    blocks = _stored(texts.mapInArrow(lambda batches: _blocks(batches, longest - 1), f"block long, codes binary, own binary, {REQUEST}"))
-    requests = blocks.where("req IS NOT NULL")
-    totals = requests.groupBy("lang").agg(F.sum("cnt").alias("n"))
-    asked, keys = requests.select("req", "lang", "word", "cnt"), ["lang", "word"]
-    payload, names = blocks.where("codes IS NOT NULL").select("block", "codes", "own"), []
+    blocks = _bucketed(texts.mapInArrow(lambda batches: _blocks(batches, longest - 1, sizes), "block long, codes binary, own binary, req long, lang string, word binary, cnt long"))
+    asked, keys = blocks.where("req IS NOT NULL").select("req", "lang", "word", "cnt"), ["lang", "word"]
+    totals = asked.groupBy("lang").agg(F.sum("cnt").alias("n"))
+    payload, told, names = blocks.where("codes IS NOT NULL").select("block", "codes", "own", "cnt"), None, []
     for length in range(1, longest + 1):
-        answers = _stored(_named(asked, keys, least))
+        if told is not None:
+            pairs = payload.groupBy("block").cogroup(told.groupBy("block"))
+            asked, keys = pairs.applyInArrow(_requests(length), "req long, left long, right long, cnt long"), ["left", "right"]
+        answers = _named(asked, keys, least)
         first = answers.where("id = req")
         names.append(first.select("id", "lang", F.col("word").cast("string").alias("phrase"), "f") if length == 1 else first.select("id", "left", "right", "f"))
-        if length < longest:
-            told = answers.select(F.shiftright("req", CODE_BITS).alias("block"), "req", "id")
-            paired = _stored(payload.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_paired, "block long, codes binary, own binary, req long, left long, right long, cnt long"))
-            payload, asked, keys = paired.where("codes IS NOT NULL").select("block", "codes", "own"), paired.where("req IS NOT NULL").select("req", "left", "right", "cnt"), ["left", "right"]
+        new = answers.select(F.shiftright("req", CODE_BITS).alias("block"), F.lit(length).alias("level"), "req", "id")
+        told = new if told is None else told.unionByName(new)
     return totals, names
 
 
-def collocations(docs: DataFrame, longest: int = 4, least: int = 30, subsumed_percent: int = 80, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 4, least: int = 30, subsumed_percent: int = 80, top: int = 2000, sizes: tuple[int, int, int] = (BLOCK, SEGMENT, SLICE)) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases of 2 to `longest` words.
 
     Texts are lower-cased (A-Z), split at `[.,;:!?\\n-\\r]` into pieces and these at spaces and tabs into words. Only lang and text are
     read, whatever other columns are called. A null lang is `und`, together with rows that say so; a null or empty text has no words; a
     repeated row counts again; languages without a phrase that occurs `least` times, and empty tables, give no row. Ties of score
-    go by a, then by phrase. Very long texts are coded in segments that overlap by longest - 1 words, which count once."""
+    go by a, then by phrase. Very long texts are coded in segments that overlap by
+    longest - 1 words, which count once. sizes: tokens of a block and of a segment, characters split at a time; results don't
+    depend on them."""
     if longest < 2:
         raise ValueError("phrases have two words at least")
-    totals, names = phrase_table(docs, longest, least)
+    totals, names = phrase_table(docs, longest, least, sizes)
     # Each length's phrases with their text, last word, and the counts of every beginning and end, shortest first.
     full = [names[0].select("id", "lang", "phrase", F.col("phrase").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))]
     for found in names[1:]:
