@@ -197,9 +197,9 @@ def test_phrases_match_sql(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("sizes", [(1 << 22, 1 << 16, 1 << 18), (50, 7, 16)])
+@pytest.mark.parametrize("sizes", [(1 << 22, 1 << 21, 1 << 16, 1 << 18), (50, 40, 7, 16)])
 def test_phrases_match_loops(spark, sizes):
-    """In one block, and in blocks, segments and slices so small that phrases cross all of them."""
+    """In one block, and in blocks, buckets, segments and slices so small that phrases cross all of them."""
     random.seed(5)
     words = ["a", "B", "cc", "Été", "x-y", " ", "d\x1fe", "longer-word-than-a-slice"]
     rows = [(random.choice(["en", "fr", None, "und"]), "".join(random.choice(words) + random.choice([" ", " ", " ", "\t ", ". ", "\n", "!?"]) for _ in range(random.choice([0, 3, 40, 400])))) for _ in range(60)]

@@ -1,15 +1,17 @@
 """Phrases of up to four words that hold together, by hierarchical pair naming.
 
 Texts become blocks of local codes, kept as one table that is bucketed by block, so that it is never exchanged. At level 1 a block asks
-once for each of its words, at level k once for each pair of adjacent frequent (k-1)-grams that overlap in k-2 words; the requests
-meet by word or pair, which sums all counts, and those of frequent phrases go back to their blocks with a name. A phrase's name is the
-smallest request for it, and its two names below are its parents: cuts and the phrases inside it are found along them. No
-dictionary is broadcast, and what is exchanged is a block's distinct pairs, not its tokens, so the commonest word is one row a block."""
+once for each of its words, at level k once for each pair of adjacent frequent (k-1)-grams that overlap in k-2 words. Requests
+travel packed, a row a block and bucket of keys; buckets are as many as keep each in a bound, and a key's commonest case is one request
+a block. A bucket sums its keys' counts and names the frequent ones, and the names go back to the blocks, packed as well. A
+phrase's two names of the level below are its parents: cuts and the phrases inside it are found along them. No dictionary is
+broadcast, and tokens aren't exchanged, but a block's distinct pairs."""
 
 from __future__ import annotations
 
 import string
 import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import count
 
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import shared_dir, written
 
-#: Tokens of a block, at least; a block's local codes stay below 2^CODE_BITS, and a partition's blocks below 2^BLOCK_BITS.
-BLOCK = 1 << 22
-CODE_BITS, BLOCK_BITS = 23, 16
+#: Tokens of a block, at least, and of all blocks behind one bucket of requests, at most.
+BLOCK, BUCKET = 1 << 22, 1 << 21
+#: Bits of a name that count within its bucket.
+NAME_BITS = 32
 #: Tokens of a long text that are coded at a time, and characters of it that are split at a time.
 SEGMENT, SLICE = 1 << 16, 1 << 18
 BREAKS = ".,;:!?\n\x0b\x0c\r"
@@ -75,134 +78,236 @@ class _Block:
         self.size += len(tokens)
 
 
-SCHEMA = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("own", pa.binary()), ("req", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("cnt", pa.int64())])
+def _fields(**kinds: pa.DataType) -> pa.Schema:
+    return pa.schema(list(kinds.items()))
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Codes from -1 as compressed planes of their low, middle and high bytes."""
-    planes = (codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-    return pa.compress(planes.T.tobytes(), codec="zstd", asbytes=True)
+#: A block's codes (with which of them are its own), or its packed requests of a bucket.
+BLOCKS = _fields(block=pa.int64(), bucket=pa.int64(), n=pa.int64(), codes=pa.binary(), own=pa.binary(), lang=pa.string(), start=pa.int64(), left=pa.binary(), right=pa.binary(), cnt=pa.binary())
+#: A block's packed names of a level, or a named phrase.
+NAMES = _fields(block=pa.int64(), level=pa.int64(), n=pa.int64(), codes=pa.binary(), ids=pa.binary(), id=pa.int64(), lang=pa.string(), word=pa.binary(), left=pa.int64(), right=pa.int64(), f=pa.int64())
+
+
+def _rows(schema: pa.Schema, many: int, **columns) -> pa.Table:
+    return pa.table([columns[f.name] if f.name in columns else pa.nulls(many, f.type) for f in schema], schema=schema)
+
+
+def _sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({pa.int64(): 'long', pa.string(): 'string', pa.binary(): 'binary'})[f.type]}" for f in schema)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 as compressed planes of their bytes, after the number of planes."""
+    values = np.ascontiguousarray(values, "<u8")
+    planes = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    bytes_of = values.view(np.uint8).reshape(-1, 8)[:, :planes]
+    return bytes([planes]) + pa.compress(bytes_of.T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, decompressed_size=3 * n, codec="zstd", asbytes=True), np.uint8).reshape(3, n)
-    wide = np.zeros((n, 4), np.uint8)
-    wide[:, :3] = planes.T
-    return wide.view("<u4").ravel().astype(np.int64) - 1
+    planes = packed[0]
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :planes] = np.frombuffer(pa.decompress(packed[1:], decompressed_size=planes * n, codec="zstd", asbytes=True), np.uint8).reshape(planes, n).T
+    return wide.view("<u8").ravel().astype(np.int64)
+
 
+def _bits(own: np.ndarray) -> bytes:
+    return pa.compress(np.packbits(own).tobytes(), codec="zstd", asbytes=True)
 
-def _blocks(batches: Iterator[pa.RecordBatch], ahead: int, sizes: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a partition's texts, one row each with its codes (cnt: how many), then one row for each of its words."""
-    serial, block = count(TaskContext.get().partitionId() << BLOCK_BITS), _Block()
 
-    def done() -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], ahead: int, sizes: tuple[int, ...], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a partition's texts, one row each with its codes, then its words: a row a language and bucket."""
+    serial, block = count(TaskContext.get().partitionId() << 24), _Block()
+
+    def done() -> Iterator[pa.Table]:
         number = next(serial)
         codes, own = np.concatenate(block.codes), np.concatenate(block.own)
-        whole = pa.compress(np.packbits(own).tobytes(), codec="zstd", asbytes=True)
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_packed(codes)], pa.binary()), pa.array([whole], pa.binary()), *[pa.nulls(1, f.type) for f in list(SCHEMA)[3:6]], pa.array([len(codes)])], schema=SCHEMA)
+        yield _rows(BLOCKS, 1, block=[number], n=[len(codes)], codes=[_packed(codes.astype(np.int64) + 1)], own=[_bits(own)])
         seen = np.bincount(codes[codes >= 0], own[codes >= 0], minlength=1).astype(np.int64)
         for lang, known in block.words.items():
             known.pop(b".")
-            if known:
-                at, n = np.fromiter(known.values(), np.int64, len(known)), len(known)
-                fields = [pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array((number << CODE_BITS) + at), pa.array([lang] * n), pa.array(list(known), pa.binary()), pa.array(seen[at])]
-                yield pa.RecordBatch.from_arrays(fields, schema=SCHEMA)
+            words = sorted(known)
+            place = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            order = np.argsort(place, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(words) else ():
+                text = b" ".join([words[i] for i in mine])
+                yield _rows(BLOCKS, 1, block=[number], bucket=[place[mine[0]]], n=[len(mine)], lang=[lang], start=[len(text)], codes=[_packed(at[mine])], left=[pa.compress(text, codec="zstd", asbytes=True)], cnt=[_packed(seen[at[mine]])])
+
+    def batches_of(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        yield from pa.concat_tables(list(tables)).combine_chunks().to_batches()
 
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1)):
             lang = lang.as_py()
-            for tokens, own in _segments(text.as_py(), ahead, *sizes[1:]):
+            for tokens, own in _segments(text.as_py(), ahead, *sizes[2:]):
                 block.add(lang, tokens, own)
                 if block.size >= sizes[0]:
-                    yield from done()
+                    yield from batches_of(done())
                     block = _Block()
     if block.size:
-        yield from done()
+        yield from batches_of(done())
 
 
 def _bucketed(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder that is bucketed by block, so that joins by block read it where it is."""
     spark = df.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/tables/{name}").bucketBy(buckets, "block").saveAsTable(name)
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/tables/{name}").bucketBy(many, "block").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
     return out
 
 
-def _named(requests: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The requests whose key is counted `least` times by all together, with the count `f` and the key's name `id`."""
-    over = Window.partitionBy(*keys)
-    found = requests.select("req", *keys, F.sum("cnt").over(over).alias("f"), F.min("req").over(over).alias("id"))
-    return written(found.where(F.col("f") >= least))
+def _named(least: int, level: int):
+    """Names of a bucket's keys that are counted `least` times by all its blocks together, and what goes back to each block."""
+
+    def of(key: tuple, asked: pa.Table) -> pa.Table:
+        first = key[0].as_py() << NAME_BITS
+        sizes, cnt = asked["n"].to_numpy(), asked["cnt"].to_pylist()
+        counts = np.concatenate([_unpacked(c, n) for c, n in zip(cnt, sizes)])
+        if level == 1:
+            codes = [_unpacked(c, n) for c, n in zip(asked["codes"].to_pylist(), sizes)]
+            words = pa.array([w for t, n in zip(asked["left"].to_pylist(), asked["start"].to_pylist()) for w in pa.decompress(t, decompressed_size=n, codec="zstd", asbytes=True).split(b" ")], pa.binary())
+            word = words.dictionary_encode()
+            langs = asked["lang"].combine_chunks().dictionary_encode()
+            keys = word.indices.to_numpy().astype(np.int64) * len(langs.dictionary) + np.repeat(langs.indices.to_numpy(), sizes)
+            _, one, place = np.unique(keys, return_index=True, return_inverse=True)
+            total = np.bincount(place, counts).astype(np.int64)
+        else:
+            codes = [s + np.arange(n) for s, n in zip(asked["start"].to_pylist(), sizes)]
+            left = np.concatenate([np.cumsum(_unpacked(c, n)) for c, n in zip(asked["left"].to_pylist(), sizes)])
+            right = np.concatenate([_unpacked(c, n) for c, n in zip(asked["right"].to_pylist(), sizes)])
+            order = np.lexsort((right, left))
+            begins = np.ones(len(order), bool)
+            begins[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(begins) - 1
+            one, total = order[begins], np.add.reduceat(counts[order], np.flatnonzero(begins))
+        enough = total >= least
+        number = np.where(enough, first + np.cumsum(enough) - 1, -1)
+        ids, kept = number[place], one[enough]
+        facts = {"id": number[enough], "f": total[enough]}
+        if level == 1:
+            facts |= {"lang": asked["lang"].combine_chunks().take(pa.array(np.repeat(np.arange(len(sizes)), sizes)[kept])), "word": words.take(pa.array(kept))}
+        else:
+            facts |= {"left": left[kept], "right": right[kept]}
+        out, at = [_rows(NAMES, len(kept), **{k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in facts.items()})], 0
+        told = []
+        for block, own, n in zip(asked["block"].to_pylist(), codes, sizes):
+            mine = np.flatnonzero(ids[at : at + n] >= 0)
+            if len(mine):
+                by = mine[np.argsort(own[mine])]
+                told.append((block, len(by), _packed(np.diff(own[by], prepend=0)), _packed(ids[at : at + n][by])))
+            at += n
+        if told:
+            block, n, deltas, names = zip(*told)
+            out.append(_rows(NAMES, len(told), block=block, level=[level] * len(told), n=n, codes=deltas, ids=names))
+        return pa.concat_tables(out)
 
-
-PAIRS = pa.schema([("req", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("cnt", pa.int64())])
+    return of
 
 
-def _requests(length: int):
+def _requests(length: int, buckets: int):
     """A block's requests for its pairs of named phrases of length - 1 words, told the names of shorter ones: its codes become those of
     words, then of pairs of them, and so on."""
 
     def of(key: tuple, payload: pa.Table, told: pa.Table) -> pa.Table:
         if not payload.num_rows:
-            return PAIRS.empty_table()
-        n = payload["cnt"][0].as_py()
-        codes = _unpacked(payload["codes"][0].as_py(), n)
-        bits = pa.decompress(payload["own"][0].as_py(), decompressed_size=-(-n // 8), codec="zstd", asbytes=True)
-        own = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-        level, requested, names = told["level"].to_numpy(), told["req"].to_numpy() & ((1 << CODE_BITS) - 1), told["id"].to_numpy()
+            return BLOCKS.empty_table()
+        n = payload["n"][0].as_py()
+        codes = _unpacked(payload["codes"][0].as_py(), n) - 1
+        own = np.unpackbits(np.frombuffer(pa.decompress(payload["own"][0].as_py(), decompressed_size=-(-n // 8), codec="zstd", asbytes=True), np.uint8), count=n)
+        parts = told.to_pylist()
         for k in range(1, length):
-            mine = np.flatnonzero(level == k)
-            mine = mine[np.argsort(names[mine])]
-            # Named codes get short ones, in the order of their names, so that pairs fit in 64 bits and are sorted by name.
-            at, ids = requested[mine], names[mine]
-            short = np.full(max(int(codes.max()), int(at.max(initial=0))) + 2, -1, np.int64)
+            mine = [p for p in parts if p["level"] == k]
+            if not mine:
+                return BLOCKS.empty_table()
+            at = np.concatenate([np.cumsum(_unpacked(p["codes"], p["n"])) for p in mine])
+            ids = np.concatenate([_unpacked(p["ids"], p["n"]) for p in mine])
+            by = np.argsort(ids, kind="stable")
+            at, ids = at[by], ids[by]
+            # Named codes get short ones, in the order of their names, so that pairs fit in 64 bits; words of two languages may
+            # not share a name, but two codes of one block never do.
+            short = np.full(max(int(codes.max()), int(at.max())) + 2, -1, np.int64)
             short[at] = np.arange(len(at))
             here = short[codes]  # -1 looks at the last place, which is never named
             both = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
             if not len(both):
-                return PAIRS.empty_table()
+                return BLOCKS.empty_table()
             pairs, place = np.unique(here[both] * len(at) + here[both + 1], return_inverse=True)
+            # Codes follow buckets, and pairs within these, so that a bucket's codes are a run. Buckets are a rule of names alone.
+            left, right = ids[pairs // len(at)], ids[pairs % len(at)]
+            bucket = _mixed(left, right) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            new = np.empty(len(order), np.int64)
+            new[order] = np.arange(len(order))
+            place = new[place]
             codes = np.full(n, -1, np.int64)
             codes[both] = place
-        seen = np.bincount(place, own[both], minlength=len(pairs)).astype(np.int64)
-        left, right = ids[pairs // len(at)], ids[pairs % len(at)]
-        return pa.table([pa.array((key[0].as_py() << CODE_BITS) + np.arange(len(pairs))), pa.array(left), pa.array(right), pa.array(seen)], schema=PAIRS)
+        left, right, bucket = left[order], right[order], bucket[order].astype(np.int64)
+        seen = np.bincount(place, own[both], minlength=len(order)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = [*starts[1:], len(bucket)]
+        number = key[0].as_py()
+        runs = [slice(a, b) for a, b in zip(starts, ends)]
+        lefts = [_packed(np.diff(left[r], prepend=0)) for r in runs]
+        return _rows(BLOCKS, len(runs), block=[number] * len(runs), bucket=bucket[starts], n=np.subtract(ends, starts), start=starts, left=lefts, right=[_packed(right[r]) for r in runs], cnt=[_packed(seen[r]) for r in runs])
 
     return of
 
 
-def phrase_table(docs: DataFrame, longest: int = 4, least: int = 30, sizes: tuple[int, int, int] = (BLOCK, SEGMENT, SLICE)) -> tuple[DataFrame, list[DataFrame]]:
+def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Well spread numbers of pairs."""
+    x = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def phrase_table(docs: DataFrame, longest: int = 4, least: int = 30, sizes: tuple[int, int, int, int] = (BLOCK, BUCKET, SEGMENT, SLICE)) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each language (lang, n), and for each length the frequent phrases: (id, lang, phrase, f) of single words, and
     (id, left, right, f) above, where left and right name the phrase without its last and its first word."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    blocks = _bucketed(texts.mapInArrow(lambda batches: _blocks(batches, longest - 1, sizes), "block long, codes binary, own binary, req long, lang string, word binary, cnt long"))
-    asked, keys = blocks.where("req IS NOT NULL").select("req", "lang", "word", "cnt"), ["lang", "word"]
-    totals = asked.groupBy("lang").agg(F.sum("cnt").alias("n"))
-    payload, told, names = blocks.where("codes IS NOT NULL").select("block", "codes", "own", "cnt"), None, []
+    # A token has two bytes at least, with its separator, so a bucket's share of all tokens is bounded.
+    weight = texts.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    buckets = max(1, -(-weight // (2 * sizes[1])))
+    blocks = _bucketed(texts.mapInArrow(lambda batches: _blocks(batches, longest - 1, sizes, buckets), _sql(BLOCKS)))
+    payload, asked, told, names = blocks.where("bucket IS NULL").select("block", "n", "codes", "own"), blocks.where("bucket IS NOT NULL"), None, []
+    spread = lambda rows: rows.select("bucket", "block", "n", "start", "lang", "codes", "left", "right", "cnt").groupBy("bucket")
     for length in range(1, longest + 1):
         if told is not None:
-            pairs = payload.groupBy("block").cogroup(told.groupBy("block"))
-            asked, keys = pairs.applyInArrow(_requests(length), "req long, left long, right long, cnt long"), ["left", "right"]
-        answers = _named(asked, keys, least)
-        first = answers.where("id = req")
-        names.append(first.select("id", "lang", F.col("word").cast("string").alias("phrase"), "f") if length == 1 else first.select("id", "left", "right", "f"))
-        new = answers.select(F.shiftright("req", CODE_BITS).alias("block"), F.lit(length).alias("level"), "req", "id")
-        told = new if told is None else told.unionByName(new)
-    return totals, names
+            asked = payload.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_requests(length, buckets), _sql(BLOCKS))
+        found = written(spread(asked).applyInArrow(_named(least, length), _sql(NAMES)))
+        named = found.where("id IS NOT NULL")
+        names.append(named.select("id", "lang", F.col("word").cast("string").alias("phrase"), "f") if length == 1 else named.select("id", "left", "right", "f"))
+        back = found.where("block IS NOT NULL").select("block", "level", "n", "codes", "ids")
+        told = back if told is None else told.unionByName(back)
+    return _totals(blocks), names
+
+
+def _totals(blocks: DataFrame) -> DataFrame:
+    """Words of each language, from the counts of the blocks' packed words."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [int(_unpacked(c, n).sum()) for c, n in zip(batch.column("cnt").to_pylist(), batch.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(sums, pa.int64())], names=["lang", "words"])
+
+    counted = blocks.where("bucket IS NOT NULL").select("lang", "n", "cnt").mapInArrow(total, "lang string, words long")
+    return counted.groupBy("lang").agg(F.sum("words").alias("n"))
 
 
-def collocations(docs: DataFrame, longest: int = 4, least: int = 30, subsumed_percent: int = 80, top: int = 2000, sizes: tuple[int, int, int] = (BLOCK, SEGMENT, SLICE)) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 4, least: int = 30, subsumed_percent: int = 80, top: int = 2000, sizes: tuple[int, int, int, int] = (BLOCK, BUCKET, SEGMENT, SLICE)) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases of 2 to `longest` words.
 
     Texts are lower-cased (A-Z), split at `[.,;:!?\\n-\\r]` into pieces and these at spaces and tabs into words. Only lang and text are
     read, whatever other columns are called. A null lang is `und`, together with rows that say so; a null or empty text has no words; a
     repeated row counts again; languages without a phrase that occurs `least` times, and empty tables, give no row. Ties of score
     go by a, then by phrase. Very long texts are coded in segments that overlap by
-    longest - 1 words, which count once. sizes: tokens of a block and of a segment, characters split at a time; results don't
-    depend on them."""
+    longest - 1 words, which count once. sizes: tokens of a block, of a bucket and of a segment, characters split at a
+    time; results don't depend on them."""
     if longest < 2:
         raise ValueError("phrases have two words at least")
     totals, names = phrase_table(docs, longest, least, sizes)
