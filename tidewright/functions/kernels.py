@@ -441,3 +441,109 @@ def responsibilities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: n
     logs = np.stack([math.log(weight[j]) - 0.5 * np.linalg.slogdet(cov[j])[1] - 0.5 * np.einsum("ni,ij,nj->n", x - mean[j], np.linalg.inv(cov[j]), x - mean[j]) for j in range(2)], axis=1)
     p = np.exp(logs - logs.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
+
+
+def prefix_products(m: np.ndarray) -> np.ndarray:
+    """Products m[0], m[0] m[1], ... of a stack of small matrices, each scaled to a largest entry of 1, by doubling."""
+    out = m / np.maximum(np.abs(m).max(axis=(1, 2), keepdims=True), 1e-300)
+    step = 1
+    while step < len(out):
+        joined = out[:-step] @ out[step:]
+        out[step:] = joined / np.maximum(np.abs(joined).max(axis=(1, 2), keepdims=True), 1e-300)
+        step *= 2
+    return out
+
+
+class Chain:
+    """A hidden chain of two states, each with a mean and a variance: `stay` holds both chances to stay."""
+
+    def __init__(self, mean, var, stay):
+        self.mean, self.var, self.stay = (np.asarray(v, float) for v in (mean, var, stay))
+        self.moves = np.array([[self.stay[0], 1 - self.stay[0]], [1 - self.stay[1], self.stay[1]]])
+
+    def lasting(self) -> np.ndarray:
+        """The chain's stationary distribution."""
+        leave = 1 - self.stay[::-1]
+        return leave / leave.sum() if leave.sum() > 0 else np.array([0.5, 0.5])
+
+    def density(self, x: np.ndarray) -> np.ndarray:
+        """Of each value in each state, scaled alike in both so that a far value doesn't vanish."""
+        logs = -0.5 * (np.log(self.var) + (x[:, None] - self.mean) ** 2 / self.var)
+        return np.exp(logs - logs.max(axis=1, keepdims=True))
+
+    def steps(self, x: np.ndarray) -> np.ndarray:
+        """What each value does to the (row of) chances before it."""
+        return self.moves[None] * self.density(x)[:, None, :]
+
+    def map_of(self, x: np.ndarray) -> np.ndarray:
+        """What all values together do."""
+        return prefix_products(self.steps(x))[-1]
+
+    def filtered(self, x: np.ndarray, before: np.ndarray) -> np.ndarray:
+        p = before @ prefix_products(self.steps(x))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def moments(self, x: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Expected counts of the states, sums and squares of the values in each, and counts of the four moves, given the chances
+        before the block and what the values after it say of its last state."""
+        f = self.density(x)
+        ahead = before @ prefix_products(self.steps(x))
+        ahead /= ahead.sum(axis=1, keepdims=True)
+        back = np.empty_like(ahead)
+        back[-1] = after
+        if len(x) > 1:
+            turned = np.swapaxes(self.steps(x)[:0:-1], 1, 2)
+            back[-2::-1] = np.einsum("j,njk->nk", after, prefix_products(turned))
+        back /= back.sum(axis=1, keepdims=True)
+        state = ahead * back
+        state /= state.sum(axis=1, keepdims=True)
+        earlier = np.vstack([before, ahead[:-1]])
+        moves = earlier[:, :, None] * self.moves[None] * (f * back)[:, None, :]
+        moves /= moves.sum(axis=(1, 2), keepdims=True)
+        return np.concatenate([state.sum(axis=0), state.T @ x, state.T @ (x * x), moves.sum(axis=0).ravel()])
+
+    @staticmethod
+    def start(mean: float, var: float) -> Chain:
+        return Chain([mean, mean], [0.25 * var, 1.75 * var], [0.95, 0.9])
+
+    @staticmethod
+    def of_moments(s: np.ndarray, floor: float) -> Chain:
+        """The likeliest chain for expected moments, the state of smaller variance first. A variance is at least `floor`, so that no
+        state shrinks to one value."""
+        n, total, square, moves = s[:2], s[2:4], s[4:6], s[6:].reshape(2, 2)
+        mean = total / np.maximum(n, 1e-300)
+        var = np.maximum(square / np.maximum(n, 1e-300) - mean**2, floor)
+        stay = np.clip(np.diag(moves) / np.maximum(moves.sum(axis=1), 1e-300), 1e-6, 1 - 1e-6)
+        order = np.argsort(var, kind="stable")
+        return Chain(mean[order], var[order], stay[order])
+
+    def change(self, other: Chain) -> float:
+        """How far two chains are apart, in deviations, shares and chances."""
+        sd = np.sqrt(self.var.max())
+        return float(max(np.abs(self.mean - other.mean).max() / sd, np.abs(np.log(self.var / other.var)).max(), np.abs(self.stay - other.stay).max()))
+
+
+def chain_messages(chain: Chain, maps: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Chances before each of a series' blocks, and what comes after each says, from the blocks' maps."""
+    before, after = [chain.lasting()], [np.array([0.5, 0.5])]
+    for m in maps[:-1]:
+        p = before[-1] @ m
+        before.append(p / p.sum())
+    for m in maps[:0:-1]:
+        p = m @ after[-1]
+        after.append(p / p.sum())
+    return before, after[::-1]
+
+
+def fit_chain(x: np.ndarray, steps: int = 500, close: float = 1e-7) -> Chain | None:
+    """The chain that expectation maximisation finds for a series; none for under 10 values or without variance."""
+    if len(x) < 10 or not x.var() > 1e-16:
+        return None
+    chain = Chain.start(x.mean(), x.var())
+    for _ in range(steps):
+        (before,), (after,) = chain_messages(chain, [np.eye(2)])
+        new = Chain.of_moments(chain.moments(x, before, after), 1e-4 * x.var())
+        moved, chain = chain.change(new), new
+        if moved < close:
+            break
+    return chain

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df behind a checkpoint in the shared folder."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, read again if an executor is lost, and of known size to joins."""
+    path = f"{shared(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
