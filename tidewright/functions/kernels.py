@@ -194,26 +194,96 @@ def permutation_entropy(x: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum() / math.log2(6))
 
 
-def bds(x: np.ndarray, dim: int = 2, width: float = 1.5, block: int = 512) -> tuple[float, float]:
-    """Independence test by correlation sums at distance width * deviation over all pairs; statistic and two-sided p. Pairs
-    are counted in blocks of rows, so memory grows with the length only."""
+class _Counter:
+    """How many of the numbers 0 .. n-1 that were added lie below a place: a tree of counts, each of whose levels sums pairs of the one
+    below, for whole arrays of additions and questions at a time."""
+
+    def __init__(self, n: int):
+        self.levels = [np.zeros(max(1, -(-n // (1 << i))) + 1, np.int64) for i in range(max(1, (max(1, n) - 1).bit_length()) + 1)]
+
+    def add(self, places: np.ndarray, by: int = 1) -> None:
+        for i, level in enumerate(self.levels):
+            np.add.at(level, places >> i, by)
+
+    def below(self, ends: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ends), np.int64)
+        for i, level in enumerate(self.levels):
+            odd = (ends >> i) & 1 == 1
+            out[odd] += level[(ends[odd] >> i) - 1]
+        return out
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, far: float, block: int = 2048) -> int:
+    """Pairs (i, j), i = j included and both orders counted, with |a_i - a_j| < far and |b_i - b_j| < far: a sweep over sorted a, in
+    blocks, with a tree of counts over the ranks of b for values in reach of the whole block, and the block's edges by comparison."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    n = len(a)
+    low, high = _reach(a, far)
+    ranked = np.sort(b)
+    place = np.argsort(np.argsort(b, kind="stable"), kind="stable")
+    at = np.searchsorted(ranked, b)
+    b_low, b_high = _reach(ranked, far)
+    b_low, b_high = b_low[at], b_high[at]
+    tree, first, last, total = _Counter(n), 0, 0, 0
+    for lo in range(0, n, block):
+        mine = slice(lo, min(lo + block, n))
+        # All of the block reach the values from the last one's lowest to the first one's highest.
+        inner = (int(low[mine].max()), int(high[mine].min()))
+        edges = [(int(low[mine].min()), int(high[mine].max()))]
+        if inner[0] < inner[1]:
+            tree.add(place[last : inner[1]])
+            tree.add(place[first : inner[0]], -1)
+            first, last = inner[0], max(last, inner[1])
+            total += int((tree.below(b_high[mine]) - tree.below(b_low[mine])).sum())
+            edges = [(edges[0][0], inner[0]), (inner[1], edges[0][1])]
+        for s, e in edges:
+            for t in range(s, e, 8 * block):
+                other = slice(t, min(t + 8 * block, e))
+                j = np.arange(other.start, other.stop)
+                inside = (j[None] >= low[mine, None]) & (j[None] < high[mine, None])
+                total += int((inside & (np.abs(b[mine, None] - b[None, other]) < far)).sum())
+    return total
+
+
+def _reach(s: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of sorted values the places from and up to which others are nearer than far, by the very comparison of differences."""
+    low, high = np.searchsorted(s, s - far, "left"), np.searchsorted(s, s + far, "right")
+    for step in (-1, 1):  # sums round: move ends until differences agree
+        while True:
+            i = low + (step == -1) * -1
+            ok = (i >= 0) & (i < len(s)) & ((np.abs(s - s[np.clip(i, 0, len(s) - 1)]) < far) == (step == -1))
+            if not ok.any():
+                break
+            low = np.where(ok, low + step, low)
+        while True:
+            i = high if step == 1 else high - 1
+            ok = (i >= 0) & (i < len(s)) & ((np.abs(s[np.clip(i, 0, len(s) - 1)] - s) < far) == (step == 1))
+            if not ok.any():
+                break
+            high = np.where(ok, high + step, high)
+    return low, high
+
+
+def bds(x: np.ndarray, dim: int = 2, width: float = 1.5, block: int = 2048) -> tuple[float, float]:
+    """Independence test of pairs of neighbours (dim 2) by correlation sums at distance width * deviation over all pairs; statistic and
+    two-sided p. Sums over one value come from sorting, those over two from a sweep with a tree of counts: n log n."""
+    if dim != 2:
+        raise ValueError("pairs of neighbours only")
     x = np.asarray(x, float)
     n, far = len(x), width * x.std(ddof=1)
-    m = n - dim + 1
-    rows, joint, later = np.zeros(n), 0, 0
-    for lo in range(0, n, block):
-        near = np.abs(x[lo : lo + block, None] - x[None]) < far
-        rows[lo : lo + block] = near.sum(axis=1) - 1
-        both = np.ones((min(block, max(0, m - lo)), m), bool)
-        for i in range(dim):
-            both &= np.abs(x[lo + i : lo + i + len(both), None] - x[None, i : i + m]) < far
-        joint += int(both.sum())
-        later += int(near[lo == 0 :, 1:].sum())  # without the first value
-    c1, cm = (later - (n - 1)) / ((n - 1) * (n - 2)), (joint - m) / (m * (m - 1))
+    m = n - 1
+    order = np.argsort(x, kind="stable")
+    low, high = _reach(x[order], far)
+    rows = np.empty(n)
+    rows[order] = high - low - 1
+    later = rows.sum() - 2 * rows[0]  # without the first value
+    joint = near_pairs(x[:-1], x[1:], far, block)
+    c1, cm = later / ((n - 1) * (n - 2)), (joint - m) / (m * (m - 1))
     c = rows.sum() / (n * (n - 1))
     k = (rows * (rows - 1)).sum() / (n * (n - 1) * (n - 2))
-    var = 4 * (k**dim + 2 * sum(k ** (dim - j) * c ** (2 * j) for j in range(1, dim)) + (dim - 1) ** 2 * c ** (2 * dim) - dim**2 * k * c ** (2 * dim - 2))
-    stat = math.sqrt(m) * (cm - c1**dim) / math.sqrt(max(var, 1e-300))
+    var = 4 * (k**2 + 2 * k * c**2 + c**4 - 4 * k * c**2)
+    stat = math.sqrt(m) * (cm - c1**2) / math.sqrt(max(var, 1e-300))
     return float(stat), 2 * (1 - normal_cdf(abs(stat)))
 
 
@@ -281,16 +351,57 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     return max(0.0, float(_digamma(np.array(len(at))) + _digamma(np.array(k)) - _digamma(sizes[at]).mean() - _digamma(np.maximum(1, m)).mean()))
 
 
+def kth_neighbour(x: np.ndarray, y: np.ndarray, k: int, leaf: int = 64) -> np.ndarray:
+    """Of each point of the plane the greater of both distances to its k-th nearest other: a k-d tree of leaves of points, each of which
+    looks into the leaves that its own k-th distances reach."""
+    points, n = np.column_stack([x, y]), len(x)
+    order, nodes, open_ = np.arange(n), [], [(0, n)]
+    while open_:  # nodes: first place, end, lower and upper corner, places of both children
+        lo, hi = open_.pop()
+        own = points[order[lo:hi]]
+        low, high = own.min(axis=0), own.max(axis=0)
+        nodes.append([lo, hi, low, high])
+        if hi - lo > leaf:
+            middle, axis = (lo + hi) // 2, int((high - low).argmax())
+            order[lo:hi] = order[lo:hi][np.argpartition(own[:, axis], middle - lo)]
+            open_ += [(middle, hi), (lo, middle)]
+    # Nodes stand in preorder, so a node's subtree is the run of those after it within its places.
+    sizes = np.ones(len(nodes), np.int64)
+    for i in range(len(nodes) - 1, -1, -1):
+        if nodes[i][1] - nodes[i][0] > leaf:
+            sizes[i] = 1 + sizes[i + 1] + sizes[i + 1 + sizes[i + 1]]
+    out = np.empty(n)
+    for lo, hi, low, high in (node for node in nodes if node[1] - node[0] <= leaf):
+        mine = points[order[lo:hi]]
+        far = np.abs(mine[:, None] - mine[None]).max(axis=2)
+        best = np.partition(far, k, axis=1)[:, k] if hi - lo > k else np.full(hi - lo, np.inf)
+        reach = best.max()
+        if reach > 0:
+            at, found = 0, []
+            while at < len(nodes):
+                a, b, corner, other = nodes[at]
+                if (corner > high + reach).any() or (other < low - reach).any():
+                    at += int(sizes[at])
+                    continue
+                if b - a <= leaf:
+                    found.append(order[a:b])
+                at += 1
+            near = np.empty((hi - lo, 0))
+            for part in np.array_split(np.concatenate(found), max(1, sum(map(len, found)) // 65536)):
+                near = np.concatenate([near, np.abs(mine[:, None] - points[part][None]).max(axis=2)], axis=1)
+                near = np.partition(near, k, axis=1)[:, : k + 1] if near.shape[1] > k else near
+            best = near[:, k]
+        out[order[lo:hi]] = best
+    return out
+
+
 def mutual_information_of_series(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
-    """Of two continuous variables, by nearest neighbours in the greater of both distances; found in blocks of rows."""
+    """Of two continuous variables, by nearest neighbours in the greater of both distances."""
     x, y = (np.asarray(v, float) / (np.std(v) or 1.0) for v in (x, y))
     n = len(x)
     if n <= k:
         return 0.0
-    radius = np.empty(n)
-    for lo in range(0, n, 256):
-        far = np.maximum(np.abs(x[lo : lo + 256, None] - x[None]), np.abs(y[lo : lo + 256, None] - y[None]))
-        radius[lo : lo + 256] = _WITHIN * np.partition(far, k, axis=1)[:, k]
+    radius = _WITHIN * kth_neighbour(x, y, k)
     within = lambda v: np.searchsorted(np.sort(v), v + radius, "right") - np.searchsorted(np.sort(v), v - radius, "left")
     return max(0.0, float(_digamma(np.array(n)) + _digamma(np.array(k)) - _digamma(within(x)).mean() - _digamma(within(y)).mean()))
 
@@ -347,6 +458,36 @@ def average_linkage(distance: np.ndarray, cut: float) -> list[int]:
     return [names[g] for g in of]
 
 
+def ward_clusters(distance: np.ndarray, most: int) -> list[int]:
+    """Cluster of each item: the two whose joining adds least variance join (Lance and Williams 1967) until at most `most` are left, and
+    then those that would add no more than the last."""
+    d2 = np.array(distance, float) ** 2
+    n = len(d2)
+    of, size, alive = np.arange(n), np.ones(n), np.ones(n, bool)
+    np.fill_diagonal(d2, np.inf)
+    last = -np.inf
+    while alive.sum() > 1:
+        i, j = sorted(np.unravel_index(d2.argmin(), d2.shape))
+        if alive.sum() <= most and not d2[i, j] <= last * (1 + 1e-12):
+            break
+        last = max(last, d2[i, j])
+        joined = ((size[i] + size) * d2[i] + (size[j] + size) * d2[j] - size * d2[i, j]) / (size[i] + size[j] + size)
+        d2[i], d2[:, i] = joined, joined
+        size[i] += size[j]
+        alive[j] = False
+        d2[~alive], d2[:, ~alive], d2[i, i] = np.inf, np.inf, np.inf
+        of[of == j] = i
+    names = {g: c for c, g in enumerate(dict.fromkeys(of.tolist()))}
+    return [names[g] for g in of.tolist()]
+
+
+def medoids(distance: np.ndarray, clusters: list[int]) -> list[int]:
+    """Of each cluster the item of least distance to its others in sum, the first of several."""
+    of = np.asarray(clusters)
+    groups = [np.flatnonzero(of == c) for c in dict.fromkeys(clusters)]
+    return [int(g[distance[np.ix_(g, g)].sum(axis=1).argmin()]) for g in groups]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, c: float = 0.03, balanced: bool = True, steps: int = 60) -> np.ndarray:
     """Coefficients and intercept of ridge logistic regression by Newton's method; the intercept isn't penalised."""
     n, k = x.shape

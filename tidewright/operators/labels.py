@@ -15,7 +15,7 @@ def triple_barrier(df: DataFrame, horizon: int = 5, up: float = 1.0, down: float
     past one decides: 1 above, 0 below; without any the label is 0 at the horizon. A symbol's last `horizon` bars have
     none. The frame ahead lies within a range of (symbol, ts), so no task holds a symbol.
     """
-    vol = ewm_std(df, "log_return", span, "local_volatility", floor=floor)
+    vol = ewm_std(df, "log_return", span, "local_volatility", floor=floor, ranged=True)
     out = with_following(vol, ["ts", "close_adj"], horizon, "__ahead")
     p, s = F.col("close_adj"), F.col("local_volatility")
     hit = F.filter("__ahead", lambda b: (b["close_adj"] >= p * (1 + up * s)) | (b["close_adj"] <= p * (1 - down * s)))

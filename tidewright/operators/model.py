@@ -6,13 +6,17 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import kernels as k
-from tidewright.functions.tables import spread
+from tidewright.functions.tables import spread, written
 
 
 def interactions(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
@@ -80,27 +84,115 @@ class Calibrated:
         return 1 / (1 + np.exp(-np.clip(self.a * self.score(x) + self.b, -35, 35)))
 
 
-OOS = "symbol string, fold int, ts timestamp, role string, prob_up double, y int, barrier_return double, barrier_touch_time timestamp, slope double, offset double"
+FITTED = "columns array<string>, pairs boolean, median array<double>, mean array<double>, sd array<double>, beta array<double>, slope double, offset double, rows long"
 
 
-def out_of_sample(df: DataFrame, columns: list[str], label: str = "target_label", c: float = 0.03, pairs: bool = True, method: str = "bounded") -> DataFrame:
-    """Probabilities of purged() folds' rows: each (symbol, fold), of at most max_train and its test rows, is fitted in one
-    group, in parallel. Training rows come with theirs too, which thresholds of the first test rows need. Folds with too few
-    training rows to calibrate have no model: 0.5."""
-    named = df.select("symbol", F.col("fold").cast("int").alias("fold"), "ts", "role", F.col(label).cast("int").alias("y"), F.col("target_barrier_return").alias("barrier_return"), "barrier_touch_time", *columns)
+class _FoldParams(Params):
+    """What a model of each group of rows takes."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts").reset_index(drop=True)
-        x, y = pdf[columns].to_numpy(float), pdf["y"].to_numpy(float)
-        train = ((pdf["role"] == "train") & pdf["y"].notna()).to_numpy()
-        net = Calibrated(c, pairs=pairs, method=method)
-        if enough(int(train.sum()), net) and len(np.unique(y[train])) > 1:
-            p = net.fit(x[train], y[train]).probability(x)
-        else:
-            p = np.full(len(pdf), 0.5)
-        return pdf[["symbol", "fold", "ts", "role"]].assign(prob_up=p, y=pdf["y"].astype("Int32"), barrier_return=pdf["barrier_return"], barrier_touch_time=pdf["barrier_touch_time"], slope=net.a, offset=net.b)
+    groups = Param(Params._dummy(), "groups", "columns whose every combination has a model of its own", TypeConverters.toListString)
+    features = Param(Params._dummy(), "features", "columns to score by", TypeConverters.toListString)
+    label = Param(Params._dummy(), "label", "column of 0 and 1; rows without it aren't fitted", TypeConverters.toString)
+    order = Param(Params._dummy(), "order", "column that orders a group's rows", TypeConverters.toString)
+    penalty = Param(Params._dummy(), "penalty", "inverse strength of the ridge", TypeConverters.toFloat)
+    pairs = Param(Params._dummy(), "pairs", "whether products of two features are features too", TypeConverters.toBoolean)
+    method = Param(Params._dummy(), "method", "bounded or none: how scores are calibrated", TypeConverters.toString)
+
+
+class FoldLogistic(Estimator, _FoldParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Imputer, products, scaler, balanced ridge logistic model and calibration of every group, each a row of parameters. A group
+    is fitted in one task, all in parallel; those with one class, or too few rows to calibrate, have no model."""
+
+    @keyword_only
+    def __init__(self, *, features=None, groups=("symbol", "fold"), label="target_label", order="ts", penalty=0.03, pairs=True, method="bounded"):
+        super().__init__()
+        self._setDefault(groups=["symbol", "fold"], label="target_label", order="ts", penalty=0.03, pairs=True, method="bounded")
+        self._set(**{k: list(v) if isinstance(v, tuple) else v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> FoldLogisticModel:
+        groups, columns, label, order = (self.getOrDefault(p) for p in (self.groups, self.features, self.label, self.order))
+        c, pairs, method = (self.getOrDefault(p) for p in (self.penalty, self.pairs, self.method))
+        named = dataset.where(F.col(label).isNotNull()).select(*groups, order, F.col(label).cast("double").alias(label), *[F.col(x).cast("double").alias(x) for x in columns])
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(order)
+            y, net = pdf[label].to_numpy(float), Calibrated(c, pairs=pairs, method=method)
+            if not enough(len(y), net) or len(np.unique(y)) < 2:
+                return pd.DataFrame(columns=[*groups, *FIELDS])
+            net.fit(pdf[columns].to_numpy(float), y)
+            facts = {"columns": list(columns), "pairs": pairs, "median": net.median.tolist(), "mean": net.mean.tolist(), "sd": net.sd.tolist(), "beta": net.beta.tolist(), "slope": net.a, "offset": net.b, "rows": len(y)}
+            return pdf[groups].head(1).assign(**{k: [v] for k, v in facts.items()})[[*groups, *FIELDS]]
+
+        kinds = ", ".join(f"`{g}` {dataset.schema[g].dataType.simpleString()}" for g in groups)
+        return self._copyValues(FoldLogisticModel(written(spread(named, *groups).groupBy(*groups).applyInPandas(one, f"{kinds}, {FITTED}"))))
+
+
+FIELDS = [f.split()[0] for f in FITTED.split(", ")]
+
+
+class FoldLogisticModel(Model, _FoldParams, MLWritable, MLReadable):
+    """A table of a row a group. Bars are scored by a join with it and an expression of columns, without Python."""
 
-    return spread(named, "symbol", "fold").groupBy("symbol", "fold").applyInPandas(one, OOS)
+    def __init__(self, table: DataFrame | None = None):
+        super().__init__()
+        self.table = table
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """dataset with score and prob_up, slope and offset; rows of groups without a model have null, 0.5, 1 and 0."""
+        groups, columns = self.getOrDefault(self.groups), self.getOrDefault(self.features)
+        joined = dataset.join(self.table.withColumn("__fitted", F.lit(True)), groups, "left")
+        x = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.element_at("median", i)) for i, c in enumerate(columns, 1)]
+        if self.getOrDefault(self.pairs):
+            x += [a * b for a, b in combinations(x, 2)]
+        score = sum(((v - F.element_at("mean", i)) / F.element_at("sd", i) * F.element_at("beta", i) for i, v in enumerate(x, 1)), F.element_at("beta", -1))
+        joined = joined.withColumn("score", score).withColumns({"slope": F.coalesce("slope", F.lit(1.0)), "offset": F.coalesce("offset", F.lit(0.0))})
+        clipped = F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.col("slope") * F.col("score") + F.col("offset")))
+        chance = F.when(F.col("__fitted"), 1 / (1 + F.exp(-clipped))).otherwise(0.5)
+        return joined.select(*dataset.columns, "score", chance.alias("prob_up"), "slope", "offset")
+
+    def write(self) -> MLWriter:
+        return TableWriter(self, {"parameters": self.table})
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return TableReader(cls, ["parameters"])
+
+
+class TableWriter(MLWriter):
+    """Parameters as Spark's own writers keep them, and each table as Parquet beside them."""
+
+    def __init__(self, instance, tables: dict[str, DataFrame]):
+        super().__init__()
+        self.instance, self.tables = instance, tables
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata={"tables": list(self.tables)})
+        for name, table in self.tables.items():
+            table.write.parquet(f"{path}/{name}")
+
+
+class TableReader(MLReader):
+    def __init__(self, kind, tables: list[str]):
+        super().__init__()
+        self.kind, self.tables = kind, tables
+
+    def load(self, path: str):
+        """A table that the model was written without is none."""
+        facts = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        known = set(facts["tables"])
+        out = self.kind(*[self.sparkSession.read.parquet(f"{path}/{name}") if name in known else None for name in self.tables])
+        out._resetUid(facts["uid"])
+        DefaultParamsReader.getAndSetParams(out, facts)
+        return out
+
+
+def out_of_sample(df: DataFrame, columns: list[str], label: str = "target_label", c: float = 0.03, pairs: bool = True, method: str = "bounded") -> DataFrame:
+    """Probabilities of purged() folds' rows: each (symbol, fold), of at most max_train and its test rows, has a model of its own. Training
+    rows come with theirs too, which thresholds of the first test rows need. Folds with too few training rows to calibrate have no
+    model: 0.5."""
+    named = df.select("symbol", F.col("fold").cast("int").alias("fold"), "ts", "role", F.col(label).cast("int").alias("y"), F.col("target_barrier_return").alias("barrier_return"), "barrier_touch_time", *columns)
+    fitted = FoldLogistic(features=list(columns), label="y", penalty=c, pairs=pairs, method=method).fit(named.where("role = 'train'"))
+    return fitted.transform(named).select("symbol", "fold", "ts", "role", "prob_up", "y", "barrier_return", "barrier_touch_time", "slope", "offset")
 
 
 def enough(rows: int, net: Calibrated) -> bool:

@@ -173,9 +173,10 @@ def _off(y, age, f, span: int, power=pow):
     return left / (left + a) * (y - f)
 
 
-def ewm_std(df: DataFrame, x: str, span: int, out: str, lag: int = 1, floor: float | None = None) -> DataFrame:
+def ewm_std(df: DataFrame, x: str, span: int, out: str, lag: int = 1, floor: float | None = None, ranged: bool = False) -> DataFrame:
     """df with `out`: the bias-corrected exponential deviation of x one row late (lag 1) or of its own row too (lag 0), missing and
-    small values raised to floor. Weights age also where x is missing."""
+    small values raised to floor. Weights age also where x is missing. ranged: the rows keep the range that they are in, for
+    with_following()."""
     rest = 1 - 2 / (span + 1)
     rows = streamed(df.drop(out), {"d": (x, lambda: Deviation(span))})
     names = [f"__d_{f}" for f in Deviation.fields]
@@ -206,7 +207,7 @@ def ewm_std(df: DataFrame, x: str, span: int, out: str, lag: int = 1, floor: flo
     found = F.when((c >= 2) & (spread > 0), F.sqrt(v * w * w / spread))
     if floor is not None:
         found = F.greatest(F.coalesce(found, F.lit(floor)), F.lit(floor))
-    return rows.select(*[c for c in df.columns if c != out], found.alias(out))
+    return rows.select(*[c for c in df.columns if c != out], found.alias(out), *([PART] if ranged else []))
 
 
 def _merged_columns(before: list[Column], now: list[Column], aged: Column) -> list[Column]:
@@ -218,8 +219,8 @@ def _merged_columns(before: list[Column], now: list[Column], aged: Column) -> li
 
 def with_following(df: DataFrame, columns: list[str], n: int, out: str) -> DataFrame:
     """df with the structs of `columns` of each row's next n rows of its symbol, in order: windows lie within ranges of (symbol, ts),
-    to which the first rows of the ranges after are lent."""
-    rows = written(df.repartitionByRange("symbol", "ts").withColumn(PART, F.spark_partition_id()))
+    to which the first rows of the ranges after are lent. Rows that don't have their range yet are dealt into ranges and written."""
+    rows = df if PART in df.columns else written(df.repartitionByRange("symbol", "ts").withColumn(PART, F.spark_partition_id()))
     own = Window.partitionBy("symbol", PART)
     counts = rows.groupBy("symbol", PART).agg(F.count(F.lit(1)).alias("rows"))
     by = Window.partitionBy("symbol").orderBy(PART)  # a row a range

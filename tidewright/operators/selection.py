@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import kernels as k
 from tidewright.functions.tables import spread
 from tidewright.operators.audit import filled
+from tidewright.operators.regimes import HIGH
 
 #: Lagged features that are never used.
 BLACKLIST = (
@@ -54,6 +55,24 @@ def clusters(df: DataFrame, columns: list[str], similar: float = 0.6) -> dict[st
     return dict(zip(columns, found))
 
 
+def rank_distance(rho: np.ndarray) -> np.ndarray:
+    d = np.sqrt(np.clip(0.5 * (1 - np.nan_to_num(rho)), 0, None))
+    np.fill_diagonal(d, 0.0)
+    return (d + d.T) / 2
+
+
+def hierarchy(df: DataFrame, columns: list[str], most: int = 15) -> dict[str, tuple[int, bool]]:
+    """Of each column its cluster in Ward's hierarchy of sqrt((1 - rank correlation) / 2), cut at `most` clusters, and whether it is the
+    cluster's medoid. Clusters are numbered by their first column; with no more columns than clusters each is its own. Correlations
+    of complete rows are taken on executors; a matrix of columns comes back."""
+    if len(columns) <= most:
+        return {c: (i, True) for i, c in enumerate(columns)}
+    distance = rank_distance(matrix(df, columns, "spearman"))
+    found = k.ward_clusters(distance, most)
+    best = set(k.medoids(distance, found))
+    return {c: (found[i], i in best) for i, c in enumerate(columns)}
+
+
 def blocks(df: DataFrame, count: int = 8, share: float = 0.75, least: int = 40) -> DataFrame:
     """Rows by overlapping block, each a contiguous share of its symbol's rows: starts lie a whole step apart, and those that
     would begin alike are one block."""
@@ -100,21 +119,80 @@ def best_of_clusters(x: np.ndarray, y: np.ndarray, columns: list[int], least: in
     return [columns[g[mi[g].argmax()]] for g in (np.flatnonzero(of == c) for c in np.unique(of))]
 
 
-def votes(df: DataFrame, columns: list[str], label: str = "target_label", count: int = 8) -> DataFrame:
-    """symbol, feature, votes, lag, blocks: in how many of a symbol's blocks a feature is selected, and the median of the lags
-    found, 1 or 2 (1: none). Blocks are groups of their own and run in parallel; those of one class don't vote, but count."""
+#: Words in features' names that decide between features of as many votes.
+DIRECTIONAL = ("mkt_relative", "mkt_rs", "mkt_rolling_beta", "mkt_divergence", "cmf", "obv", "vpt", "net_pressure", "vol_directional", "signed_expansion", "liq_amihud", "kurtosis_20")
+
+
+def causal(x: np.ndarray, y: np.ndarray, lags: int = 5, p: float = 0.05, least_mi: float = 0.01, least: int = 3, fallback: int = 5) -> dict[int, int]:
+    """Columns of x that foretell y, with the lag at which: by Granger's test, else by the mutual information of a lagged column. Where
+    under `least` do, the `fallback` of largest rank correlation with y in size (ties: the earlier) are added at lag 1."""
+    found = {}
+    for c in range(x.shape[1]):
+        chance, lag = k.granger(x[:, c], y, lags)
+        if chance >= p:
+            mi = [k.mutual_information(np.concatenate([np.zeros(i), x[:-i, c]]), y) for i in range(1, lags + 1)]
+            lag = int(np.argmax(mi)) + 1 if max(mi) > least_mi else 0
+        if lag:
+            found[c] = lag
+    if len(found) < least and x.shape[1]:
+        rank_y = k.ranks(y[:, None].astype(float))[:, 0]
+        size = np.array([abs(k.pearson(c, rank_y)) for c in k.ranks(x).T])
+        for c in np.argsort(-size, kind="stable")[:fallback]:
+            found.setdefault(int(c), 1)
+    return found
+
+
+def wide_in_block(x: np.ndarray, y: np.ndarray, most: int = 14, least: int = 6, forced: int | None = None) -> dict[int, int]:
+    """Columns of x that a block votes for, with their lags (0: none): those left by correlation (0.85) and variance inflation (5), of
+    them the medoids of at most `most` clusters and the forced column, of them the causal ones; all of the last but one where those
+    are under `least`."""
+    some = np.flatnonzero(x.var(axis=0) > 1e-8)
+    corr = np.nan_to_num(np.corrcoef(x[:, some], rowvar=False)).reshape(len(some), len(some))
+    kept = k.correlated_kept(corr, 0.85)
+    kept = [int(some[kept[i]]) for i in k.vif_kept(corr[np.ix_(kept, kept)], 5.0)] if len(kept) > 1 else [int(some[i]) for i in kept]
+    if len(kept) > most:
+        distance = rank_distance(k.spearman(x[:, kept]))
+        kept = [kept[i] for i in k.medoids(distance, k.ward_clusters(distance, most))]
+    if forced is not None and forced not in kept:
+        kept.append(forced)
+    found = {kept[c]: lag for c, lag in causal(x[:, kept], y).items()}
+    return found if len(found) >= least else {c: found.get(c, 0) for c in kept}
+
+
+def wide_consensus(df: DataFrame, columns: list[str], label: str = "target_label", count: int = 8, threshold: float = 0.6, least: int = 6, most: int = 16) -> DataFrame:
+    """symbol, place, feature, votes, lag: of each symbol the features with at least a share `threshold` of its blocks' votes, by votes and
+    then those with a DIRECTIONAL word first; where they are under `least`, the first so many by votes alone; at most `most`.
+    Remaining ties go by name (the reference keeps the order in which votes came). A regime's chance among the columns always
+    stands for election. Lags are medians, 1 to 5."""
+    forced = columns.index(HIGH) if HIGH in columns else None
+    voted = votes(df, columns, label, count, lambda x, y: wide_in_block(x, y, forced=forced), 5)
+    by = Window.partitionBy("symbol")
+    word = F.greatest(*[F.col("feature").contains(w).cast("int") for w in DIRECTIONAL])
+    v = voted.withColumns({"word": word, "enough": (F.col("votes") >= F.ceil(F.col("blocks") * threshold)).cast("int")})
+    v = v.withColumn("few", F.sum("enough").over(by) < least)
+    order = [F.when(F.col("few"), 0).otherwise(-F.col("enough")), F.desc("votes"), F.when(F.col("few"), 0).otherwise(-F.col("word")), F.col("feature")]
+    v = v.withColumn("place", F.row_number().over(by.orderBy(*order)))
+    kept = F.when(F.col("few"), F.col("place") <= least).otherwise((F.col("enough") == 1) & (F.col("place") <= most))
+    return v.where(kept).select("symbol", "place", "feature", "votes", "lag")
+
+
+def votes(df: DataFrame, columns: list[str], label: str = "target_label", count: int = 8, select=None, latest: int = 2) -> DataFrame:
+    """symbol, feature, votes, lag, blocks: in how many of a symbol's blocks a feature is selected by select(x, y), and the median of the
+    lags found, 1 to `latest` (1: none). Blocks are groups of their own and run in parallel; those of one class don't vote, but
+    count."""
+    select = select or selected_in_block
     rows = blocks(filled(df.where(F.col(label).isNotNull()).select("symbol", "ts", F.col(label).cast("double").alias(label), *columns), columns), count)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
         x, y = pdf[columns].to_numpy(float), pdf[label].to_numpy()
-        found = selected_in_block(x, y) if len(np.unique(y)) > 1 else {}
+        found = select(x, y) if len(np.unique(y)) > 1 else {}
         names = [columns[i] for i in found]
         return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "feature": pd.Series([*names, None], dtype=object), "lag": [*found.values(), 0]})
 
     found = spread(rows, "symbol", "block").groupBy("symbol", "block").applyInPandas(one, "symbol string, feature string, lag int")
     of_all = found.where("feature is null").groupBy("symbol").agg(F.count("*").alias("blocks"))
-    median = F.least(F.greatest(F.coalesce(F.floor(F.percentile(F.when(F.col("lag") > 0, F.col("lag")), F.lit(0.5))), F.lit(1)), F.lit(1)), F.lit(2)).cast("int")
+    median = F.least(F.greatest(F.coalesce(F.floor(F.percentile(F.when(F.col("lag") > 0, F.col("lag")), F.lit(0.5))), F.lit(1)), F.lit(1)), F.lit(latest)).cast("int")
     voted = found.where("feature is not null").groupBy("symbol", "feature").agg(F.count("*").alias("votes"), median.alias("lag"))
     return voted.join(of_all, "symbol")
 

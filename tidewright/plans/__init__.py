@@ -1,6 +1,6 @@
 """Queries over the test tables, each with SQL that gives the same rows where SQL can."""
 
-from tidewright.plans import core_queries, feature_queries, more_queries  # noqa: F401  they register themselves
+from tidewright.plans import core_queries, feature_queries, more_queries, regime_queries  # noqa: F401  they register themselves
 from tidewright.plans.core_queries import flagship
 from tidewright.plans.registry import ORACLES, QUERIES
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.tables import shared
+from tidewright.functions.tables import shared, written
 from tidewright.operators import audit, diagnostics, features, metrics, model, pipeline, portfolio, selection, trading
 from tidewright.operators.topology import book
 from tidewright.plans import core_queries as q
@@ -242,10 +242,10 @@ def moving_blocks(spark, sf_dir):
 @query("feature_pipeline", ["symbol", "place", "feature", "n"], [])
 def feature_pipeline(spark, sf_dir):
     """A model of each symbol's labelled bars, written, read and applied: the values that each of its features has."""
-    df = q.labelled(spark, sf_dir).select("symbol", "ts", *q.OHLCV, "target_label")
+    df = written(q.labelled(spark, sf_dir).select("symbol", "ts", *q.OHLCV, "target_label"))
     path = new_path(spark, "model")
-    pipeline.fit(df, columns=q.CANDIDATES).write(path)
-    found = pipeline.FeatureModel.read(spark, path).transform(df)
+    pipeline.FeaturePipeline(columns=q.CANDIDATES).fit(df).save(path)
+    found = pipeline.FeaturePipelineModel.load(path).transform(df)
     return found.groupBy("symbol", "place", "feature").agg(F.count("value").alias("n"))
 
 
