@@ -78,10 +78,15 @@ def adf(x: np.ndarray) -> tuple[float, float]:
 
     best = min(range(max(most, 0) + 1), key=lambda k: fit(k, most)[0])
     stat = fit(best, best)[1]
+    return stat, adf_p(stat)
+
+
+def adf_p(stat: float) -> float:
+    """Chance of a smaller statistic of the unit-root test with a constant."""
     if stat > ADF_MAX or stat < ADF_MIN:
-        return stat, float(stat > ADF_MAX)
+        return float(stat > ADF_MAX)
     poly = ADF_SMALL if stat <= ADF_STAR else ADF_LARGE
-    return stat, normal_cdf(sum(c * stat**i for i, c in enumerate(poly)))
+    return normal_cdf(sum(c * stat**i for i, c in enumerate(poly)))
 
 
 def kpss(x: np.ndarray) -> tuple[float, float]:
