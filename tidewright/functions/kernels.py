@@ -105,6 +105,11 @@ def kpss(x: np.ndarray) -> tuple[float, float]:
     return stat, float(np.interp(stat, [c for c, _ in KPSS], [p for _, p in KPSS]))
 
 
+def fluctuation_scales(n: int) -> np.ndarray:
+    """Lengths of segments of n values: 15 from 10 to a quarter of them, evenly in logarithms, each once."""
+    return np.unique(np.logspace(1, math.log10(n // 4), 15).astype(int)) if n // 4 > 10 else np.array([10])
+
+
 def hurst_dfa(x: np.ndarray) -> float:
     """Exponent of detrended fluctuation; 0.5 for under 40 values."""
     x = np.asarray(x, float)
@@ -112,8 +117,7 @@ def hurst_dfa(x: np.ndarray) -> float:
     if n < 40:
         return 0.5
     walk = np.cumsum(x - x.mean())
-    scales = np.unique(np.logspace(1, math.log10(n // 4), 15).astype(int)) if n // 4 > 10 else np.array([10])
-    found = []
+    scales, found = fluctuation_scales(n), []
     for s in scales:
         parts = walk[: n // s * s].reshape(-1, s)
         t = np.arange(s) - (s - 1) / 2

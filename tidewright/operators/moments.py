@@ -180,3 +180,24 @@ def optimal_orders(df: DataFrame, x: str = "close_adj", step: float = 0.05, size
     hit = F.min(F.when(F.col("p") < 0.05, F.struct("d", "p")))
     out = tested.groupBy("symbol").agg(hit.alias("hit"), F.max_by("p", "d").alias("last"), F.max("n").alias("n"))
     return out.select("symbol", F.when(F.col("n") >= 50, F.coalesce("hit.d", F.lit(1.0))).otherwise(1.0).alias("optimal_d"), F.when(F.col("n") >= 50, F.coalesce("hit.p", "last")).otherwise(1.0).alias("adf_p"))
+
+
+def fluctuation(df: DataFrame, x: str = "log_return") -> DataFrame:
+    """symbol, n, hurst: the exponent of detrended fluctuation of x; 0.5 for under 40 values. Scales are rows, segments are groups, and a
+    segment's line is its covariance with time."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    known = df.where(F.col(x).isNotNull()).select("symbol", "ts", F.col(x).cast("double").alias("x"))
+    sizes = known.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"))
+    kind = df.schema["symbol"].dataType.simpleString()
+
+    def scales(batches):
+        for pdf in batches:
+            yield pdf.assign(scales=[k.fluctuation_scales(n).tolist() if n >= 40 else [] for n in pdf["n"]])
+
+    named = written(sizes.mapInPandas(scales, f"symbol {kind}, n long, m double, scales array<int>"))
+    walk = known.join(named, "symbol").withColumn("walk", F.sum(F.col("x") - F.col("m")).over(w)).withColumn("i", F.row_number().over(w) - 1)
+    parts = walk.select("symbol", "n", "i", "walk", F.explode("scales").alias("scale")).withColumn("part", F.floor(F.col("i") / F.col("scale"))).where(F.col("part") < F.floor(F.col("n") / F.col("scale")))
+    left = parts.groupBy("symbol", "scale", "part").agg(F.var_pop("walk").alias("v"), F.covar_pop("i", "walk").alias("c"), F.var_pop("i").alias("t"))
+    at = left.groupBy("symbol", "scale").agg(F.avg(F.sqrt(F.greatest(F.col("v") - F.col("c") * F.col("c") / F.col("t"), F.lit(0.0)))).alias("f")).where("f > 0")
+    lines = at.groupBy("symbol").agg(F.count(F.lit(1)).alias("points"), F.regr_slope(F.log("f"), F.log("scale")).alias("slope"))
+    return named.join(lines, "symbol", "left").select("symbol", "n", F.when(F.col("points") > 1, F.col("slope")).otherwise(0.5).alias("hurst"))

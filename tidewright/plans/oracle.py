@@ -71,3 +71,15 @@ fw AS (SELECT s.symbol, s.i, min(f.i) FILTER (WHERE f.c >= s.c * (1 + s.sigma) O
 lb AS (SELECT s.*, CASE WHEN fw.k = {horizon} THEN CASE WHEN fw.hit IS NOT NULL AND e.c >= s.c * (1 + s.sigma) THEN 1 ELSE 0 END END AS y,
   CASE WHEN fw.k = {horizon} THEN e.c / s.c - 1 END AS ret, CASE WHEN fw.k = {horizon} THEN e.t END AS touch
   FROM sg s LEFT JOIN fw ON s.symbol = fw.symbol AND s.i = fw.i LEFT JOIN sg e ON e.symbol = s.symbol AND e.i = coalesce(fw.hit, fw.last))"""
+
+
+def swept(name: str, source: str, group: str, kept: str, y: str, columns: list[str]) -> str:
+    """CTEs {name}0 .. {name}{len(columns)}: `y` and the columns of a table less their group's means, then less their projections on the
+    first column, the second, and so on (Gram-Schmidt); a column of zeros takes nothing. The y of {name}k is what a regression on the
+    first k columns and a constant leaves."""
+    over = f"OVER (PARTITION BY {group})"
+    steps = [f"{name}0 AS MATERIALIZED (SELECT {kept}, " + ", ".join(f"{c} - avg({c}) {over} AS {c}" for c in [y, *columns]) + f" FROM {source})"]
+    for i, c in enumerate(columns):
+        rest = [y, *columns[i + 1 :]]
+        steps.append(f"{name}{i + 1} AS MATERIALIZED (SELECT {kept}, {', '.join(columns[: i + 1])}, " + ", ".join(f"{r} - coalesce(sum({r} * {c}) {over} / nullif(sum({c} * {c}) {over}, 0), 0) * {c} AS {r}" for r in rest) + f" FROM {name}{i})")
+    return ",\n".join(steps)

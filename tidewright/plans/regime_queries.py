@@ -1,14 +1,14 @@
-"""Queries of hidden regimes, hierarchies of features, and models as tables."""
+"""Queries of hidden regimes, hierarchies of features, models as tables, and tests from sums over lags."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tidewright.functions.tables import written
-from tidewright.operators import model, regimes, selection
+from tidewright.operators import diagnostics, model, moments, regimes, selection
 from tidewright.plans import core_queries as q
 from tidewright.plans.more_queries import new_path
-from tidewright.plans.oracle import ORD, TS
+from tidewright.plans.oracle import ORD, TS, lag, swept
 from tidewright.plans.registry import query
 
 
@@ -74,3 +74,80 @@ def fold_model_scores(spark, sf_dir):
     """Chances of test rows by models that were fitted, written and read before."""
     rows, found = fold_model(spark, sf_dir)
     return found.transform(rows.where("role = 'test'"))
+
+
+# tests from sums over lags
+
+_R = f"{q.BASE}, r0 AS (SELECT symbol, t, r FROM b WHERE r IS NOT NULL)"
+_SQ = ", ".join(f"lag(r * r, {i}) OVER ({ORD}) AS l{i}" for i in range(1, 6))
+
+
+@query("arch_test", ["symbol", "n"], ["stat"], f"{_R}, a AS (SELECT symbol, t, r * r * 1e6 AS s, {_SQ} FROM r0), c AS (SELECT * FROM a WHERE l5 IS NOT NULL), {swept('g', 'c', 'symbol', 'symbol', 's', [f'l{i}' for i in range(1, 6)])}, z AS (SELECT symbol, sum(s * s) AS z FROM g0 GROUP BY 1) SELECT g5.symbol, count(*) AS n, count(*) * (1 - sum(s * s) / any_value(z)) AS stat FROM g5 JOIN z ON g5.symbol = z.symbol GROUP BY 1")
+def arch_test(spark, sf_dir):
+    return moments.arch_lm(q.adjusted_events(spark, sf_dir))
+
+
+def _granger() -> str:
+    lags = ", ".join(f"lag({c}, {i}) OVER (PARTITION BY symbol, feature ORDER BY t) AS {c}{i}" for i in (1, 2) for c in "yx")
+    parts = [f"{q.BASE}, k0 AS (SELECT symbol, t, r AS y, unnest(['volume', 'range']) AS feature, unnest([v, ln(h / l)]) AS x FROM b), k1 AS (SELECT *, {lags} FROM k0 WHERE y IS NOT NULL AND x IS NOT NULL)"]
+    out = []
+    for n in (1, 2):
+        own, other = [f"y{i}" for i in range(1, n + 1)], [f"x{i}" for i in range(1, n + 1)]
+        parts.append(f"k1_{n} AS (SELECT * FROM k1 WHERE y{n} IS NOT NULL)")
+        parts.append(swept(f"w{n}_", f"k1_{n}", "symbol, feature", "symbol, feature", "y", own + other))
+        parts += [f"s{n}{k} AS (SELECT symbol, feature, count(*) AS n, sum(y * y) AS s FROM w{n}_{k} GROUP BY ALL)" for k in (n, 2 * n)]
+        out.append(f"SELECT a.symbol, a.feature, {n} AS lag, a.n, ((a.s - b.s) / {n}) / (b.s / (a.n - {2 * n + 1})) AS f_stat FROM s{n}{n} a JOIN s{n}{2 * n} b ON a.symbol = b.symbol AND a.feature = b.feature")
+    return ",\n".join(parts) + " " + " UNION ALL ".join(out)
+
+
+@query("granger_test", ["symbol", "feature", "lag", "n"], ["f_stat"], _granger())
+def granger_test(spark, sf_dir):
+    """Whether volume and range foretell returns."""
+    df = q.adjusted_events(spark, sf_dir).withColumn("range", F.log(F.col("high_adj") / F.col("low_adj")))
+    return moments.granger(df, ["volume", "range"], "log_return")
+
+
+def _unit_root(most: int = 24) -> str:
+    """For series whose test takes at most `most` lags."""
+    lags = [f"l{i}" for i in range(1, most + 1)]
+    m = "least(CAST(ceil(12 * power(n / 100.0, 0.25)) AS BIGINT), n // 2 - 3)"
+    parts = [
+        f"{q.BASE}, u0 AS (SELECT symbol, t, c, c - {lag('c')} AS d, {lag('c')} AS level, row_number() OVER ({ORD}) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM b), u1 AS (SELECT *, {m} AS m, {', '.join(f'lag(d, {i}) OVER ({ORD}) AS {x}' for i, x in enumerate(lags, 1))} FROM u0)",
+        f"ua AS (SELECT symbol, m, d, level, {', '.join(f'CASE WHEN {i} <= m THEN {x} ELSE 0 END AS {x}' for i, x in enumerate(lags, 1))} FROM u1 WHERE i >= m + 2)",
+        swept("va", "ua", "symbol", "symbol, m", "d", ["level", *lags]),
+        "aic AS (" + " UNION ALL ".join(f"SELECT symbol, {k} AS lags, count(*) * ln(sum(d * d) / count(*)) + 2 * {k + 2} AS a FROM va{k + 1} WHERE {k} <= m GROUP BY 1" for k in range(most + 1)) + ")",
+        "best AS (SELECT symbol, arg_min(lags, (a, lags)) AS lags FROM aic GROUP BY 1)",
+        f"ub AS (SELECT u1.symbol, best.lags, d, level, {', '.join(f'CASE WHEN {i} <= best.lags THEN {x} ELSE 0 END AS {x}' for i, x in enumerate(lags, 1))} FROM u1 JOIN best ON u1.symbol = best.symbol WHERE i >= best.lags + 2)",
+        swept("vb", "ub", "symbol", "symbol, lags", "d", [*lags, "level"]),
+        f"last AS (SELECT a.symbol, a.lags, count(*) AS k, sum(a.d * a.level) / sum(a.level * a.level) AS beta, sum(a.level * a.level) AS xx FROM vb{most} a GROUP BY ALL)",
+        f"ssr AS (SELECT symbol, sum(d * d) AS s FROM vb{most + 1} GROUP BY 1)",
+    ]
+    return ",\n".join(parts) + " SELECT last.symbol, lags, beta / sqrt(s / (k - lags - 2) / xx) AS stat FROM last JOIN ssr ON last.symbol = ssr.symbol"
+
+
+@query("unit_root", ["symbol", "lags"], ["stat"], _unit_root())
+def unit_root(spark, sf_dir):
+    """The augmented Dickey-Fuller test of prices."""
+    return moments.unit_roots(q.adjusted_events(spark, sf_dir))
+
+
+@query("optimal_orders", ["symbol"], ["optimal_d", "adf_p"])
+def optimal_orders(spark, sf_dir):
+    return moments.optimal_orders(q.adjusted_events(spark, sf_dir))
+
+
+@query("fluctuation", ["symbol"], ["hurst"], f"""{_R}, n0 AS (SELECT symbol, count(*) AS n, avg(r) AS m FROM r0 GROUP BY 1), sc AS (SELECT DISTINCT symbol, n, m, CAST(floor(power(10, 1 + k * (log10(n // 4) - 1) / 14)) AS BIGINT) AS s FROM n0, range(15) q(k)),
+wk AS (SELECT r0.symbol, n, sum(r - m) OVER (PARTITION BY r0.symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS w, row_number() OVER (PARTITION BY r0.symbol ORDER BY t) - 1 AS i FROM r0 JOIN n0 ON r0.symbol = n0.symbol),
+pt AS (SELECT wk.symbol, s, i // s AS part, sqrt(greatest(0, var_pop(w) * (1 - power(corr(i, w), 2)))) AS f FROM wk JOIN sc ON wk.symbol = sc.symbol WHERE i // s < wk.n // s GROUP BY 1, 2, 3),
+fl AS (SELECT symbol, s, avg(f) AS f FROM pt GROUP BY 1, 2) SELECT symbol, regr_slope(ln(f), ln(s)) AS hurst FROM fl GROUP BY 1""")
+def fluctuation(spark, sf_dir):
+    """The exponent of detrended fluctuation of returns."""
+    return moments.fluctuation(q.adjusted_events(spark, sf_dir))
+
+
+@query("dominant_cycle", ["symbol", "dominant_cycle"], [], f"""{q.BASE}, p AS (SELECT symbol, c, row_number() OVER ({ORD}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM b), e AS (SELECT symbol, i, n, c - avg(c) OVER w - covar_pop(c, i) OVER w / var_pop(i) OVER w * (i - avg(i) OVER w) AS e FROM p WINDOW w AS (PARTITION BY symbol)),
+f AS (SELECT symbol, n, k, power(sum(e * cos(2 * pi() * k * i / n)), 2) + power(sum(e * sin(2 * pi() * k * i / n)), 2) AS a FROM e, range(1, 2000) q(k) WHERE k <= n // 2 GROUP BY ALL)
+SELECT symbol, CAST(floor(least(greatest(any_value(n) / arg_max(k, a), 3), 30)) AS BIGINT) AS dominant_cycle FROM f GROUP BY 1""")
+def dominant_cycle(spark, sf_dir):
+    """The period of the strongest frequency of prices (for symbols of under 4,000 bars in the SQL)."""
+    return diagnostics.scan(q.adjusted_events(spark, sf_dir)).select("symbol", "dominant_cycle")
