@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.tables import cut
+from tidewright.operators import order
 
 
 def _bins(df: DataFrame, b: Column) -> DataFrame:
@@ -24,11 +25,9 @@ def calibration_curve(df: DataFrame, bins: int = 5, quantile: bool = False, drop
     """n, mean p and mean y by bin, uniform or between quantiles; drop_top leaves out rows at the largest quantile."""
     if not quantile:
         return _bins(df, F.greatest(F.lit(0), F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)))).orderBy("bin")
-    edges = df.agg(F.percentile("p", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("edges"))
-    j = df.crossJoin(F.broadcast(edges))  # one row
-    place = F.size(F.filter("edges", lambda e: e <= F.col("p"))) - 1
-    if drop_top:
-        j = j.where(F.col("p") < F.element_at("edges", -1))
+    edges = order.quantiles(df, ["p"], [i / bins for i in range(bins + 1)])["p"]
+    place = sum(((F.col("p") >= F.lit(e)).cast("int") for e in edges), F.lit(0)) - 1
+    j = df.where(F.col("p") < F.lit(edges[-1])) if drop_top else df
     return _bins(j, F.least(place, F.lit(bins - 1))).orderBy("bin")
 
 
@@ -99,7 +98,5 @@ def generalisation_gap(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def permuted(df: DataFrame, column: str, by: str = "fold", seed: int = 42) -> DataFrame:
-    """df with `column` shuffled within each group: values dealt by one random order to rows in another."""
-    a, b = (Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed + i), "symbol", "ts")) for i in range(2))
-    values = df.select(by, F.col(column).alias("__v"), F.row_number().over(a).alias("__n"))
-    return df.drop(column).withColumn("__n", F.row_number().over(b)).join(values, [by, "__n"]).drop("__n").withColumnRenamed("__v", column)
+    """df with `column` shuffled within each group: values dealt by one random order to rows in another; see order.shuffled()."""
+    return order.shuffled(df, column, by, ("symbol", "ts"), seed)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import kernels as k
 from tidewright.functions.tables import spread, written
+from tidewright.operators.order import quantiles
 
 
 def interactions(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
@@ -26,10 +27,9 @@ def interactions(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str
 
 
 def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing values at the column's exact median."""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__m_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(medians))  # one row
-    return out.withColumns({c: F.coalesce(c, f"__m_{c}") for c in columns}).drop(*[f"__m_{c}" for c in columns])
+    """Missing values at the column's exact median; a column without values stays missing."""
+    medians = quantiles(df, columns, [0.5])
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(medians[c][0]).cast("double")) for c in columns})
 
 
 def scaled(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -443,10 +443,13 @@ def imputed_scaled(spark, sf_dir):
     return model.scaled(model.imputed(df, ["x"]), ["x"])
 
 
-@query("permuted_column", ["fold"], ["total", "n"], f"{SIG} SELECT fold, sum(p) AS total, count(*) AS n FROM sn GROUP BY 1")
+_SHUFFLE = lambda seed: f"row_number() OVER (PARTITION BY fold ORDER BY md5('{seed}|' || symbol || '|' || strftime(t, '%Y-%m-%d %H:%M:%S.%f')))"
+
+
+@query("permuted_column", ["symbol", "ts", "fold"], ["prob_up"], f"{SIG}, a AS (SELECT fold, p, {_SHUFFLE(42)} AS n FROM sn), z AS (SELECT symbol, t, fold, {_SHUFFLE(43)} AS n FROM sn) SELECT symbol, {TS}, z.fold, p AS prob_up FROM z JOIN a ON z.fold = a.fold AND z.n = a.n")
 def permuted_column(spark, sf_dir):
-    """A shuffled column keeps each group's values."""
-    return metrics.permuted(predicted(spark, sf_dir).select("symbol", "ts", "fold", "prob_up"), "prob_up").groupBy("fold").agg(F.sum("prob_up").alias("total"), F.count("*").alias("n"))
+    """Each row's value after the shuffle within folds."""
+    return metrics.permuted(predicted(spark, sf_dir).select("symbol", "ts", "fold", "prob_up"), "prob_up")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
