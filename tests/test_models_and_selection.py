@@ -162,3 +162,16 @@ def test_a_selected_regime_is_passed_on(spark):
     np.testing.assert_allclose(raw, want, atol=1e-12)
     moved = out[out["feature"] == f"{regimes.HIGH}_momentum"].set_index("ts")["value"].sort_index().dropna()
     np.testing.assert_allclose(moved, ((want - want.shift(1)) / (want.shift(1).abs() + 1e-8)).dropna(), atol=1e-9)
+
+
+def test_diversify_of_a_table_equals_lists(spark):
+    """Place by place what the plain rule over lists picks; a group of banned features keeps them."""
+    rng = np.random.default_rng(11)
+    names = [*selection.BLACKLIST[:3], "cmf_slope_5_momentum", "rvol_5_momentum", "vol_parkinson_momentum", "ret_3_momentum", "skewness_20_momentum", "rsi_14_momentum", "zscore_5_momentum", "hl_log_range_momentum"]
+    groups = {f"g{i}": list(rng.permutation(names)[: rng.integers(1, len(names))]) for i in range(30)} | {"banned": list(selection.BLACKLIST[:3])}
+    df = spark.createDataFrame([(g, i, f) for g, fs in groups.items() for i, f in enumerate(map(str, fs))], "symbol string, place int, feature string")
+    for most in (2, 4):
+        got = {g: [] for g in groups}
+        for r in sorted(selection.diversify(df, "symbol", most).collect(), key=lambda r: r["place"]):
+            got[r["symbol"]].append(r["feature"])
+        assert got == {g: selection.diversified(selection.allowed(list(map(str, fs))), most) for g, fs in groups.items()}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -98,16 +97,9 @@ def fit(bars: DataFrame, label: str = "target_label", columns: list[str] | None
     every = F.flatten(F.transform("s", lambda x: F.when(x["feature"] == regimes.HIGH, F.concat(F.array(x["feature"]), forms(x))).otherwise(forms(x))))
     named = written(names_of.select("symbol", lags.alias("lags"), every.alias("every")))
 
-    return FeatureModel(payload, written(named.mapInArrow(_picked(most), "symbol string, features array<string>, lags map<string,int>")), chains)
-
-
-def _picked(most: int):
-    def pick(batches):
-        for batch in batches:
-            picked = [selection.diversified(selection.allowed(x), most) for x in batch.column("every").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("symbol"), pa.array(picked, pa.list_(pa.string())), batch.column("lags")], names=["symbol", "features", "lags"])
-
-    return pick
+    candidates = named.select("symbol", F.posexplode("every").alias("place", "feature"))
+    picked = selection.diversify(candidates, "symbol", most).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("place", "feature"))).getField("feature").alias("features"))
+    return FeatureModel(payload, written(picked.join(named, "symbol").select("symbol", "features", "lags")), chains)
 
 
 class _FeatureParams(Params):

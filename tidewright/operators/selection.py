@@ -223,6 +223,23 @@ def consensus(df: DataFrame, columns: list[str], label: str = "target_label", co
     return spread(rows, "symbol").groupBy("symbol").cogroup(voted.groupBy("symbol")).applyInPandas(final, "symbol string, place int, feature string, votes long, lag int")
 
 
+def inflation(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Variance inflation of each column by the others, over complete rows: the diagonal of the inverse of their correlations."""
+    return dict(zip(columns, np.diag(np.linalg.pinv(matrix(df, columns), hermitian=True)).tolist()))
+
+
+def diversify(df: DataFrame, by: str = "symbol", most: int = 4) -> DataFrame:
+    """by, place, feature: of each group's candidates (by, place, feature), in their order, those that aren't blacklisted (all, where
+    none is left), the first of each cluster, then others up to `most`."""
+    group = Window.partitionBy(by)
+    fine = ~F.col("feature").isin(*BLACKLIST)
+    rows = df.select(by, "place", "feature", fine.alias("__fine")).withColumn("__any", F.max("__fine").over(group)).where(F.col("__fine") | ~F.col("__any"))
+    cluster = F.coalesce(*[F.when(F.col("feature").rlike(f"^({'|'.join(heads)})"), name) for name, heads in CLUSTERS.items()])
+    rows = rows.withColumn("__c", cluster).withColumn("__n", F.row_number().over(Window.partitionBy(by, "__c").orderBy("place")))
+    later = F.when(F.col("__c").isNotNull() & (F.col("__n") == 1), 0).otherwise(1)
+    return rows.withColumn("__at", F.row_number().over(group.orderBy(later, "place"))).where(F.col("__at") <= most).select(by, F.col("__at").cast("long").alias("place"), "feature")
+
+
 def diversified(features: list[str], most: int = 4) -> list[str]:
     """In the order of the candidates, the first feature of each cluster, then others in order up to `most`."""
     picked, told = [], set()

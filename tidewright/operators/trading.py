@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.series import frame, ordered
+from tidewright.functions.tables import written
 
 
 def rolling_signals(df: DataFrame, window: int = 60, percentile: float = 0.65, least: int = 30, include_current: bool = True, prob: str = "prob_up") -> DataFrame:
@@ -104,7 +105,8 @@ def risk_metrics(df: DataFrame, by: tuple = ("symbol",), risk_free: float = 0.04
 
 
 def metrics_with_total(df: DataFrame, fold: str = "fold") -> DataFrame:
-    """Metrics of each symbol's folds, their equity begun anew, and of all its rows."""
+    """Metrics of each symbol's folds, their equity begun anew, and of all its rows. Trades are computed once and written."""
+    df = written(df)
     by_fold = risk_metrics(equity(df, ("symbol", fold)), ("symbol", fold)).withColumn("label", F.concat(F.lit("Fold "), F.col(fold).cast("string"))).drop(fold)
     return by_fold.unionByName(risk_metrics(equity(df)).withColumn("label", F.lit("Full OOS")))
 

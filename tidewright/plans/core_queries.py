@@ -272,7 +272,12 @@ def risk_metrics(spark, sf_dir):
     return trading.risk_metrics(trading.equity(traded(spark, sf_dir)))
 
 
-@query("risk_metrics_by_fold", ["symbol", "label", "total_trades"], ["win_rate", "cum_return", "max_drawdown", "avg_bet"])
+FOLD_EQ = f"{LOCK}, eq AS (SELECT *, product(1 + pnl) OVER (PARTITION BY symbol, fold ORDER BY t ROWS UNBOUNDED PRECEDING) AS e FROM pn), pk AS (SELECT *, max(e) OVER (PARTITION BY symbol, fold ORDER BY t ROWS UNBOUNDED PRECEDING) AS top FROM eq)"
+RATIOS = "count(*) FILTER (taken = 1) AS total_trades, CASE WHEN count(*) FILTER (taken = 1) > 0 THEN count(*) FILTER (taken = 1 AND pnl > 0) / count(*) FILTER (taken = 1) ELSE 0 END AS win_rate, CASE WHEN count(*) FILTER (taken = 1) > 0 THEN arg_max(e, t) - 1 ELSE 0 END AS cum_return, CASE WHEN count(*) FILTER (taken = 1) > 0 THEN min((e - top) / top) ELSE 0 END AS max_drawdown, coalesce(avg(bet) FILTER (taken = 1), 0) AS avg_bet"
+WHOLE = "ea AS (SELECT *, product(1 + pnl) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS e FROM pn), pa AS (SELECT *, max(e) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS top FROM ea)"
+
+
+@query("risk_metrics_by_fold", ["symbol", "label", "total_trades"], ["win_rate", "cum_return", "max_drawdown", "avg_bet"], f"{FOLD_EQ}, {WHOLE} SELECT symbol, 'Fold ' || fold AS label, {RATIOS} FROM pk GROUP BY symbol, fold UNION ALL SELECT symbol, 'Full OOS' AS label, {RATIOS} FROM pa GROUP BY symbol")
 def risk_metrics_by_fold(spark, sf_dir):
     return trading.metrics_with_total(traded(spark, sf_dir))
 

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.tables import shared, written
-from tidewright.operators import audit, diagnostics, features, metrics, model, pipeline, portfolio, selection, trading
+from tidewright.operators import audit, cv, diagnostics, features, metrics, model, pipeline, portfolio, selection, trading
 from tidewright.operators.topology import book
 from tidewright.plans import core_queries as q
 from tidewright.plans.feature_queries import BOOK, CLV, DECAY, E, MICRO, QUOTES, SIDE, SIZES, adjusted_orders, with_best, with_ladder
 from tidewright.plans.oracle import EVENTS, ORD, ORDERS, TS, avg, features as sql, label_sql, lag, sd, total
-from tidewright.plans.registry import query
+from tidewright.plans.registry import ORACLES, query
 from tidewright.sources import bars
 
 BASE = q.BASE
@@ -30,12 +30,8 @@ def new_path(spark, name: str) -> str:
 def csv_round_trip(spark, sf_dir):
     """Bars written as one CSV folder a symbol, in capitalised names, and read again."""
     path = new_path(spark, "csv")
-    names = {"ts": "Date", **{c: c.capitalize() for c in q.OHLCV}}
-    df = bars.event_bars(spark, sf_dir)
-    for symbol in [r[0] for r in df.select("symbol").distinct().collect()]:  # a file a symbol is what such a source is
-        one = df.where(F.col("symbol") == symbol).drop("symbol").withColumnsRenamed(names)
-        one.coalesce(1).write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{path}/{symbol}.csv")
-    return bars.read_bar_csv(spark, f"{path}/*.csv")
+    bars.write_bar_csv(bars.event_bars(spark, sf_dir), path)
+    return bars.read_bar_csv(spark, path)
 
 
 @query("bars_sink", ["symbol", "ts"], q.OHLCV, f"WITH {EVENTS} SELECT *, {TS} FROM ev WHERE symbol IN ('click', 'view')")
@@ -46,13 +42,27 @@ def bars_sink(spark, sf_dir):
     return spark.read.parquet(path).where("symbol in ('click', 'view')")
 
 
-@query("weights_csv", ["ticker"], [], "SELECT DISTINCT n_name AS ticker FROM nation")
-def weights_csv(spark, sf_dir):
+SHARES = "ct AS (SELECT r_name AS industry_name, n_name AS ticker, 2024 + n_regionkey % 2 AS year, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name, n_regionkey), sh AS (SELECT industry_name, ticker, year, k / sum(k) OVER (PARTITION BY industry_name) AS weight FROM ct)"
+
+
+def weights(spark, sf_dir) -> DataFrame:
+    """Each nation's share of its region's customers, as a table of weights that was written and read."""
     path = new_path(spark, "weights")
-    n = q.table(spark, sf_dir, "nation").select(F.lit("Ngân hàng").alias("industry_name"), F.lit(0.04).alias("Weight_Final_Constrained"), F.col("n_name").alias("Ticker"), F.lit(2024).alias("year"))
-    n.unionByName(n.withColumn("year", F.lit(2025))).write.option("header", True).csv(path)
-    w = bars.read_weights(spark, path).where("industry_name = 'Ngân hàng'")
-    return bars.tickers(w).withColumnRenamed("Ticker", "ticker")
+    n = q.table(spark, sf_dir, "customer").join(q.table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")).join(q.table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    g = n.groupBy(F.col("r_name").alias("industry_name"), F.col("n_name").alias("Ticker"), (2024 + F.col("n_regionkey") % 2).cast("int").alias("year")).agg(F.count("*").alias("c"))
+    all_ = g.groupBy("industry_name").agg(F.sum("c").alias("all"))
+    g.join(all_, "industry_name").select("industry_name", (F.col("c") / F.col("all")).alias("Weight_Final_Constrained"), "Ticker", "year").write.option("header", True).csv(path)
+    return bars.read_weights(spark, path)
+
+
+@query("weights_csv", ["ticker"], [], f"WITH {SHARES} SELECT DISTINCT ticker FROM sh WHERE industry_name = 'ASIA'")
+def weights_csv(spark, sf_dir):
+    return bars.tickers(weights(spark, sf_dir).where("industry_name = 'ASIA'")).withColumnRenamed("Ticker", "ticker")
+
+
+@query("weights_table", ["industry_name", "ticker", "year"], ["weight"], f"WITH {SHARES} SELECT * FROM sh")
+def weights_table(spark, sf_dir):
+    return weights(spark, sf_dir).withColumnsRenamed({"Ticker": "ticker", "Weight_Final_Constrained": "weight"})
 
 
 COMPLETE = "y IS NOT NULL AND touch IS NOT NULL AND ret IS NOT NULL AND r IS NOT NULL"
@@ -121,10 +131,21 @@ def index_intersection(spark, sf_dir):
     return audit.common_rows(df.where("volume > 1"), df.where("target_label is not null"))
 
 
-@query("quarantine", ["column_name"], [], f"{label_sql()} SELECT unnest(list_filter(['symbol', 'ts', 'target_label', 'close', 'target_barrier_return', 'volume', 'barrier_touch_time', 'split_factor', 'local_volatility', 'dividend'], lambda c: NOT regexp_matches(c, '^(target|barrier|local|split|dividend)'))) AS column_name FROM (SELECT count(*) FROM lb)")
+@query("quarantine", ["column_name", "n"], [], f"{label_sql()} SELECT unnest(['symbol', 'ts', 'close', 'volume']) AS column_name, unnest([count(symbol), count(t), count(close), count(v)]) AS n FROM lb")
 def quarantine(spark, sf_dir):
-    kept = audit.without_future(q.labelled(spark, sf_dir).select("symbol", "ts", "target_label", "close", "target_barrier_return", "volume", "barrier_touch_time", "split_factor", "local_volatility", "dividend"))
-    return spark.createDataFrame([(c,) for c in kept.columns], "column_name string")
+    """Values by column of labelled bars without the columns that look ahead."""
+    df = q.labelled(spark, sf_dir).select("symbol", "ts", "target_label", "close", "target_barrier_return", "volume", "barrier_touch_time", "split_factor", "local_volatility", "dividend")
+    kept = audit.without_future(df)
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).isNotNull().alias("known")) for c in kept.columns]))
+    return kept.select(named.alias("c")).groupBy("c.column_name").agg(F.count_if("c.known").alias("n"))
+
+
+@query("audit_report_flat", ["symbol", "initial_rows", "clean_rows", "dropped"], [], f"WITH {EVENTS}, d AS (SELECT string_agg(column_name, ',' ORDER BY column_name) AS dropped FROM ({{flat}}) WHERE s < 1e-8 OR n <= 1) SELECT symbol, count(*) AS initial_rows, count(*) FILTER (volume > 1) AS clean_rows, any_value(dropped) AS dropped FROM ev, d GROUP BY 1".replace("{flat}", "FLAT_SQL"))
+def audit_report_flat(spark, sf_dir):
+    """Rows before and after cleaning, and the columns that the table itself shows to be flat."""
+    raw = bars.event_bars(spark, sf_dir)
+    report = audit.audit_report(raw, raw.where("volume > 1"), sorted(audit.flat_columns(with_flat(spark, sf_dir))))
+    return report.select("symbol", "initial_rows", "clean_rows", F.array_join("dropped_columns", ",").alias("dropped"))
 
 
 def _flat(columns: dict[str, str]) -> str:
@@ -134,6 +155,9 @@ def _flat(columns: dict[str, str]) -> str:
 FLAT = {"open": "open", "volume": "volume", "capped": "least(volume, 1)", "tiny": "volume * 1e-12", "rare": "CASE WHEN volume > 3 THEN close END", "constant": "2.5"}
 
 
+ORACLES["audit_report_flat"] = ORACLES["audit_report_flat"].replace("FLAT_SQL", _flat(FLAT))
+
+
 def with_flat(spark, sf_dir) -> DataFrame:
     return bars.event_bars(spark, sf_dir).select("open", "volume", F.least("volume", F.lit(1.0)).alias("capped"), (F.col("volume") * 1e-12).alias("tiny"), F.when(F.col("volume") > 3, F.col("close")).alias("rare"), F.lit(2.5).alias("constant"))
 
@@ -216,22 +240,25 @@ def fractional_by_symbol(spark, sf_dir):
 
 # selection
 
-LISTS = {
-    "by_votes": ["volume_momentum", "cmf_slope_5_zscaled_lag1", "obv_slope_5_momentum", "ret_3_zscaled_lag2", "vol_parkinson_momentum", "ret_3_momentum", "skewness_20_momentum"],
-    "no_cluster": ["zscore_5_momentum", "rsi_14_momentum", "geo_body_ratio_momentum", "macd_dist_momentum", "beta_momentum"],
-    "all_banned": ["volume_momentum", "sin_month_momentum"],
-    "mixed": ["geo_upper_shadow_zscaled_lag1", "wavelet_energy_ratio_zscaled_lag1", "kinematic_squeeze_ratio_zscaled_lag1", "hl_log_range_momentum", "rsi_14_momentum"],
-}
-_values = ", ".join(f"('{c}', {i}, '{f}')" for c, fs in LISTS.items() for i, f in enumerate(fs))
-_banned = ", ".join(f"'{f}'" for f in ("geo_lower_shadow_momentum", "volume_momentum", "sin_month_momentum", "obv_slope_5_zscaled_lag1", "cmf_slope_5_zscaled_lag2", "geo_upper_shadow_zscaled_lag2"))
+#: Names of lagged features, some of one cluster, some of none, some banned.
+NAMES = (
+    "volume_momentum", "cmf_slope_5_zscaled_lag1", "obv_slope_5_momentum", "ret_3_zscaled_lag2", "vol_parkinson_momentum", "ret_3_momentum", "skewness_20_momentum", "zscore_5_momentum",
+    "rsi_14_momentum", "sin_month_momentum", "geo_upper_shadow_zscaled_lag1", "kinematic_squeeze_ratio_zscaled_lag1", "hl_log_range_momentum", "macd_dist_momentum", "rvol_5_momentum",
+)
+_names = ", ".join(f"'{n}'" for n in NAMES)
+_banned = ", ".join(f"'{n}'" for n in ("volume_momentum", "sin_month_momentum"))
 
 
-@query("diversify", ["case_name", "place", "feature"], [], f"""WITH c(case_name, i, f) AS (VALUES {_values}), ok AS (SELECT *, f NOT IN ({_banned}) AS fine, max(CAST(f NOT IN ({_banned}) AS INT)) OVER (PARTITION BY case_name) AS any_fine FROM c),
-k AS (SELECT case_name, i, f, CASE WHEN regexp_matches(f, '^(cmf_slope_5|obv_slope_5|rvol_5)') THEN 1 WHEN regexp_matches(f, '^(vol_parkinson|hl_log_range|kinematic_squeeze_ratio)') THEN 2 WHEN regexp_matches(f, '^(ret_3|body_direction_momentum)') THEN 3 WHEN regexp_matches(f, '^(skewness_20|wavelet_energy_ratio|liq_amihud_pct_rank|geo_upper_shadow)') THEN 4 END AS g FROM ok WHERE fine OR any_fine = 0),
+@query("diversify", ["case_name", "place", "feature"], [], f"""WITH v AS (SELECT event_type || '-' || (user_id // 15) % 3 AS case_name, [{_names}][1 + user_id % 15] AS f, count(*) AS k FROM events WHERE user_id % 5 < 4 GROUP BY ALL), c AS (SELECT case_name, f, row_number() OVER (PARTITION BY case_name ORDER BY k DESC, f) AS i FROM v),
+ok AS (SELECT *, f NOT IN ({_banned}) AS fine, max(CAST(f NOT IN ({_banned}) AS INT)) OVER (PARTITION BY case_name) AS a FROM c), k AS (SELECT case_name, i, f, CASE WHEN regexp_matches(f, '^(cmf_slope_5|obv_slope_5|rvol_5)') THEN 1 WHEN regexp_matches(f, '^(vol_parkinson|hl_log_range|kinematic_squeeze_ratio)') THEN 2 WHEN regexp_matches(f, '^(ret_3|body_direction_momentum)') THEN 3 WHEN regexp_matches(f, '^(skewness_20|wavelet_energy_ratio|liq_amihud_pct_rank|geo_upper_shadow)') THEN 4 END AS g FROM ok WHERE fine OR a = 0),
 n AS (SELECT *, CASE WHEN g IS NOT NULL AND row_number() OVER (PARTITION BY case_name, g ORDER BY i) = 1 THEN 0 ELSE 1 END AS later FROM k), p AS (SELECT *, row_number() OVER (PARTITION BY case_name ORDER BY later, i) AS place FROM n) SELECT case_name, place, f AS feature FROM p WHERE place <= 4""")
 def diversify(spark, sf_dir):
-    rows = [(case, i + 1, f) for case, names in LISTS.items() for i, f in enumerate(selection.diversified(selection.allowed(names)))]
-    return spark.createDataFrame(rows, "case_name string, place long, feature string")
+    """Features by how often users that stand for them have events, for groups of users and types."""
+    e = q.table(spark, sf_dir, "events").where("user_id % 5 < 4")
+    case = F.concat_ws("-", "event_type", (F.floor(F.col("user_id") / 15) % 3).cast("string"))
+    v = e.groupBy(case.alias("case_name"), F.element_at(F.array(*map(F.lit, NAMES)), (1 + F.col("user_id") % 15).cast("int")).alias("feature")).agg(F.count("*").alias("k"))
+    placed = v.withColumn("place", F.row_number().over(Window.partitionBy("case_name").orderBy(F.desc("k"), "feature")))
+    return selection.diversify(placed, "case_name")
 
 
 @query("moving_blocks", ["symbol", "block", "n_block"], [], f"{BASE}, n AS (SELECT symbol, count(*) AS n FROM b GROUP BY 1), k AS (SELECT symbol, n, greatest(CAST(floor(n * 0.75) AS BIGINT), 40) AS len FROM n), s AS (SELECT symbol, n, len, greatest(n - len, 0) AS last, greatest(1, greatest(n - len, 0) // 7) AS step FROM k), e AS (SELECT DISTINCT symbol, n, len, least(i * step, last) AS start, min(i) OVER (PARTITION BY symbol, least(i * step, last)) AS block FROM s, generate_series(0, 7) AS g(i)) SELECT symbol, CAST(block AS BIGINT) AS block, least(len, n - start) AS n_block FROM e")
@@ -310,14 +337,12 @@ def payload_flags(spark, sf_dir):
 @query("fitted_regime", ["symbol", "ts"], ["gmm_prob_bull", "gmm_prob_bear"])
 def fitted_regime(spark, sf_dir):
     """Fitted on the first half of each symbol's bars."""
-    df = q.adjusted_events(spark, sf_dir)
-    return diagnostics.fitted_regime(df.where("ts < '2024-01-15'"), df)
+    df = cv.numbered(q.adjusted_events(spark, sf_dir))
+    return diagnostics.fitted_regime(df.where(F.col("row_id") < F.col("n_rows") / 2), df)
 
 
-FOLD_EQ = f"{q.LOCK}, eq AS (SELECT *, product(1 + pnl) OVER (PARTITION BY symbol, fold ORDER BY t ROWS UNBOUNDED PRECEDING) AS e FROM pn), pk AS (SELECT *, max(e) OVER (PARTITION BY symbol, fold ORDER BY t ROWS UNBOUNDED PRECEDING) AS top FROM eq)"
-RATIOS = "count(*) FILTER (taken = 1) AS total_trades, CASE WHEN count(*) FILTER (taken = 1) > 0 THEN count(*) FILTER (taken = 1 AND pnl > 0) / count(*) FILTER (taken = 1) ELSE 0 END AS win_rate, CASE WHEN count(*) FILTER (taken = 1) > 0 THEN arg_max(e, t) - 1 ELSE 0 END AS cum_return, CASE WHEN count(*) FILTER (taken = 1) > 0 THEN min((e - top) / top) ELSE 0 END AS max_drawdown, coalesce(avg(bet) FILTER (taken = 1), 0) AS avg_bet"
 
 
-@query("risk_metrics_of_folds", ["symbol", "label", "total_trades"], ["win_rate", "cum_return", "max_drawdown", "avg_bet"], f"{FOLD_EQ} SELECT symbol, 'Fold ' || fold AS label, {RATIOS} FROM pk GROUP BY symbol, fold")
+@query("risk_metrics_of_folds", ["symbol", "label", "total_trades"], ["win_rate", "cum_return", "max_drawdown", "avg_bet"], f"{q.FOLD_EQ} SELECT symbol, 'Fold ' || fold AS label, {q.RATIOS} FROM pk GROUP BY symbol, fold")
 def risk_metrics_of_folds(spark, sf_dir):
     return trading.metrics_with_total(q.traded(spark, sf_dir)).where("label <> 'Full OOS'")

@@ -151,3 +151,47 @@ SELECT symbol, CAST(floor(least(greatest(any_value(n) / arg_max(k, a), 3), 30))
 def dominant_cycle(spark, sf_dir):
     """The period of the strongest frequency of prices (for symbols of under 4,000 bars in the SQL)."""
     return diagnostics.scan(q.adjusted_events(spark, sf_dir)).select("symbol", "dominant_cycle")
+
+
+# redundancy of columns
+
+_COLS = {"open_gap": "o / c", "range": "ln(h / l)", "twice": "2 * ln(h / l) + 1", "volume": "v", "body": "ln(c / o)", "top": "ln(h / c)", "flat": "v * 0 + 3"}
+_REAL = ["range", "volume", "body", "top"]
+
+
+def bar_columns(spark, sf_dir):
+    """Columns of bars of which one repeats another, one is all but a third's, and one is constant."""
+    c = lambda n: F.col(f"{n}_adj")
+    spread = F.log(c("high") / c("low"))
+    return q.adjusted_events(spark, sf_dir).select((c("open") / c("close")).alias("open_gap"), spread.alias("range"), (2 * spread + 1).alias("twice"), "volume", F.log(c("close") / c("open")).alias("body"), F.log(c("high") / c("close")).alias("top"), (F.col("volume") * 0 + 3).alias("flat"))
+
+
+_CX = f"{q.BASE}, cx AS (SELECT {', '.join(f'{x} AS {n}' for n, x in _COLS.items())} FROM b)"
+_pairs = [(a, b) for i, b in enumerate(list(_COLS)[:-1]) for a in list(_COLS)[:i]]
+
+
+@query("varied_columns", ["feature"], [], f"{_CX} SELECT feature FROM (SELECT unnest({list(_COLS)}) AS feature, unnest([{', '.join(f'var_pop({n})' for n in _COLS)}]) AS v FROM cx) WHERE v > 1e-8")
+def varied_columns(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in selection.varied(bar_columns(spark, sf_dir), list(_COLS))], "feature string")
+
+
+@query("uncorrelated_columns", ["feature"], [], f"{_CX}, p AS ({' UNION ALL '.join(f'SELECT {b!r} AS b, abs(corr({a}, {b})) AS r FROM cx' for a, b in _pairs)}) SELECT unnest({list(_COLS)[:-1]}) AS feature EXCEPT SELECT b FROM p WHERE r > 0.8")
+def uncorrelated_columns(spark, sf_dir):
+    """Columns that correlate with no earlier one."""
+    df, names = bar_columns(spark, sf_dir), list(_COLS)[:-1]
+    kept = selection.k.correlated_kept(selection.matrix(df, names))
+    return spark.createDataFrame([(names[i],) for i in kept], "feature string")
+
+
+def _inflation() -> str:
+    parts, out = [f"{_CX}, cg AS (SELECT 1 AS g, * FROM cx)"], []
+    for c in _REAL:
+        parts.append(swept(f"i_{c}", "cg", "g", "g", c, [x for x in _REAL if x != c]))
+        out.append(f"SELECT '{c}' AS feature, (SELECT sum({c} * {c}) FROM i_{c}0) / (SELECT sum({c} * {c}) FROM i_{c}{len(_REAL) - 1}) AS vif")
+    return ",\n".join(parts) + " " + " UNION ALL ".join(out)
+
+
+@query("inflation", ["feature"], ["vif"], _inflation())
+def inflation(spark, sf_dir):
+    """Variance inflation of columns by each other."""
+    return spark.createDataFrame(list(selection.inflation(bar_columns(spark, sf_dir), _REAL).items()), "feature string, vif double")

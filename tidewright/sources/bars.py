@@ -41,10 +41,11 @@ def provider_symbol(symbol: Column) -> Column:
 
 
 def read_bar_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV file (or folder of parts) a symbol, named by it, in capitalised or plain column names."""
+    """One CSV file (or folder of parts) a symbol, named by it, or a folder of folders symbol=..., in capitalised or plain column
+    names."""
     raw = spark.read.csv(path, header=True)
     raw = raw.withColumnsRenamed({c: {"date": "time"}.get(c.lower(), c.lower()) for c in raw.columns})
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv(/[^/]*)?$", 1)
+    name = F.col("symbol").cast("string") if "symbol" in raw.columns else F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv(/[^/]*)?$", 1)
     return raw.select(name.alias("symbol"), F.to_timestamp("time").alias("ts"), *[F.expr(f"try_cast({c} as double)").alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
@@ -61,6 +62,12 @@ def write_bars(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy("symbol").format(format).save(path)
 
 
+def write_bar_csv(df: DataFrame, path: str) -> None:
+    """One folder of CSV a symbol, in capitalised column names, all in one job."""
+    names = {"ts": "Date", **{c: c.capitalize() for c in ("open", "high", "low", "close", "volume")}}
+    df.withColumnsRenamed(names).write.partitionBy("symbol").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+
+
 def write_labelled(df: DataFrame, path: str) -> None:
     """The labelled bars, and those without any missing value, as Parquet below path."""
     from tidewright.operators.audit import complete
