@@ -8,6 +8,7 @@ import hmac
 import re
 import string
 import unicodedata
+from collections import Counter
 from typing import Iterator
 
 import pyarrow as pa
@@ -45,6 +46,13 @@ _EMAIL = r"[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"
 _AWS = r"A(?:KIA|SIA)[A-Z0-9]{16}\b"
 #: A word of a name, which may be joined by apostrophes and hyphens; a possessive s stays outside.
 _NAME = r"[^\W\d_a-z](?:[^\W\d_]|-(?=[^\W\d_])|['’](?![sS]\b)(?=[^\W\d_]))+"
+#: Small words inside family names, and what follows a doctor's title.
+PARTICLES = "de van von der den da di del della la le du dos ter zu af y".split()
+_AFTER = r"(?:[ \t]+(?:med|phil|rer|nat|jur|ing|h\. ?c)\.)*"
+#: Between a title and what follows: spaces, or one line's end.
+_GAP = r"(?:[ \t]+(?:\n[ \t]*)?|\n[ \t]*)"
+#: One part of a name: initials and particles before a word.
+_PART = rf"(?:[^\W\d_a-z]\.[ \t]?){{0,3}}(?:(?:{'|'.join(PARTICLES)})[ \t]+){{0,3}}{_NAME}"
 #: Between a secret's keyword and its value: = or :, spaces and quotes. What is an address or a key of its own kind stays one.
 _IS = rf"[\"']?[ \t]*[=:][ \t]*[\"']?(?!{_EMAIL}|{_AWS})"
 
@@ -56,13 +64,14 @@ PATTERN = re.compile(
     rf"|(?:(?i:passw(?:or)?d){_IS}(?=[^\s\"']{{6}})|(?i:token|api[_ -]?key|secret){_IS}(?=[^\s\"']{{8}}))(?P<secret>[^\s\"']+)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<card>(?<![\d.-])\d{4}([ -]?)\d{4}\7\d{4}\7\d{4}(?![\d-]))"
+    r"|(?P<card>(?<![\d.-])(?:\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|3[47]\d{2}(?P<wide>[ -]?)\d{6}(?P=wide)\d{5})(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-]))"
-    rf"|(?:{_TITLES}) (?P<name>{_NAME}(?: {_NAME})?)"
+    r"|(?P<ipv6>(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:]))"
+    rf"|(?:(?i:Señora?){_GAP}(?P<spanish>{_PART}(?:[ \t]{{1,2}}{_PART}){{0,3}})|(?:(?:{_TITLES}){_AFTER}{_GAP})+(?P<name>{_PART}(?:[ \t]{{1,2}}{_PART})?))"
 )
 #: A text without any of these holds no entity.
-HINT = re.compile(rf"[@\d]|(?i:passw|token|api[_ -]?key|secret)|(?:{_TITLES}) ")
+HINT = re.compile(rf"[@\d]|(?i:passw|token|api[_ -]?key|secret)|(?:{_TITLES})\s|(?i:med|phil|jur)\.\s")
 
 
 def script_of(text: str) -> str:
@@ -72,8 +81,12 @@ def script_of(text: str) -> str:
 
 def gender_of(text: str, start: int, name: str) -> str:
     """From the title before the name, else from a known given name, else unknown ('')."""
-    title = text[max(0, start - 8) : start].rstrip().rpartition(" ")[2].rpartition("\n")[2]
-    told = TITLES.get(title, TITLES.get(title.capitalize(), ""))
+    told = ""
+    for title in reversed(text[max(0, start - 40) : start].split()):  # of titles in a row any may tell
+        known = TITLES.get(title, TITLES.get(title.capitalize()))
+        if known is None and not re.fullmatch(r"(?i:med|phil|rer|nat|jur|ing|h|c)\.(?:c\.)?", title):
+            break
+        told = told or known or ""
     given = name.split()[0].title()
     return told or next((g for (_, g), names in GIVEN.items() if given in names), "")
 
@@ -90,8 +103,8 @@ def canonical(kind: str, found: str, text: str, start: int) -> str:
     if kind == "iban":
         return found.replace(" ", "")
     if kind == "name":
-        return f"{script_of(found)}:{gender_of(text, start, found)}:{found}"
-    return found
+        return f"{script_of(found)}:{gender_of(text, start, found)}:{' '.join(found.split())}"
+    return found.lower() if kind == "ipv6" else found
 
 
 class _Stream:
@@ -109,12 +122,17 @@ class _Stream:
         return x % n
 
 
-def _redrawn(value: str, draw: _Stream) -> str:
-    """Every letter and digit anew, of the same kind and case; other characters stay."""
-    hexadecimal = re.fullmatch(r"[0-9a-f]+", value) is not None
+def _is_hexadecimal(value: str) -> bool:
+    """Whether a secret is a hexadecimal number: long, with digits and letters a to f."""
+    return re.fullmatch(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}", value) is not None
+
+
+def _redrawn(value: str, draw: _Stream, hexadecimal: bool = False) -> str:
+    """Every letter and digit anew, of the same kind and case; other characters stay. A hexadecimal number's digits and letters
+    are of one kind."""
     out = []
     for c in value:
-        if hexadecimal:
+        if hexadecimal and c in "0123456789abcdef":
             out.append("0123456789abcdef"[draw.below(16)])
         elif c.isascii() and c.isdigit():
             out.append(string.digits[draw.below(10)])
@@ -176,13 +194,20 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         if len(words) == 1:
             new = families[draw.below(len(families))] + extra + ("" if attempt < 2 else f"-{families[draw.below(len(families))]}")
         else:
-            new = f"{names[draw.below(len(names))]} {families[draw.below(len(families))]}{extra}"
+            # word by word: initials and particles as they are, the last word a family's, those before given names
+            last = max(i for i, w in enumerate(words) if not w.endswith(".") and w not in PARTICLES)
+            given = lambda: names[draw.below(len(names))]
+            drawn = [given() if i != last else families[draw.below(len(families))] + extra for i in range(len(words))]
+            new = " ".join(w if w in PARTICLES else "".join(f"{given()[0]}." for _ in range(w.count("."))) if w.endswith(".") else d for w, d in zip(words, drawn))
         return f"{script}:{value.split(':', 2)[1]}:{new.upper() if name.isupper() else new}"
     if kind == "phone":
         # a country's code stays
         return "".join(c if i < len(value) - 10 or i == len(value) - 10 and c == "1" else str(2 + draw.below(8)) if i in (len(value) - 10, len(value) - 7) else str(draw.below(10)) for i, c in enumerate(value))
-    new = _redrawn(value, draw)
-    return new if kind == "ssn" else new + "".join("0123456789abcdef"[draw.below(16)] for _ in range(more))
+    if kind == "ipv6":
+        return _redrawn(value, draw, hexadecimal=True)
+    new = _redrawn(value, draw, kind == "secret" and _is_hexadecimal(value))
+    # a longer one where these are used up, of the last character's kind
+    return new if kind == "ssn" else new + "".join(string.digits[draw.below(10)] if value[-1].isdigit() else "abcdef"[draw.below(6)] for _ in range(more))
 
 
 def shown(kind: str, new: str) -> str:
@@ -190,8 +215,9 @@ def shown(kind: str, new: str) -> str:
     return new.split(":", 2)[2] if kind == "name" else new
 
 
-def rendered(kind: str, found: str, new: str) -> str:
-    """A canonical surrogate in the format of a mention: its separators, prefix and case."""
+def rendered(kind: str, found: str, new: str, whole: bool = False) -> str:
+    """A canonical surrogate in the format of a mention: its separators, prefix and case. whole: a family name told alone
+    gets the whole name, where another person's surrogate in the text has the same family name."""
     if kind in ("card", "ssn", "phone", "iban"):
         places = [i for i, c in enumerate(found) if c.isalnum()]
         out = list(found)
@@ -200,38 +226,61 @@ def rendered(kind: str, found: str, new: str) -> str:
         return "".join(out)
     if kind == "email" and found != found.lower():
         return "".join(b.upper() if a.isupper() else b for a, b in zip(found, new)) if len(found) == len(new) else new
-    if kind == "name" and " " not in found:  # a family name told alone
-        return shown(kind, new).rpartition(" ")[2]
+    if kind == "ipv6":
+        return new.upper() if found.isupper() else new
+    if kind == "name":
+        name = shown(kind, new)
+        if _family(found) == " ".join(found.split()) and not whole:  # told alone, perhaps with its particles
+            name = " ".join([w for w in found.split() if w in PARTICLES] + [name.rpartition(" ")[2]])
+        return name.upper() if found.isupper() else name
     return shown(kind, new)
 
 
+def _family(name: str) -> str:
+    """The last word of a name, with the particles before it."""
+    words = name.split()
+    at = len(words) - 1
+    while at and words[at - 1] in PARTICLES:
+        at -= 1
+    return " ".join(words[at:])
+
+
 def mentions(text: str | None) -> list[tuple[str, str, str, int, int]]:
     """kind, mention, canonical value, start, end of every entity, in order.
 
-    Where a title tells a full name, it is one entity at all its mentions in the text, with a title or without, and so is its
-    family name after a title, if the text has no other full name with that.
+    Where titles tell a full name, it is one entity at all its mentions in the text, with a title or without and in any case, and so
+    is its family name after a title, if the text has no other full name with that, or none other of the title's gender.
     """
     if not text or not HINT.search(text):
         return []
-    found = [(m.lastgroup, m[m.lastgroup], canonical(m.lastgroup, m[m.lastgroup], text, m.start(m.lastgroup)), m.start(m.lastgroup), m.end(m.lastgroup)) for m in PATTERN.finditer(text)]
+    kind_of = lambda m: "name" if m.lastgroup == "spanish" else m.lastgroup
+    found = [(kind_of(m), m[m.lastgroup], canonical(kind_of(m), m[m.lastgroup], text, m.start(m.lastgroup)), m.start(m.lastgroup), m.end(m.lastgroup)) for m in PATTERN.finditer(text)]
+    plain = lambda mention: " ".join(mention.split()).casefold()
     full: dict[str, str] = {}
     for kind, mention, value, _, _ in found:
-        if kind == "name" and " " in mention:
-            full.setdefault(mention, value)
+        if kind == "name" and _family(mention) != " ".join(mention.split()):
+            full.setdefault(plain(mention), value)
     if not full:
         return found
-    families: dict[str, set[str]] = {}
-    for name in full:
-        families.setdefault(name.rpartition(" ")[2], set()).add(name)
-    alone = {family: full[next(iter(names))] for family, names in families.items() if len(names) == 1}
-    named = lambda mention, value: full.get(mention) or alone.get(mention, value)
+    families: dict[str, dict[str, str]] = {}
+    for value in full.values():
+        families.setdefault(plain(_family(value.split(":", 2)[2])), {}).setdefault(value, value.split(":", 2)[1])
+
+    def named(mention: str, value: str) -> str:
+        """The full name that a mention means: the only one with its family name, or the only one of its title's gender."""
+        if plain(mention) in full:
+            return full[plain(mention)]
+        known, gender = families.get(plain(mention), {}), value.split(":", 2)[1]
+        fit = [v for v, g in known.items() if not gender or not g or g == gender] if len(known) > 1 else list(known)
+        return fit[0] if len(fit) == 1 else value
+
     found = [(k, m, named(m, v) if k == "name" else v, a, b) for k, m, v, a, b in found]
-    bare = re.compile(r"(?<![\w'’-])(?:" + "|".join(map(re.escape, sorted(full, key=len, reverse=True))) + r")(?![\w-])")
+    bare = re.compile(r"(?<![\w'’-])(?:" + "|".join(r"[ \t]{1,2}".join(map(re.escape, n.split())) for n in sorted(full, key=len, reverse=True)) + r")(?![\w-])", re.IGNORECASE)
     ends, more = [b for *_, b in found], []
     for m in bare.finditer(text):
         at = bisect.bisect_right(ends, m.start())  # the first entity that ends after its beginning
         if at == len(found) or found[at][3] >= m.end():
-            more.append(("name", m[0], full[m[0]], m.start(), m.end()))
+            more.append(("name", m[0], full[plain(m[0])], m.start(), m.end()))
     return sorted(found + more, key=lambda x: x[3])
 
 
@@ -308,13 +357,19 @@ def replace_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
             for text, later in zip(batch["text"].to_pylist(), batch[later_name].to_pylist()):
                 again = {(x["kind"], x["value"]): x["attempt"] for x in later or ()}
                 out, at, n, had = [], 0, 0, set()
-                for kind, found, value, start, end in mentions(text):
+                here = mentions(text)
+                for kind, _, value, _, _ in here:
                     this = (kind, value, again.get((kind, value), 0))
                     if this not in known:
                         if len(known) > 100_000:
                             known.clear()
                         known[this] = surrogate(*this, key)
-                    out += [text[at:start], rendered(kind, found, known[this])]
+                new_of = {(k, v): known.get((k, v, again.get((k, v), 0))) or surrogate(k, v, again.get((k, v), 0), key) for k, _, v, _, _ in here}
+                last_names = Counter(shown(k, x).rpartition(" ")[2] for (k, _), x in new_of.items() if k == "name")
+                for kind, found, value, start, end in here:
+                    new = new_of[kind, value]
+                    whole = kind == "name" and last_names[shown(kind, new).rpartition(" ")[2]] > 1
+                    out += [text[at:start], rendered(kind, found, new, whole)]
                     at, n = end, n + 1
                     had.add(kind)
                 texts.append("".join([*out, text[at:]]) if n else text)
