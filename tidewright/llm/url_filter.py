@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import written
 
-#: Above so many rules the trie isn't broadcast; judge_urls() then joins.
-MAX_BROADCAST_RULES = 1_000_000
+#: Above so many rules, or bytes of a trie of them, the trie isn't broadcast; judge_urls() then joins.
+MAX_BROADCAST_RULES, MAX_BROADCAST_BYTES = 1_000_000, 256 << 20
+#: Bytes of a rule in the trie besides its text, and of each step, at most.
+RULE_BYTES, STEP_BYTES = 400, 600
 
 DEFAULT_RULES = [
     ("allow", "org", "/"),
@@ -25,21 +27,27 @@ DEFAULT_RULES = [
 
 @dataclass
 class Node:
-    """A step of the trie. hosts: the next label to the left; paths: the next whole segment; tails: last segments, which fit as prefixes."""
+    """A step of the trie. hosts: the next label to the left; paths: the next whole segment; tails: rules by their last segments, which
+    fit as prefixes, and the lengths of these, longest first."""
 
     hosts: dict
     paths: dict
-    tails: list
-    rule: tuple | None = None
+    tails: dict
+    lengths: tuple = ()
 
 
 def _node() -> Node:
-    return Node({}, {}, [])
+    return Node({}, {}, {})
+
+
+def trie_bytes(rules: list[tuple[str, str, str]]) -> int:
+    """No less than what a trie of the rules takes."""
+    return sum(RULE_BYTES + 4 * (len(h) + len(p)) + STEP_BYTES * (2 + h.count(".") + p.count("/")) for _, h, p in rules)
 
 
 def build_trie(rules: list[tuple[str, str, str]]) -> Node:
     """Rules are (verdict, host, path); of two with one host and path the later holds."""
-    root = _node()
+    root, ends = _node(), []
     for verdict, host, path in rules:
         at = root
         for label in reversed(host.lower().split(".")) if host else ():
@@ -48,8 +56,11 @@ def build_trie(rules: list[tuple[str, str, str]]) -> Node:
         *whole, tail = path.split("/")
         for segment in whole:
             at = at.paths.setdefault(segment, _node())
-        at.tails = [x for x in at.tails if x[0] != tail] + [(tail, (f"{host}{path}", verdict))]
-        at.tails.sort(key=lambda x: -len(x[0]))
+        at.tails[tail] = (f"{host}{path}", verdict)
+        ends.append(at)
+    for at in ends:
+        if not at.lengths:
+            at.lengths = tuple(sorted({len(t) for t in at.tails}, reverse=True))
     return root
 
 
@@ -57,8 +68,8 @@ def _along_path(top: Node, segments: list[str]) -> tuple | None:
     """The rule with the longest path that segments start with."""
     best, at = None, top
     for segment in segments:
-        for tail, rule in at.tails:
-            if segment.startswith(tail):
+        for n in at.lengths:  # no more than the longest segment has characters, however many rules end here
+            if n <= len(segment) and (rule := at.tails.get(segment[:n])):
                 best = rule
                 break
         at = at.paths.get(segment)
@@ -111,12 +122,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     A rule fits its host and all subdomains if the path starts with the rule's path. The rule with the most host labels
     holds, then the one with the longest path; without one, verdict is `default` and rule is null. A null or malformed
     url has an empty host and path. Repeated rows are judged each; other columns are not read. The trie is built on the
-    driver and sent with the task, up to max_broadcast rules; beyond that the rules are joined.
+    driver and sent with the task, up to max_broadcast rules and MAX_BROADCAST_BYTES; beyond that the rules are joined.
     """
     rules = DEFAULT_RULES if rules is None else rules
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    if len(rules) > max_broadcast:
+    if len(rules) > max_broadcast or trie_bytes(rules) > MAX_BROADCAST_BYTES:
         return _by_join(parts, rules)
     trie = build_trie(rules)
     held = pages.sparkSession.sparkContext.broadcast(trie)
