@@ -13,7 +13,8 @@ from tidewright.llm.common import cut, written
 
 #: Pivots, how many of its nearest a vector is known by, and the files of how many of its nearest a query visits.
 PIVOTS, NEAREST, LISTS = 512, 96, 32
-#: Vectors of an index block, and the share of them whose scores are computed after ranking by footrule distance, FEWEST at least.
+#: Vectors of an index block, and the share of them whose scores are computed after ranking by footrule distance: FEWEST at least, or
+#: half of a smaller block.
 BLOCK, RERANK, FEWEST = 8192, 0.0625, 512
 #: Queries that one task brings to a block.
 QUERIES = 4096
@@ -78,7 +79,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVO
     rows share is neither a hot key nor a crowd in the result. The index is cut into blocks of about `block` vectors by
     hash. Each holds inverted files over `pivots` pivots; every distinct query vector visits every block, in it the files of its
     `lists` nearest pivots, ranks the vectors found there by footrule distance, scores the nearest share `rerank` of the block,
-    FEWEST at least, exactly, and leaves its k + 1 best. rerank=1 scores all: the exact way. Queries come to a block in parts of
+    FEWEST at least or half of a block that has few, exactly, and leaves its k + 1 best. rerank=1 scores all: the exact way. Queries come to a block in parts of
     about QUERIES, a task for each. Pivots are a sample of fixed size, the vectors of least hash. Inner product is turned to
     nearness by one more coordinate.
 
@@ -86,7 +87,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVO
     isn't the table's most frequent (of several the longest). A row repeated with one id and vector counts once. Fewer
     than k candidates give fewer rows; no rows or queries give none. Other columns are not read.
     """
-    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    # As they are stored: single precision where both tables have it, else double, in which all scores are computed.
+    single = all(dict(t.dtypes)["embedding"] == "array<float>" for t in (rows, queries))
+    vector = F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding")
+    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     lengths = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     empty = "query_id long, rank int, vec_id long, score double"
     spark = rows.sparkSession
@@ -104,7 +108,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVO
     base /= np.linalg.norm(base, axis=1, keepdims=True)
 
     blocks = -(-n // block)
-    asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), vector)
     asked = asked.where(usable(F.col("embedding")) & F.col("query_id").isNotNull() & fits).distinct()
     vectors = asked.groupBy("embedding").agg(F.min("query_id").alias("q"))
     vectors = cut(vectors)
@@ -133,7 +137,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVO
                     files = InvertedFiles(np.concatenate([_matrix(p["embedding"]) for p in held]), base, reach, nearest_pivots, lists)
                     ids = [x for p in held for x in p["ids"].to_pylist()]
                     held = []
-                most = max(4 * (k + 1), FEWEST, int(np.ceil(rerank * len(ids))))
+                most = max(2 * (k + 1), min(FEWEST, -(-len(ids) // 2)), int(np.ceil(rerank * len(ids))))
                 out: list[list] = [[], [], []]
                 for q, (at, score) in zip(part["id"].to_pylist(), files.search(_matrix(part["embedding"]), most)):
                     if len(at) > k + 1:  # all that tie with the last stay
