@@ -74,3 +74,17 @@ def test_granger_equals_regressions(spark):
 def test_no_python_group_holds_a_series(frame):
     for df in (moments.unit_roots(frame), moments.arch_lm(frame.withColumn("log_return", F.col("close_adj")))):
         assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stationarity_and_variance_ratios(frame):
+    got = {r["symbol"]: r for r in moments.stationarity(frame).collect()}
+    ratios = {(r["symbol"], r["steps"]): r for r in moments.variance_ratios(frame).collect()}
+    for s, x in series().items():
+        stat, p = k.kpss(x)
+        assert got[s]["stat"] == pytest.approx(stat, rel=1e-9) and got[s]["p"] == pytest.approx(p, abs=1e-9)
+        for steps in (3, 20):
+            if len(x) - 1 >= steps + 2:
+                want = k.variance_ratio(x, steps)
+                assert (ratios[s, steps]["ratio"], ratios[s, steps]["z"]) == pytest.approx(want[:2], rel=1e-9)
+            else:
+                assert (s, steps) not in ratios

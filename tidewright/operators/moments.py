@@ -201,3 +201,56 @@ def fluctuation(df: DataFrame, x: str = "log_return") -> DataFrame:
     at = left.groupBy("symbol", "scale").agg(F.avg(F.sqrt(F.greatest(F.col("v") - F.col("c") * F.col("c") / F.col("t"), F.lit(0.0)))).alias("f")).where("f > 0")
     lines = at.groupBy("symbol").agg(F.count(F.lit(1)).alias("points"), F.regr_slope(F.log("f"), F.log("scale")).alias("slope"))
     return named.join(lines, "symbol", "left").select("symbol", "n", F.when(F.col("points") > 1, F.col("slope")).otherwise(0.5).alias("hurst"))
+
+
+def stationarity(df: DataFrame, x: str = "close_adj") -> DataFrame:
+    """symbol, n, lags, stat, p (0.01 to 0.1) of the test of level stationarity; lags by the data, from sums of products of values a few
+    places apart, then as many such sums as they say. Symbols without variance have none."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    whole = Window.partitionBy("symbol")
+    e = df.where(F.col(x).isNotNull()).select("symbol", "ts", (F.col(x).cast("double") - F.avg(F.col(x).cast("double")).over(whole)).alias("e"))
+    e = written(e.withColumns({"walk": F.sum("e").over(w), "n": F.count(F.lit(1)).over(whole)}))
+    longest = e.agg(F.max("n")).first()[0] or 0
+
+    def products(most: int) -> DataFrame:
+        past = F.collect_list("e").over(w.rowsBetween(-most, 0))
+        rows = e.withColumn("past", past).withColumn("has", F.size("past"))
+        return rows.groupBy("symbol").agg(F.max("n").alias("n"), (F.sum(F.col("walk") * F.col("walk"))).alias("walks"), F.array(*[F.coalesce(F.sum(F.when(F.col("has") > h, F.col("e") * F.try_element_at("past", F.col("has") - h))), F.lit(0.0)) for h in range(most + 1)]).alias("c"))
+
+    n = F.col("n").cast("double")
+    cover = F.floor(F.pow(n, F.lit(2 / 9))).cast("int")
+    few = products(int(longest ** (2 / 9)) if longest else 0)
+    lag = F.sequence(F.lit(1), F.greatest(cover, F.lit(1)))
+    total = lambda f: F.aggregate(lag, F.lit(0.0), lambda s, k: s + F.when(k <= cover, f(k)).otherwise(0.0))
+    c = lambda k: F.coalesce(F.try_element_at("c", k + 1), F.lit(0.0))
+    s0, s1 = F.element_at("c", 1) / n + total(lambda k: 2 * c(k) / n), total(lambda k: 2 * k * c(k) / n)
+    gamma = F.coalesce(1.1447 * F.pow(F.pow(F.try_divide(s1, s0), F.lit(2.0)), F.lit(1 / 3)), F.lit(0.0))
+    chosen = written(few.select("symbol", F.least(F.floor(gamma * F.pow(n, F.lit(1 / 3))), F.col("n") - 1).cast("int").alias("lags")))
+    many = products(chosen.agg(F.max("lags")).first()[0] or 0).join(chosen, "symbol")
+    weighed = F.aggregate(F.sequence(F.lit(1), F.greatest("lags", F.lit(1))), F.lit(0.0), lambda s, k: s + F.when(k <= F.col("lags"), (1 - k / (F.col("lags") + 1)) * c(k)).otherwise(0.0))
+    out = many.withColumn("stat", F.try_divide(F.col("walks") / (n * n), F.element_at("c", 1) / n + 2 / n * weighed)).where("stat IS NOT NULL")
+    p = F.lit(k.KPSS[0][1])
+    for (lo, hi_p), (hi, lo_p) in zip(k.KPSS, k.KPSS[1:]):
+        p = F.when(F.col("stat") > lo, hi_p + (F.least("stat", F.lit(hi)) - lo) / (hi - lo) * (lo_p - hi_p)).otherwise(p)
+    return out.select("symbol", "n", "lags", "stat", p.alias("p"))
+
+
+def variance_ratios(df: DataFrame, x: str = "close_adj", steps: tuple[int, ...] = (3, 20)) -> DataFrame:
+    """symbol, steps, n, ratio, z: variance of changes of the logarithm over `steps` bars to that over one, and its statistic that allows
+    for changing variance. Symbols of under steps + 2 changes have none."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    p = df.where(F.col(x).isNotNull()).select("symbol", "ts", F.log(F.col(x)).alias("p"))
+    p = p.withColumn("r", F.col("p") - F.lag("p").over(w))
+    facts = p.groupBy("symbol").agg(F.count("r").alias("n"), F.avg("r").alias("m"))
+    e = p.join(facts, "symbol").withColumn("q", F.pow(F.col("r") - F.col("m"), F.lit(2.0)))
+    found = None
+    for k_ in steps:
+        far = F.col("p") - F.lag("p", k_).over(w) - k_ * F.col("m")
+        rows = e.withColumn("far", far).withColumns({f"q{j}": F.col("q") * F.lag("q", j).over(w) for j in range(1, k_)})
+        g = rows.groupBy("symbol").agg(F.max("n").cast("double").alias("n"), F.sum("q").alias("s"), F.sum(F.col("far") * F.col("far")).alias("f"), *[F.sum(f"q{j}").alias(f"q{j}") for j in range(1, k_)]).where(F.col("n") >= k_ + 2)
+        n = F.col("n")
+        ratio = F.try_divide(F.col("f") / (k_ * (n - k_ + 1) * (1 - k_ / n)), F.col("s") / (n - 1))
+        theta = sum(((2 * (k_ - j) / k_) ** 2 * F.col(f"q{j}") for j in range(1, k_)), F.lit(0.0))
+        one = g.select("symbol", F.lit(k_).alias("steps"), n.cast("long").alias("n"), ratio.alias("ratio"), F.try_divide((ratio - 1) * F.col("s"), F.sqrt(theta)).alias("z"))
+        found = one if found is None else found.unionByName(one)
+    return found

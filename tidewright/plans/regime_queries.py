@@ -195,3 +195,30 @@ def _inflation() -> str:
 def inflation(spark, sf_dir):
     """Variance inflation of columns by each other."""
     return spark.createDataFrame(list(selection.inflation(bar_columns(spark, sf_dir), _REAL).items()), "feature string, vif double")
+
+
+@query("stationarity", ["symbol", "lags"], ["stat", "p"], f"""{q.BASE}, e AS (SELECT symbol, c - avg(c) OVER (PARTITION BY symbol) AS e, row_number() OVER ({ORD}) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM b),
+k AS (SELECT x.symbol, l.h, any_value(x.n) AS n, sum(x.e * y.e) AS c FROM range(0, 200) l(h), e x JOIN e y ON x.symbol = y.symbol AND y.i = x.i - l.h GROUP BY 1, 2),
+g AS (SELECT symbol, n, sum(CASE WHEN h = 0 THEN c ELSE 2 * c END) / n AS s0, sum(2 * h * c) / n AS s1 FROM k WHERE h <= floor(power(n, 2.0 / 9)) GROUP BY symbol, n),
+m AS (SELECT symbol, n, least(CAST(floor(1.1447 * power(power(s1 / s0, 2), 1.0 / 3) * power(n, 1.0 / 3)) AS BIGINT), n - 1) AS lags FROM g),
+s AS (SELECT m.symbol, m.n, lags, sum(CASE WHEN h = 0 THEN c ELSE 2 * (1 - h / (lags + 1)) * c END) / m.n AS s FROM m JOIN k ON m.symbol = k.symbol AND h <= lags GROUP BY m.symbol, m.n, lags),
+w AS (SELECT symbol, sum(w * w) AS w FROM (SELECT symbol, sum(e) OVER (PARTITION BY symbol ORDER BY i) AS w FROM e) GROUP BY 1), t AS (SELECT s.symbol, lags, w.w / (n * n) / s AS stat FROM s JOIN w ON s.symbol = w.symbol)
+SELECT symbol, lags, stat, CASE WHEN stat <= 0.347 THEN 0.1 WHEN stat <= 0.463 THEN 0.1 - (stat - 0.347) / 0.116 * 0.05 WHEN stat <= 0.574 THEN 0.05 - (stat - 0.463) / 0.111 * 0.025 WHEN stat <= 0.739 THEN 0.025 - (stat - 0.574) / 0.165 * 0.015 ELSE 0.01 END AS p FROM t""")
+def stationarity(spark, sf_dir):
+    return moments.stationarity(q.adjusted_events(spark, sf_dir))
+
+
+def _ratios() -> str:
+    parts = [f"{q.BASE}, p AS (SELECT symbol, t, ln(c) AS p, ln(c) - {lag('ln(c)')} AS r FROM b), f AS (SELECT symbol, count(r) AS n, avg(r) AS m FROM p GROUP BY 1), e AS (SELECT p.*, n, m, power(r - m, 2) AS q, row_number() OVER (PARTITION BY p.symbol ORDER BY t) AS i FROM p JOIN f ON p.symbol = f.symbol), s AS (SELECT symbol, any_value(n) AS n, sum(q) AS s FROM e GROUP BY 1)"]
+    out = []
+    for n in (3, 20):
+        parts.append(f"v{n} AS (SELECT symbol, sum(power(d, 2)) AS f FROM (SELECT symbol, p - lag(p, {n}) OVER (PARTITION BY symbol ORDER BY i) - {n} * m AS d FROM e) GROUP BY 1)")
+        parts.append(f"t{n} AS (SELECT x.symbol, sum(power(2 * ({n} - j.j) / {n}, 2) * x.q * y.q) AS t FROM range(1, {n}) j(j), e x JOIN e y ON x.symbol = y.symbol AND y.i = x.i - j.j GROUP BY 1)")
+        ratio = f"(f / ({n} * (n - {n} + 1) * (1 - {n} / n)) / (s / (n - 1)))"
+        out.append(f"SELECT s.symbol, {n} AS steps, {ratio} AS ratio, ({ratio} - 1) * s / sqrt(t) AS z FROM s JOIN v{n} ON s.symbol = v{n}.symbol JOIN t{n} ON s.symbol = t{n}.symbol")
+    return ", ".join(parts) + " " + " UNION ALL ".join(out)
+
+
+@query("variance_ratio", ["symbol", "steps"], ["ratio", "z"], _ratios())
+def variance_ratio(spark, sf_dir):
+    return moments.variance_ratios(q.adjusted_events(spark, sf_dir))
