@@ -9,7 +9,7 @@ from tidewright.operators import diagnostics, model, moments, regimes, selection
 from tidewright.plans import core_queries as q
 from tidewright.plans.more_queries import new_path
 from tidewright.plans.oracle import ORD, TS, lag, swept
-from tidewright.plans.registry import query
+from tidewright.plans.registry import ORACLES, query
 
 
 @query("markov_regimes", ["symbol", "ts"], [regimes.LOW, regimes.HIGH])
@@ -222,3 +222,36 @@ def _ratios() -> str:
 @query("variance_ratio", ["symbol", "steps"], ["ratio", "z"], _ratios())
 def variance_ratio(spark, sf_dir):
     return moments.variance_ratios(q.adjusted_events(spark, sf_dir))
+
+
+# flags and statistics of the payload
+
+#: 5 % points of the normal distribution, two-sided, and of chi-square with five degrees of freedom.
+_Z5, _CHI5 = 1.959963984540054, 11.070497693516351
+
+
+@query("payload_tests", ["symbol", "has_long_trend", "has_short_reversion", "has_vol_clustering"], [], f"""SELECT v.symbol, CAST(bool_or(steps = 20 AND ratio > 1 AND abs(z) > {_Z5}) AS BIGINT) AS has_long_trend, CAST(bool_or(steps = 3 AND ratio < 1 AND abs(z) > {_Z5}) AS BIGINT) AS has_short_reversion, CAST(any_value(stat) > {_CHI5} AS BIGINT) AS has_vol_clustering
+FROM ({_ratios()}) v JOIN ({ORACLES['arch_test']}) a ON v.symbol = a.symbol GROUP BY v.symbol""")
+def payload_tests(spark, sf_dir):
+    """Flags that are tests of one statistic, by its critical value."""
+    return diagnostics.scan(q.adjusted_events(spark, sf_dir)).select("symbol", "flags.*")
+
+
+_AR = f"""{_R}, a0 AS (SELECT symbol, t, r, {lag('r')} AS p FROM r0), a1 AS (SELECT symbol, t, r - avg(r) OVER w - covar_pop(r, p) OVER w / var_pop(p) OVER w * (p - avg(p) OVER w) AS e FROM a0 WHERE p IS NOT NULL WINDOW w AS (PARTITION BY symbol)),
+x AS MATERIALIZED (SELECT symbol, e / (stddev_pop(e) OVER (PARTITION BY symbol) + 1e-8) AS x, row_number() OVER ({ORD}) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM a1),
+y AS MATERIALIZED (SELECT *, lead(x) OVER (PARTITION BY symbol ORDER BY i) AS y, 1.5 * stddev_samp(x) OVER (PARTITION BY symbol) AS far FROM x),
+nr AS MATERIALIZED (SELECT a.symbol, a.i, any_value(a.n) AS n, count(*) FILTER (abs(a.x - b.x) < a.far) AS k, count(*) FILTER (abs(a.x - b.x) < a.far AND abs(a.y - b.y) < a.far) AS j FROM y a JOIN y b ON a.symbol = b.symbol AND a.i <> b.i GROUP BY 1, 2),
+bc AS (SELECT symbol, max(n) AS n, sum(k) / (max(n) * (max(n) - 1)) AS c, sum(k * (k - 1)) / (max(n) * (max(n) - 1) * (max(n) - 2)) AS kk, (sum(k) - 2 * max(CASE WHEN i = 1 THEN k END)) / ((max(n) - 1) * (max(n) - 2)) AS c1, sum(j) / ((max(n) - 1) * (max(n) - 2)) AS cm FROM nr GROUP BY 1),
+bds AS (SELECT symbol, sqrt(n - 1) * (cm - c1 * c1) / sqrt(4 * (kk * kk + 2 * kk * c * c + power(c, 4) - 4 * kk * c * c)) AS bds_stat FROM bc)"""
+_MI = """m0 AS MATERIALIZED (SELECT symbol, p / stddev_pop(p) OVER w AS a, r / stddev_pop(r) OVER w AS b, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i, count(*) OVER w AS n FROM a0 WHERE p IS NOT NULL WINDOW w AS (PARTITION BY symbol)),
+m1 AS (SELECT u.symbol, u.i, greatest(abs(u.a - v.a), abs(u.b - v.b)) AS d FROM m0 u JOIN m0 v ON u.symbol = v.symbol AND u.i <> v.i QUALIFY row_number() OVER (PARTITION BY u.symbol, u.i ORDER BY d) = 3),
+m2 AS (SELECT u.symbol, u.i, any_value(u.n) AS n, count(*) FILTER (abs(u.a - v.a) <= (1 - 1e-10) * d) AS ka, count(*) FILTER (abs(u.b - v.b) <= (1 - 1e-10) * d) AS kb FROM m0 u JOIN m1 ON u.symbol = m1.symbol AND u.i = m1.i JOIN m0 v ON u.symbol = v.symbol GROUP BY 1, 2),
+hm AS (SELECT k + 1 AS k, sum(CASE WHEN k > 0 THEN 1 / k ELSE 0 END) OVER (ORDER BY k) AS h FROM range(0, 20000) z(k)),
+mi AS (SELECT symbol, greatest(0, any_value(hn.h) + 1.5 - avg(x.h) - avg(z.h)) AS mi_lag1 FROM m2 JOIN hm hn ON hn.k = n JOIN hm x ON x.k = ka JOIN hm z ON z.k = kb GROUP BY 1)"""
+
+
+@query("dependence_tests", ["symbol"], ["bds_stat", "mi_lag1"], f"{_AR}, {_MI} SELECT bds.symbol, bds_stat, mi_lag1 FROM bds JOIN mi ON bds.symbol = mi.symbol")
+def dependence_tests(spark, sf_dir):
+    """The independence test of what an autoregression leaves, and the information of a return about the next (in the SQL by joins of
+    all pairs)."""
+    return diagnostics.scan(q.adjusted_events(spark, sf_dir)).select("symbol", "bds_stat", "mi_lag1")
