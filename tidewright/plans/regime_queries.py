@@ -255,3 +255,19 @@ def dependence_tests(spark, sf_dir):
     """The independence test of what an autoregression leaves, and the information of a return about the next (in the SQL by joins of
     all pairs)."""
     return diagnostics.scan(q.adjusted_events(spark, sf_dir)).select("symbol", "bds_stat", "mi_lag1")
+
+
+_CLASSES = f"""{q.BASE}, g0 AS (SELECT symbol, t, CAST(c > o AS INT) AS y, unnest(['all', CASE WHEN v > 1 THEN 'high' ELSE 'low' END]) AS state, r, ln(h / l) AS rg FROM b WHERE r IS NOT NULL),
+g1 AS (SELECT symbol, state, y, unnest(['ret', 'range']) AS feature, unnest([r, rg]) AS v FROM g0), g2 AS MATERIALIZED (SELECT symbol, state, feature, y, v / stddev_pop(v) OVER (PARTITION BY symbol, state, feature) AS v, row_number() OVER (PARTITION BY symbol, state, feature) AS i, count(*) OVER (PARTITION BY symbol, state, feature, y) AS own FROM g1),
+g3 AS MATERIALIZED (SELECT a.symbol, a.state, a.feature, a.i, a.own, a.v, abs(a.v - b.v) AS d FROM g2 a JOIN g2 b ON a.symbol = b.symbol AND a.state = b.state AND a.feature = b.feature AND a.y = b.y AND a.i <> b.i WHERE a.own > 3 QUALIFY row_number() OVER (PARTITION BY a.symbol, a.state, a.feature, a.i ORDER BY abs(a.v - b.v)) = 3),
+g4 AS (SELECT a.symbol, a.state, a.feature, a.i, any_value(a.own) AS own, count(*) AS m FROM g3 a JOIN g3 b ON a.symbol = b.symbol AND a.state = b.state AND a.feature = b.feature AND abs(a.v - b.v) <= (1 - 1e-10) * a.d GROUP BY 1, 2, 3, 4),
+hm AS (SELECT k + 1 AS k, sum(CASE WHEN k > 0 THEN 1 / k ELSE 0 END) OVER (ORDER BY k) AS h FROM range(0, 20000) z(k)), g5 AS (SELECT symbol, state, feature, count(*) AS n, avg(x.h) AS ho, avg(z.h) AS hm FROM g4 JOIN hm x ON x.k = own JOIN hm z ON z.k = m GROUP BY 1, 2, 3),
+g6 AS (SELECT symbol, feature, state, greatest(0, hm_n.h + 1.5 - ho - g5.hm) AS mi FROM g5 JOIN hm hm_n ON hm_n.k = n), g7 AS (SELECT symbol, feature, coalesce(max(mi) FILTER (state = 'high'), 0) AS mi_high_vol, coalesce(max(mi) FILTER (state = 'low'), 0) AS mi_low_vol, coalesce(max(mi) FILTER (state = 'all'), 0) AS mi_all FROM g6 GROUP BY 1, 2)"""
+
+
+@query("state_information", ["symbol", "feature", "accepted"], ["mi_high_vol", "mi_low_vol", "mi_all"], f"{_CLASSES} SELECT *, CAST(mi_high_vol > 0.01 OR mi_low_vol > 0.01 AS BIGINT) AS accepted FROM g7")
+def state_information(spark, sf_dir):
+    """Information of return and range with the direction of a bar, in bars of one event, of more, and in all."""
+    df = q.adjusted_events(spark, sf_dir).where("log_return IS NOT NULL")
+    df = df.select("symbol", "ts", (F.col("close_adj") > F.col("open_adj")).cast("int").alias("target_label"), (F.col("volume") > 1).cast("double").alias(regimes.HIGH), F.col("log_return").alias("ret"), F.log(F.col("high_adj") / F.col("low_adj")).alias("range"))
+    return regimes.conditioned_information(df, ["ret", "range"])
