@@ -148,15 +148,34 @@ def _bound(percent: int, n_a, own_a, n_b, own_b):
 
 
 def _near(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows without signatures, of those whose signatures differ in at most so many symbols."""
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sig_a", "sig_b"))
-            keep = pa.array((a != b).sum(axis=1) <= most)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+            yield batch.drop_columns(["sig_a", "sig_b"]).filter(pa.array((a != b).sum(axis=1) <= most))
 
     return near
 
 
+def _star(members: DataFrame, percent: int) -> DataFrame:
+    """node, center, part of the pairs of each bucket's members(key, node, n, own, sig) and its center, the one with the smallest share
+    `part` of shingles of its own, that counts and signatures allow; with a column component only of different ones. Signatures
+    come along: a pair's are compared where its bucket meets, and only near pairs go on."""
+    apart = "component" in members.columns
+    more = ["component"] if apart else []
+    center = members.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "node", "n", "own", "sig", *more)).alias("c"))
+    star = members.join(center, "key").where("component <> c.component" if apart else "node <> c.node")
+    most = F.least(F.col("n") - F.col("own"), F.col("c.n") - F.col("c.own"))
+    star = star.where(100 * most >= percent * (F.col("n") + F.col("c.n") - most))
+    star = star.select("node", F.col("c.node").alias("center"), F.col("c.part").alias("part"), F.col("sig").alias("sig_a"), F.col("c.sig").alias("sig_b"))
+    return star.mapInArrow(_near(distance(percent)), "node long, center long, part double")
+
+
+def _ordered(star: DataFrame) -> DataFrame:
+    return star.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
@@ -310,10 +329,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     distance(percent) symbols share a key of a chunk with one symbol left out, and meet in its bucket. 3. For the nodes in buckets,
     shingles that no other of them has are counted: these bound what a node can share, and a node with too many is linked
     with none. 4. In each bucket the node with the smallest such share, which in a group of copies is the nearest to what
-    they were copied from, is compared with the others; pairs are confirmed on full sets and joined to components. 5. Where
-    nodes of one bucket still lie in different components, those outside its largest are compared with all others too, in
-    blocks, and the pairs that counts, signatures and longer signatures allow are confirmed. So no link within the distance is lost, and a large group of copies costs
-    about one comparison a member and bucket.
+    they were copied from, is its center. A node is compared with the best of its buckets' centers; the pair is confirmed on full
+    sets, and links are joined to components; then with the other centers of buckets that are still in different ones. 5. Where
+    nodes of one bucket still lie apart, those outside its largest component are compared with all others too, in blocks,
+    and the pairs that counts, signatures and longer signatures allow are confirmed. So no components within the distance stay
+    apart, and a large group of copies costs about one confirmed pair a member.
 
     Empty and null texts: no shingles, linked with nothing. A null doc_id is its own component (null). Rows repeated under
     one doc_id are one document if their texts have one set. Other columns are not read.
@@ -345,13 +365,19 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     return single.unionByName(again.groupBy(*names).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
 
 
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """key, place, node, component of the buckets whose members still lie in different components."""
+    grouped = members.select("key", "place", "node").join(written(found), "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
+    open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return grouped.join(open_keys, "key")
+
+
 def _grouped(known: DataFrame, percent: int) -> DataFrame:
     """near_duplicates() of known(doc_id, text, tag), with each row's tag and the hashes of its set."""
-    furthest = distance(percent)
     profile = written(known.mapInArrow(_profiles, "doc_id long, tag long, n_shingles long, set1 long, set2 long, sig binary"))
     named = profile.where("n_shingles > 0 and doc_id is not null")
     nodes = written(named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
-    keys = nodes.select("node", "sig").mapInArrow(_keys(chunks_of(furthest)), "key long, place int, node long").repartition("key")
+    keys = nodes.select("node", "sig").mapInArrow(_keys(chunks_of(distance(percent))), "key long, place int, node long").repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     bucket = written(keys.join(shared, "key"))
     met = written(bucket.select(F.col("node").alias("doc_id")).distinct())
@@ -362,21 +388,19 @@ def _grouped(known: DataFrame, percent: int) -> DataFrame:
     able = written(counts.withColumn("own", F.coalesce("own", F.lit(0).cast("long"))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")))
 
     placed = written(bucket.join(able.select("node", "n", "own", "sig"), "node"))
-    center = placed.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "node", "n", "own", "sig")).alias("c"))
-    star = placed.join(center, "key").where("node <> c.node")
-    most = F.least(F.col("n") - F.col("own"), F.col("c.n") - F.col("c.own"))
-    star = star.where(100 * most >= percent * (F.col("n") + F.col("c.n") - most))
-    # signatures come along: a pair's are compared where its bucket meets, and only near pairs go on
-    star = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.col("sig").alias("sig_a"), F.col("c.sig").alias("sig_b"))
-    star = written(star.mapInArrow(_near(furthest), "a long, b long").distinct())
-    links = _links(star, sets, percent)
-    first = written(components(links))
-    grouped = placed.select("key", "place", "node").join(first, "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = written(grouped.join(open_keys, "key").join(able, "node"))
+    # One center for each node, the nearest to what a group was copied from: as many pairs as nodes.
+    best = _star(placed, percent).groupBy("node").agg(F.min(F.struct("part", "center")).alias("best"))
+    tried = written(_ordered(best.select("node", "best.center")))
+    links = _links(tried, sets, percent)
+    rest = _apart(placed, components(links)).join(able.select("node", "n", "own", "sig"), "node")
+    rest = written(rest)
+    # In the buckets that are still apart, the other centers.
+    again = written(_ordered(_star(rest, percent)).join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(_links(again, sets, percent))
+    rest = written(_apart(rest, components(links)).join(able.select("node", "n", "own", "sig"), "node"))
     apart = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_long_signatures, "node long, long binary")
     rest = rest.join(written(apart).dropDuplicates(["node"]), "node")
-    more = _bucket_pairs(rest, percent).join(star, ["a", "b"], "left_anti")
+    more = _bucket_pairs(rest, percent).join(tried.unionByName(again), ["a", "b"], "left_anti")
     links = links.unionByName(_links(cut(more), sets, percent))
     final = components(links)
     owner = nodes.join(final, "node", "left").select("set1", "set2", "n_shingles", F.coalesce("component", "node").alias("component"))
