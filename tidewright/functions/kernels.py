@@ -321,11 +321,11 @@ def spearman(x: np.ndarray) -> np.ndarray:
 def _digamma(v: np.ndarray) -> np.ndarray:
     v = np.asarray(v, float)
     low = np.zeros_like(v)
-    for _ in range(6):
-        small = v < 6
+    for _ in range(10):
+        small = v < 10
         low = low - np.where(small, 1 / v, 0.0)
         v = np.where(small, v + 1, v)
-    return low + np.log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4)
+    return low + np.log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4) - 1 / (252 * v**6) + 1 / (240 * v**8)
 
 
 #: Just inside a distance, by more than sums round.
