@@ -131,8 +131,8 @@ def unit_root(spark, sf_dir):
     return moments.unit_roots(q.adjusted_events(spark, sf_dir))
 
 
-@query("optimal_orders", ["symbol"], ["optimal_d", "adf_p"])
-def optimal_orders(spark, sf_dir):
+@query("fractional_orders", ["symbol"], ["optimal_d", "adf_p"])
+def fractional_orders(spark, sf_dir):
     return moments.optimal_orders(q.adjusted_events(spark, sf_dir))
 
 
