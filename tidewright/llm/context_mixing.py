@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 from typing import Iterator
 
 import numpy as np
@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import cut, written
 from tidewright.llm.quality_classifier import held_out
 
-#: Hashed contexts of a bit. Of a token: the word before (if it isn't frequent, the last hub), and the last two hubs; of the bits
-#: from the DEEPth on, which tell rare tokens apart, the last hub. Of a byte of a spelled token: the last hub with two bytes before
-#: it in the token, three and five bytes. A token's bits have one more input, the tree's own counts.
-CONTEXTS, DEEP = 3, 9
+#: Hashed contexts of a bit. Of a token: the last hub, the word before (if it isn't frequent, the last hub), and the last two hubs.
+#: Its bits from the DEEPth on, which tell rare tokens apart, have weights of their own, and all have one more input, the tree's own
+#: counts. Of a byte of a spelled token: the last hub with two bytes before it in the token, three, five, eight, the last hub with one,
+#: and four. Each context of either has a table.
+CONTEXTS, SPELLING, DEEP = 3, 6, 9
 #: Kinds of bits.
 HEAD, TAIL, SPELLED = 0, 1, 2
-#: Most slots of a context's table, as a power of two. Smaller corpora have about a slot for each training token.
+#: Most slots of a context's table, as a power of two. Smaller corpora have four to eight slots for each training token.
 SLOT_BITS = 21
 #: Sets of mixing weights for each kind: by how often the contexts were seen.
 GATES = (6, 5, 5)
@@ -34,8 +35,10 @@ RATE = 0.05
 STEP_ROWS = 1 << 14
 #: Tokens and bytes of a numpy block; a longer text is cut, and contexts begin anew.
 BLOCK, PIECE = 8192, 1 << 16
-#: Partitions that one counting or learning task takes, so that few tables are shuffled.
+#: Partitions that one counting task takes, where there are more than cores, so that few tables are shuffled.
 TASK_PARTS = 4
+#: Training tokens of a shard, in which one mixer learns, about, and of the texts that it is handed at a time; most shards of a task.
+SHARD, HANDED, TASK_SHARDS = 1 << 19, 1 << 16, 64
 #: Tokens that have a code of their own, at most, and the bytes of the longest; the others are spelled.
 FREQUENT, LONGEST = 1 << 18, 64
 #: Of the tokens by frequency: those that are hubs, those of a pair of hubs, those that a word before is told apart by.
@@ -156,14 +159,17 @@ def byte_contexts(raw: np.ndarray, first: np.ndarray, hub: np.ndarray) -> list[n
     """Hashes of the contexts of each byte. first: where a token begins; hub: of each byte's token."""
     n = len(raw)
     begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    before = np.zeros((5, n), np.uint64)
-    for k in range(5):
+    before = np.zeros((8, n), np.uint64)
+    for k in range(8):
         before[k, k + 1 :] = raw[: max(n - k - 1, 0)] + np.uint64(1)
         before[k][np.arange(n) - k - 1 < begin] = 0
     two = before[0] << np.uint64(9) | before[1]
     three = two << np.uint64(9) | before[2]
-    five = three << np.uint64(18) | before[3] << np.uint64(9) | before[4]
-    keys = [two << np.uint64(9) | hub.astype(np.uint64), three, five]
+    four = three << np.uint64(9) | before[3]
+    five = four << np.uint64(9) | before[4]
+    eight = five * _ODD + (before[5] << np.uint64(18) | before[6] << np.uint64(9) | before[7])
+    hub = hub.astype(np.uint64)
+    keys = [two << np.uint64(9) | hub, three, five, eight, before[0] << np.uint64(9) | hub, four]
     return [_hashed(k + (np.uint64(c + 1) << np.uint64(50))) for c, k in enumerate(keys)]
 
 
@@ -174,9 +180,9 @@ class Rows:
         size, begin = tree.size[symbols], tree.begin[symbols]
         if kind == TAIL:
             some = size > DEEP
-            size, begin, hashes, text = size[some] - DEEP, begin[some] + DEEP, [hashes[0][some]], text[some]
+            size, begin, hashes, text = size[some] - DEEP, begin[some] + DEEP, [h[some] for h in hashes], text[some]
         elif kind == HEAD:
-            size, hashes = np.minimum(size, DEEP), hashes[1:]
+            size = np.minimum(size, DEEP)
         self.sizes, self.hashes, self.text, self.kind = size, hashes, text, kind
         ends = np.cumsum(size)
         path = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
@@ -260,12 +266,12 @@ class Tables:
 
     @staticmethod
     def counts(rows: Iterator[Rows], slot_bits: int) -> np.ndarray:
-        """Counts (CONTEXTS, slots, 2)."""
-        out, one = np.zeros((CONTEXTS, 2 << slot_bits), np.uint32), np.uint32(1)
+        """Counts (SPELLING, slots, 2)."""
+        out, one = np.zeros((SPELLING, 2 << slot_bits), np.uint32), np.uint32(1)
         for r in rows:
             for c in range(len(r.hashes)):
                 np.add.at(out[c], r.slots(c, slot_bits) * 2 + r.bits, one)
-        return out.reshape(CONTEXTS, -1, 2)
+        return out.reshape(SPELLING, -1, 2)
 
     @staticmethod
     def of(counts: np.ndarray) -> np.ndarray:
@@ -283,13 +289,13 @@ class Tables:
         for c, code in enumerate(codes):
             at = code if left_out is None else code + left_out
             odds.append(_ODDS.take(at, mode="clip"))
-            if c < len(rows.hashes):
+            if c < len(GATES):
                 gate += _GATE[c].take(at, mode="clip")
         return odds, gate
 
 
 def _start_weights() -> np.ndarray:
-    w = np.full((CONTEXTS + 2, SETS), 0.35, np.float32)
+    w = np.full((SPELLING + 2, SETS), 0.3, np.float32)
     w[0] = 0
     return w
 
@@ -425,6 +431,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from part(train, other)
 
 
+def spellings(tokens: list[bytes]) -> Iterator[Rows]:
+    """The bits of each token, spelled once without a hub: what words are like, whether they are frequent or not."""
+    for lo in range(0, len(tokens), BLOCK):
+        raw = np.frombuffer(b" ".join([*tokens[lo : lo + BLOCK], b""]), np.uint8)
+        none = np.zeros(len(raw), np.int64)
+        yield Rows(_BYTES, raw, byte_contexts(raw, np.append(True, raw[:-1] == STOP), none), none, SPELLED)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, bytes]]]:
     for batch in batches:
         for lo in range(0, len(batch), 500):
@@ -436,10 +450,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray,
 PART = 1 << 14
 
 
-def _tables(code, slot_bits: int):
+def _tables(code, held, slot_bits: int):
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's counts, by parts of tables, in as few bytes a count as hold it; parts without any are left out."""
-        counts = Tables.counts((r for texts in _texts(batches) for r in rows_of(code.value, texts)), slot_bits)
+        """A task's counts, by parts of tables, in as few bytes a count as hold it; parts without any are left out. The first task
+        counts the frequent tokens' spellings too."""
+        once = spellings(held.value[0]) if TaskContext.get().partitionId() == 0 else ()
+        counts = Tables.counts(chain(once, (r for texts in _texts(batches) for r in rows_of(code.value, texts))), slot_bits)
         for i, x in enumerate(counts.reshape(-1, min(PART, 1 << slot_bits), 2)):
             if most := int(x.max()):
                 kind = np.min_scalar_type(most)
@@ -465,52 +481,80 @@ LEARNED = "mass double, weights array<double>, hits array<double>"
 
 
 def _trained(code, tables):
-    """Training documents scored as the mixer learns from them, then a row of the task's mixer."""
+    """Training documents, sorted by shard, scored as the mixer of their shard learns from them; then a row of the task's mixers:
+    weights times bits, and hits, added up."""
     kept = [x.split()[0] for x in SCORED.split(", ")][:-1]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
     names = [*kept, "score", *(x.split()[0] for x in LEARNED.split(", "))]
 
-    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, size = Mixer(), 0
+    def handed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """Rows of one shard, about HANDED tokens at a time from its first on, wherever batches end."""
+        held, tokens, of = [], 0, None
         for batch in batches:
-            found = [learn_from(texts, code.value, tables.value, mixer) for texts in _texts(iter([batch]))]
-            size += sum(bits for _, bits in found)
-            score = pa.array(np.concatenate([np.zeros(0), *(x for x, _ in found)]))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), score, *(pa.nulls(len(batch), k) for k in kinds[-3:])], names=names)
-        if size:
-            last = [[float(size)], [mixer.weights.astype(np.float64).ravel().tolist()], [mixer.hits.ravel().tolist()]]
+            for i, (shard, n) in enumerate(zip(batch["shard"].to_pylist(), batch["n_tokens"].to_pylist())):
+                if held and (shard != of or tokens >= HANDED):
+                    yield of, pa.concat_batches(held)
+                    held, tokens = [], 0
+                held.append(batch.slice(i, 1))
+                tokens, of = tokens + n, shard
+        if held:
+            yield of, pa.concat_batches(held)
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, of, size, mass = Mixer(), None, 0, 0
+        weights, hits = np.zeros(mixer.weights.shape), np.zeros(mixer.hits.shape)
+        for shard, part in handed(batches):
+            if shard != of:
+                weights, hits, mass = weights + size * mixer.weights.astype(np.float64), hits + mixer.hits, mass + size
+                mixer, of, size = Mixer(), shard, 0
+            score = []
+            for texts in _texts(iter([part])):
+                found, bits = learn_from(texts, code.value, tables.value, mixer)
+                score.append(found)
+                size += bits
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(np.concatenate(score)), *(pa.nulls(len(part), k) for k in kinds[-3:])], names=names)
+        mass += size
+        if mass:
+            weights, hits = weights + size * mixer.weights.astype(np.float64), hits + mixer.hits
+            last = [[float(mass)], [weights.ravel().tolist()], [hits.ravel().tolist()]]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:-3]), *(pa.array(x, k) for x, k in zip(last, kinds[-3:]))], names=names)
 
     return trained
 
 
-def fit(training: DataFrame, code, tokens: int):
-    """(tables, mixer, scored) of training(row, ids, spelled ...): broadcast values of bounded size, 2 bytes a slot and the
+def fit(training: DataFrame, code, held, tokens: int):
+    """(tables, mixer, scored) of training(row, doc_id, ids, spelled ...): broadcast values of bounded size, 2 bytes a slot and the
     mixer's few; and the training documents with their scores.
 
-    Every bit of every training text takes part. Tasks of TASK_PARTS partitions count and add up their tables by parts; then
-    each passes over its texts with all counts, predicts each bit and learns from it. The mixers' weights are averaged by the
-    tasks' bits, their maps added.
+    Every bit of every training text takes part. Tasks count and add up their tables by parts. Then texts are dealt by a hash of
+    doc_id and text to shards of about SHARD tokens, and in each a mixer passes over them in the order of that hash with all
+    counts, predicts each bit and learns from it. The mixers' weights are averaged by their bits, their maps added. The number of
+    shards follows from the tokens alone and no mixer meets two shards, so scores don't depend on partitions.
     """
     sc = training.sparkSession.sparkContext
-    slot_bits = min(SLOT_BITS, max(12, tokens.bit_length()))
+    slot_bits = min(SLOT_BITS, max(12, tokens.bit_length() + 2))
     part = min(PART, 1 << slot_bits)
-    texts = training.coalesce(-(-training.rdd.getNumPartitions() // TASK_PARTS) or 1)
-    sums = texts.select("ids", "spelled").mapInArrow(_tables(code, slot_bits), "part int, counts binary").groupBy("part").applyInArrow(_summed(part), "part int, codes binary")
-    codes = np.zeros((CONTEXTS << slot_bits) // part * part, np.uint16).reshape(-1, part)
+    parts, cores = training.rdd.getNumPartitions(), sc.defaultParallelism
+    texts = training.select("ids", "spelled").coalesce(max(-(-parts // TASK_PARTS), min(parts, cores), 1))
+    sums = texts.mapInArrow(_tables(code, held, slot_bits), "part int, counts binary").groupBy("part").applyInArrow(_summed(part), "part int, codes binary")
+    codes = np.zeros((SPELLING << slot_bits) // part * part, np.uint16).reshape(-1, part)
     for row in sums.toLocalIterator():  # the tables, whose size is bounded
         codes[row["part"]] = np.frombuffer(row["codes"], np.uint16)
-    tables = sc.broadcast(Tables(codes.reshape(CONTEXTS, -1)))
-    both = written(texts.mapInArrow(_trained(code, tables), f"{SCORED}, {LEARNED}"))
+    tables = sc.broadcast(Tables(codes.reshape(SPELLING, -1)))
+    shards = tokens // SHARD + 1
+    tasks = min(shards, max(cores, -(-shards // TASK_SHARDS)))
+    place = F.xxhash64("doc_id", "ids", "spelled")
+    dealt = training.withColumn("place", place).withColumn("shard", F.pmod("place", F.lit(shards)))
+    dealt = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "place")
+    both = written(dealt.mapInArrow(_trained(code, tables), f"{SCORED}, {LEARNED}"))
     mixed = both.where("mass is not null")  # one row a task, summed by place before the driver sees it
     total = mixed.agg(F.sum("mass")).first()[0]
     scored = both.where("mass is null").drop("mass", "weights", "hits")
     if not total:
         return tables, sc.broadcast(Mixer()), scored
-    place = lambda c, x: mixed.select("mass", F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum(x).alias("x")).orderBy("i").collect()
-    weights = np.array([r["x"] for r in place("weights", F.col("x") * F.col("mass"))], np.float64) / total
-    hits = np.array([r["x"] for r in place("hits", F.col("x"))])
-    return tables, sc.broadcast(Mixer(weights.reshape(CONTEXTS + 2, SETS).astype(np.float32), hits.reshape(2, SETS, STEPS))), scored
+    sums_of = lambda c: np.array([r["x"] for r in mixed.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()], np.float64)
+    weights, hits = sums_of("weights") / total, sums_of("hits")
+    return tables, sc.broadcast(Mixer(weights.reshape(SPELLING + 2, SETS).astype(np.float32), hits.reshape(2, SETS, STEPS))), scored
 
 
 def frequent(counted: DataFrame, most: int = FREQUENT) -> DataFrame:
@@ -533,8 +577,10 @@ def score_documents(docs: DataFrame, fold: int = 1, most_frequent: int = FREQUEN
     tree over the frequent tokens, any other's those of an escape and of its bytes. Several contexts, which reach back to the two
     words and the two hubs (very frequent tokens, which tell the language) before a token, give log odds from counts of all bits of
     all training texts; weights that a gate picks mix these, and an adaptive map refines the result. Chances of all next tokens
-    sum to one. A training text is scored online, by the mixer of its task as it stood before it learned from the text's bits, with
-    each bit left out of the counts that foretell it, so that its score is comparable with held-out ones.
+    sum to one in held-out texts. A training text is scored online, by the mixer of its shard as it stood before it learned from the
+    text's bits, with each bit left out of the counts that foretell it. So its score is comparable with held-out ones, but its bits'
+    chances of zero and one, each with another bit left out, don't sum to one. Scores are the same under any partitioning, but for
+    rounding; rows repeated under one doc_id share a shard, and each is learned from.
 
     Texts become symbols once, in a table in the shared folder that all passes read. For the base the frequent tokens, a bounded
     number, are summed there; the others are joined by token to their counts. Every row is scored, repeated ones alike; a
@@ -584,7 +630,7 @@ def score_documents(docs: DataFrame, fold: int = 1, most_frequent: int = FREQUEN
     whole = parts.where(F.col("token").isNull()).drop("token", "times")
     places = code.tokens = None  # held apart
     shared = sc.broadcast(code)
-    tables, mixer, scores = fit(whole.where(~F.col("held_out")), shared, total)
+    tables, mixer, scores = fit(whole.where(~F.col("held_out")), shared, held, total)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
