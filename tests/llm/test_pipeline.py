@@ -7,8 +7,8 @@ import zlib
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
-from tests.llm.test_operators import fair_queue_by_hand
-from tidewright.llm import mixing
+from tests.llm.test_operators import brute_components, fair_queue_by_hand
+from tidewright.llm import mixing, near_dedup
 from tidewright.llm.packing import load_tokenizer
 from tidewright.llm.quality_rules import quality_rules
 
@@ -133,3 +133,40 @@ def test_run_against_brute_force(spark, tmp_path):
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_dedup_confirms_few_pairs_of_a_large_group(spark, monkeypatch):
+    """Exact copies, and edited copies of which most are linked with nothing, are confirmed in few rows: a pair isn't repeated for
+    the copies of its texts, nor confirmed where it is far apart."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)] * 60
+    for i in range(60):  # 3 to 12 words changed: similar to the base by 0.86 to 0.55, to each other by less
+        at = rng.sample(range(200), 3 + i % 10)
+        texts.append(" ".join(f"x{rng.randrange(4)}" if k in at else w for k, w in enumerate(base)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    confirmed, links = [], near_dedup._links
+
+    def counted(near, sets, percent):
+        confirmed.append(near.join(sets, near.b == sets.node).count())
+        return links(near, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "_links", counted)
+    got = {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()}
+    assert got == {i for i, (_, least) in brute_components(list(enumerate(texts)), 80).items() if i == least}
+    assert sum(confirmed) <= 2 * len(texts)
+
+
+def test_parities_bound_what_sets_have_apart():
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (1, 2, 5, 60, 300, 513, 2000):
+        whole = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [np.unique(whole[: max(1, n - k)]) for k in (0, 1, n // 9, n // 5, n // 2)]
+    pairs = [(a, b) for a in sets for b in sets]
+    apart = [len(np.setxor1d(a, b)) for a, b in pairs]
+    odd = [[near_dedup.parities(x) for x in of] for of in zip(*pairs)]
+    assert (near_dedup.apart(*odd) <= apart).all()
+    alike = [100 * (len(a) + len(b) - d) >= 80 * (len(a) + len(b) + d) for (a, b), d in zip(pairs, apart)]
+    possible = near_dedup._possible(80, *(np.array([len(x) for x in of]) for of in zip(*pairs)), *odd)
+    assert possible[alike].all() and possible.sum() < 1.2 * sum(alike)

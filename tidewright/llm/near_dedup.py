@@ -19,10 +19,6 @@ SHINGLE = 5
 SYMBOLS = 64
 
 
-#: Symbols of the longer signature, 8 bits each, of documents in buckets that the first comparisons leave apart.
-LONG = 256
-
-
 def distance(percent: int, symbols: int = SYMBOLS) -> int:
     """The largest number of symbols in which linked documents may differ: a pair at similarity percent / 100 differs in more
     with probability under 1e-7."""
@@ -157,6 +153,35 @@ def _near(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return near
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """A bit for each of 4 to 8 places a shingle, set where an odd number of the set's shingles fall. Two sets' bits differ in no
+    more places than the sets have shingles apart, and in nearly as many while these are few."""
+    bits = 1 << max(3, (4 * len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """For pairs of parities() the places in which they differ. The longer is folded to the shorter's length, as places are
+    low bits of hashes."""
+    out, sizes = np.zeros(len(a), np.int64), np.array([list(map(len, a)), list(map(len, b))])
+    for x, y in np.unique(sizes, axis=1).T.tolist():
+        (at,) = np.nonzero((sizes[0] == x) & (sizes[1] == y))
+        both = [np.frombuffer(b"".join([of[i] for i in at]), np.uint8).reshape(len(at), -1, min(x, y)) for of in (a, b)]
+        out[at] = np.bitwise_count(np.bitwise_xor.reduce(both[0], axis=1) ^ np.bitwise_xor.reduce(both[1], axis=1)).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _possible(percent: int, n_a, n_b, odd_a: list[bytes], odd_b: list[bytes]) -> np.ndarray:
+    """Whether sets of so many shingles and these parities can be similar enough: with d of both sets' n shingles in one only,
+    the similarity is (n - d) / (n + d). No pair that is similar enough is left out."""
+    keep = np.zeros(len(odd_a), bool)
+    for lo in range(0, len(keep), 4096):
+        part = slice(lo, lo + 4096)
+        least = np.maximum(apart(odd_a[part], odd_b[part]), np.abs(n_a[part] - n_b[part]))
+        keep[part] = (100 + percent) * least <= (100 - percent) * (n_a[part] + n_b[part])
+    return keep
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
@@ -164,7 +189,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 256)
             if len(hashes) > _WORDS_KEPT:
                 hashes.clear()
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([shingle_set((x or "").encode(), hashes).tobytes() for x in part["text"].to_pylist()], pa.binary())], names=["node", "shingles"])
+            sets = [shingle_set((x or "").encode(), hashes) for x in part["text"].to_pylist()]
+            columns = [pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(parities, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=["node", "shingles", "n", "odd"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,22 +204,13 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(node)], names=["shingle", "node"])
 
 
-def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """MinHash signatures of LONG symbols, a byte each, by other hash functions than the first."""
-    salts = _mix(np.arange(1001, 1001 + LONG, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    for batch in batches:
-        for at in range(0, len(batch), 64):
-            part = batch.slice(at, 64)
-            sets = [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()]
-            flat = np.concatenate(sets)
-            starts = np.cumsum([0, *map(len, sets[:-1])])
-            out = np.empty((len(sets), LONG), np.uint8)
-            for k, salt in enumerate(salts):
-                h = (flat ^ salt) * salt
-                h ^= h >> np.uint64(32)
-                h *= np.uint64(0x94D049BB133111EB)
-                out[:, k] = _mix(np.minimum.reduceat(h, starts)) & np.uint64(0xFF)
-            yield pa.RecordBatch.from_arrays([part["node"], pa.array([x.tobytes() for x in out], pa.binary())], names=["node", "long"])
+def _likely(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(_possible(percent, *(batch[c].to_numpy() for c in ("n_a", "n_b")), *(batch[c].to_pylist() for c in ("odd_a", "odd_b"))))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+
+    return likely
 
 
 def _confirmed(percent: int):
@@ -209,9 +227,19 @@ def _confirmed(percent: int):
     return confirmed
 
 
+def _with_parities(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their parities allow: full sets, many times longer, travel for these only."""
+    odd = near
+    for c in ("b", "a"):
+        odd = odd.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")), c)
+    return written(odd.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(_likely(percent), "a long, b long").distinct())
+
+
 def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    full = near.join(sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a")
+    full = near
+    for c in ("b", "a"):
+        full = full.join(sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")), c)
     return cut(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct())
 
 
@@ -256,15 +284,15 @@ def _first_place(differ: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
 
 
 def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs that can be linked within each bucket of members(key, node, component, sig, long, n, own), but for those of one
+    """All pairs that can be linked within each bucket of members(key, node, component, sig, odd, n, own), but for those of one
     component.
 
     Members of a bucket's largest component need no comparison among themselves: only the others, the strays, meet all. Both
-    are dealt into blocks of about BLOCK, and every block of strays meets every block in one task that compares counts and both
-    signatures and returns the near pairs only: neither a bucket's rows nor its pairs are gathered. A bucket of one block
+    are dealt into blocks of about BLOCK, and every block of strays meets every block in one task that compares counts,
+    signatures and parities and returns the near pairs only: neither a bucket's rows nor its pairs are gathered. A bucket of one block
     stays whole. Of the buckets that a pair shares only that of _first_place() returns it.
     """
-    furthest, in_long = distance(percent), distance(percent, LONG)
+    furthest = distance(percent)
     chunks = chunks_of(furthest)
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("rows"))
     sizes = sizes.groupBy("key").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("large"))
@@ -275,11 +303,11 @@ def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
     turn = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     dealt = dealt.withColumn("block", F.when(F.col("stray"), turn(F.col("strays"))).otherwise(F.col("strays") + turn(F.greatest("others", F.lit(1)))))
     other = F.sequence(F.lit(0), F.col("strays") + F.when(F.col("stray"), F.col("others")).otherwise(0) - 1)
-    meets = dealt.withColumn("with", F.explode(other)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "place", "node", "component", "sig", "long", "n", "own")
+    meets = dealt.withColumn("with", F.explode(other)).select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "place", "node", "component", "sig", "odd", "n", "own")
 
     def near(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        long = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint8).reshape(-1, LONG)
+        odd = table["odd"].to_pylist()
         node, comp, block, n, own = (table[c].to_numpy() for c in ("node", "component", "block", "n", "own"))
         i, j = key[1].as_py(), key[2].as_py()
         place = table["place"][0].as_py()
@@ -291,7 +319,7 @@ def _bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
             if len(y):
                 differ = sig[y] != sig[x]
                 y = y[(differ.sum(axis=1) <= furthest) & (_first_place(differ, chunks) == place)]
-                y = y[(long[y] != long[x]).sum(axis=1) <= in_long]
+                y = y[_possible(percent, n[x].repeat(len(y)), n[y], [odd[x]] * len(y), [odd[i] for i in y])]
                 a.append(np.minimum(node[x], node[y]))
                 b.append(np.maximum(node[x], node[y]))
         none = np.zeros(0, np.int64)
@@ -310,9 +338,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     distance(percent) symbols share a key of a chunk with one symbol left out, and meet in its bucket. 3. For the nodes in buckets,
     shingles that no other of them has are counted: these bound what a node can share, and a node with too many is linked
     with none. 4. In each bucket the node with the smallest such share, which in a group of copies is the nearest to what
-    they were copied from, is compared with the others; pairs are confirmed on full sets and joined to components. 5. Where
+    they were copied from, is compared with the others; pairs that parities
+    of their shingles allow are confirmed on full sets and joined to components. 5. Where
     nodes of one bucket still lie in different components, those outside its largest are compared with all others too, in
-    blocks, and the pairs that counts, signatures and longer signatures allow are confirmed. So no link within the distance is lost, and a large group of copies costs
+    blocks, and the pairs that counts, signatures and parities of their shingles allow are confirmed. So no link within the distance is lost, and a large group of copies costs
     about one comparison a member and bucket.
 
     Empty and null texts: no shingles, linked with nothing. A null doc_id is its own component (null). Rows repeated under
@@ -352,10 +381,12 @@ def _grouped(known: DataFrame, percent: int) -> DataFrame:
     named = profile.where("n_shingles > 0 and doc_id is not null")
     nodes = written(named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
     keys = nodes.select("node", "sig").mapInArrow(_keys(chunks_of(furthest)), "key long, place int, node long").repartition("key")
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    # place is asked for too, so that both readers of the keys have the same columns and share one exchange
+    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("place").alias("place")).where("lo < hi and place >= 0").select("key")
     bucket = written(keys.join(shared, "key"))
     met = written(bucket.select(F.col("node").alias("doc_id")).distinct())
-    sets = written(known.select("doc_id", "text").join(met, "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary"))
+    texts = known.select("doc_id", "text").join(met, "doc_id", "left_semi").distinct()  # a node's copies are one set
+    sets = written(texts.mapInArrow(_sets, "node long, shingles binary, n long, odd binary"))
     lone = sets.mapInArrow(_shingles, "shingle long, node long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     lone = lone.where(F.col("node") == F.col("last")).groupBy("node").agg(F.count("*").alias("own"))
     counts = nodes.select("node", F.col("n_shingles").alias("n"), "sig").join(met.withColumnRenamed("doc_id", "node"), "node").join(lone, "node", "left")
@@ -369,13 +400,12 @@ def _grouped(known: DataFrame, percent: int) -> DataFrame:
     # signatures come along: a pair's are compared where its bucket meets, and only near pairs go on
     star = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.col("sig").alias("sig_a"), F.col("c.sig").alias("sig_b"))
     star = written(star.mapInArrow(_near(furthest), "a long, b long").distinct())
-    links = _links(star, sets, percent)
+    links = _links(_with_parities(star, sets, percent), sets, percent)
     first = written(components(links))
     grouped = placed.select("key", "place", "node").join(first, "node", "left").select("key", "place", "node", F.coalesce("component", "node").alias("component"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = written(grouped.join(open_keys, "key").join(able, "node"))
-    apart = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_long_signatures, "node long, long binary")
-    rest = rest.join(written(apart).dropDuplicates(["node"]), "node")
+    rest = rest.join(sets.select("node", "odd").dropDuplicates(["node"]), "node")
     more = _bucket_pairs(rest, percent).join(star, ["a", "b"], "left_anti")
     links = links.unionByName(_links(cut(more), sets, percent))
     final = components(links)
