@@ -3,9 +3,11 @@
 import collections
 import random
 import zlib
+from types import SimpleNamespace
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tests.llm.test_operators import brute_components, fair_queue_by_hand
 from tidewright.llm import mixing, near_dedup
@@ -170,3 +172,12 @@ def test_parities_bound_what_sets_have_apart():
     alike = [100 * (len(a) + len(b) - d) >= 80 * (len(a) + len(b) + d) for (a, b), d in zip(pairs, apart)]
     possible = near_dedup._possible(80, *(np.array([len(x) for x in of]) for of in zip(*pairs)), *odd)
     assert possible[alike].all() and possible.sum() < 1.2 * sum(alike)
+
+
+def test_bitmap_keeps_every_id(spark):
+    ids = [0, 1, -1, 7, 1 << 40, -(1 << 62), (1 << 63) - 1, *range(100, 900, 8)]
+    bits = near_dedup._bitmap(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    others = [i + 3 for i in range(100, 900, 8)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([*ids, *others, None], pa.int64()), "text": ["x"] * (len(ids) + len(others) + 1)})
+    got = pa.Table.from_batches(near_dedup._perhaps(SimpleNamespace(value=bits))(iter([batch])))["doc_id"].to_pylist()
+    assert set(ids) <= set(got) and not set(others) & set(got)

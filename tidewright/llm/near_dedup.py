@@ -41,6 +41,9 @@ CHUNKS = chunks_of(DISTANCE)
 #: Rows of a block of a bucket whose pairs are compared in one task.
 BLOCK = 256
 
+#: Places of the bitmap that keeps most texts without a partner out of the exchange, as a power of two, at most (4 MB).
+BITMAP = 25
+
 _WORDS_KEPT = 500_000
 
 
@@ -182,6 +185,29 @@ def _possible(percent: int, n_a, n_b, odd_a: list[bytes], odd_b: list[bytes]) ->
     return keep
 
 
+def _bitmap(met: DataFrame) -> np.ndarray:
+    """Bits of met(doc_id) by the ids' low bits: 16 places an id, but no more than BITMAP allows."""
+    places = 1 << min(BITMAP, max(15, (16 * met.count()).bit_length()))
+    at = (F.pmod("doc_id", F.lit(places)) + 1).alias("at")
+    parts = met.select(at).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros((places >> 15, 1 << 12), np.uint8)
+    for row in parts.toLocalIterator():
+        out[row["part"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def _perhaps(bits):
+    """Rows of which the bitmap has the id."""
+
+    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bits.value
+        for batch in batches:
+            at = batch["doc_id"].fill_null(0).to_numpy(zero_copy_only=False) & (8 * len(known) - 1)
+            yield batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return perhaps
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
@@ -385,7 +411,8 @@ def _grouped(known: DataFrame, percent: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("place").alias("place")).where("lo < hi and place >= 0").select("key")
     bucket = written(keys.join(shared, "key"))
     met = written(bucket.select(F.col("node").alias("doc_id")).distinct())
-    texts = known.select("doc_id", "text").join(met, "doc_id", "left_semi").distinct()  # a node's copies are one set
+    perhaps = known.select("doc_id", "text").mapInArrow(_perhaps(known.sparkSession.sparkContext.broadcast(_bitmap(met))), "doc_id long, text string")
+    texts = perhaps.join(met, "doc_id", "left_semi").distinct()  # a node's copies are one set
     sets = written(texts.mapInArrow(_sets, "node long, shingles binary, n long, odd binary"))
     lone = sets.mapInArrow(_shingles, "shingle long, node long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     lone = lone.where(F.col("node") == F.col("last")).groupBy("node").agg(F.count("*").alias("own"))
