@@ -3,8 +3,9 @@
 Texts become blocks of local codes, kept as one table that is bucketed by block, so that it is never exchanged. At level 1 a block asks
 once for each of its words, at level k once for each pair of adjacent frequent (k-1)-grams that overlap in k-2 words. Requests
 travel packed, a row a block and bucket of keys; buckets are as many as keep each in a bound, and a key's commonest case is one request
-a block. A bucket sums its keys' counts and names the frequent ones, and the names go back to the blocks, packed as well. A
-phrase's two names of the level below are its parents: cuts and the phrases inside it are found along them. No dictionary is
+a block. Pairs of one left phrase and a unit of right ones share a bucket and are told by steps. A bucket sums its keys' counts and
+names the frequent ones, the most frequent by the smallest numbers, and the names go back to the blocks, packed as well, by their
+places among what was asked. A phrase's two names of the level below are its parents: cuts and the phrases inside it are found along them. No dictionary is
 broadcast, and tokens aren't exchanged, but a block's distinct pairs."""
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from tidewright.llm.common import shared_dir, written
 
 #: Tokens of a block, at least, and of all blocks behind one bucket of requests, at most.
 BLOCK, BUCKET = 1 << 22, 1 << 21
-#: Bits of a name that count within its bucket.
-NAME_BITS = 32
+#: Bits of the right names that share a bucket with one left name, at most. Each block may ask for all of these, so with many blocks
+#: they are fewer, and a unit stays in a quarter of a bucket's tokens.
+UNIT_BITS = 14
 #: Tokens of a long text that are coded at a time, and characters of it that are split at a time.
 SEGMENT, SLICE = 1 << 16, 1 << 18
 BREAKS = ".,;:!?\n\x0b\x0c\r"
@@ -84,8 +86,8 @@ def _fields(**kinds: pa.DataType) -> pa.Schema:
 
 #: A block's codes (with which of them are its own), or its packed requests of a bucket.
 BLOCKS = _fields(block=pa.int64(), bucket=pa.int64(), n=pa.int64(), codes=pa.binary(), own=pa.binary(), lang=pa.string(), start=pa.int64(), left=pa.binary(), right=pa.binary(), cnt=pa.binary())
-#: A block's packed names of a level, or a named phrase.
-NAMES = _fields(block=pa.int64(), level=pa.int64(), n=pa.int64(), codes=pa.binary(), ids=pa.binary(), id=pa.int64(), lang=pa.string(), word=pa.binary(), left=pa.int64(), right=pa.int64(), f=pa.int64())
+#: A block's packed names of a level, told by their numbers within a bucket and places of a request, or a named phrase.
+NAMES = _fields(block=pa.int64(), level=pa.int64(), bucket=pa.int64(), n=pa.int64(), codes=pa.binary(), ids=pa.binary(), id=pa.int64(), lang=pa.string(), word=pa.binary(), left=pa.int64(), right=pa.int64(), f=pa.int64())
 
 
 def _rows(schema: pa.Schema, many: int, **columns) -> pa.Table:
@@ -111,6 +113,25 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.int64)
 
 
+def _steps(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of ascending pairs: the right side of the first with each left, then how much it rises."""
+    out = np.diff(right, prepend=0)
+    first = np.diff(left, prepend=-1) != 0
+    out[first] = right[first]
+    return out
+
+
+def _rights(left: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    first = np.flatnonzero(np.diff(left, prepend=-1))
+    sums = np.cumsum(steps)
+    return sums - np.repeat(sums[first] - steps[first], np.diff(first, append=len(left)))
+
+
+def _unit(blocks: int, bucket: int) -> int:
+    """Bits of a unit of right names."""
+    return min(UNIT_BITS, max(1, bucket // (4 * max(1, blocks))).bit_length() - 1)
+
+
 def _bits(own: np.ndarray) -> bytes:
     return pa.compress(np.packbits(own).tobytes(), codec="zstd", asbytes=True)
 
@@ -160,15 +181,13 @@ def _bucketed(df: DataFrame) -> DataFrame:
     return out
 
 
-def _named(least: int, level: int):
+def _named(least: int, level: int, buckets: int):
     """Names of a bucket's keys that are counted `least` times by all its blocks together, and what goes back to each block."""
 
     def of(key: tuple, asked: pa.Table) -> pa.Table:
-        first = key[0].as_py() << NAME_BITS
         sizes, cnt = asked["n"].to_numpy(), asked["cnt"].to_pylist()
         counts = np.concatenate([_unpacked(c, n) for c, n in zip(cnt, sizes)])
         if level == 1:
-            codes = [_unpacked(c, n) for c, n in zip(asked["codes"].to_pylist(), sizes)]
             words = pa.array([w for t, n in zip(asked["left"].to_pylist(), asked["start"].to_pylist()) for w in pa.decompress(t, decompressed_size=n, codec="zstd", asbytes=True).split(b" ")], pa.binary())
             word = words.dictionary_encode()
             langs = asked["lang"].combine_chunks().dictionary_encode()
@@ -176,9 +195,9 @@ def _named(least: int, level: int):
             _, one, place = np.unique(keys, return_index=True, return_inverse=True)
             total = np.bincount(place, counts).astype(np.int64)
         else:
-            codes = [s + np.arange(n) for s, n in zip(asked["start"].to_pylist(), sizes)]
-            left = np.concatenate([np.cumsum(_unpacked(c, n)) for c, n in zip(asked["left"].to_pylist(), sizes)])
-            right = np.concatenate([_unpacked(c, n) for c, n in zip(asked["right"].to_pylist(), sizes)])
+            lefts = [np.cumsum(_unpacked(c, n)) for c, n in zip(asked["left"].to_pylist(), sizes)]
+            left = np.concatenate(lefts)
+            right = np.concatenate([_rights(x, _unpacked(c, n)) for x, c, n in zip(lefts, asked["right"].to_pylist(), sizes)])
             order = np.lexsort((right, left))
             begins = np.ones(len(order), bool)
             begins[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
@@ -186,7 +205,8 @@ def _named(least: int, level: int):
             place[order] = np.cumsum(begins) - 1
             one, total = order[begins], np.add.reduceat(counts[order], np.flatnonzero(begins))
         enough = total >= least
-        number = np.where(enough, first + np.cumsum(enough) - 1, -1)
+        number = np.full(len(total), -1)
+        number[np.flatnonzero(enough)[np.argsort(-total[enough], kind="stable")]] = np.arange(np.count_nonzero(enough)) * buckets + key[0].as_py()
         ids, kept = number[place], one[enough]
         facts = {"id": number[enough], "f": total[enough]}
         if level == 1:
@@ -195,37 +215,43 @@ def _named(least: int, level: int):
             facts |= {"left": left[kept], "right": right[kept]}
         out, at = [_rows(NAMES, len(kept), **{k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in facts.items()})], 0
         told = []
-        for block, own, n in zip(asked["block"].to_pylist(), codes, sizes):
+        starts = [0] * len(sizes) if level == 1 else asked["start"].to_pylist()
+        for block, lang, start, n in zip(asked["block"].to_pylist(), asked["lang"].to_pylist(), starts, sizes):
             mine = np.flatnonzero(ids[at : at + n] >= 0)
             if len(mine):
-                by = mine[np.argsort(own[mine])]
-                told.append((block, len(by), _packed(np.diff(own[by], prepend=0)), _packed(ids[at : at + n][by])))
+                told.append((block, lang, len(mine), _packed(np.diff(start + mine, prepend=0)), _packed(ids[at : at + n][mine] // buckets)))
             at += n
         if told:
-            block, n, deltas, names = zip(*told)
-            out.append(_rows(NAMES, len(told), block=block, level=[level] * len(told), n=n, codes=deltas, ids=names))
+            block, lang, n, deltas, names = zip(*told)
+            out.append(_rows(NAMES, len(told), block=block, level=[level] * len(told), bucket=[key[0].as_py()] * len(told), n=n, codes=deltas, ids=names, lang=pa.array(lang, pa.string())))
         return pa.concat_tables(out)
 
     return of
 
 
-def _requests(length: int, buckets: int):
+def _requests(length: int, buckets: int, unit: int):
     """A block's requests for its pairs of named phrases of length - 1 words, told the names of shorter ones: its codes become those of
     words, then of pairs of them, and so on."""
 
     def of(key: tuple, payload: pa.Table, told: pa.Table) -> pa.Table:
         if not payload.num_rows:
             return BLOCKS.empty_table()
-        n = payload["n"][0].as_py()
-        codes = _unpacked(payload["codes"][0].as_py(), n) - 1
-        own = np.unpackbits(np.frombuffer(pa.decompress(payload["own"][0].as_py(), decompressed_size=-(-n // 8), codec="zstd", asbytes=True), np.uint8), count=n)
+        rows = {(r["bucket"], r["lang"]): r for r in payload.to_pylist()}
+        whole = rows.pop((None, None))
+        n = whole["n"]
+        codes = _unpacked(whole["codes"], n) - 1
+        own = np.unpackbits(np.frombuffer(pa.decompress(whole["own"], decompressed_size=-(-n // 8), codec="zstd", asbytes=True), np.uint8), count=n)
         parts = told.to_pylist()
         for k in range(1, length):
             mine = [p for p in parts if p["level"] == k]
             if not mine:
                 return BLOCKS.empty_table()
-            at = np.concatenate([np.cumsum(_unpacked(p["codes"], p["n"])) for p in mine])
-            ids = np.concatenate([_unpacked(p["ids"], p["n"]) for p in mine])
+            places = [np.cumsum(_unpacked(p["codes"], p["n"])) for p in mine]
+            if k == 1:  # places among the words that the block asked the bucket for
+                asked = [rows[p["bucket"], p["lang"]] for p in mine]
+                places = [_unpacked(r["codes"], r["n"])[x] for r, x in zip(asked, places)]
+            at = np.concatenate(places)
+            ids = np.concatenate([_unpacked(p["ids"], p["n"]) * buckets + p["bucket"] for p in mine])
             by = np.argsort(ids, kind="stable")
             at, ids = at[by], ids[by]
             # Named codes get short ones, in the order of their names, so that pairs fit in 64 bits; words of two languages may
@@ -239,7 +265,7 @@ def _requests(length: int, buckets: int):
             pairs, place = np.unique(here[both] * len(at) + here[both + 1], return_inverse=True)
             # Codes follow buckets, and pairs within these, so that a bucket's codes are a run. Buckets are a rule of names alone.
             left, right = ids[pairs // len(at)], ids[pairs % len(at)]
-            bucket = _mixed(left, right) % np.uint64(buckets)
+            bucket = _mixed(left, right >> unit) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             new = np.empty(len(order), np.int64)
             new[order] = np.arange(len(order))
@@ -253,7 +279,7 @@ def _requests(length: int, buckets: int):
         number = key[0].as_py()
         runs = [slice(a, b) for a, b in zip(starts, ends)]
         lefts = [_packed(np.diff(left[r], prepend=0)) for r in runs]
-        return _rows(BLOCKS, len(runs), block=[number] * len(runs), bucket=bucket[starts], n=np.subtract(ends, starts), start=starts, left=lefts, right=[_packed(right[r]) for r in runs], cnt=[_packed(seen[r]) for r in runs])
+        return _rows(BLOCKS, len(runs), block=[number] * len(runs), bucket=bucket[starts], n=np.subtract(ends, starts), start=starts, left=lefts, right=[_packed(_steps(left[r], right[r])) for r in runs], cnt=[_packed(seen[r]) for r in runs])
 
     return of
 
@@ -274,15 +300,16 @@ def phrase_table(docs: DataFrame, longest: int = 4, least: int = 30, sizes: tupl
     weight = texts.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = max(1, -(-weight // (2 * sizes[1])))
     blocks = _bucketed(texts.mapInArrow(lambda batches: _blocks(batches, longest - 1, sizes, buckets), _sql(BLOCKS)))
-    payload, asked, told, names = blocks.where("bucket IS NULL").select("block", "n", "codes", "own"), blocks.where("bucket IS NOT NULL"), None, []
-    spread = lambda rows: rows.select("bucket", "block", "n", "start", "lang", "codes", "left", "right", "cnt").groupBy("bucket")
+    payload, asked, told, names = blocks.select("block", "bucket", "n", "codes", "own", "lang"), blocks.where("bucket IS NOT NULL"), None, []
+    unit = _unit(blocks.where("bucket IS NULL").count(), sizes[1])
+    spread = lambda rows: rows.select("bucket", "block", "n", "start", "lang", "left", "right", "cnt").groupBy("bucket")
     for length in range(1, longest + 1):
         if told is not None:
-            asked = payload.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_requests(length, buckets), _sql(BLOCKS))
-        found = written(spread(asked).applyInArrow(_named(least, length), _sql(NAMES)))
+            asked = payload.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_requests(length, buckets, unit), _sql(BLOCKS))
+        found = written(spread(asked).applyInArrow(_named(least, length, buckets), _sql(NAMES)))
         named = found.where("id IS NOT NULL")
         names.append(named.select("id", "lang", F.col("word").cast("string").alias("phrase"), "f") if length == 1 else named.select("id", "left", "right", "f"))
-        back = found.where("block IS NOT NULL").select("block", "level", "n", "codes", "ids")
+        back = found.where("block IS NOT NULL").select("block", "level", "bucket", "n", "codes", "ids", "lang")
         told = back if told is None else told.unionByName(back)
     return _totals(blocks), names
 
